@@ -104,11 +104,11 @@ def round_copies(rated: DataFrame, cap: int = CAP, passes: int = SETTLE_PASSES)
         out = cut(out)
         off = out.groupBy("sk").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
         # One candidate a source and size class: its longest document that can give or take a copy.
-        can = out.join(off, "sk").where((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs("off")))
+        can = out.join(off, "sk").where((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") <= F.abs("off")))
         best = can.groupBy("sk", F.floor(F.log2("size")).alias("class")).agg(F.max(F.struct("size", "doc_id", "h", "rid")).alias("c"), F.max("off").alias("off"))
         offers = best.groupBy("sk").agg(F.max("off").alias("off"), F.sort_array(F.collect_list("c"), asc=False).alias("cs"))
         start = F.struct(F.abs("off").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-        pick = F.aggregate("cs", start, lambda a, c: F.when(c["size"] < 2 * a["left"], F.struct(F.abs(a["left"] - c["size"]).alias("left"), F.array_append(a["ids"], c["rid"]).alias("ids"))).otherwise(a))
+        pick = F.aggregate("cs", start, lambda a, c: F.when(c["size"] <= a["left"], F.struct((a["left"] - c["size"]).alias("left"), F.array_append(a["ids"], c["rid"]).alias("ids"))).otherwise(a))
         moves = offers.select(F.signum("off").cast("long").alias("move"), F.explode(pick["ids"]).alias("rid"))
         out = out.join(moves, "rid", "left").withColumn("copies", F.col("copies") + F.coalesce("move", F.lit(0))).drop("move")
     return out
