@@ -66,6 +66,7 @@ def map_text(
     fields: list[T.StructField],
     keep: list[str],
     column: str = "text",
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """One output row per input row: the columns in `keep` (an output field of the same name replaces it), then `fields`."""
     names = {f.name for f in fields}
@@ -76,7 +77,7 @@ def map_text(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in sliced(batches, column):
+        for batch in sliced(batches, column, limit):
             out = kernel(batch)
             cols = [batch.column(c) for c in keep] + [out[f.name] for f in fields]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, arrow, strict=True)], schema=arrow)

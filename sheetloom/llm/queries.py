@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, secrets
+from . import decontaminate, langid, mixing, pii, secrets
 from .common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": lambda s, d: pii.op2(table(s, d, "documents")),
         "op4_secrets": lambda s, d: secrets.op4(table(s, d, "documents")),
         "op5_entropy_mixing": lambda s, d: mixing.op5(table(s, d, "documents")),
+        "op6_language_id": lambda s, d: langid.op6(table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
