@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, secrets
+from . import ann, decontaminate, langid, mixing, pii, secrets
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": lambda s, d: pii.op2(table(s, d, "documents")),
+        "op3_ann": lambda s, d: ann.op3(table(s, d, "embeddings")),
         "op4_secrets": lambda s, d: secrets.op4(table(s, d, "documents")),
         "op5_entropy_mixing": lambda s, d: mixing.op5(table(s, d, "documents")),
         "op6_language_id": lambda s, d: langid.op6(table(s, d, "documents")),
