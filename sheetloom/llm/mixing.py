@@ -97,7 +97,7 @@ def round_copies(rated: DataFrame, cap: int = CAP, passes: int = SETTLE_PASSES)
     """Adds copies to (rid, doc_id, h, sk, size, n_docs, target, r): 0 to cap, near sum(size * r) by source."""
     stripe = F.pmod(F.xxhash64("doc_id", "h"), F.ceil(F.col("n_docs") / STRIPE_ROWS).cast("long"))
     along = Window.partitionBy("sk", "stripe").orderBy(F.desc("size"), "doc_id", "h", "rid")
-    part = rated.withColumn("stripe", stripe).withColumn("whole", F.floor("r")).withColumn("sum", F.sum(F.col("r") - F.col("whole")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    part = rated.withColumn("stripe", stripe).repartition("sk", "stripe").withColumn("whole", F.floor("r")).withColumn("sum", F.sum(F.col("r") - F.col("whole")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     up = F.floor(F.col("sum") + 0.5) - F.floor(F.coalesce(F.lag("sum").over(along), F.lit(0.0)) + 0.5)
     out = part.withColumn("copies", F.when(F.col("size") > 0, F.least(F.lit(cap), F.col("whole") + up)).otherwise(0).cast("long")).drop("stripe", "whole", "sum", "r")
     for _ in range(passes):
