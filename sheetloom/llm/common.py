@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -159,3 +160,12 @@ def sha256_hex(data: bytes) -> str:
 def parts_for(df: DataFrame, floor: int = 1) -> int:
     """Shuffle partitions of the session, at least `floor`."""
     return max(floor, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write a table (compressed, columnar) to the shared checkpoint folder and read it back: cuts lineage like cut()."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, mixing, neardup, pii, secrets
+from . import ann, decontaminate, langid, linededup, mixing, neardup, pii, secrets
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_entropy_mixing": lambda s, d: mixing.op5(table(s, d, "documents")),
         "op6_language_id": lambda s, d: langid.op6(table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op10_line_dedup": lambda s, d: linededup.op10(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: neardup.op9(table(s, d, "documents")),
     }
 
