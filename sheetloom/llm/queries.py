@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, linededup, mixing, neardup, pii, secrets
+from . import ann, decontaminate, langid, linededup, mixing, neardup, phrasededup, pii, secrets, suffixdedup
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": lambda s, d: suffixdedup.op1(table(s, d, "documents")),
         "op2_pii": lambda s, d: pii.op2(table(s, d, "documents")),
         "op3_ann": lambda s, d: ann.op3(table(s, d, "embeddings")),
         "op4_secrets": lambda s, d: secrets.op4(table(s, d, "documents")),
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": lambda s, d: langid.op6(table(s, d, "documents")),
         "op7_decontaminate": lambda s, d: decontaminate.op7(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_line_dedup": lambda s, d: linededup.op10(table(s, d, "documents")),
+        "op8_phrase_dedup": lambda s, d: phrasededup.op8(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: neardup.op9(table(s, d, "documents")),
     }
 
