@@ -163,10 +163,10 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def without_removed(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the removed lines cut from text; a document that loses every line goes."""
+    """The rows of docs with the removed lines cut from text; a document left without words by it goes."""
     out = removed_lines(docs).withColumnRenamed("d", "_d").withColumnRenamed("h", "_h")
     keyed = docs.withColumn("_d", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_h", F.xxhash64("text"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
     joined = keyed.join(out, ["_d", "_h"], "left").withColumn("_kept", F.when(F.col("removed").isNotNull(), kept))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return joined.where(F.col("_kept").isNull() | (F.size("_kept") > 0)).select(*(text.alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    return joined.where(F.col("_kept").isNull() | F.exists("_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).select(*(text.alias("text") if c == "text" else keyed[c] for c in docs.columns))

@@ -132,8 +132,8 @@ def op5(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with a column copy (from 1); words-less documents go."""
-    own = Window.partitionBy("doc_id", "h", "sk").orderBy("rid")
-    plan = mix(docs, weights, share, cap).select("doc_id", "h", "sk", "copies", F.row_number().over(own).alias("nth"))
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_sk", source_key(F.col("source"))).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_h", "_sk").orderBy(F.lit(0))))
-    both = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["doc_id"]) & (keyed["_h"] == plan["h"]) & (keyed["_sk"] == plan["sk"]) & (keyed["_nth"] == plan["nth"]))
-    return both.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(keyed[c] for c in docs.columns if c != "copy"), "copy")
+    own = Window.partitionBy("h", "sk").orderBy("doc_id", "rid")
+    plan = mix(docs, weights, share, cap).select(F.col("doc_id").alias("p_id"), F.col("h").alias("_h"), F.col("sk").alias("_sk"), "copies", F.row_number().over(own).alias("_nth"))
+    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_sk", source_key(F.col("source"))).withColumn("_nth", F.row_number().over(Window.partitionBy("_h", "_sk").orderBy("doc_id")))
+    both = keyed.join(plan, ["_h", "_sk", "_nth"]).where(F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("copies") > 0))
+    return both.select(*(c for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
