@@ -9,9 +9,9 @@ size; a document with an empty coordinate doubles its threshold. Two signatures
 documents' weighted Jaccard similarity.
 
 Links: exact copies collapse first. Documents that share a band are compared with the band's first document, exactly, and
-joined; then documents of a band that are still in different classes are compared with each other, best estimates first
-and at last all of them, so a band that is one class already costs nothing more and no link that would join two classes
-is passed over. A pair at similarity 0.8 shares no band with probability 3e-6.
+joined; then all documents of a band that are still in different classes are compared with each other, block by block,
+and only links that join two classes leave the task. A band that is one class costs nothing more, and no link that would
+join two classes is passed over. A pair at similarity 0.8 shares no band with probability 3e-6.
 
 Defined results: a text without words (null, empty, blank) is a class of its own row; a class is named after its smallest
 doc_id (null only if every doc_id in it is null); equal rows are one class. An empty table gives no rows.
@@ -37,8 +37,6 @@ COORDINATES = BANDS * BAND_ROWS
 ESTIMATE_FLOOR = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 #: Members of a band that one comparison task holds.
 BLOCK = 2048
-#: Rounds in which a document is compared with its best candidate of each other class, before all are.
-BEST_ROUNDS = 2
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,33 +143,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
 
-def _cross_pairs(best: bool):
-    """Pairs of one block (or block pair) of a band that are in different classes and whose estimate reaches the floor."""
-
-    def run(group: pa.Table) -> pa.Table:
-        node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
-        block, mine, theirs = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(node), -1)
-        out_a, out_b = [], []
-        left = np.flatnonzero(block == mine)
-        right = np.flatnonzero(block == theirs)
-        for x in left:
-            others = right[label[right] != label[x]]
-            if mine == theirs:
-                others = others[node[others] > node[x]] if not best else others
-            if not len(others):
-                continue
-            same = (sig[others] == sig[x]).mean(axis=1)
-            others, same = others[same >= ESTIMATE_FLOOR], same[same >= ESTIMATE_FLOOR]
-            if best and len(others):
-                order = np.lexsort((-same, label[others]))
-                others = others[order][np.concatenate([[True], np.diff(label[others][order]) != 0])]
-            out_a.append(np.minimum(node[x], node[others]))
-            out_b.append(np.maximum(node[x], node[others]))
-        cat = lambda p: pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))
-        return pa.table({"a": cat(out_a), "b": cat(out_b)})
-
-    return run
+def _links(group: pa.Table) -> pa.Table:
+    """Verified links between the classes of one block (or block pair) of a band, as many as join them and no more.
+
+    A pair is taken up in the first band that it shares, only while its ends are in different classes, and only if its
+    estimate reaches the floor; whole shingle tables decide.
+    """
+    get = lambda c: group.column(c).to_pylist()
+    node, packed, label, block = group.column("node").to_numpy(), get("packed"), get("label"), group.column("block").to_numpy()
+    mine, theirs, band = get("i")[0], get("j")[0], get("band")[0]
+    sig = np.frombuffer(b"".join(get("sig")), "<u2").reshape(len(node), -1)
+    bands = np.array(get("bands"), np.int64)
+    here = int(np.flatnonzero(bands[0] == band)[0])
+    above = {x: x for x in label}
+
+    def find(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    left, right = np.flatnonzero(block == mine), np.flatnonzero(block == theirs)
+    for x in left:
+        rest = right[node[right] > node[x]] if mine == theirs else right
+        rest = rest[(bands[rest, :here] != bands[x, :here]).all(axis=1)]
+        if not len(rest):
+            continue
+        same = (sig[rest] == sig[x]).mean(axis=1)
+        for y in rest[np.argsort(-same, kind="stable")][: int((same >= ESTIMATE_FLOOR).sum())]:
+            one, two = find(label[x]), find(label[y])
+            if one != two and similarity(packed[x], packed[y]) >= THRESHOLD:
+                above[max(one, two)] = min(one, two)
+                out.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([p for _, p in out], pa.int64())})
 
 
 class _Nodes:
@@ -189,48 +194,40 @@ class _Nodes:
         shared = each.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
         self.members = cut(each.join(shared, "band"))
 
-    def packed(self, pairs: DataFrame) -> DataFrame:
-        """(node, packed) of the nodes in pairs: the texts are read again, one copy of each, and only its digest moves on."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        need = self.nodes.join(ends, "node").select("node", "h1", "h2", F.col("first_doc").alias("d"))
+    def packed(self, ends: DataFrame) -> DataFrame:
+        """(node, packed) of these nodes: the texts are read again, one copy of each, and only its digest moves on."""
+        need = self.nodes.join(ends.distinct(), "node").select("node", "h1", "h2", F.col("first_doc").alias("d"))
         one = self.keyed.join(need, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
         return one.mapInArrow(_packed, "node long, packed binary").dropDuplicates(["node"])
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        packed = cut(self.packed(pairs))
+    def star_links(self) -> DataFrame:
+        """Verified pairs of a band's first document with its others."""
+        pairs = cut(self.members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+        packed = cut(self.packed(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
         a = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
         b = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(_verify, "a long, b long")
 
-    def still_open(self, labels: DataFrame, tested: DataFrame, best: bool) -> DataFrame:
-        """Untested pairs across classes in bands of three documents or more that hold several classes."""
+    def cross_links(self, labels: DataFrame) -> DataFrame:
+        """Verified links across classes in bands of three documents or more; one class or two documents are settled."""
         named = self.members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         split = named.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = named.join(split, "band").join(self.nodes.select("node", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks.cast("long")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))).select("band", "node", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        pairs = rows.groupBy("band", "i", "j").applyInArrow(_cross_pairs(best), "a long, b long").distinct()
-        return pairs.join(tested, ["a", "b"], "left_anti")
+        rows = cut(named.join(split, "band").select("band", "n", "node", "label"))
+        held = self.nodes.select("node", "sig", "bands").join(self.packed(rows.select("node")), "node")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+        rows = rows.join(held, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.select("band", "node", "label", "sig", "bands", "packed", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return rows.groupBy("band", "i", "j").applyInArrow(_links, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_class): one row a row of docs."""
     n = _Nodes(docs)
-    pairs = cut(n.members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
-    edges, tested = cut(n.verified(pairs)), pairs
+    edges = cut(n.star_links())
     labels = components(edges)
-    for round_ in range(BEST_ROUNDS + 1):
-        more = cut(n.still_open(labels, tested, best=round_ < BEST_ROUNDS))
-        if more.isEmpty():
-            if round_ < BEST_ROUNDS:
-                continue
-            break
-        found = cut(n.verified(more))
-        tested = cut(tested.union(more))
-        if not found.isEmpty():
-            edges = cut(edges.union(found))
-            labels = components(edges)
+    more = cut(n.cross_links(labels))
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     named = n.nodes.select("node", "h1", "h2", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
     of_text = named.join(ids, "label").select("h1", "h2", "class_id", "label")
