@@ -133,8 +133,13 @@ def ascii_forms(s: Column) -> Column:
 
 def nfkc(s: Column) -> Column:
     """No built-in normalises Unicode; one Arrow batch at a time."""
-    run = F.pandas_udf(lambda batch: batch.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore"), "string", F.PandasUDFType.SCALAR)
-    return run(s)
+    import pandas as pd
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(s)
 
 
 def latinize(s: Column) -> Column:
@@ -168,7 +173,7 @@ def narrow_mtext(raw: Column, factor: Column) -> Column:
     parts, found = F.split(raw, r"\\W[0-9.]+;", -1), F.regexp_extract_all(raw, F.lit(r"\\W([0-9.]+);"), F.lit(1))
     number = lambda v: F.regexp_replace(F.format_string("%.4f", v), r"\.?0+$", "")
     code = lambda v: F.concat(F.lit("\\W"), number(v), F.lit(";"))
-    scaled = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(code(F.get(found, i).try_cast("double") * factor), F.lit("")))), "")
+    scaled = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(found), code(F.get(found, i).try_cast("double") * factor)).otherwise(""))), "")
     return F.when(F.abs(factor - 1) <= 0.01, raw).when(F.size(found) > 0, scaled).otherwise(F.concat(code(factor), raw))
 
 
