@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python kernel holds at once (a longer single text is held whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,6 +153,12 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names renamed out of an operator's way, and the renaming that takes them back."""
+    back = {f"__own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

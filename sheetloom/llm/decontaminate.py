@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, covered, map_text, prefix_sums, slice_hashes, utf8, word_bounds
+from .common import BYTE_CODES, covered, map_text, prefix_sums, slice_hashes, stash, utf8, word_bounds
 
 WINDOW = 10
 MAX_BROADCAST_BYTES = 32 << 20
+#: Passes over the corpus, for a benchmark beyond the bound, that go into one plan.
+PASSES_A_PLAN = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -150,6 +152,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     for b in range(blocks):
         part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         out = _scan_with(out, part, window, [c for c in out.columns if c not in names], prior=b > 0)
+        if b % PASSES_A_PLAN == PASSES_A_PLAN - 1:
+            out = stash(out)
     return out.select(*keep, *(f.name for f in FIELDS))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, map_text, sliced, utf8, word_bounds
+from .common import SLICE_BYTES, map_text, set_aside, sliced, utf8, word_bounds
 
 BUCKETS = 1 << 15
 UNIT_WORDS = 4
@@ -179,5 +179,6 @@ def op6(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is found with a proportion of REJECT_BELOW or more."""
     model = train(docs.where(~is_held_out(F.col("doc_id"))))
-    out = identify(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW)).select(*docs.columns)
+    free, back = set_aside(docs, [f.name for f in FIELDS])
+    out = identify(free, model).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT_BELOW))
+    return out.select(*free.columns).withColumnsRenamed(back)

@@ -131,9 +131,11 @@ def op5(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with a column copy (from 1); words-less documents go."""
+    """The rows of docs, each as often as the mix takes it, with a column copy (from 1; it replaces one of that name)."""
+    keys = ["__mix_h", "__mix_sk", "__mix_nth"]
     own = Window.partitionBy("h", "sk").orderBy("doc_id", "rid")
-    plan = mix(docs, weights, share, cap).select(F.col("doc_id").alias("p_id"), F.col("h").alias("_h"), F.col("sk").alias("_sk"), "copies", F.row_number().over(own).alias("_nth"))
-    keyed = docs.withColumn("_h", F.xxhash64("text")).withColumn("_sk", source_key(F.col("source"))).withColumn("_nth", F.row_number().over(Window.partitionBy("_h", "_sk").orderBy("doc_id")))
-    both = keyed.join(plan, ["_h", "_sk", "_nth"]).where(F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("copies") > 0))
-    return both.select(*(c for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    plan = mix(docs, weights, share, cap).select(F.col("h").alias(keys[0]), F.col("sk").alias(keys[1]), F.row_number().over(own).alias(keys[2]), F.col("copies").alias("__mix_copies"))
+    # Rows of one text and source meet the plan in the order of doc_id; rows alike in all three are interchangeable.
+    keyed = docs.withColumn(keys[0], F.xxhash64("text")).withColumn(keys[1], source_key(F.col("source"))).withColumn(keys[2], F.row_number().over(Window.partitionBy(*keys[:2]).orderBy("doc_id")))
+    both = keyed.join(plan, keys).where("__mix_copies > 0")
+    return both.select(*(c for c in docs.columns if c != "copy"), F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("copy"))
