@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetloom.llm import decontaminate, langid, linededup, mixing, neardup
-from sheetloom.llm.common import stash, table
+from sheetloom.llm.common import set_aside, stash, table
 
 #: A document of which a larger share of words belongs to benchmark items goes; of others the spans go.
 MAX_CONTAMINATED = 0.5
@@ -38,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark items go, and documents that are mostly such spans."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    free, back = set_aside(docs, [f.name for f in decontaminate.FIELDS])
+    out = decontaminate.decontaminate(free, table(spark, sf_dir, "benchmark"))
     kept = out.where(F.col("n_hit") <= MAX_CONTAMINATED * F.col("n_words"))
-    return _measured(kept.select(*(F.col("clean_text").alias("text") if c == "text" else c for c in docs.columns)), docs.columns)
+    return _measured(kept.select(*(F.col("clean_text").alias("text") if c == "text" else c for c in free.columns)).withColumnsRenamed(back), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
