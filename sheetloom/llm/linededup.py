@@ -6,11 +6,11 @@ line goes if an earlier line (by doc_id, then place) has Jaccard similarity of 0
 
 1. Lines with equal token sets collapse to the earliest (partial aggregation, so a hot line is one row a task).
 2. Each distinct set posts the tokens of its prefix, the rarest n - ceil(0.8 n) + 1. Postings meet by token under the
-   length, index-prefix and positional filters, and a parity bitmap of 64 bits bounds the symmetric difference.
-3. A posting is compared first with the earliest of HEADS shares of its token's list. Where one is close by half the
-   allowed difference, that pair alone goes on to verification; the others meet all earlier postings of the token. A
-   list of near copies therefore costs a few pairs a line. Lines that stay although such a shortcut was taken meet all
-   earlier postings in a last pass, so no match is passed over.
+   length, index-prefix and positional filters, and a parity bitmap of 64 bits (256 between long lines) bounds the symmetric difference.
+3. A posting is compared first with the earliest of HEADS shares of its token's list. Where one passes the filters, that
+   pair alone goes on to verification; the others meet all earlier postings of the token. A list of near copies
+   therefore costs a few pairs a line. Lines that stay although such a shortcut was taken meet all earlier postings in a
+   last pass, so no match is passed over.
 4. Pairs are verified on the token sets of the lines, read again from the texts.
 
 Defined results: null text has no lines; rows that repeat a doc_id and text are one document; a null doc_id comes first;
@@ -29,15 +29,22 @@ from .common import stash
 
 RANK_BUCKETS = 1 << 16
 HEADS = 4
+#: Lines with more tokens get the wider bitmap.
+LONG = 48
 #: Probe postings of the last pass up to which they are broadcast (each under 64 bytes); beyond, both sides shuffle.
 BROADCAST_ROWS = 50_000
 
-_SPACE = r"[\x20\x09-\x0D]+"
 _NO_ID = -(1 << 63)
+_COLUMNS = ["d", "id", "n", "p", "bm", "w0", "w1", "w2"]
+
+
+def _tokens(line: Column) -> Column:
+    """Splitting at one blank is far cheaper than at a character class."""
+    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(F.filter(F.split(line, _SPACE), lambda t: t != ""), lambda t: F.xxhash64(t))
+    return F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,8 +54,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def ranks(docs: DataFrame) -> list[int]:
     """Rarity of each hash bucket: the logarithm, in eighths of a bit, of its number of tokens in the corpus."""
-    bucket = F.explode(F.split("text", _SPACE)).alias("t")
-    counts = docs.select(bucket).where("t <> ''").groupBy((F.xxhash64("t").bitwiseAND(F.lit(RANK_BUCKETS - 1))).alias("b")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy((F.xxhash64("t").bitwiseAND(F.lit(RANK_BUCKETS - 1))).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * RANK_BUCKETS
     for row in counts.collect():  # RANK_BUCKETS rows at most
         out[row.b] = min(511, int(8 * math.log2(row.n + 1)))
@@ -56,10 +62,10 @@ def ranks(docs: DataFrame) -> list[int]:
 
 
 def token_sets(lines: DataFrame, rank: list[int]) -> DataFrame:
-    """Adds toks: distinct tokens, rarest first. The rank table is one constant of the plan."""
-    table = F.from_json(F.lit(json.dumps(rank, separators=(",", ":"))), "array<int>")
-    code = lambda x: F.shiftleft(F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(x, 16))
-    return lines.withColumn("toks", F.sort_array(F.transform(F.array_distinct(_hashes(F.col("line"))), code)))
+    """Adds toks: distinct tokens, rarest first. The rank table, ranks in the upper 16 bits, is one constant of the plan."""
+    table = F.from_json(F.lit(json.dumps([r << 48 for r in rank], separators=(",", ":"))), "array<bigint>")
+    code = lambda x: F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 16))
+    return lines.withColumn("toks", F.sort_array(F.transform(_hashes(F.col("line")), code)))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -74,16 +80,19 @@ def _may_match(x: dict[str, Column], y: dict[str, Column]) -> Column:
     length = (5 * F.least(x["n"], y["n"])) >= (4 * F.greatest(x["n"], y["n"]))
     index = lambda s: s["p"] <= s["n"] - F.floor((8 * s["n"] + 8) / 9)
     place = 1 + F.least(x["n"] - x["p"] - 1, y["n"] - y["p"] - 1) >= need
-    bits = F.bit_count(x["bm"].bitwiseXOR(y["bm"])) <= x["n"] + y["n"] - 2 * need
+    part = lambda c: F.bit_count(x[c].bitwiseXOR(y[c]))
+    rest = lambda s: s["bm"].bitwiseXOR(s["w0"]).bitwiseXOR(s["w1"]).bitwiseXOR(s["w2"])
+    wide = part("w0") + part("w1") + part("w2") + F.bit_count(rest(x).bitwiseXOR(rest(y)))
+    bits = F.when((x["n"] > LONG) & (y["n"] > LONG), wide).otherwise(part("bm")) <= x["n"] + y["n"] - 2 * need
     return earlier & length & F.when(x["n"] > y["n"], index(y)).when(x["n"] < y["n"], index(x)).otherwise(index(x) | index(y)) & place & bits
 
 
 def _row(prefix: str = "") -> dict[str, Column]:
-    return {k: F.col(f"{prefix}{k}") for k in ("d", "id", "n", "p", "bm")}
+    return {k: F.col(f"{prefix}{k}") for k in _COLUMNS}
 
 
 def _of(s: Column) -> dict[str, Column]:
-    return {k: s[k] for k in ("d", "id", "n", "p", "bm")}
+    return {k: s[k] for k in _COLUMNS}
 
 
 class _Join:
@@ -91,32 +100,37 @@ class _Join:
         self.docs = docs.select("doc_id", "text")
         self.rank = ranks(self.docs)
         n = F.size("toks")
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        parity = lambda take: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: take(a, x))
+        part = lambda k: F.when(n > LONG, parity(lambda a, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(0).alias(f"w{k}")
         t = token_sets(_lines(self.docs), self.rank).where(n > 0).select(
             "d", "h", "ln", F.monotonically_increasing_id().alias("id"), n.alias("n"),
             F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
-            F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bm"),
-            F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1).alias("prefix"),
+            parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), part(2),
+            # 32 bits are enough to meet by: what meets by chance is verified like the rest.
+            F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: F.call_function("shiftright", F.call_function("shiftleft", x, F.lit(32)), F.lit(32)).cast("int")).alias("prefix"),
         )
         self.lines = stash(t)
-        self.sets = self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "id", "n", "bm", "prefix")).alias("f")).select("f.*")
+        self.sets = stash(self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "id", "n", "bm", "w0", "w1", "w2", "prefix")).alias("f")).select("f.*"))
 
     def postings(self, sets: DataFrame) -> DataFrame:
-        return sets.select("d", "id", "n", "bm", F.posexplode("prefix").alias("p", "token"))
+        out = sets.select("d", "id", "n", "bm", "w0", "w1", "w2", F.posexplode("prefix").alias("p", "token"))
+        # Columns that cannot be null get no null filters, so all uses of the list share one exchange.
+        return out.select(*(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in out.dtypes))
 
     def first_pairs(self) -> DataFrame:
         """(x, y, short): y may match x and is earlier; short: taken in place of the whole list."""
         posted = self.postings(self.sets).repartition("token")
-        head = posted.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("share")).agg(F.min(F.struct("d", "id", "n", "p", "bm")).alias("head"))
+        head = posted.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("share")).agg(F.min(F.struct(*_COLUMNS)).alias("head"))
         heads = head.groupBy("token").agg(F.collect_list("head").alias("heads"), F.count("*").alias("k"))
         me = _row()
-        close = lambda s: _may_match(me, _of(s)) & (2 * F.bit_count(me["bm"].bitwiseXOR(s["bm"])) <= me["n"] + s["n"] - 2 * _need(me["n"], s["n"]))
-        met = posted.join(heads, "token").withColumn("near", F.filter("heads", close)).drop("heads", "k")
+        met = posted.join(heads, "token").withColumn("near", F.filter("heads", lambda s: _may_match(me, _of(s)))).drop("heads", "k")
         short = met.where(F.size("near") > 0).select(F.col("id").alias("x"), F.array_min(F.transform("near", lambda s: F.struct(s["d"], s["id"])))["id"].alias("y"), F.lit(True).alias("short"))
         open_ = met.where(F.size("near") == 0).drop("near")
         return short.unionByName(self._against(open_, posted).withColumn("short", F.lit(False)))
 
     def _against(self, probes: DataFrame, posted: DataFrame, small: bool = False) -> DataFrame:
-        y = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in ("d", "id", "n", "p", "bm")))
+        y = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in _COLUMNS))
         both = y.join(F.broadcast(probes) if small else probes, "token")
         return both.where(_may_match(_row(), _row("y_"))).select(F.col("id").alias("x"), F.col("y_id").alias("y"))
 
@@ -126,13 +140,14 @@ class _Join:
         keyed = self.docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
         cutout = keyed.join(places, ["d", "h"]).select(F.split("text", "\n").alias("all"), "want")
         line = cutout.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), F.get("all", w["ln"]).alias("line")))).alias("w")).select("w.*")
-        return token_sets(line, self.rank).select("id", "toks").dropDuplicates(["id"])
+        return line.select("id", _hashes(F.col("line")).alias("toks")).dropDuplicates(["id"])
 
     def matched(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose sets have similarity 0.8 or more."""
+        pairs = stash(pairs.select("x", "y").distinct())
         toks = stash(self.tokens_of(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()))
         a, b = toks.select(F.col("id").alias("x"), F.col("toks").alias("a")), toks.select(F.col("id").alias("y"), F.col("toks").alias("b"))
-        both = pairs.select("x", "y").distinct().join(a, "x").join(b, "y")
+        both = pairs.join(a, "x").join(b, "y")
         return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("x", "y")
 
 
@@ -164,9 +179,10 @@ def op10(docs: DataFrame) -> DataFrame:
 
 def without_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs with the removed lines cut from text; a document left without words by it goes."""
-    out = removed_lines(docs).withColumnRenamed("d", "_d").withColumnRenamed("h", "_h")
-    keyed = docs.withColumn("_d", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn("_h", F.xxhash64("text"))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    joined = keyed.join(out, ["_d", "_h"], "left").withColumn("_kept", F.when(F.col("removed").isNotNull(), kept))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    return joined.where(F.col("_kept").isNull() | F.exists("_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).select(*(text.alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    keys = ["__line_d", "__line_h"]
+    out = removed_lines(docs).select(F.col("d").alias(keys[0]), F.col("h").alias(keys[1]), F.col("removed").alias("__line_gone"))
+    keyed = docs.withColumn(keys[0], F.coalesce("doc_id", F.lit(_NO_ID))).withColumn(keys[1], F.xxhash64("text"))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__line_gone", i))
+    joined = keyed.join(out, keys, "left").withColumn("__line_kept", F.when(F.col("__line_gone").isNotNull(), kept))
+    text = F.coalesce(F.array_join("__line_kept", "\n"), F.col("text"))
+    return joined.where(F.col("__line_kept").isNull() | F.exists("__line_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).select(*(text.alias("text") if c == "text" else c for c in docs.columns))
