@@ -17,7 +17,8 @@ FORMAT_CODE = r"(\\[fF][^;]*;|\\[HWCTQApX][^;]*;|\\S[^;]*;|\\[LlOoKk]|\\P|\\~|\\
 PLAIN_CODE = r"(%%[cCdDpPuUoO]|%%\d{3})"
 DIMENSION_CODE = r"(%%[cCdDpPuUoO]|%%\d{3}|<>)"
 MARK = r"\u27E6(\d+)\u27E7"
-PROTECTED = r"(?U)^\s*([-+±%.,:/\d\s×xX*#°'\"()\[\]φΦ@=<>~_]|%%[cCdDpPuUoO]|mm|cm|m|kg|kN|MPa|Hz|V|A|W|kW|kVA|Ø|DN|PN|№)+\s*$"
+#: One piece of a string of numbers and units. A repeated group would recurse once a piece, too deep for long lines; %%DN and %%PN are signs before a unit.
+PROTECTED_PIECE = r"(?U)%%(?:[DP]N|[cCdDpPuUoO])|[-+±.,:/\d\s×xX*#°'\"()\[\]φΦ@=<>~_]+|%|mm|cm|m|kg|kN|MPa|Hz|V|A|W|kW|kVA|Ø|DN|PN|№"
 GRID_CODE = r"(?U)^\s*(?:[А-ЯЁ]|[А-ЯЁ]{1,2}\d{1,3})\s*$"
 ELEMENT_MARK = r"(?U)^\s*[А-ЯЁ]{1,3}-?\d+(?:[.,]\d+)*[а-яё*]?\s*$"
 JAPANESE_NAME = r"(?<![\u4E00-\u9FFF])[\u4E00-\u9FFF]{1,3}[ \u3000][\u4E00-\u9FFF]{1,3}(?![\u4E00-\u9FFF])"
@@ -39,10 +40,15 @@ def detect_lang(s: Column) -> Column:
     return F.when(s.rlike(CYRILLIC), "ru").when(s.rlike(JAPANESE), "ja").when(s.rlike("[A-Za-z]"), "en").otherwise("none")
 
 
+def is_protected(s: Column) -> Column:
+    """Made of numbers, signs and units alone."""
+    return (s != "") & (F.regexp_replace(s, PROTECTED_PIECE, "") == "")
+
+
 def is_translatable(kind: Column, plain: Column, lang: Column, sources: list[str]) -> Column:
     """Not blank, no grid code or element mark, not only numbers and units (dimensions are exempt), of a source language."""
     code = plain.rlike(GRID_CODE) | plain.rlike(ELEMENT_MARK)
-    return (strip(plain) != "") & ~code & ((kind == "DIMENSION") | ~plain.rlike(PROTECTED)) & lang.isin(sources)
+    return (strip(plain) != "") & ~code & ((kind == "DIMENSION") | ~is_protected(plain)) & lang.isin(sources)
 
 
 def codes(s: Column, pattern: str = FORMAT_CODE) -> Column:

@@ -241,8 +241,8 @@ _REV = """rv as (select d.doc_id id, source place, substring(text, 1, 30) source
 
 def _review(s, d):
     docs, k = table(s, d, "documents"), F.col("doc_id")
-    seg = docs.select(k.alias("id"), F.col("source").alias("place"), F.array("source").alias("places"), F.substring("text", 1, 30).alias("source"))
-    t = docs.where(k % 3 != 0).select(k.alias("id"), F.substring("text", 1, 20).alias("target"), F.lit(True).alias("ok"), F.when(k % 5 == 0, "from memory").otherwise("").alias("note"))
+    seg = docs.select(k.alias("id"), F.col("source").alias("place"), F.array("source").alias("places"), F.col("text").alias("source"))
+    t = docs.where(k % 3 != 0).select(k.alias("id"), F.col("text").alias("target"), F.lit(True).alias("ok"), F.when(k % 5 == 0, "from memory").otherwise("").alias("note"))
     n = F.col("n_chars")
     f = docs.select(k.alias("id"), F.when(n > 4000, "overflow").when(n > 2000, "tight").otherwise("").alias("flag"), F.lit(1.0).alias("ratio"), F.when(n > 2000, 0.8).otherwise(1.0).alias("suggested_width_factor"))
     r = docs.join(table(s, d, "labels"), "doc_id", "left").select(k.alias("id"), F.when(k % 11 == 0, "edited").alias("text"), (F.col("quality") == 1).alias("approved"), F.when(k % 13 == 0, 0.9).alias("width_factor"))
@@ -389,7 +389,7 @@ def paragraphs(s, d):
 
 
 def _wrapped(s, d):
-    c = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.substring("text", 1, 120).alias("text"))
+    c = table(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return fit.wrap_best(c.select("id", "text", F.array(F.lit(22.0), F.lit(24.0)).alias("caps"), F.array(F.lit(30.0), F.lit(30.0)).alias("caps_max"), F.lit(2).alias("max_lines"), (F.length("text") % 2).alias("spare")))
 
 

@@ -16,9 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """One row a line of a document, its first 40 characters."""
-    cut = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return cut.withColumn("line", F.substring("line", 1, 40)).where(F.length("line") > 0)
+    """One row a line of a document, whole; empty lines go."""
+    return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") > 0)
 
 
 def text_items(docs: DataFrame) -> DataFrame:
