@@ -226,9 +226,9 @@ def memory_misses(s, d):
 
 @query("with mem as (select text source, max(role) target from conversations where conv_id % 2 = 0 and trim(text) <> '' group by text), fresh as (select text source, max(upper(role)) target from conversations where conv_id % 3 = 0 and trim(text) <> '' group by text) select count(*) n from fresh left join mem using (source) where mem.target is distinct from fresh.target")
 def memory_upsert_count(s, d):
-    c = table(s, d, "conversations")
-    mem = translation.learn(s.createDataFrame([], "source string, target string"), c.where("conv_id % 2 = 0").select(F.col("text").alias("source"), F.col("role").alias("target")))
-    return translation.learned_count(mem, c.where("conv_id % 3 = 0").select(F.col("text").alias("source"), F.upper("role").alias("target")))
+    c, known = table(s, d, "conversations"), F.coalesce(F.col("conv_id") % 2 == 0, F.lit(False))
+    mem = translation.learn(s.createDataFrame([], "source string, target string"), c.where(known).select(F.col("text").alias("source"), F.col("role").alias("target")))
+    return translation.learned_count(mem, c.where(~known).select(F.col("text").alias("source"), F.upper("role").alias("target")))
 
 
 # ---------------------------------------------------------------- review

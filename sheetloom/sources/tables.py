@@ -44,9 +44,9 @@ def text_items(docs: DataFrame) -> DataFrame:
 
 
 def rules(lineitem: DataFrame) -> DataFrame:
-    """Vertical rules of the derived drawings: (job_id, place, pos, lo, hi)."""
+    """Vertical rules of the derived drawings, one a row of lineitem: (job_id, place, pos, lo, hi)."""
     k = F.col("l_orderkey")
-    return lineitem.where(k % 50 == 0).select(
+    return lineitem.select(
         F.floor(F.pmod("l_suppkey", F.lit(100)) / 10).cast("long").alias("job_id"),
         F.when(k % 3 == 0, "model").otherwise("other").alias("place"),
         (F.pmod("l_partkey", F.lit(10)) * 40.0 + 30.0 + F.col("l_quantity") / 10.0).cast("double").alias("pos"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import measure as M
 from sheetloom.functions import text as X
 from sheetloom.plans import queries
+from sheetloom.sources import tables
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,3 +48,17 @@ def test_reviewed_and_wrapped_texts_are_whole(spark, tmp_path):
     wrapped = run("greedy_wrap")
     assert [x.lines.replace("|", " ") for x in wrapped] == [text] and wrapped[0].over
     assert [tuple(x) for x in run("fit_histogram")] == [("overflow", 1)]
+
+
+def test_every_row_of_lineitem_is_a_rule(spark):
+    rows = [(k, k % 10, k, 1, 5.0) for k in (1, 2, 3, 50, 51, 99)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    want = sorted((k // 10, "other" if k % 3 else "model", k % 10 * 40.0 + 30.5, -k * 1000.0 - 420.0, -k * 1000.0 - 10.0) for k, *_ in rows)
+    assert sorted(tuple(x) for x in tables.rules(li).collect()) == want
+
+
+def test_every_conversation_is_remembered_or_fresh(spark, tmp_path):
+    rows = [(k, 1, "user", f"text {k}") for k in (1, 2, 3, 4, 5, 7)] + [(None, 1, "user", "no key"), (9, 1, "USER", "same"), (8, 1, "USER", "same"), (11, 1, "user", " ")]
+    write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
+    # New are the texts of 1, 3, 5, 7 and of the row without a key; "same" is known with the same role.
+    assert queries.queries()["memory_upsert_count"](spark, str(tmp_path)).first()[0] == 5
