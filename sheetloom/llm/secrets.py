@@ -2,8 +2,9 @@
 
 A candidate is a rule's value, or a run of token characters of at least MIN_CANDIDATE that mixes character classes with
 high entropy. Hashes of candidates are counted over the corpus by distinct repositories and distinct owners. A value
-that several owners hold is a copied example (documentation, a fixture, a vendored file). A value that one owner holds
-is live-looking, and its spans are added under the kind "live" where no rule's span stands.
+that two owners or more hold, and more than COPIED_SHARE of all owners, is a copied example (documentation, a fixture, a
+vendored file). Any other is live-looking, in however many repositories its owners repeat it, and its spans are added
+under the kind "live" where no rule's span stands.
 
 Shuffles: one aggregation of (hash, owner, repository) to distinct triples with partial aggregation, one of those to
 counts, and one equi-join of candidates (not texts) with the counts, which adaptive execution can split if a hash is
@@ -33,8 +34,8 @@ KINDS = ["assign", "access", "hex", "live"]
 RULES = KINDS[:3]
 MIN_CANDIDATE, MAX_CANDIDATE = 20, 4096
 MIN_ENTROPY = 3.3
-#: A value with this many owners or more is a copied example, and so is one that one owner repeats in more repositories.
-COPIED_OWNERS, COPIED_REPOSITORIES = 2, 25
+#: A value of two owners or more is a copied example if more than this share of all owners hold it.
+COPIED_SHARE = 0.2
 
 # ASCII makes IGNORECASE fold A-Z alone.
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -91,11 +92,12 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame, owner: Column, repository: Column) -> DataFrame:
-    """hash, owners, repositories, copied: distinct owners and repositories of each candidate value in the corpus."""
-    each = found.select(F.explode("found.hash").alias("hash"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository")).distinct()
+    """hash, owners, repositories, copied: distinct owners and repositories of each candidate value in the corpus, all of whose rows are in found."""
+    everyone = found.select(F.coalesce(owner.cast("string"), F.lit("")).alias("owner")).distinct().agg(F.count("*").alias("all_owners"))
+    each = found.where(F.size("found") > 0).select(F.explode("found.hash").alias("hash"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository")).distinct()
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return counts.withColumn("copied", (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") > COPIED_REPOSITORIES))
+    return counts.crossJoin(F.broadcast(everyone)).withColumn("copied", (F.col("owners") >= 2) & (F.col("owners") > COPIED_SHARE * F.col("all_owners"))).drop("all_owners")
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
 
 def _judged(found: DataFrame) -> DataFrame:
     each = found.where(F.size("found") > 0).select(*(c for c in found.columns if c != "found"), F.explode("found").alias("f")).select("*", "f.*").drop("f")
-    return each.join(ownership(found.where(F.size("found") > 0), F.col("_o"), F.col("_r")), "hash", "left")
+    return each.join(ownership(found, F.col("_o"), F.col("_r")), "hash", "left")
 
 
 def op4(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:

@@ -104,6 +104,16 @@ def test_ownership_separates_examples_from_live(spark):
     assert secrets.op4(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_ownership_is_a_share_and_repetition_by_one_owner_stays_live(spark):
+    one, two, wide = "q7Zk29LmXw81RtYv63Bn", "Hs83kdLq02PxWm47ZtRv", "Pw41xbNs96VcTk28LgQz"
+    rows = [(i, f"key {one} here", "o0") for i in range(40)] + [(100, f"same {two} text", "o0"), (101, f"same {two} text", "o1")]
+    rows += [(200 + i, f"see {wide}" if i < 5 else "plain", f"o{i}") for i in range(20)]
+    got = {x.doc_id: x for x in secrets.op4(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_live == 1 for i in range(40))
+    assert got[100].n_live == got[101].n_live == 1
+    assert all(got[200 + i].n_live == 0 and got[200 + i].n_copied == 1 for i in range(5))
+
+
 def test_language(spark):
     r = random.Random(2)
     voc = {"aa": "tha sho ren mik dol", "bb": "que été çon leur bien", "cc": "ung der schö mit groß"}
