@@ -1,7 +1,7 @@
 """Secret scans: fixed rules, and ownership frequency over the whole corpus for what looks random but fits no rule.
 
-A candidate is a rule's value, or a run of token characters of at least MIN_CANDIDATE that mixes character classes with
-high entropy. Hashes of candidates are counted over the corpus by distinct repositories and distinct owners. A value
+A candidate is a rule's value, or a whole run of at least MIN_CANDIDATE token characters, however long, that reads as
+random: pairs of neighbours are weighed under a model of words and one of random characters. Hashes of candidates are counted over the corpus by distinct repositories and distinct owners. A value
 that two owners or more hold, and more than COPIED_SHARE of all owners, is a copied example (documentation, a fixture, a
 vendored file). Any other is live-looking, in however many repositories its owners repeat it, and its spans are added
 under the kind "live" where no rule's span stands.
@@ -32,8 +32,11 @@ from .spans import Span, free
 
 KINDS = ["assign", "access", "hex", "live"]
 RULES = KINDS[:3]
-MIN_CANDIDATE, MAX_CANDIDATE = 20, 4096
-MIN_ENTROPY = 3.3
+MIN_CANDIDATE, MIN_ENTROPY = 20, 3.0
+#: Pairs of letters frequent in English, German, French and Spanish words.
+COMMON_PAIRS = frozenset("th he in er an re ed on es st en at to nt ha nd ou ea ng as or ti is et it ar te se hi of de le la el os al ue ra ci ch ie ei ge un ic be sc ve li au me ne so qu ai ui us em ll om io il ur ro ma ri ta na no da do di lo mi mo pa pe po pr tr ca co ac ad ag am ar av ce ct ec eg em ep ev ey ho ht ig ii im ir iv ke ki kl ko la ld lt ly nc ni nk ns nu ol op ot ow pf pl rd rk rl rm rn rs rt ru sa sh si ss su sp tz tt tu ub uc ud ue ug ul um ut ux ve vi wa we wh wi wo ye ze zu zw ah ab bl bo br bu fa fe fi fo fr ga gi gl go gr gu ja je ju lu mu pu ob eu ba bi cr cl cu dr du ex".split())
+#: Bits for words against randomness of a pair: common letters, other letters, small to capital, letter beside digit.
+COMMON, RARE, RISE, MIXED = 1.6, -2.0, -2.3, -2.4
 #: A value of two owners or more is a copied example if more than this share of all owners hold it.
 COPIED_SHARE = 0.2
 
@@ -41,7 +44,7 @@ COPIED_SHARE = 0.2
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_LOOSE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},{MAX_CANDIDATE}}}(?![A-Za-z0-9+/_=-])")
+_LOOSE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}+")
 
 
 def rule_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -59,15 +62,28 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
+def wordiness(s: str) -> float:
+    """Bits by which the pairs of neighbours in s look like words rather than random characters."""
+    total = 0.0
+    for pair, n in Counter(zip(s, s[1:], strict=False)).items():
+        a, b = pair
+        if a.isalpha() and b.isalpha():
+            total += n * (RISE if a.islower() and b.isupper() else COMMON if (a + b).lower() in COMMON_PAIRS else RARE)
+        elif a.isalnum() and b.isalnum() and a.isdigit() != b.isdigit():
+            total += n * MIXED
+    return total
+
+
+def looks_random(s: str) -> bool:
+    """Pairs unlike those of words; runs with many groups of digits pass whatever their letters are."""
+    if sum(c.isalpha() for c in s) < 4 or (e := entropy(s)) < MIN_ENTROPY:
+        return False
+    return wordiness(s) < 0 or (e >= 3.3 and sum(c.isdigit() for c in s) >= 4 and len(re.findall("[0-9]+", s)) >= 3)
+
+
 def loose_spans(text: str) -> list[tuple[int, int, str]]:
-    """Runs of token characters that look random: digits and letters mixed, entropy of MIN_ENTROPY bits or more."""
-    out = []
-    for m in _LOOSE.finditer(text):
-        s = m[0]
-        letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
-        if letters >= 4 and digits >= 4 and entropy(s) >= MIN_ENTROPY and len(re.findall("[0-9]+", s)) >= 3:
-            out.append((*m.span(), s))
-    return out
+    """Maximal runs of token characters that look random."""
+    return [(*m.span(), m[0]) for m in _LOOSE.finditer(text) if looks_random(m[0])]
 
 
 def _code(value: str) -> int:

@@ -92,6 +92,17 @@ def test_rules_of_secrets_match_the_patterns():
     assert {k for k, *_ in ok} == set(pats)
 
 
+def test_random_tokens_of_any_make_are_candidates():
+    r, small = random.Random(9), "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n in ((small + small.upper() + "0123456789", 20), (small + small.upper() + "0123456789", 32), (small + small.upper(), 24), (small, 24), (small + small.upper() + "0123456789+/", 40)):
+        tokens = ["".join(r.choice(alphabet) for _ in range(n)) for _ in range(1000)]
+        assert sum(bool(secrets.loose_spans(f"x {t} y")) for t in tokens) >= 970, (len(alphabet), n)
+    long = "".join(r.choice(small + small.upper() + "0123456789+/") for _ in range(50_000))
+    assert secrets.loose_spans(f"k {long}==") == [(2, 50_004, long + "==")]
+    words = ["internationalisation", "chpfheitschverheiten", "erlichschereinbelich", "donaudampfschifffahrtsgesellschaft", "the_order_of_the_pages", "src/main/resources/templates", "-" * 40, "0" * 40, "anticonstitutionnellement"]
+    assert [w for w in words if secrets.loose_spans(w)] == []
+
+
 def test_ownership_separates_examples_from_live(spark):
     live, example = "q7Zk29LmXw81RtYv63Bn", "Hs83kdLq02PxWm47ZtRv"
     rows = [(1, f"key {live} here", "a"), (2, f"see {example}", "a"), (3, f"see {example}", "b"), (4, f"token = {live}", None), (5, None, "a"), (6, "", None), (6, "", None)]
