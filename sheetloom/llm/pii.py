@@ -5,7 +5,8 @@ by features of the segment as a unit: digit and group counts, Luhn, quads in ran
 spelled form inside, the words around it. A segment of an entity spans at most MAX_SEGMENT tokens, so the dynamic
 programme that picks boundaries and types jointly is linear in the window. Weights are fitted by gradient ascent on the
 exact conditional likelihood (semi-Markov forward-backward) over windows generated from TEMPLATES with a fixed seed; no
-corpus text goes in. Windows are all regions of a text that a cheap pattern shows to hold enough digits or an at sign.
+corpus text goes in. Windows are all regions of a text, however long, that
+cheap patterns show to hold enough digits or an at sign.
 
 Defined results: null or empty text has no spans; equal rows are judged alike; spans of the field that overlap a span of
 the rules are dropped, so the rules' spans always stand.
@@ -80,8 +81,11 @@ def rule_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- the field
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\S\n]+|.", re.S)
-#: Regions worth decoding: digits in groups, digits in quads, an at sign spelled out between words.
-_REGION = re.compile(r"[(+]?[0-9][0-9()./+\x20-]{6,60}[0-9]|[A-Za-z0-9._%+-]{1,40}\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9.-]{1,40}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,12}){1,3}")
+# Regions worth decoding, whole: digits in groups of any number, and what surrounds an at sign, spelled out or not. All
+# repeats are possessive, so both stay linear; MAX_SEGMENT bounds what is scored inside.
+_NUMBERS = re.compile(r"[(+]?[0-9]++(?:(?:\[\.\]|[()./+\x20-])++[0-9]++)*+")
+_AHEAD = re.compile(r"\x20?[A-Za-z0-9.-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20\.\x20?|(?<=\.)\x20)[A-Za-z0-9.-]++)*+")
+_DOT_WORD = re.compile(r"(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2}")
 _AT = re.compile(r"\(at\)|\[at\]|@")
 _CUES = {"phone": ("phone", "tel", "call", "mobile", "fax", "cell"), "card": ("card", "visa", "credit", "amex"), "ip": ("ip", "host", "server", "address"), "email": ("mail", "email", "contact", "write")}
 _FEATURES = ["bias", "tokens>1", "has_at", "has_dot_word", "plus", "paren_open", "d<7", "d7-9", "d10-11", "d12-13", "d14-19", "d>19", "luhn", "quad", "quad_bad", "groups1", "groups2", "groups3", "groups4", "groups>4", "even4", "sep_space", "sep_dash", "sep_dot", "sep_slash", "letters", "edge_space", "edge_punct", "joined_left", "joined_right", "first3", "year_like", *(f"cue_{k}" for k in KINDS)]
@@ -260,11 +264,30 @@ def weights(count: int = TRAIN_WINDOWS, rounds: int = TRAIN_ROUNDS, seed: int =
     return w
 
 
+def regions(text: str) -> list[tuple[int, int]]:
+    """Maximal parts of the text that may hold entities, in order; parts that overlap are one."""
+    found = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 8]
+    for at in _AT.finditer(text):
+        lo = at.start() - (text[at.start() - 1 : at.start()] == " ")
+        name = lo
+        while lo and text[lo - 1] in _LOCAL_CHARS:
+            lo -= 1
+        m = _AHEAD.match(text, at.end()) if lo < name else None
+        if m and _DOT_WORD.search(text, at.end(), m.end()):
+            found.append((lo, m.end()))
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def field_spans(text: str, w: np.ndarray) -> list[Span]:
     """Spans that the field finds in the regions of the whole text; offsets in code points."""
     out = []
-    for m in _REGION.finditer(text):
-        lo, hi = m.span()
+    for lo, hi in regions(text):
         cuts, segments = _lattice(text, lo, hi)
         if segments:
             out += [(k, cuts[i], cuts[j]) for k, i, j in _decode(len(cuts) - 1, segments, w)]

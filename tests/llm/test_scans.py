@@ -77,6 +77,19 @@ def test_the_field_adds_and_keeps(spark):
     assert masked.masked == "x <phone> or <ip>"
 
 
+def test_regions_are_whole():
+    w = pii.weights()
+    phones = ["555-123-4567", "555-234-5678", "555-345-6789", "555-456-7890", "555-567-8901", "555-678-9012"]
+    text = " ".join(phones)
+    assert [text[a:b] for k, a, b in pii.field_spans(text, w)] == phones
+    assert pii.regions(" ".join(phones * 500)) == [(0, 3000 * 13 - 1)]
+    assert pii.field_spans("host 10[.]20[.]30[.]40 is up", w) == [("ip", 5, 22)]
+    long = "a" * 60 + " (at) " + "b" * 60 + " (dot) com"
+    assert pii.field_spans(f"mail {long} today", w) == [("email", 5, 5 + len(long))]
+    assert pii.regions("1 2 3, x@y and a @ b") == []
+    assert pii.regions("a@b. cc@d.ee") == [(0, 12)]
+
+
 def test_weights_are_the_same_on_every_fit():
     assert (pii.weights.__wrapped__() == pii.weights()).all()
 
