@@ -220,21 +220,30 @@ class _Nodes:
         return rows.groupBy("band", "i", "j").applyInArrow(_links, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_class): one row a row of docs."""
+def _labelled(docs: DataFrame) -> tuple[_Nodes, DataFrame]:
+    """The distinct texts of docs that have words, and (node, h1, h2, first_doc, label): the class of each."""
     n = _Nodes(docs)
     edges = cut(n.star_links())
     labels = components(edges)
     more = cut(n.cross_links(labels))
     if not more.isEmpty():
         labels = components(edges.union(more))
-    named = n.nodes.select("node", "h1", "h2", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return n, n.nodes.select("node", "h1", "h2", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _blank(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_class): one row a row of docs."""
+    n, named = _labelled(docs)
     ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
     of_text = named.join(ids, "label").select("h1", "h2", "class_id", "label")
     with_words = n.rows.join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "label")
     size = with_words.groupBy("label").agg(F.count("*").alias("n_class"))
     out = with_words.join(size, "label").select("doc_id", "class_id", "n_class")
-    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
+    blank = _blank(docs).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
     return out.unionByName(blank)
 
 
@@ -243,7 +252,9 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their class; of repeated rows with that id and text one stays."""
-    first = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each class, by the least doc_id and its text, so null or repeated ids keep no other row; and the rows without words."""
+    _, named = _labelled(docs)
+    least = F.struct(F.col("first_doc").isNull(), "first_doc", "node")
+    first = named.groupBy("label").agg(F.min_by(F.struct("first_doc", "h1", "h2"), least).alias("f")).select(F.col("f.first_doc").alias("_d"), F.col("f.h1").alias("_h1"), F.col("f.h2").alias("_h2"))
+    same = docs["doc_id"].eqNullSafe(first["_d"]) & (F.xxhash64(docs["text"]) == first["_h1"]) & (F.xxhash64(F.lit(7), docs["text"], F.octet_length(docs["text"])) == first["_h2"])
+    return docs.join(first, same, "left_semi").unionByName(_blank(docs)).dropDuplicates(["doc_id", "text"])

@@ -138,3 +138,11 @@ def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in ann.op3(few).collect()] == [(0, 1, 1, 1.0)]
     assert ann.op3(few.limit(0)).count() == 0
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = words("a", 60), words("b", 60), words("c", 60)
+    rows = [(None, a), (None, a), (1, b), (None, b), (2, c), (3, b), (2, b), (4, ""), (None, None)]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter([(None, a), (1, b), (2, c), (4, ""), (None, None)])
