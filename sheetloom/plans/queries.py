@@ -224,7 +224,7 @@ def memory_misses(s, d):
     return translation.misses(seg, m).select("id")
 
 
-@query("with mem as (select text source, max(role) target from conversations where conv_id % 2 = 0 and trim(text) <> '' group by text), fresh as (select text source, max(upper(role)) target from conversations where conv_id % 3 = 0 and trim(text) <> '' group by text) select count(*) n from fresh left join mem using (source) where mem.target is distinct from fresh.target")
+@query("with mem as (select text source, max(role) target from conversations where conv_id % 2 = 0 and trim(text) <> '' group by text), fresh as (select text source, max(upper(role)) target from conversations where conv_id % 2 is distinct from 0 and trim(text) <> '' group by text) select count(*) n from fresh left join mem using (source) where mem.target is distinct from fresh.target")
 def memory_upsert_count(s, d):
     c, known = table(s, d, "conversations"), F.coalesce(F.col("conv_id") % 2 == 0, F.lit(False))
     mem = translation.learn(s.createDataFrame([], "source string, target string"), c.where(known).select(F.col("text").alias("source"), F.col("role").alias("target")))
@@ -234,7 +234,7 @@ def memory_upsert_count(s, d):
 # ---------------------------------------------------------------- review
 
 
-_REV = """rv as (select d.doc_id id, source place, substring(text, 1, 30) source, case when d.doc_id % 11 = 0 then 'edited' when d.doc_id % 3 <> 0 then substring(text, 1, 20) else '' end target,
+_REV = """rv as (select d.doc_id id, source place, text source, case when d.doc_id % 11 = 0 then 'edited' when d.doc_id % 3 <> 0 then text else '' end target,
  coalesce(d.doc_id % 3 <> 0, false) ok, case when d.doc_id % 3 <> 0 and d.doc_id % 5 = 0 then 'from memory' else '' end note, case when n_chars > 4000 then 'overflow' when n_chars > 2000 then 'tight' else '' end fit,
  coalesce(l.quality = 1, false) approved, d.doc_id % 11 = 0 edited, case when d.doc_id % 13 = 0 then 0.9 when n_chars > 2000 then 0.8 else 1.0 end width_factor from documents d left join labels l on d.doc_id = l.doc_id)"""
 

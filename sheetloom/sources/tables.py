@@ -68,7 +68,7 @@ def pricing(spark: SparkSession) -> DataFrame:
 
 #: The same relations in DuckDB, as leading common table expressions.
 TEXT_ITEM_SQL = f"""l0 as (select doc_id, lang, source, string_split(text, chr(10)) a from documents),
-lines as (select doc_id, lang, source, u.pos - 1 as pos, substring(a[u.pos], 1, 40) line from l0, lateral (select unnest(range(1, len(a) + 1)) as pos) u),
+lines as (select doc_id, lang, source, u.pos - 1 as pos, a[u.pos] line from l0, lateral (select unnest(range(1, len(a) + 1)) as pos) u),
 ti0 as (select cast(floor(doc_id / {DOCS_A_JOB}) as bigint) job_id, concat('d', cast(doc_id as varchar), ':', cast(pos as varchar)) handle, doc_id, cast(pos as int) pos,
  case cast(doc_id % 5 as int) when 0 then 'TEXT' when 1 then 'MTEXT' when 2 then 'ATTRIB' when 3 then 'DIMENSION' else 'TEXT' end kind,
  case cast(doc_id % 3 as int) when 0 then 'model' when 1 then concat('paper:', source) else concat('block:', source) end place, source layer,
@@ -81,7 +81,7 @@ ti as (select *, case when regexp_matches(plain, '[\\x{{0400}}-\\x{{04FF}}]') th
 
 RULE_SQL = """rule as (select cast(floor((l_suppkey % 100) / 10) as bigint) job_id, case cast(l_orderkey % 3 as int) when 0 then 'model' else 'other' end place,
  cast((l_partkey % 10) * 40.0 + 30.0 + l_quantity / 10.0 as double) pos, cast(-(l_suppkey % 100) * 1000.0 - (l_linenumber + 5) * 70.0 as double) lo,
- cast(-(l_suppkey % 100) * 1000.0 - l_linenumber * 10.0 as double) hi from lineitem where l_orderkey % 50 = 0)"""
+ cast(-(l_suppkey % 100) * 1000.0 - l_linenumber * 10.0 as double) hi from lineitem)"""
 
 USAGE_SQL = """usage as (select event_id, user_id job_id, ts "at", event_type model, cast(floor(coalesce(value, 0.0) * 100) as bigint) input, cast(floor(floor(coalesce(value, 0.0) * 100) / 4) as bigint) output from events),
 pricing as (select * from (values ('click', 3.0::double, 15.0::double), ('purchase', 15.0::double, 75.0::double), ('default', 1.0::double, 5.0::double)) t(model, p_in, p_out))"""
