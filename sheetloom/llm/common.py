@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only without one (tests) make a local one."""
+    """Use the shared folder named in spark.checkpoint.dir; only in local mode without one (tests) make a local one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -169,9 +173,24 @@ def parts_for(df: DataFrame, floor: int = 1) -> int:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write a table (compressed, columnar) to the shared checkpoint folder and read it back: cuts lineage like cut()."""
+    """Write a table (compressed, columnar) to the shared checkpoint folder and read it back: cuts lineage like cut().
+
+    Shuffle files go when the driver's garbage collector finds their plans unused, so it is asked to look.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete tables of stash() that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            if at.getName().startswith("stash-"):
+                at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,19 +2,23 @@
 
 A line is the set of its distinct tokens (runs outside [\\x20\\x09-\\x0D]), each a 48-bit hash under the rank of its rarity:
 tokens are counted over all documents in RANK_BUCKETS hash buckets, so the table that orders them has a fixed size. A
-line goes if an earlier line (by doc_id, then place) has Jaccard similarity of 0.8 or more with it; a blank line stays.
+line goes if an earlier line (by doc_id, then text hash, then place) has Jaccard similarity of 0.8 or more with it; a
+blank line stays.
 
 1. Lines with equal token sets collapse to the earliest (partial aggregation, so a hot line is one row a task).
 2. Each distinct set posts the tokens of its prefix, the rarest n - ceil(0.8 n) + 1. Postings meet by token under the
    length, index-prefix and positional filters, and a parity bitmap of 64 bits (256 between long lines) bounds the symmetric difference.
-3. A posting is compared first with the earliest of HEADS shares of its token's list. Where one passes the filters, that
-   pair alone goes on to verification; the others meet all earlier postings of the token. A list of near copies
-   therefore costs a few pairs a line. Lines that stay although such a shortcut was taken meet all earlier postings in a
-   last pass, so no match is passed over.
-4. Pairs are verified on the token sets of the lines, read again from the texts.
+3. Lists of up to HOT postings meet as they are, so their pairs grow with the postings alone. Postings of longer lists
+   are set apart and first meet the earliest of each of HEADS shares of their list; a line that passes the filters with
+   one of them meets its whole lists only if verification refuses that pair, every other line does so at once. A list of
+   near copies therefore costs a few pairs a line, and no match is passed over.
+4. Pairs are verified on the 64-bit token sets of the lines, read again from the texts.
+
+A line's key is (d, t): doc_id, and 34 bits of the text's hash over the line's number, the same in every run.
 
 Defined results: null text has no lines; rows that repeat a doc_id and text are one document; a null doc_id comes first;
-equal doc_ids with different texts keep the order of the scan. An empty table gives no rows.
+equal doc_ids with different texts are ordered by their hashes. Empty texts are one blank line; a text of any length is
+read line by line. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,36 +29,69 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_stash, parts_for, stash
 
 RANK_BUCKETS = 1 << 16
 HEADS = 4
+#: Postings of a token up to which all of them meet.
+HOT = 512
 #: Lines with more tokens get the wider bitmap.
-LONG = 48
-#: Probe postings of the last pass up to which they are broadcast (each under 64 bytes); beyond, both sides shuffle.
-BROADCAST_ROWS = 50_000
+LONG = 80
+#: Postings of a shuffle partition, at most about; bounds the hash tables in which lists meet.
+PARTITION_ROWS = 1_000_000
 
 _NO_ID = -(1 << 63)
-_COLUMNS = ["d", "id", "n", "p", "bm", "w0", "w1", "w2"]
+#: Bits of a line's key that count lines.
+_LINE_BITS = 30
+_ROW = ["d", "t", "np", "bm", "w0", "w1", "w2"]
+_PAIR = ["xd", "xt", "yd", "yt"]
 
 
-def _tokens(line: Column) -> Column:
-    """Splitting at one blank is far cheaper than at a character class."""
-    return F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), "")
+def _blanked(text: Column) -> Column:
+    """Other blanks than newlines become spaces; texts without any, nearly all, are not copied."""
+    odd = ["\t", "\x0b", "\x0c", "\r"]
+    found = F.contains(text, F.lit(odd[0]))
+    for c in odd[1:]:
+        found = found | F.contains(text, F.lit(c))
+    return F.when(found, F.translate(text, "".join(odd), "    ")).otherwise(text)
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t)))
+    """Distinct hashes of a blanked line's tokens: splitting at one character is far cheaper than at a class."""
+    return F.array_except(F.transform(F.split(line, " "), lambda t: F.xxhash64(t)), F.array(F.xxhash64(F.lit(""))))
+
+
+def _held(df: DataFrame, **computed: Column) -> DataFrame:
+    """Adds columns that are computed once: what stands behind a generator is not copied into the expressions that use it."""
+    for name, c in computed.items():
+        df = df.withColumn(f"__{name}", c)
+        df = df.select(*(x for x in df.columns if x != f"__{name}"), F.explode(F.array(f"__{name}")).alias(name))
+    return df
+
+
+def _text_key() -> Column:
+    return F.call_function("shiftright", F.xxhash64("text"), F.lit(_LINE_BITS))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _text_key().alias("h"), _blanked(F.col("text")).alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    d = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text").select("d", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return d
+    """(d, t, line)"""
+    rows = _keyed(docs).select("d", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return rows.select("d", F.call_function("shiftleft", F.col("h"), F.lit(_LINE_BITS)).bitwiseOR(F.col("ln").cast("long")).alias("t"), "line")
+
+
+def _places(keys: DataFrame) -> DataFrame:
+    """(d, h, lns) from line keys (d, t)."""
+    at = keys.select("d", F.call_function("shiftright", F.col("t"), F.lit(_LINE_BITS)).alias("h"), F.col("t").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int").alias("ln"))
+    return at.groupBy("d", "h").agg(F.collect_set("ln").alias("lns"))
 
 
 def ranks(docs: DataFrame) -> list[int]:
     """Rarity of each hash bucket: the logarithm, in eighths of a bit, of its number of tokens in the corpus."""
-    counts = docs.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy((F.xxhash64("t").bitwiseAND(F.lit(RANK_BUCKETS - 1))).alias("b")).agg(F.count("*").alias("n"))
+    counts = _lines(docs).select(F.explode(F.split("line", " ")).alias("t")).groupBy((F.xxhash64("t").bitwiseAND(F.lit(RANK_BUCKETS - 1))).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * RANK_BUCKETS
     for row in counts.collect():  # RANK_BUCKETS rows at most
         out[row.b] = min(511, int(8 * math.log2(row.n + 1)))
@@ -62,10 +99,10 @@ def ranks(docs: DataFrame) -> list[int]:
 
 
 def token_sets(lines: DataFrame, rank: list[int]) -> DataFrame:
-    """Adds toks: distinct tokens, rarest first. The rank table, ranks in the upper 16 bits, is one constant of the plan."""
-    table = F.from_json(F.lit(json.dumps([r << 48 for r in rank], separators=(",", ":"))), "array<bigint>")
-    code = lambda x: F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 16))
-    return lines.withColumn("toks", F.sort_array(F.transform(_hashes(F.col("line")), code)))
+    """Adds toks: distinct tokens, rarest first, as ranks over the upper 48 bits of hashes. The ranks are one constant of the plan."""
+    table = F.from_json(F.lit(json.dumps(rank, separators=(",", ":"))), "array<bigint>")
+    code = lambda x: F.coalesce(F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")), F.lit(0).cast("long")) * F.lit(1 << 48) + F.shiftrightunsigned(x, 16)
+    return _held(lines, toks=F.sort_array(F.transform(_hashes(F.col("line")), code)))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -73,26 +110,33 @@ def _need(a: Column, b: Column) -> Column:
     return F.floor((4 * (a + b) + 8) / 9)
 
 
-def _may_match(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """y may be an earlier match of x: order, length, index prefix of the smaller, position, bitmap."""
+def _earlier(y: dict[str, Column], x: dict[str, Column]) -> Column:
+    return (y["d"] < x["d"]) | ((y["d"] == x["d"]) & (y["t"] < x["t"]))
+
+
+def _index(s: dict[str, Column]) -> Column:
+    """The posting is in the shorter prefix by which the smaller of two sets is found."""
+    return s["p"] <= s["n"] - F.floor((8 * s["n"] + 8) / 9)
+
+
+def _near(x: dict[str, Column], y: dict[str, Column], least: Column, most: Column) -> Column:
+    """Filters on sizes (least, most: those of x and y), positions and bitmaps."""
     need = _need(x["n"], y["n"])
-    earlier = (y["d"] < x["d"]) | ((y["d"] == x["d"]) & (y["id"] < x["id"]))
-    length = (5 * F.least(x["n"], y["n"])) >= (4 * F.greatest(x["n"], y["n"]))
-    index = lambda s: s["p"] <= s["n"] - F.floor((8 * s["n"] + 8) / 9)
-    place = 1 + F.least(x["n"] - x["p"] - 1, y["n"] - y["p"] - 1) >= need
     part = lambda c: F.bit_count(x[c].bitwiseXOR(y[c]))
     rest = lambda s: s["bm"].bitwiseXOR(s["w0"]).bitwiseXOR(s["w1"]).bitwiseXOR(s["w2"])
-    wide = part("w0") + part("w1") + part("w2") + F.bit_count(rest(x).bitwiseXOR(rest(y)))
-    bits = F.when((x["n"] > LONG) & (y["n"] > LONG), wide).otherwise(part("bm")) <= x["n"] + y["n"] - 2 * need
-    return earlier & length & F.when(x["n"] > y["n"], index(y)).when(x["n"] < y["n"], index(x)).otherwise(index(x) | index(y)) & place & bits
+    bits = F.when(least > LONG, part("w0") + part("w1") + part("w2") + F.bit_count(rest(x).bitwiseXOR(rest(y)))).otherwise(part("bm"))
+    return (5 * least >= 4 * most) & (1 + F.least(x["n"] - x["p"] - 1, y["n"] - y["p"] - 1) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
 
 
 def _row(prefix: str = "") -> dict[str, Column]:
-    return {k: F.col(f"{prefix}{k}") for k in _COLUMNS}
+    """The columns of a posting; np packs the size n of its set and its place p."""
+    np = F.col(f"{prefix}np")
+    return {k: F.col(f"{prefix}{k}") for k in _ROW} | {"n": F.shiftright(np, 32).cast("int"), "p": np.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")}
 
 
-def _of(s: Column) -> dict[str, Column]:
-    return {k: s[k] for k in _COLUMNS}
+def _solid(df: DataFrame) -> DataFrame:
+    """Columns that cannot be null get no null filters, so all uses of a list share one exchange."""
+    return df.select(*(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in df.dtypes))
 
 
 class _Join:
@@ -102,78 +146,89 @@ class _Join:
         n = F.size("toks")
         bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
         parity = lambda take: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: take(a, x))
-        part = lambda k: F.when(n > LONG, parity(lambda a, x: F.when(F.shiftright(x, 6).bitwiseAND(F.lit(3)) == k, a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(0).alias(f"w{k}")
+        part = lambda k: F.when(n > LONG, parity(lambda a, x: F.when(x.bitwiseAND(F.lit(192)) == 64 * k, a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(F.lit(0).cast("long")).alias(f"w{k}")
+        # 31 bits are enough to meet by: what meets by chance is verified like the rest.
+        prefix = F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
         t = token_sets(_lines(self.docs), self.rank).where(n > 0).select(
-            "d", "h", "ln", F.monotonically_increasing_id().alias("id"), n.alias("n"),
-            F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
-            parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), part(2),
-            # 32 bits are enough to meet by: what meets by chance is verified like the rest.
-            F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: F.call_function("shiftright", F.call_function("shiftleft", x, F.lit(32)), F.lit(32)).cast("int")).alias("prefix"),
+            "d", "t", n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
+            parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), part(2), prefix.alias("prefix"),
         )
         self.lines = stash(t)
-        self.sets = stash(self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "id", "n", "bm", "w0", "w1", "w2", "prefix")).alias("f")).select("f.*"))
-
-    def postings(self, sets: DataFrame) -> DataFrame:
-        out = sets.select("d", "id", "n", "bm", "w0", "w1", "w2", F.posexplode("prefix").alias("p", "token"))
-        # Columns that cannot be null get no null filters, so all uses of the list share one exchange.
-        return out.select(*(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in out.dtypes))
-
-    def first_pairs(self) -> DataFrame:
-        """(x, y, short): y may match x and is earlier; short: taken in place of the whole list."""
-        posted = self.postings(self.sets).repartition("token")
-        head = posted.groupBy("token", F.pmod(F.xxhash64("id"), F.lit(HEADS)).alias("share")).agg(F.min(F.struct(*_COLUMNS)).alias("head"))
-        heads = head.groupBy("token").agg(F.collect_list("head").alias("heads"), F.count("*").alias("k"))
-        me = _row()
-        met = posted.join(heads, "token").withColumn("near", F.filter("heads", lambda s: _may_match(me, _of(s)))).drop("heads", "k")
-        short = met.where(F.size("near") > 0).select(F.col("id").alias("x"), F.array_min(F.transform("near", lambda s: F.struct(s["d"], s["id"])))["id"].alias("y"), F.lit(True).alias("short"))
-        open_ = met.where(F.size("near") == 0).drop("near")
-        return short.unionByName(self._against(open_, posted).withColumn("short", F.lit(False)))
-
-    def _against(self, probes: DataFrame, posted: DataFrame, small: bool = False) -> DataFrame:
-        y = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in _COLUMNS))
-        both = y.join(F.broadcast(probes) if small else probes, "token")
-        return both.where(_may_match(_row(), _row("y_"))).select(F.col("id").alias("x"), F.col("y_id").alias("y"))
-
-    def tokens_of(self, ids: DataFrame) -> DataFrame:
-        """(id, toks) of the lines with these ids, from the texts."""
-        places = self.lines.join(ids, "id").groupBy("d", "h").agg(F.collect_list(F.struct("ln", "id")).alias("want"))
-        keyed = self.docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
-        cutout = keyed.join(places, ["d", "h"]).select(F.split("text", "\n").alias("all"), "want")
-        line = cutout.select(F.explode(F.transform("want", lambda w: F.struct(w["id"].alias("id"), F.get("all", w["ln"]).alias("line")))).alias("w")).select("w.*")
-        return line.select("id", _hashes(F.col("line")).alias("toks")).dropDuplicates(["id"])
+        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "t", "n", "bm", "w0", "w1", "w2", "prefix")).alias("f"), F.count("*").alias("times"))
+        self.sets = stash(first.select("s1", "s2", "times", "f.*"))
+
+    def met(self) -> DataFrame:
+        """Pairs (xd, xt, yd, yt) out of lists of up to HOT postings, token null; and the postings of the other lists, xd null."""
+        rows = self.sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+        posted = self.sets.select("d", "t", "n", "bm", "w0", "w1", "w2", F.posexplode("prefix").alias("p", "token"))
+        posted = _solid(posted.select("token", "d", "t", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1", "w2")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
+        hot = posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token", F.lit(True).alias("hot")).hint("shuffle_hash")
+        listed = posted.join(hot, "token", "left")
+        cold = listed.where("hot is null").drop("hot")
+        # The larger set meets the index prefix of the smaller. The filter names `hot` so that all lists are read from one exchange.
+        found = listed.where(F.when(F.col("hot").isNull(), _index(_row())).otherwise(False)).select("token", *(F.col(k).alias(f"y_{k}") for k in _ROW))
+        x, y = _row(), _row("y_")
+        smaller = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & _earlier(y, x))
+        both = cold.join(found, "token").where(smaller & _near(x, y, y["n"], x["n"]))
+        later = _earlier(y, x)
+        pairs = both.select(*(F.when(later, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("d", "y_d", "xd"), ("t", "y_t", "xt"), ("y_d", "d", "yd"), ("y_t", "t", "yt"))))
+        return stash(pairs.unionByName(listed.where("hot").select("token", *_ROW), allowMissingColumns=True))
+
+    def _against(self, probes: DataFrame, posted: DataFrame) -> DataFrame:
+        """(xd, xt, yd, yt) of the probes and the earlier postings of their tokens that may match."""
+        x, y = _row(), _row("y_")
+        other = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in _ROW))
+        index = F.when(x["n"] > y["n"], _index(y)).when(x["n"] < y["n"], _index(x)).otherwise(_index(x) | _index(y))
+        both = probes.join(other, "token").where(_earlier(y, x) & _near(x, y, F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])) & index)
+        return both.select(F.col("d").alias("xd"), F.col("t").alias("xt"), F.col("y_d").alias("yd"), F.col("y_t").alias("yt"))
+
+    def headed(self, hot: DataFrame) -> DataFrame:
+        """Pairs of hot postings with the earliest of each share of their list."""
+        share = F.pmod(F.xxhash64("d", "t"), F.lit(HEADS))
+        heads = hot.groupBy("token", share.alias("share")).agg(F.min(F.struct(*_ROW)).alias("head")).select("token", "head.*")
+        return self._against(hot, heads)
+
+    def tokens_of(self, keys: DataFrame) -> DataFrame:
+        """(d, t, toks) of the lines with these keys (d, t), from the texts. The places are a table first: where they are few, no text is shuffled."""
+        places = stash(_places(keys))
+        cutout = _held(_keyed(self.docs).join(places, ["d", "h"]).select("d", "h", "text", "lns"), all=F.split("text", "\n"))
+        line = cutout.select("d", "h", F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.get("all", n).alias("line")))).alias("w"))
+        t = F.call_function("shiftleft", F.col("h"), F.lit(_LINE_BITS)).bitwiseOR(F.col("w.ln").cast("long"))
+        return line.select("d", t.alias("t"), _hashes(F.col("w.line")).alias("toks")).dropDuplicates(["d", "t"])
 
     def matched(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose sets have similarity 0.8 or more."""
-        pairs = stash(pairs.select("x", "y").distinct())
-        toks = stash(self.tokens_of(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()))
-        a, b = toks.select(F.col("id").alias("x"), F.col("toks").alias("a")), toks.select(F.col("id").alias("y"), F.col("toks").alias("b"))
-        both = pairs.join(a, "x").join(b, "y")
-        return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("x", "y")
+        """(d, t) of the lines x of which a pair has similarity 0.8 or more."""
+        pairs = stash(pairs.select(*_PAIR).distinct())
+        side = lambda s: pairs.select(F.col(f"{s}d").alias("d"), F.col(f"{s}t").alias("t"))
+        toks = stash(self.tokens_of(side("x").union(side("y")).distinct()))
+        a, b = (toks.select(F.col("d").alias(f"{s}d"), F.col("t").alias(f"{s}t"), F.col("toks").alias(s)) for s in "xy")
+        both = pairs.join(a, ["xd", "xt"]).join(b, ["yd", "yt"]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y")))
+        out = stash(both.select(F.col("xd").alias("d"), F.col("xt").alias("t")).distinct())
+        drop_stash(pairs, toks)
+        return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(d, h, removed): per document with lines to go, their numbers from 0; d is doc_id (null: the least long)."""
+    """(d, h, removed): per document with lines to go, their numbers from 0; d is doc_id (null: the least long), h the key of its text."""
     j = _Join(docs)
-    pairs = stash(j.first_pairs().distinct())
-    gone = stash(j.matched(pairs).select(F.col("x").alias("id")).distinct())
-    again = pairs.where("short").select(F.col("x").alias("id")).distinct().join(gone, "id", "left_anti")
-    again = stash(j.postings(j.sets.join(again, "id", "left_semi")))
-    rows = again.count()
-    if rows:
-        more = stash(j._against(again, j.postings(j.sets), small=rows <= BROADCAST_ROWS).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti"))
-        if not more.isEmpty():
-            gone = gone.union(j.matched(more).select(F.col("x").alias("id"))).distinct()
-    first = j.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "id"))["id"].alias("first"))
-    named = j.lines.select("d", "h", "ln", "id", "s1", "s2").join(first, ["s1", "s2"]).join(gone.withColumnRenamed("id", "g"), F.col("first") == F.col("g"), "left")
-    # Repeated rows of one document put their lines here more than once: the least id of a place speaks for it.
-    spoken = named.groupBy("d", "h", "ln").agg(F.min(F.struct("id", (F.col("g").isNotNull() | (F.col("id") != F.col("first"))).alias("out")))["out"].alias("out"))
-    return spoken.where("out").groupBy("d", "h").agg(F.sort_array(F.collect_list("ln")).alias("removed"))
+    met = j.met()
+    cold, hot = met.where("token is null").select(*_PAIR), met.where("token is not null").select("token", *_ROW)
+    named = lambda pairs: pairs.select(F.col("xd").alias("d"), F.col("xt").alias("t"))
+    short = stash(j.headed(hot).distinct())
+    whole = j._against(hot.join(named(short), ["d", "t"], "left_anti"), hot)
+    gone = j.matched(cold.union(short).union(whole))
+    refused = named(short).distinct().join(gone, ["d", "t"], "left_anti")
+    gone = gone.union(j.matched(j._against(hot.join(refused, ["d", "t"], "left_semi"), hot)))
+    keys = j.sets.join(gone.withColumn("gone", F.lit(True)), ["d", "t"], "left").where("gone or times > 1")
+    keys = keys.select("s1", "s2", F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("gone").isNotNull().alias("gone"))
+    out = j.lines.select("d", "t", "s1", "s2").join(keys, ["s1", "s2"]).where("gone or d <> fd or t <> ft")
+    return _places(out.select("d", "t")).select("d", "h", F.sort_array("lns").alias("removed"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
     out = removed_lines(docs)
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _text_key().alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     return keyed.join(out, ["d", "h"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
@@ -181,8 +236,8 @@ def without_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs with the removed lines cut from text; a document left without words by it goes."""
     keys = ["__line_d", "__line_h"]
     out = removed_lines(docs).select(F.col("d").alias(keys[0]), F.col("h").alias(keys[1]), F.col("removed").alias("__line_gone"))
-    keyed = docs.withColumn(keys[0], F.coalesce("doc_id", F.lit(_NO_ID))).withColumn(keys[1], F.xxhash64("text"))
+    keyed = docs.withColumn(keys[0], F.coalesce("doc_id", F.lit(_NO_ID))).withColumn(keys[1], _text_key())
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__line_gone", i))
-    joined = keyed.join(out, keys, "left").withColumn("__line_kept", F.when(F.col("__line_gone").isNotNull(), kept))
+    joined = _held(keyed.join(out, keys, "left"), __line_kept=F.when(F.col("__line_gone").isNotNull(), kept))
     text = F.coalesce(F.array_join("__line_kept", "\n"), F.col("text"))
     return joined.where(F.col("__line_kept").isNull() | F.exists("__line_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))).select(*(text.alias("text") if c == "text" else c for c in docs.columns))

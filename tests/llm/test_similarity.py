@@ -93,8 +93,9 @@ def test_lines(spark, monkeypatch):
     rows = [(i, "\n".join(edited(r, r.choice(seed), r.randint(0, 3)) for _ in range(r.randint(1, 6)))) for i in range(60)]
     rows += [(60, ""), (61, None), (62, "\n\n \n"), (63, "same\nsame\n\nsame x"), (64, "\t".join(seed[5].split()))]
     want = similar_lines(rows)
-    for heads in (1, 4):
+    for heads, hot in ((4, linededup.HOT), (1, 2), (4, 2), (2, 20)):
         monkeypatch.setattr(linededup, "HEADS", heads)
+        monkeypatch.setattr(linededup, "HOT", hot)
         docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, n_removed int")
         got = {x.doc_id: [int(k) for k in x.removed.split(",") if k] for x in linededup.op10(docs).collect()}
         assert got == {i: want.get(i, []) for i, _ in rows}
@@ -105,7 +106,7 @@ def test_lines(spark, monkeypatch):
 
 
 def test_lines_shuffled_last_pass_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(linededup, "HOT", 1)
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "z")], "doc_id long, text string")
     assert sorted(map(tuple, linededup.op10(docs).select("doc_id", "n_removed").where("doc_id is not null").collect())) == [(1, 0), (1, 0), (2, 1)]
     assert linededup.op10(docs.limit(0)).count() == 0
