@@ -7,7 +7,7 @@ blank line stays.
 
 1. Lines with equal token sets collapse to the earliest (partial aggregation, so a hot line is one row a task).
 2. Each distinct set posts the tokens of its prefix, the rarest n - ceil(0.8 n) + 1. Postings meet by token under the
-   length, index-prefix and positional filters, and a parity bitmap of 64 bits (256 between long lines) bounds the symmetric difference.
+   length, index-prefix and positional filters, and a parity bitmap of 64 bits (192 between long lines) bounds the symmetric difference.
 3. Lists of up to HOT postings meet as they are, so their pairs grow with the postings alone. Postings of longer lists
    are set apart and first meet the earliest of each of HEADS shares of their list; a line that passes the filters with
    one of them meets its whole lists only if verification refuses that pair, every other line does so at once. A list of
@@ -36,14 +36,14 @@ HEADS = 4
 #: Postings of a token up to which all of them meet.
 HOT = 512
 #: Lines with more tokens get the wider bitmap.
-LONG = 80
+LONG = 96
 #: Postings of a shuffle partition, at most about; bounds the hash tables in which lists meet.
 PARTITION_ROWS = 1_000_000
 
 _NO_ID = -(1 << 63)
 #: Bits of a line's key that count lines.
 _LINE_BITS = 30
-_ROW = ["d", "t", "np", "bm", "w0", "w1", "w2"]
+_ROW = ["d", "t", "np", "bm", "w0", "w1"]
 _PAIR = ["xd", "xt", "yd", "yt"]
 
 
@@ -123,8 +123,8 @@ def _near(x: dict[str, Column], y: dict[str, Column], least: Column, most: Colum
     """Filters on sizes (least, most: those of x and y), positions and bitmaps."""
     need = _need(x["n"], y["n"])
     part = lambda c: F.bit_count(x[c].bitwiseXOR(y[c]))
-    rest = lambda s: s["bm"].bitwiseXOR(s["w0"]).bitwiseXOR(s["w1"]).bitwiseXOR(s["w2"])
-    bits = F.when(least > LONG, part("w0") + part("w1") + part("w2") + F.bit_count(rest(x).bitwiseXOR(rest(y)))).otherwise(part("bm"))
+    rest = lambda s: s["bm"].bitwiseXOR(s["w0"]).bitwiseXOR(s["w1"])
+    bits = F.when(least > LONG, part("w0") + part("w1") + F.bit_count(rest(x).bitwiseXOR(rest(y)))).otherwise(part("bm"))
     return (5 * least >= 4 * most) & (1 + F.least(x["n"] - x["p"] - 1, y["n"] - y["p"] - 1) >= need) & (bits <= x["n"] + y["n"] - 2 * need)
 
 
@@ -151,17 +151,17 @@ class _Join:
         prefix = F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
         t = token_sets(_lines(self.docs), self.rank).where(n > 0).select(
             "d", "t", n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
-            parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), part(2), prefix.alias("prefix"),
+            parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), prefix.alias("prefix"),
         )
         self.lines = stash(t)
-        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "t", "n", "bm", "w0", "w1", "w2", "prefix")).alias("f"), F.count("*").alias("times"))
+        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "t", "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
         self.sets = stash(first.select("s1", "s2", "times", "f.*"))
 
     def met(self) -> DataFrame:
         """Pairs (xd, xt, yd, yt) out of lists of up to HOT postings, token null; and the postings of the other lists, xd null."""
         rows = self.sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        posted = self.sets.select("d", "t", "n", "bm", "w0", "w1", "w2", F.posexplode("prefix").alias("p", "token"))
-        posted = _solid(posted.select("token", "d", "t", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1", "w2")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
+        posted = self.sets.select("d", "t", "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
+        posted = _solid(posted.select("token", "d", "t", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
         hot = posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token", F.lit(True).alias("hot")).hint("shuffle_hash")
         listed = posted.join(hot, "token", "left")
         cold = listed.where("hot is null").drop("hot")
@@ -188,19 +188,19 @@ class _Join:
         heads = hot.groupBy("token", share.alias("share")).agg(F.min(F.struct(*_ROW)).alias("head")).select("token", "head.*")
         return self._against(hot, heads)
 
-    def tokens_of(self, keys: DataFrame) -> DataFrame:
-        """(d, t, toks) of the lines with these keys (d, t), from the texts. The places are a table first: where they are few, no text is shuffled."""
-        places = stash(_places(keys))
+    def tokens_of(self, keys: DataFrame, few: bool) -> DataFrame:
+        """(d, t, toks) of the lines with these keys (d, t), from the texts. few: the places are a table first, and if it is small no text is shuffled."""
+        places = stash(_places(keys)) if few else _places(keys).hint("merge")
         cutout = _held(_keyed(self.docs).join(places, ["d", "h"]).select("d", "h", "text", "lns"), all=F.split("text", "\n"))
         line = cutout.select("d", "h", F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.get("all", n).alias("line")))).alias("w"))
         t = F.call_function("shiftleft", F.col("h"), F.lit(_LINE_BITS)).bitwiseOR(F.col("w.ln").cast("long"))
         return line.select("d", t.alias("t"), _hashes(F.col("w.line")).alias("toks")).dropDuplicates(["d", "t"])
 
-    def matched(self, pairs: DataFrame) -> DataFrame:
+    def matched(self, pairs: DataFrame, few: bool = False) -> DataFrame:
         """(d, t) of the lines x of which a pair has similarity 0.8 or more."""
         pairs = stash(pairs.select(*_PAIR).distinct())
         side = lambda s: pairs.select(F.col(f"{s}d").alias("d"), F.col(f"{s}t").alias("t"))
-        toks = stash(self.tokens_of(side("x").union(side("y")).distinct()))
+        toks = stash(self.tokens_of(side("x").union(side("y")).distinct(), few))
         a, b = (toks.select(F.col("d").alias(f"{s}d"), F.col("t").alias(f"{s}t"), F.col("toks").alias(s)) for s in "xy")
         both = pairs.join(a, ["xd", "xt"]).join(b, ["yd", "yt"]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y")))
         out = stash(both.select(F.col("xd").alias("d"), F.col("xt").alias("t")).distinct())
@@ -218,7 +218,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     whole = j._against(hot.join(named(short), ["d", "t"], "left_anti"), hot)
     gone = j.matched(cold.union(short).union(whole))
     refused = named(short).distinct().join(gone, ["d", "t"], "left_anti")
-    gone = gone.union(j.matched(j._against(hot.join(refused, ["d", "t"], "left_semi"), hot)))
+    gone = gone.union(j.matched(j._against(hot.join(refused, ["d", "t"], "left_semi"), hot), few=True))
     keys = j.sets.join(gone.withColumn("gone", F.lit(True)), ["d", "t"], "left").where("gone or times > 1")
     keys = keys.select("s1", "s2", F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("gone").isNotNull().alias("gone"))
     out = j.lines.select("d", "t", "s1", "s2").join(keys, ["s1", "s2"]).where("gone or d <> fd or t <> ft")
