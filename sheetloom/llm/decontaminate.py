@@ -3,9 +3,10 @@
 Every window of N consecutive normalised words of a benchmark item (the whole item, if it is shorter) is hashed into a
 set; training texts are scanned window by window, hits are compared word for word, and covered words are marked.
 
-Path by size: up to MAX_BROADCAST_BYTES of benchmark text (checked before anything is collected) the set is broadcast and
-the corpus is read once without a shuffle. A larger benchmark is hashed to partitions instead: blocks of the item table,
-each about half the bound, are scanned in turn and each pass adds its hits to those before.
+The set is flat arrays: per window its hash, its bytes' place in the normalised items, and its item, under 30 bytes a word
+beside the text itself. Up to MAX_BROADCAST_BYTES of benchmark text (checked before anything is collected), so up to about
+5 times that in memory, it is broadcast and the corpus is read once without a shuffle. A larger benchmark is hashed to
+partitions instead: blocks of the item table, each about half the bound, are scanned in turn and each pass adds its hits.
 
 Defined results: null or word-less text has no words and no hits; a null item has no windows; repeated items count as
 separate item_ids; repeated rows are kept, each judged alone; an empty benchmark leaves every document clean.
@@ -33,37 +34,38 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def _words(text: str) -> list[bytes]:
-    data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    s, e, _ = word_bounds(data, np.array([0, len(data)]), _WORD)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(s, e, strict=True)]
-
-
 class WindowSet:
-    """Windows of benchmark items: sorted hashes with a bitmap in front, and the words behind each for the exact check."""
+    """Windows of benchmark items by length: sorted hashes with a bitmap in front; behind each its bytes and its item."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.by_words: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            words = _words(text or "")
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                self.by_words.setdefault(tuple(words[i : i + n]), set()).add(item_id)
-        self.hashes: dict[int, np.ndarray] = {}
-        self.maps: dict[int, np.ndarray] = {}
-        for n in sorted({len(w) for w in self.by_words}):
-            h = np.unique(np.array([_hash_of(w) for w in self.by_words if len(w) == n], np.uint64))
+        self.item_ids = [i for i, _ in items]
+        raw = [(t or "").encode() for _, t in items]
+        offsets = np.cumsum([0, *map(len, raw)])
+        low = _LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        starts, ends, bounds = word_bounds(low, offsets, _WORD)
+        count = np.diff(bounds)
+        row = np.repeat(np.arange(len(items)), count)
+        # All words of all items, one blank behind each: a window is one stretch of these bytes.
+        self.text = b"".join(low[a:b].tobytes() + b" " for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+        at_byte = np.cumsum(np.concatenate([[0], ends - starts + 1])).astype(np.int64)
+        sums = prefix_sums(slice_hashes(prefix_sums(BYTE_CODES[low]), starts, ends))
+        self.parts: dict[int, tuple[np.ndarray, ...]] = {}
+        size_of = np.minimum(window, count)[row]
+        within = np.arange(len(starts)) - bounds[:-1][row]
+        for n in sorted(set(size_of.tolist())):
+            at = np.flatnonzero((size_of == n) & (within + n <= count[row]))
+            h = slice_hashes(sums, at, at + n)
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
             bits = np.zeros(1 << 20, bool)
             bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.hashes[n], self.maps[n] = h, bits
-
+            self.parts[n] = (bits, h, at_byte[at], at_byte[at + n] - 1, row[at].astype(np.int32))
 
-def _hash_of(words: tuple[bytes, ...]) -> int:
-    raw = b"".join(words)
-    ends = np.cumsum([len(w) for w in words])
-    h = slice_hashes(prefix_sums(BYTE_CODES[np.frombuffer(raw, np.uint8)]), np.concatenate([[0], ends[:-1]]), ends)
-    return int(slice_hashes(prefix_sums(h), np.array([0]), np.array([len(words)]))[0])
+    def items_at(self, n: int, h: int, words: bytes) -> set[str]:
+        """Items with a window of n words that reads `words`, word for word."""
+        _, known, a, b, item = self.parts[n]
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        return {self.item_ids[item[k]] for k in range(lo, hi) if self.text[a[k] : b[k]] == words}
 
 
 def scan(batch: pa.RecordBatch, windows: WindowSet) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, set[str]]]:
@@ -77,15 +79,15 @@ def scan(batch: pa.RecordBatch, windows: WindowSet) -> list[tuple[np.ndarray, np
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     from_, to_ = [], []
     items: dict[int, set[str]] = {}
-    for size, known in windows.hashes.items():
+    for size, (bits, known, *_) in windows.parts.items():
         if n < size:
             continue
         at = np.arange(n - size + 1)
         wh = slice_hashes(sums, at, at + size)
-        at = at[windows.maps[size][(wh >> np.uint64(44)).astype(np.int64)]]
+        at = at[bits[(wh >> np.uint64(44)).astype(np.int64)]]
         at = at[(row[at] == row[at + size - 1]) & np.isin(wh[at], known)]
         for i in at.tolist():
-            got = windows.by_words.get(tuple(raw[a:b] for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist(), strict=True)))
+            got = windows.items_at(size, wh[i], b" ".join(raw[a:b] for a, b in zip(starts[i : i + size].tolist(), ends[i : i + size].tolist(), strict=True)))
             if got:
                 from_.append(i)
                 to_.append(i + size)

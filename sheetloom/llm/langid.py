@@ -2,8 +2,8 @@
 
 A document is a sequence of units of UNIT_WORDS words; each unit comes from one of the learned languages with a
 likelihood given by hashed letter trigrams (with word boundaries). Expectation-maximisation estimates the document's
-language proportions; nested sets of its most likely languages are then compared by likelihood minus half a log(units)
-per free proportion, and the best set is kept. All documents of an Arrow slice run through the iterations at once.
+language proportions; nested sets of its most likely languages, as many as account for half a unit each, are then compared by
+likelihood minus half a log(units) per free proportion, and the best set is kept. All documents of an Arrow slice run through the iterations at once.
 
 Training counts trigrams over every labelled document outside the held-out quarter; partial counts per task, then sums by
 (language, bucket). The model has languages x BUCKETS numbers, whatever the corpus, and only it reaches the driver.
@@ -27,8 +27,8 @@ from .common import SLICE_BYTES, map_text, set_aside, sliced, utf8, word_bounds
 BUCKETS = 1 << 15
 UNIT_WORDS = 4
 EM_STEPS = 12
-#: Nested sets of up to so many languages are compared.
-MAX_SET = 4
+#: A language joins the nested sets that are compared if it accounts for so many of a document's units.
+LEAST_UNITS = 0.5
 SMOOTHING = 0.5
 #: Likelihoods of neighbouring trigrams depend on each other; so much of their sum counts.
 TEMPER = 0.5
@@ -128,14 +128,19 @@ def infer(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     share, _ = _em(like, row, firsts, np.full((len(present), n_lang), 1 / n_lang), EM_STEPS)
     ranked = np.argsort(-share, axis=1, kind="stable")
     units = np.diff(np.append(firsts, len(like)))
+    count = np.maximum(1, (share * units[:, None] >= LEAST_UNITS).sum(axis=1))
     best, chosen = np.full(len(present), -np.inf), np.zeros_like(share)
-    for size in range(1, min(MAX_SET, n_lang) + 1):
-        mask = np.zeros_like(share)
-        np.put_along_axis(mask, ranked[:, :size], 1 / size, axis=1)
-        sub, total = _em(like, row, firsts, mask, EM_STEPS if size > 1 else 0)
-        score = total - 0.5 * (size - 1) * np.log(units)
-        better = score > best
-        best[better], chosen[better] = score[better], sub[better]
+    for size in range(1, int(count.max()) + 1):
+        # Only documents with so many languages go on, with their units alone.
+        wide = np.flatnonzero(count >= size)
+        mine = np.isin(row, wide)
+        local = np.searchsorted(wide, row[mine])
+        mask = np.zeros((len(wide), n_lang))
+        np.put_along_axis(mask, ranked[wide, :size], 1 / size, axis=1)
+        sub, total = _em(like[mine], local, np.searchsorted(local, np.arange(len(wide))), mask, EM_STEPS if size > 1 else 0)
+        score = total - 0.5 * (size - 1) * np.log(units[wide])
+        better = score > best[wide]
+        best[wide[better]], chosen[wide[better]] = score[better], sub[better]
     out[present], known[present] = chosen, True
     return out, known
 

@@ -211,3 +211,122 @@ def test_rates_are_exponential_in_size(spark):
     x = mixing.solve(hist, goals).first()
     took = sum(3 * n * min(2, math.exp(x.lam * n * x.scale)) for n in range(1, 60))
     assert abs(took - 0.7 * total) < 1e-6 * total and x.lam < 0
+
+
+def test_free_spans_equal_the_plain_test_and_stay_linear():
+    import time
+
+    from sheetloom.llm.spans import free, masked
+
+    r = random.Random(12)
+    make = lambda n, most: [("k", a := r.randint(0, most), a + r.randint(1, 9)) for _ in range(n)]
+    for _ in range(300):
+        spans, taken = make(r.randint(0, 12), 60), make(r.randint(0, 12), 60)
+        assert free(spans, taken) == [s for s in spans if all(s[2] <= a or s[1] >= b for _, a, b in taken)]
+    many, began = make(100_000, 10**7), time.time()
+    free(many, many)
+    assert time.time() - began < 5
+    assert masked("ab cd ef", [("x", 0, 2), ("y", 1, 5), ("z", 6, 8)]) == "<x> <z>"
+
+
+def segmentations(n, segments):
+    """Every set of segments without overlap, as lists in order."""
+    if n == 0:
+        yield []
+        return
+    yield from segmentations(n - 1, segments)
+    for s in segments:
+        if s[1] == n:
+            yield from ([*x, s] for x in segmentations(s[0], segments))
+
+
+def test_decoding_finds_the_best_of_all_segmentations():
+    w = pii.weights()
+    for text in ("call 743 555 3824 or 10.0.0.7", "joe@a.de 555-123-4567", "4111 1111 1111 1111 12", "isbn 978-316-1484"):
+        cuts, segments = pii._lattice(text, 0, len(text))
+        n = len(cuts) - 1
+        score = lambda f: max((float(w[k, f].sum()) for k, ok in enumerate(pii._allowed(f)) if ok), default=-1e9)
+        scored = [(i, j, score(f), f) for i, j, f in segments if score(f) > -1e8]
+        best = max(sum(s[2] for s in x) for x in segmentations(n, scored))
+        got = pii._decode(n, segments, w)
+        by = {(i, j): f for i, j, f in segments}
+        assert abs(sum(float(w[pii.KINDS.index(k), by[i, j]].sum()) for k, i, j in got) - best) < 1e-9
+        assert all(a[2] <= b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_precision_and_recall_on_windows_that_were_not_trained_on():
+    w, right, wrong, missed = pii.weights(), 0, 0, 0
+    for text, a, b, kind in pii._training_windows(random.Random(777), 1500):
+        got, want = set(pii.field_spans(text, w)), {(kind, a, b)} if kind != "none" else set()
+        right, wrong, missed = right + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert right >= 0.98 * (right + wrong) and right >= 0.95 * (right + missed)
+    assert pii.field_spans("isbn 978-316-1484", w) == [] and pii.field_spans("order 743-555-3824", w) == []
+
+
+def test_empty_table_of_personal_data(spark):
+    assert pii.op2(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_mixture_inference_against_plain_em():
+    import itertools
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    langs, table = 6, np.log(r.dirichlet(np.full(langid.BUCKETS, 0.05) + 1e-6, 6).T + 1e-9).astype(np.float32)
+    texts = [" ".join("".join(chr(97 + x) for x in r.integers(0, 26, 5)) for _ in range(n)).encode() for n in (3, 8, 25, 60)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got, known = langid.infer(data, offsets, table)
+    assert known.all()
+    for k, t in enumerate(texts):
+        own = np.frombuffer(t, np.uint8)
+        buckets, at, _ = langid._trigrams(own, np.array([0, len(own)]))
+        words = [m.span() for m in re.finditer(rb"[a-z]+", t)]
+        units = [words[i : i + langid.UNIT_WORDS] for i in range(0, len(words), langid.UNIT_WORDS)]
+        like = []
+        for u in units:
+            inside = [b for b, p in zip(buckets, at, strict=True) if u[0][0] <= p < u[-1][1]]
+            ll = [langid.TEMPER * sum(float(table[b, j]) for b in inside) for j in range(langs)]
+            like.append([math.exp(x - max(ll)) for x in ll])
+
+        def em(share, steps):
+            for _ in range(steps):
+                resp = [[p * q / sum(a * b for a, b in zip(row, share, strict=True)) for p, q in zip(row, share, strict=True)] for row in like]
+                share = [sum(x[j] for x in resp) / len(like) for j in range(langs)]
+            return share, sum(math.log(sum(p * q for p, q in zip(row, share, strict=True))) for row in like)
+
+        full, _ = em([1 / langs] * langs, langid.EM_STEPS)
+        order = sorted(range(langs), key=lambda j: -full[j])
+        most = max(1, sum(s * len(like) >= langid.LEAST_UNITS for s in full))
+        tries = []
+        for size in range(1, most + 1):
+            share, total = em([1 / size if j in order[:size] else 0.0 for j in range(langs)], langid.EM_STEPS if size > 1 else 0)
+            tries.append((total - 0.5 * (size - 1) * math.log(len(like)), -size, share))
+        want = max(tries)[2]
+        assert np.allclose(got[k], want, atol=1e-5), k
+
+
+def test_more_than_four_languages_can_be_found():
+    import numpy as np
+
+    letters = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    table = np.full((langid.BUCKETS, 6), -12.0, np.float32)
+    r = random.Random(5)
+    say = lambda j, n: " ".join("".join(r.choice(letters[j]) for _ in range(5)) for _ in range(n))
+    for j in range(6):
+        t = np.frombuffer(say(j, 400).encode(), np.uint8)
+        table[langid._trigrams(t, np.array([0, len(t)]))[0], j] = -2.0
+    text = " ".join(say(j, 40) for j in range(6)).encode()
+    share, _ = langid.infer(np.frombuffer(text, np.uint8), np.array([0, len(text)]), table)
+    assert (share[0] > 0.1).sum() == 6
+
+
+def test_window_set_is_small():
+    import sys
+
+    text = " ".join(f"word{i}" for i in range(100_000))
+    s = decontaminate.WindowSet([("1", text)], 10)
+    held = len(s.text) + sum(x.nbytes for part in s.parts.values() for x in part)
+    assert held + sys.getsizeof(s.item_ids) < 5 * len(text) + (1 << 20)
