@@ -1,14 +1,18 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Index: centroids fitted by size-penalised k-means on at most SAMPLE_ROWS vectors (taken in hash order); every vector is
-posted to its nearest list and, as a boundary vector, to each further list within REPLICA_RATIO of that distance, at
-most REPLICAS lists. Long lists are cut into blocks of at most BLOCK_ROWS, so no task ever holds a whole hot list.
-Search: the centroids near a query come from a best-first walk over an in-memory neighbour graph of centroids; lists
-farther than PROBE_RATIO times the nearest are pruned, once MIN_POSTED vectors are in reach. Each (list, block) is scored
-against its queries in double precision, and per-block tops merge by rank.
+Index: a bounded sample (SAMPLE_ROWS vectors, taken in hash order) is halved again and again, each time at the point that
+gives both halves their share, into one leaf a list; the leaves' means are the centroids. Weights fitted on the sample
+then make lists that are too long dearer until all hold about the same, and stand in the centroids as one coordinate
+more, so nothing else knows of them. Every vector is indexed: posted to its nearest list and, as a boundary vector, to
+further lists within REPLICA_RATIO of that distance, at most REPLICAS, unless a list already taken lies within SPREAD of
+that distance from it and so holds the same neighbourhood. Lists are cut into blocks of at most BLOCK_ROWS, so no task holds a whole hot list.
+Search: lists near a query come from a best-first walk over an in-memory neighbour graph of centroids, and those farther
+than a ratio of the nearest's distance are pruned. The ratio is fitted on the sample: the least that keeps the share
+FIT_RECALL of the true neighbours of FIT_QUERIES sampled vectors among the sample, whose density is at most that of
+the table. Each (list, block) is scored against its queries in double precision, and per-block tops merge by rank.
 
 Equal vectors are indexed once and carry their K + 1 smallest ids, which no top-K can exceed; equal queries are searched
-once. Up to EXACT_ROWS distinct vectors there is one list and the search is exact.
+once. A table of up to LIST_ROWS distinct vectors is one list.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length differs from that of most vectors (ties: the longer). Rows that repeat a vec_id and its vector count once; all
@@ -29,12 +33,11 @@ from pyspark.sql.window import Window
 from .common import cut
 
 K = 10
-SAMPLE_ROWS = 20_000
-LIST_ROWS, MAX_LISTS = 256, 1024
-REPLICAS, REPLICA_RATIO = 8, 1.35
-PROBES, PROBE_RATIO, MIN_POSTED = 32, 1.25, 4000
+SAMPLE_ROWS = 40_000
+LIST_ROWS, MAX_LISTS = 256, 2048
+REPLICAS, REPLICA_RATIO, SPREAD = 3, 1.03, 0.25
+FIT_RECALL, FIT_QUERIES = 0.93, 256
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
-EXACT_ROWS = 2000
 NEIGHBOURS, BEAM = 24, 48
 
 
@@ -42,28 +45,75 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
+def _leaves(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Means of `lists` groups of x of equal size: two-means, cut where both sides get their share of the groups."""
+    out, todo = [], [(np.arange(len(x)), lists)]
+    while todo:
+        at, parts = todo.pop()
+        if parts == 1:
+            out.append(x[at].mean(0))
+            continue
+        mine, left = x[at], parts // 2
+        cut_at = max(1, min(len(at) - 1, len(at) * left // parts))
+        a, b = mine[rng.choice(len(mine), 2, replace=False)]
+        for _ in range(8):
+            order = np.argsort(mine @ (b - a), kind="stable")
+            a, b = mine[order[:cut_at]].mean(0), mine[order[cut_at:]].mean(0)
+        todo += [(at[order[:cut_at]], left), (at[order[cut_at:]], parts - left)]
+    return np.array(out)
+
+
 class CentroidGraph:
-    """Centroids, a graph of each one's nearest others, and a spread of entry points."""
+    """Weighted centroids, a graph of each one's nearest others, a spread of entry points, and the pruning ratio."""
 
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        c = sample[rng.choice(len(sample), lists, replace=False)].astype(np.float64)
-        penalty = np.zeros(lists)
-        for _ in range(12):
-            owner = (_square(sample, c) + penalty).argmin(1)
-            sizes = np.bincount(owner, minlength=lists)
-            for j in np.flatnonzero(sizes):
-                c[j] = sample[owner == j].mean(0)
-            for j in np.flatnonzero(sizes == 0):
-                c[j] = sample[rng.integers(len(sample))]
-            # Lists over their share grow dearer, those under it cheaper.
-            penalty += 0.02 * (_square(sample[:512], c).min(1).mean()) * (sizes * lists / len(sample) - 1)
-            penalty = np.clip(penalty, -0.2, 0.2)
-        self.centroids = c
-        d = _square(c, c)
+        c = _leaves(sample, lists, rng)
+        weight = np.zeros(lists)
+        if lists > 1:
+            d = _square(sample, c)
+            scale = np.partition(d, 1, axis=1)
+            scale = (scale[:, 1] - scale[:, 0]).mean()
+            for k in range(60):
+                sizes = np.bincount((d + weight).argmin(1), minlength=lists)
+                weight += scale * (1 - k / 60) * np.clip(sizes * lists / len(sample) - 1, -1, 1)
+        self.centroids = np.column_stack([c, np.sqrt(weight - weight.min())])
+        d = _square(self.centroids, self.centroids)
+        self.between = np.sqrt(d)
         np.fill_diagonal(d, np.inf)
         self.links = d.argsort(1)[:, : min(NEIGHBOURS, lists - 1)] if lists > 1 else np.zeros((1, 0), np.int64)
         self.entries = rng.choice(lists, min(lists, 32), replace=False)
+        self.ratio, self.reach = self._fitted(sample, rng)
+
+    def _fitted(self, sample: np.ndarray, rng: np.random.Generator) -> tuple[float, int]:
+        """The pruning ratio, and how many lists it lets through at most (with a margin)."""
+        if len(self.centroids) == 1:
+            return 1.0, 1
+        asked = rng.choice(len(sample), min(FIT_QUERIES, len(sample)), replace=False)
+        d = _square(sample[asked], sample)
+        d[np.arange(len(asked)), asked] = np.inf
+        near = np.argsort(d, axis=1)[:, : min(K, len(sample) - 1)]
+        to = np.sqrt(_square(_lifted(sample[asked]), self.centroids))
+        row, ids = self.posted(sample[near.ravel()])
+        ratio = np.full(near.size, np.inf)
+        np.minimum.at(ratio, row, to[row // near.shape[1], ids] / np.maximum(to.min(1), 1e-12)[row // near.shape[1]])
+        ratio = float(np.quantile(ratio, FIT_RECALL)) + 1e-9
+        most = int((to <= to.min(1, keepdims=True) * ratio).sum(1).max())
+        return ratio, min(len(self.centroids), most + most // 4 + 8)
+
+    def posted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the postings of the vectors x."""
+        ids, d = self.nearest(_lifted(x))
+        ids, d = ids[:, : 4 * REPLICAS], d[:, : 4 * REPLICAS]
+        take = np.zeros(ids.shape, bool)
+        take[:, 0] = True
+        for j in range(1, ids.shape[1]):
+            near = (ids[:, j] >= 0) & (d[:, j] <= d[:, 0] * REPLICA_RATIO + 1e-12) & (take.sum(1) < REPLICAS)
+            for i in range(j):
+                near &= ~take[:, i] | (self.between[ids[:, i], ids[:, j]] >= SPREAD * d[:, j])
+            take[:, j] = near
+        row, col = np.nonzero(take)
+        return row, ids[row, col]
 
     def nearest(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Best-first walks of all rows of x side by side: list numbers and distances, nearest first (-1, inf: none)."""
@@ -100,6 +150,11 @@ class CentroidGraph:
         return np.where(np.isfinite(dist), np.take_along_axis(ids, order, 1), -1), np.sqrt(dist)
 
 
+def _lifted(x: np.ndarray) -> np.ndarray:
+    """Vectors in the space of the weighted centroids."""
+    return np.column_stack([x, np.zeros(len(x))])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
@@ -122,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = cut(queries.select("vec_id", "v").distinct().join(points.select("v", "rep"), "v", "left"))
     wanted = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
     n = points.count()
-    lists = 1 if n <= EXACT_ROWS else min(MAX_LISTS, -(-n // LIST_ROWS))
+    lists = min(MAX_LISTS, -(-n // LIST_ROWS))
     sample = points.select("v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS if lists > 1 else 1).toArrow().column("v").combine_chunks()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -132,10 +187,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ids, d = graph.value.nearest(_matrix(part.column("v")))
-                ids, d = ids[:, :REPLICAS], d[:, :REPLICAS]
-                row, col = np.nonzero((ids >= 0) & (d <= d[:, :1] * REPLICA_RATIO + 1e-12))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("rep", "v"))], ["list", "rep", "v"])
+                row, ids = graph.value.posted(_matrix(part.column("v")))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("rep", "v"))], ["list", "rep", "v"])
 
     posted = cut(points.select("rep", "v").mapInArrow(post, "list int, rep long, v array<double>"))
     sizes = {r.list: r.n for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -147,11 +200,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ids, d = graph.value.nearest(_matrix(part.column("v")))
-                ids, d = ids[:, :PROBES], d[:, :PROBES]
+                ids, d = graph.value.nearest(_lifted(_matrix(part.column("v"))), max(BEAM, graph.value.reach))
                 reach = np.cumsum(np.where(ids >= 0, size_of[ids], 0), axis=1)
                 before = np.pad(reach, ((0, 0), (1, 0)))[:, :-1]
-                row, col = np.nonzero((ids >= 0) & ((d <= d[:, :1] * PROBE_RATIO) | (before < MIN_POSTED)))
+                row, col = np.nonzero((ids >= 0) & ((d <= d[:, :1] * graph.value.ratio) | (before < REPLICAS * (k + 2))))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("q", "v"))], ["list", "q", "v"])
 
     probes = cut(wanted.mapInArrow(probe, "list int, q long, v array<double>"))

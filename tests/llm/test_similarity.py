@@ -112,7 +112,8 @@ def test_lines_shuffled_last_pass_and_repeated_rows(spark, monkeypatch):
     assert linededup.op10(docs.limit(0)).count() == 0
 
 
-def test_neighbours_exact_on_small_tables(spark):
+def test_neighbours_exact_in_one_list(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 1000)
     r = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in r.normal(size=8)], 0) for i in range(300)]
     same = rows[5][1]
@@ -124,8 +125,7 @@ def test_neighbours_exact_on_small_tables(spark):
     assert got[key].sort_values(key).values.tolist() == want[key].sort_values(key).values.tolist()
 
 
-def test_recall_of_posting_lists(spark, monkeypatch):
-    monkeypatch.setattr(ann, "EXACT_ROWS", 100)
+def test_recall_of_posting_lists(spark):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=16)]) for i in range(6000)]
     got = ann.op3(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
@@ -135,6 +135,24 @@ def test_recall_of_posting_lists(spark, monkeypatch):
     assert len(want.merge(got, on=["query_id", "vec_id"])) >= 0.9 * len(want)
 
 
+def test_lists_are_balanced_and_pruning_prunes():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(150, 32))
+    x = centres[r.integers(0, 150, 20_000)] + 0.2 * r.normal(size=(20_000, 32))
+    g = ann.CentroidGraph(x[:8000], 78)
+    row, lists = g.posted(x)
+    sizes = np.bincount(lists, minlength=78)
+    assert set(row) == set(range(len(x))) and len(row) <= 2 * len(x) and sizes.max() <= 4 * sizes.mean()
+    asked = r.choice(len(x), 100, replace=False)
+    ids, d = g.nearest(ann._lifted(x[asked]), max(ann.BEAM, g.reach))
+    found, scored = 0, 0
+    for i, q in enumerate(asked):
+        inside = set(row[np.isin(lists, ids[i][(ids[i] >= 0) & (d[i] <= d[i, 0] * g.ratio)])]) - {q}
+        order = np.argsort(((x - x[q]) ** 2).sum(1))[1:11]
+        found, scored = found + len(inside & set(order)), scored + len(inside)
+    assert found >= 900 and scored <= 0.1 * len(x) * len(asked)
+
+
 def test_neighbours_of_few(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in ann.op3(few).collect()] == [(0, 1, 1, 1.0)]
