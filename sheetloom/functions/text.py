@@ -6,6 +6,7 @@ Java's \\s, \\d and \\w are ASCII unless (?U) is set; patterns that must see ful
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ CODEPAGE_SHIFTS = [0x17A, 0x109, 0xFA]
 _BLANKS = "(?U)^\\s+|\\s+$"
 
 
+def bound(f: Callable[..., Column], *cols: Column) -> Column:
+    """f of the columns, each computed once: what stands in a lambda is otherwise computed again for every element."""
+    held = F.array(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cols))))
+    return F.get(F.transform(held, lambda z: f(*(z[f"c{i}"] for i in range(len(cols))))), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     """Trim of all Unicode blanks."""
     return F.regexp_replace(s, _BLANKS, "")
@@ -57,8 +64,10 @@ def codes(s: Column, pattern: str = FORMAT_CODE) -> Column:
 
 def mask(s: Column, pattern: str = FORMAT_CODE) -> Column:
     """The i-th code becomes a numbered marker; codes() has what they stood for."""
-    parts = F.split(s, pattern, -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit("⟦"), (i + 1).cast("string"), F.lit("⟧"))).otherwise(p)), "")
+    def put(parts: Column, last: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i < last, F.concat(p, F.lit("⟦"), (i + 1).cast("string"), F.lit("⟧"))).otherwise(p)), "")
+
+    return bound(lambda parts: bound(put, parts, F.size(parts) - 1), F.split(s, pattern, -1))
 
 
 def marker_ids(s: Column) -> Column:
@@ -67,11 +76,26 @@ def marker_ids(s: Column) -> Column:
 
 def unmask(s: Column, held: Column) -> Column:
     """Each marker is put back once; unknown and repeated ones go; codes that lost theirs go first, closing braces last."""
-    ids, parts = marker_ids(s), F.split(s, MARK, -1)
-    put = F.transform(parts, lambda p, i: F.concat(p, F.when((i < F.size(ids)) & (F.array_position(ids, F.get(ids, i)) == i + 1), F.coalesce(F.get(held, F.get(ids, i) - 1), F.lit(""))).otherwise("")))
-    lost = F.filter(F.transform(held, lambda c, i: F.struct(c.alias("c"), (~F.array_contains(ids, i + 1)).alias("lost"))), lambda z: z["lost"])
-    side = lambda closing: F.array_join(F.transform(F.filter(lost, lambda z: (z["c"] == "}") if closing else (z["c"] != "}")), lambda z: z["c"]), "")
-    return F.concat(side(False), F.array_join(put, ""), side(True))
+    def fill(parts: Column, first: Column, held: Column) -> Column:
+        # first: for every marker its number if it is the first of that number, else 0; the piece before it takes the code.
+        return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(held, F.nullif(F.get(first, i), F.lit(0)) - 1), F.lit("")))), "")
+
+    def whole(ids: Column, parts: Column, held: Column) -> Column:
+        # The least place of each number, by sorting (number, place) once.
+        order = F.array_sort(F.transform(ids, lambda n, i: F.struct(n.alias("n"), i.alias("i"))))
+        heads = bound(lambda o: F.filter(o, lambda z, k: (k == 0) | (F.get(o, k - 1)["n"] != z["n"])), order)
+        at = F.map_from_entries(F.transform(heads, lambda z: F.struct(z["i"], z["n"])))
+        return bound(lambda seen: bound(lambda first: fill(parts, first, held), F.transform(ids, lambda n, i: F.coalesce(F.try_element_at(seen, i), F.lit(0)))), at)
+
+    def lost(held: Column, ids: Column) -> Column:
+        gone = F.array_except(F.transform(held, lambda c, i: i + 1), ids)
+        codes = bound(lambda h, g: F.transform(g, lambda i: F.get(h, i - 1)), held, gone)
+        return F.struct(F.array_join(F.filter(codes, lambda c: c != "}"), "").alias("open"), F.array_join(F.filter(codes, lambda c: c == "}"), "").alias("close"))
+
+    def put(ids: Column, parts: Column, held: Column) -> Column:
+        return bound(lambda sides, text: F.concat(sides["open"], text, sides["close"]), lost(held, ids), whole(ids, parts, held))
+
+    return bound(put, marker_ids(s), F.split(s, MARK, -1), held)
 
 
 def markers_ok(source: Column, target: Column) -> Column:
@@ -102,7 +126,7 @@ def mock_translate(s: Column, lang: str = "EN") -> Column:
     """Every non-blank piece between markers in a pair of tags."""
     parts, marks = F.split(s, MARK, -1), F.regexp_extract_all(s, F.lit(r"(\u27E6\d+\u27E7)"), F.lit(1))
     tag = lambda p: F.when(strip(p) == "", p).otherwise(F.concat(F.lit(f"[{lang}]"), p, F.lit(f"[/{lang}]")))
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(tag(p), F.coalesce(F.get(marks, i), F.lit("")))), "")
+    return bound(lambda ps, ms: F.array_join(F.transform(ps, lambda p, i: F.concat(tag(p), F.coalesce(F.get(ms, i), F.lit("")))), ""), parts, marks)
 
 
 def place_name(place: Column) -> Column:
@@ -179,7 +203,7 @@ def narrow_mtext(raw: Column, factor: Column) -> Column:
     parts, found = F.split(raw, r"\\W[0-9.]+;", -1), F.regexp_extract_all(raw, F.lit(r"\\W([0-9.]+);"), F.lit(1))
     number = lambda v: F.regexp_replace(F.format_string("%.4f", v), r"\.?0+$", "")
     code = lambda v: F.concat(F.lit("\\W"), number(v), F.lit(";"))
-    scaled = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(found), code(F.get(found, i).try_cast("double") * factor)).otherwise(""))), "")
+    scaled = bound(lambda ps, fs, by: F.array_join(F.transform(ps, lambda p, i: F.concat(p, F.when(i < F.size(fs), code(F.get(fs, i).try_cast("double") * by)).otherwise(""))), ""), parts, found, factor)
     return F.when(F.abs(factor - 1) <= 0.01, raw).when(F.size(found) > 0, scaled).otherwise(F.concat(code(factor), raw))
 
 
@@ -188,8 +212,8 @@ def swap_fonts(raw: Column, face: str, fine: list[str]) -> Column:
     pattern = r"\\[fF]([^;|]*)([^;]*;)"
     parts, names, tails = F.split(raw, r"\\[fF][^;]*;", -1), F.regexp_extract_all(raw, F.lit(pattern), F.lit(1)), F.regexp_extract_all(raw, F.lit(pattern), F.lit(2))
     keep = lambda n: F.exists(F.array(*(F.lit(x) for x in fine)), lambda x: F.contains(F.lower(n), F.lower(x)))
-    code = lambda i: F.concat(F.lit("\\f"), F.when(keep(F.get(names, i)), F.get(names, i)).otherwise(face), F.get(tails, i))
-    text = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(code(i), F.lit("")))), "")
+    code = lambda n, tail: F.concat(F.lit("\\f"), F.when(keep(n), n).otherwise(face), tail)
+    text = bound(lambda ps, ns, ts: F.array_join(F.transform(ps, lambda p, i: F.concat(p, F.coalesce(code(F.get(ns, i), F.get(ts, i)), F.lit("")))), ""), parts, names, tails)
     return F.struct(text.alias("text"), F.size(F.filter(names, lambda n: ~keep(n))).alias("swapped"))
 
 
@@ -213,9 +237,18 @@ def repad(source: Column, target: Column) -> Column:
     gap = r"[ \u3000]{3,}"
     heads, new = F.split(source, gap, -1), F.transform(F.split(strip(target), r"[ \u3000]{2,}", -1), strip)
     gaps = F.regexp_extract_all(source, F.lit(f"({gap})"), F.lit(1))
-    at = F.aggregate(F.sequence(F.lit(0), F.size(gaps) - 1), F.array(F.lit(0)), lambda a, i: F.array_append(a, F.element_at(a, -1) + F.length(F.get(heads, i)) + F.length(F.get(gaps, i))))
-    out = F.aggregate(F.transform(new, lambda p, i: F.struct(p.alias("p"), F.get(at, i).alias("at"))), F.lit(""), lambda a, z: F.when(a == "", z["p"]).otherwise(F.concat(a, F.repeat(F.lit(" "), F.greatest(F.lit(1), z["at"] - F.length(a))), z["p"])))
-    return F.when((F.size(gaps) > 0) & (F.size(new) == F.size(gaps) + 1), out).otherwise(target)
+
+    def build(heads: Column, gaps: Column, new: Column) -> Column:
+        # Each part is padded on its own: what it takes up is where it begins less where the one before ended.
+        step = lambda i: F.length(F.get(heads, i - 1)) + F.length(F.get(gaps, i - 1))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        end = F.aggregate(
+            F.sequence(F.lit(0), F.size(new) - 1), start,
+            lambda a, i: bound(lambda at, out, p: F.struct(F.when(i == 0, p).otherwise(F.concat(out, F.repeat(F.lit(" "), F.greatest(F.lit(1), at - F.length(out))), p)).alias("out"), at.alias("at")), F.when(i == 0, 0).otherwise(a["at"] + step(i)), a["out"], F.get(new, i)),
+        )
+        return end["out"]
+
+    return F.when((F.size(gaps) > 0) & (F.size(new) == F.size(gaps) + 1), bound(build, heads, gaps, new)).otherwise(target)
 
 
 def script_runs(s: Column) -> Column:
@@ -242,14 +275,18 @@ def codepage_shift(s: Column) -> Column:
 def decode_shift(s: Column) -> Column:
     """Undoes codepage_shift: code points back by the shift, read as windows-1251."""
     upper = bytes(range(0x80, 0x100)).decode("cp1251", "replace")
+
+    def undone(d: Column, chars: Column) -> Column:
+        moved = lambda c: F.ascii(c) - d
+        return F.transform(chars, lambda c: F.when((F.ascii(c) > 0x7E) & (moved(c) >= 0x80) & (moved(c) <= 0xFF), F.substr(F.lit(upper), moved(c) - 0x7F, F.lit(1))).otherwise(c))
+
     d = codepage_shift(s)
-    moved = lambda c: F.ascii(c) - d
-    chars = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.when((F.ascii(c) > 0x7E) & (moved(c) >= 0x80) & (moved(c) <= 0xFF), F.substr(F.lit(upper), moved(c) - 0x7F, F.lit(1))).otherwise(c))
-    return F.when(d == 0, s).otherwise(F.array_join(chars, ""))
+    return F.when(d == 0, s).otherwise(F.array_join(bound(undone, d, F.filter(F.split(s, ""), lambda c: c != "")), ""))
 
 
 def sanity(s: Column) -> Column:
     """Share of characters that technical text in Latin or Cyrillic would have."""
+    # The characters that count as sane.
     fine = r"[ -~\u0400-\u045F\u00A0\u00B0-\u00B3\u00B9\u00D7\u00F7\u00AB\u00BB\u2013\u2014\u2018\u2019\u201C\u201D\u2026\u2116\u2022\u2032\u2033\u2103\u2205\u00D8\u00F8\u2300]"
     return F.when(F.length(s) == 0, 1.0).otherwise((F.length(s) - F.length(F.regexp_replace(s, fine, ""))) / F.length(s))
 

@@ -7,6 +7,9 @@ table as measure.em_width and are integers of hundredths, so both agree to the l
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,28 +45,43 @@ def greedy(text: str, caps: list[float], factor: float = 1.0, cjk: bool = False)
     return [x for x in lines if x] or [""]
 
 
-def wrap_to(text: str, caps: list[float], most: int, cjk: bool = False) -> tuple[list[str], float, bool]:
-    """(lines, factor, overflow): the widest factor that fits; else the rest folded into the last line at the narrowest."""
-    if not caps or max(caps) <= 0:
-        return greedy(text, [1e9], 1.0, cjk)[:most], 1.0, False
-    for f in FACTORS:
-        lines = greedy(text, caps, f / 100.0, cjk)
-        if len(lines) <= most:
-            return lines, f / 100.0, False
-    rest = ("" if cjk else " ").join(lines[most - 1 :])
-    return [*lines[: most - 1], rest], FACTORS[-1] / 100.0, True
+def folded(lines: list[str], limit: int, cjk: bool) -> list[str]:
+    """Lines beyond the limit become part of the last one."""
+    return lines if len(lines) <= limit else [*lines[: limit - 1], ("" if cjk else " ").join(lines[limit - 1 :])]
+
+
+def settled(text: str, room: list[float], limit: int, cjk: bool = False) -> tuple[bool, int, list[str]]:
+    """(overflow, factor in hundredths, lines) in a room: a list of caps that holds `limit` lines.
+
+    The number of lines never grows as the factor falls, so the widest factor that fits is found by bisection. Where none
+    does, the text overflows at the narrowest.
+    """
+    if max(room, default=0) <= 0:
+        return False, 100, greedy(text, [1e9], 1.0, cjk)[:limit]
+    tried: dict[int, list[str]] = {}
+
+    def fits(k: int) -> bool:
+        tried[k] = greedy(text, room, FACTORS[k] / 100.0, cjk)
+        return len(tried[k]) <= limit
+
+    k = bisect_left(range(len(FACTORS)), True, key=fits)
+    return (False, FACTORS[k], tried[k]) if k < len(FACTORS) else (True, FACTORS[-1], folded(tried[k - 1], limit, cjk))
+
+
+def rooms(text: str, caps: list[float], beside: list[float], most: int, spare: int) -> Iterator[tuple[int, list[float], int]]:
+    """(rank, caps, lines) of the places a text may take, the preferred first; rank 1 counts only where rank 0 overflows."""
+    yield 0, caps, most
+    if spare > 0:
+        yield 0, caps, most + spare
+    if beside and beside != caps:
+        even = M.hundredths(text) / 100.0 / max(most, 1) * 1.05
+        yield 1, [min(wide, max(own, even)) for own, wide in zip(caps, beside, strict=False)], most
 
 
-def best_of(text: str, caps: list[float], caps_max: list[float], most: int, spare: int = 0, cjk: bool = False) -> tuple[list[str], float, bool]:
-    """The column; lines below it, if that is better; then the room beside it, only to keep words from falling off."""
-    better = lambda a, b: a if (a[2], -a[1]) < (b[2], -b[1]) else b
-    out = wrap_to(text, caps, most, cjk)
-    if spare > 0 and (out[2] or out[1] < 0.999):
-        out = better(wrap_to(text, caps, most + spare, cjk), out)
-    if out[2] and caps_max and caps_max != caps:
-        need = M.hundredths(text) / 100.0 / max(most, 1) * 1.05
-        out = better(wrap_to(text, [min(m, max(c, need)) for c, m in zip(caps, caps_max, strict=False)], most, cjk), out)
-    return out
+def best_fit(text: str, caps: list[float], beside: list[float], most: int, spare: int = 0, cjk: bool = False) -> tuple[list[str], float, bool]:
+    """(lines, factor, overflow) of the best room: no overflow, then rank, then the widest factor, then the order of rooms."""
+    over, _, hundredths, _, lines = min(((o, rank, -f, n, x) for n, (rank, room, limit) in enumerate(rooms(text, caps, beside, most, spare)) for o, f, x in [settled(text, room, limit, cjk)]), key=lambda z: z[:4])
+    return lines, -hundredths / 100.0, over
 
 
 def wrap_best(rows: DataFrame, cjk: bool = False) -> DataFrame:
@@ -71,7 +89,7 @@ def wrap_best(rows: DataFrame, cjk: bool = False) -> DataFrame:
 
     @F.pandas_udf(FIT)
     def run(text: pd.Series, caps: pd.Series, caps_max: pd.Series, most: pd.Series, spare: pd.Series) -> pd.DataFrame:
-        out = [best_of(t or "", [float(x or 0) for x in c], [float(x or 0) for x in m], int(n), int(k), cjk) for t, c, m, n, k in zip(text, caps, caps_max, most, spare, strict=True)]
+        out = [best_fit(t or "", [float(x or 0) for x in c], [float(x or 0) for x in m], int(n), int(k), cjk) for t, c, m, n, k in zip(text, caps, caps_max, most, spare, strict=True)]
         return pd.DataFrame(out, columns=["lines", "wf", "over"])
 
     return rows.withColumn("fit", run("text", "caps", "caps_max", "max_lines", "spare"))
@@ -84,8 +102,7 @@ def wrap_at(rows: DataFrame, cjk: bool = False) -> DataFrame:
     def run(text: pd.Series, caps: pd.Series, factor: pd.Series, most: pd.Series) -> pd.Series:
         out = []
         for t, c, f, n in zip(text, caps, factor, most, strict=True):
-            lines = greedy(t or "", [float(x or 0) for x in c], float(f), cjk)
-            out.append(lines if len(lines) <= n else [*lines[: n - 1], ("" if cjk else " ").join(lines[n - 1 :])])
+            out.append(folded(greedy(t or "", [float(x or 0) for x in c], float(f), cjk), n, cjk))
         return pd.Series(out)
 
     return rows.withColumn("forced", run("text", "caps", "width_factor", "max_lines"))

@@ -61,17 +61,17 @@ def test_segments_keep_the_first(spark):
 
 def test_wrapping():
     w = M.hundredths("word") / 100
-    assert fit.wrap_to("word word", [3 * w], 1) == (["word word"], 1.0, False)
-    assert fit.wrap_to("word word", [2 * w], 1)[1] < 1.0
-    assert fit.wrap_to("word word word word", [w], 2) == (["word", "word word word"], 0.6, True)
-    assert fit.wrap_to("x" * 90, [1.0], 1) == (["x" * 90], 1.0, False)
-    assert fit.wrap_to("a b", [0.0], 1) == (["a b"], 1.0, False)
+    assert fit.settled("word word", [3 * w], 1) == (False, 100, ["word word"])
+    assert fit.settled("word word", [2 * w], 1)[1] < 100
+    assert fit.settled("word word word word", [w], 2) == (True, 60, ["word", "word word word"])
+    assert fit.settled("x" * 90, [1.0], 1) == (False, 100, ["x" * 90])
+    assert fit.settled("a b", [0.0], 1) == (False, 100, ["a b"])
     assert fit.greedy("aa bb\ncc", [M.hundredths("aa") / 100, 99.0]) == ["aa", "bb", "cc"]
-    assert fit.best_of("word word word", [w], [w], 1, spare=2)[0] == ["word"] * 3
+    assert fit.best_fit("word word word", [w], [w], 1, spare=2)[0] == ["word"] * 3
     r = random.Random(2)
     for _ in range(200):
         words = ["x" * r.randint(1, 9) for _ in range(r.randint(1, 12))]
-        assert " ".join(fit.wrap_to(" ".join(words), [r.uniform(2, 9)], r.randint(1, 4))[0]).split() == words
+        assert " ".join(fit.settled(" ".join(words), [r.uniform(2, 9)], r.randint(1, 4))[2]).split() == words
 
 
 def test_translator_retries(spark):

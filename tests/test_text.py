@@ -95,3 +95,23 @@ def test_answers(spark):
 def test_widths_agree(spark):
     values = ["", "abc", "図面 ABC", "Привет, Мир!", "ｶﾅ\n(1)[2]", "iljt.,;:"]
     assert many(spark, values, M.em_width) == [M.hundredths(v) / 100.0 for v in values]
+
+
+def test_string_functions_are_linear_in_the_number_of_codes(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sheetloom.functions import text as X
+
+    def took(n):
+        df = spark.createDataFrame([("a<b>" * n,)] * 4, "t string").repartition(4)
+        m = df.select(X.mask(F.col("t"), r"(<[^>]+>)").alias("m"), X.codes(F.col("t"), r"(<[^>]+>)").alias("c"))
+        out = m.select(X.unmask(F.col("m"), F.col("c")).alias("u"), X.mock_translate(F.col("m")).alias("k"))
+        began = time.time()
+        rows = out.collect()
+        assert rows[0].u == "a<b>" * n and rows[0].k.count("⟧") == n
+        return time.time() - began
+
+    took(200)
+    assert took(16_000) < 12 * max(took(4_000), 0.25)
