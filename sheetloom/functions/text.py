@@ -303,3 +303,13 @@ def parse_answers(answer: Column) -> Column:
     flat = F.from_json(body, "map<string,string>")
     pair = lambda e: F.struct(e["key"].alias("id"), F.coalesce(F.get_json_object(e["value"], "$.t"), F.get_json_object(e["value"], "$.text"), e["value"]).alias("target"), F.coalesce(F.get_json_object(e["value"], "$.note"), F.lit("")).alias("note"))
     return F.transform(F.map_entries(flat), pair)
+
+
+def strip_preview_fonts(raw: Column) -> Column:
+    """For drawing: rich text with Japanese in it loses its font codes, so that a font with the glyphs is used."""
+    return F.when(raw.rlike(JAPANESE), F.regexp_replace(raw, r"\\[fF][^;]*;", "")).otherwise(raw)
+
+
+def cache_slug(parts: list[Column]) -> Column:
+    """A file name from the parts of a cache key."""
+    return F.regexp_replace(F.concat_ws("_", *parts), "[^0-9A-Za-z]+", "_")

@@ -2,70 +2,154 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sheetloom.functions import text as X
+from sheetloom.sources.stages import checkpointed
 
 MIN_MEMBERS = 5
+#: Rounds of label propagation; label jumps halve paths, so so many reach across 2**MAX_ROUNDS nodes.
+MAX_ROUNDS = 60
+KEYS = ["job_id", "place"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+def _keys(df: DataFrame) -> list[str]:
+    return [k for k in KEYS if k in df.columns]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes (node): the least node of its component. Least neighbouring labels and label jumps."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"))
-    labels = _cut(nodes.select("node", F.col("node").alias("label")))
-    while True:
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"))
+    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
+    for _ in range(MAX_ROUNDS):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least")).withColumnRenamed("a", "node")
         step = labels.join(near, "node", "left").select("node", "label", F.least("label", "least").alias("new"))
         hop = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        fresh = _cut(step.join(hop, "new", "left").select("node", "label", F.least("new", "up").alias("new")))
+        fresh = checkpointed(step.join(hop, "new", "left").select("node", "label", F.least("new", "up").alias("new")))
         labels = fresh.select("node", F.col("new").alias("label"))
         if fresh.where("new <> label").isEmpty():
             return labels
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
 
+def near_pairs(points: DataFrame, gap: Column | float) -> DataFrame:
+    """(a, b) of points (job_id, place, node, px, py; the keys if there) no farther apart than gap on either axis, once a pair, through a 3 x 3 ring of cells.
 
-def near_pairs(points: DataFrame, gap: float) -> DataFrame:
-    """(a, b) of points (node, px, py) no farther apart than gap on either axis, once a pair, through a 3 x 3 ring of cells."""
-    cell = points.withColumn("cx", F.floor(F.col("px") / gap).cast("long")).withColumn("cy", F.floor(F.col("py") / gap).cast("long"))
+    gap is a number, or a column that is the same for all points of a job and place.
+    """
+    keys = _keys(points)
+    gap = gap if isinstance(gap, Column) else F.lit(float(gap))
+    cell = points.withColumn("gap", gap).withColumn("cx", F.floor(F.col("px") / F.col("gap")).cast("long")).withColumn("cy", F.floor(F.col("py") / F.col("gap")).cast("long"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    a = cell.withColumn("d", around).select("node", "px", "py", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    b = cell.select(F.col("node").alias("other"), F.col("px").alias("ox"), F.col("py").alias("oy"), "cx", "cy")
-    near = (F.col("node") < F.col("other")) & (F.abs(F.col("px") - F.col("ox")) <= gap) & (F.abs(F.col("py") - F.col("oy")) <= gap)
-    return a.join(b, ["cx", "cy"]).where(near).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    a = cell.withColumn("d", around).select(*keys, "node", "px", "py", "gap", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
+    b = cell.select(*keys, F.col("node").alias("other"), F.col("px").alias("ox"), F.col("py").alias("oy"), "cx", "cy")
+    near = (F.col("node") < F.col("other")) & (F.abs(F.col("px") - F.col("ox")) <= F.col("gap")) & (F.abs(F.col("py") - F.col("oy")) <= F.col("gap"))
+    return a.join(b, [*keys, "cx", "cy"]).where(near).select(F.col("node").alias("a"), F.col("other").alias("b"))
 
 
-def clusters(points: DataFrame, gap: float) -> DataFrame:
-    """points with the label of their cluster. Points at one place collapse first."""
-    at = points.groupBy("px", "py").agg(F.min("node").alias("node"))
-    labels = components(at.select("node"), near_pairs(at, gap))
-    return points.join(at.join(labels, "node").select("px", "py", "label"), ["px", "py"])
+def clusters(points: DataFrame, gap: Column | float, links: DataFrame | None = None) -> DataFrame:
+    """points with the label of their cluster, inside a job and place; node is unique over all. Points at one place collapse first.
+
+    links (a, b): nodes that belong together whatever their distance.
+    """
+    keys = _keys(points)
+    extra = [c for c in ("gap",) if c in points.columns]
+    at = points.groupBy(*keys, "px", "py").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in extra))
+    pairs = near_pairs(at, gap)
+    if links is not None:
+        heads = points.join(at.withColumnRenamed("node", "head"), [*keys, "px", "py"]).select("node", "head")
+        ends = links.join(heads.select(F.col("node").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("node").alias("b"), F.col("head").alias("hb")), "b")
+        pairs = pairs.union(ends.where("ha <> hb").select("ha", "hb"))
+    labels = components(at.select("node"), pairs)
+    return points.join(at.join(labels, "node").select(*keys, "px", "py", "label"), [*keys, "px", "py"])
 
 
 def cluster_boxes(clustered: DataFrame, least: int = MIN_MEMBERS) -> DataFrame:
-    out = clustered.groupBy("label").agg(F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"), F.count("*").alias("n"))
+    out = clustered.groupBy(*_keys(clustered), "label").agg(F.min("px").alias("x0"), F.min("py").alias("y0"), F.max("px").alias("x1"), F.max("py").alias("y1"), F.count("*").alias("n"))
     return out.where(F.col("n") >= least).withColumnRenamed("label", "box")
 
 
 def merge_boxes(boxes: DataFrame) -> DataFrame:
-    """Overlapping boxes become one, until none overlap."""
-    while True:
-        boxes = _cut(boxes.select("box", "x0", "y0", "x1", "y1", "n"))
-        o = boxes.select(*(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
+    """Overlapping boxes of a job and place become one, until none overlap: each round at least halves what overlaps."""
+    keys = _keys(boxes)
+    for _ in range(MAX_ROUNDS):
+        boxes = checkpointed(boxes.select(*keys, "box", "x0", "y0", "x1", "y1", "n"))
+        # Boxes meet in the cells of a grid as wide as the mean box, in which a box stands in about four.
+        side = boxes.groupBy(*keys).agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("size"))
+        sized = boxes.join(side, keys) if keys else boxes.join(F.broadcast(side), F.lit(True))  # one row
+        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long")))
+        a = sized.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1")).drop("size", "n")
+        o = a.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
         hit = (F.col("box") < F.col("o_box")) & (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1"))
-        pairs = boxes.join(o, hit).select(F.col("box").alias("a"), F.col("o_box").alias("b"))
+        pairs = checkpointed(a.join(o, [*keys, "cx", "cy"]).where(hit).select(F.col("box").alias("a"), F.col("o_box").alias("b")).distinct())
         if pairs.isEmpty():
             return boxes
         labels = components(boxes.select(F.col("box").alias("node")), pairs)
-        boxes = boxes.join(labels, boxes["box"] == labels["node"]).groupBy("label").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n")).withColumnRenamed("label", "box")
+        boxes = boxes.join(labels, boxes["box"] == labels["node"]).groupBy(*keys, "label").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n")).withColumnRenamed("label", "box")
+    raise RuntimeError(f"boxes did not settle in {MAX_ROUNDS} rounds")
+
+
+def sheet_gap(items: DataFrame, extent: DataFrame) -> DataFrame:
+    """(job_id, place, gap): how far apart texts of one sheet may stand: 25 upper-median heights, or 1.5 % of the trimmed extent if that is more."""
+    ranked = items.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy("height"))).withColumn("size", F.count("*").over(Window.partitionBy(*KEYS)))
+    h = ranked.groupBy(*KEYS).agg(F.max(F.when(F.col("nth") == F.floor(F.col("size") / 2) + 1, F.col("height"))).alias("h"))
+    return h.join(extent, KEYS).select(*KEYS, F.greatest(25 * F.col("h"), 0.015 * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("gap"))
+
+
+def text_extent(items: DataFrame, trim: float = 0.02, padding: float = 0.0) -> DataFrame:
+    """(job_id, place, x0, y0, x1, y1): where texts stand, the outermost share `trim` at each end left out; padding in shares of the extent."""
+    out = None
+    for axis in ("x", "y"):
+        w = Window.partitionBy(*KEYS).orderBy(axis, "handle")
+        r = items.select(*KEYS, axis, F.row_number().over(w).alias("nth"), F.count("*").over(Window.partitionBy(*KEYS)).alias("n"))
+        lo, hi = F.least(F.floor(F.col("n") * trim) + 1, F.col("n")), F.greatest(F.floor(F.col("n") * (1 - trim)), F.lit(1))
+        ends = r.groupBy(*KEYS).agg(F.max(F.when(F.col("nth") == lo, F.col(axis))).alias(f"{axis}0"), F.max(F.when(F.col("nth") == hi, F.col(axis))).alias(f"{axis}1"))
+        pad = padding * (F.col(f"{axis}1") - F.col(f"{axis}0"))
+        ends = ends.select(*KEYS, (F.col(f"{axis}0") - pad).alias(f"{axis}0"), (F.col(f"{axis}1") + pad).alias(f"{axis}1"))
+        out = ends if out is None else out.join(ends, KEYS)
+    return out.select(*KEYS, "x0", "y0", "x1", "y1")
+
+
+def frame_gap(vertices: DataFrame, min_size: float) -> DataFrame:
+    """(job_id, place, gap): half the least frame, or 1 % of the span of all vertices if that is more."""
+    g = vertices.groupBy(*KEYS).agg(F.greatest(F.max("px") - F.min("px"), F.max("py") - F.min("py")).alias("span"))
+    return g.select(*KEYS, F.greatest(F.lit(0.5 * min_size), 0.01 * F.col("span")).alias("gap"))
+
+
+def frames_by_layer(vertices: DataFrame, min_size: float = 5000.0) -> DataFrame:
+    """(job_id, place, box, x0, y0, x1, y1, n) of frames drawn as lines: vertices (job_id, place, entity, node, px, py) on frame layers.
+
+    Vertices of an entity belong together, and those that are near each other; components of min_size both ways are frames.
+    """
+    first = vertices.groupBy("job_id", "entity").agg(F.min("node").alias("a"))
+    links = vertices.join(first, ["job_id", "entity"]).where("a <> node").select("a", F.col("node").alias("b"))
+    gapped = vertices.join(frame_gap(vertices, min_size), KEYS)
+    boxes = cluster_boxes(clusters(gapped, F.col("gap"), links), 1)
+    return boxes.where((F.col("x1") - F.col("x0") >= min_size) & (F.col("y1") - F.col("y0") >= min_size))
+
+
+def on_frame_layer(layer: Column) -> Column:
+    return F.exists(F.array(*(F.lit(w) for w in X.FRAME_WORDS)), lambda w: F.contains(F.lower(layer), w))
+
+
+def grown(boxes: DataFrame, gaps: DataFrame, margin: float = 0.3) -> DataFrame:
+    """Boxes with `margin` of their size on every side, but no farther than half-way to the neighbour there (gaps: spatial.side_gaps)."""
+    keys = [*_keys(boxes), "box"]
+    g = boxes.join(gaps, [k for k in keys if k in gaps.columns], "left")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    room = lambda side, size: F.least(margin * size, F.coalesce(F.col(side) / 2, margin * size))
+    return g.select(*keys, (F.col("x0") - room("left", w)).alias("x0"), (F.col("y0") - room("below", h)).alias("y0"), (F.col("x1") + room("right", w)).alias("x1"), (F.col("y1") + room("above", h)).alias("y1"), "n")
 
 
 def reading_order(boxes: DataFrame, row: float) -> DataFrame:
     """Boxes in rows from the top, then by their left side."""
     return boxes.orderBy(F.desc(F.floor(F.col("y1") / row)), "x0")
+
+
+def named_order(boxes: DataFrame, row: float) -> DataFrame:
+    """Adds nth, the reading order within a job: sheets with a number (A-2 before A-10) by it, then the others in rows from the top."""
+    prefix, digits = F.regexp_extract("number", r"^([A-Z]+)-(\d+)$", 1), F.regexp_extract("number", r"^([A-Z]+)-(\d+)$", 2).try_cast("int")
+    w = Window.partitionBy("job_id").orderBy(digits.isNull(), prefix, digits, F.desc(F.floor(F.col("y1") / row)), "x0", "box")
+    return boxes.withColumn("nth", F.row_number().over(w))

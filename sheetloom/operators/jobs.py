@@ -65,6 +65,38 @@ def trash(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where("deleted_at is not null").withColumn("deleted_days_ago", age).where(F.col("deleted_days_ago") <= TRASH_DAYS)
 
 
+def purged(jobs: DataFrame, now: Column) -> DataFrame:
+    """Deleted jobs whose time in the trash is over."""
+    return jobs.where((F.unix_timestamp(now) - F.unix_timestamp("deleted_at")) / 86400.0 > TRASH_DAYS)
+
+
+def restored(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs with those of `ids` taken out of the trash."""
+    back = jobs.join(ids.select("id", F.lit(True).alias("back")).distinct(), "id", "left")
+    return back.withColumn("deleted_at", F.when(F.col("back"), None).otherwise(F.col("deleted_at"))).select(*jobs.columns)
+
+
+def upload_type(name: Column, head: Column) -> Column:
+    """dwg, dxf or pdf by the name's ending, if the first bytes agree; else null."""
+    low, start = F.lower(name), F.decode(F.substring(head, 1, 64), "ISO-8859-1")
+    return F.when(low.endswith(".dwg") & start.startswith("AC10"), "dwg").when(low.endswith(".dxf") & start.rlike(r"^\s*0\s+SECTION|^AutoCAD Binary"), "dxf").when(low.endswith(".pdf") & start.startswith("%PDF-"), "pdf")
+
+
+def download(made: Column) -> Column:
+    """The format to hand out of those that were made."""
+    return F.when(F.array_contains(made, "dwg"), "dwg").when(F.array_contains(made, "dxf"), "dxf").when(F.array_contains(made, "pdf"), "pdf")
+
+
+def stage_timing(log: DataFrame) -> DataFrame:
+    """(stage, runs, seconds): from a stage's first entry in the log to its last."""
+    return log.groupBy("stage").agg(F.count("*").alias("runs"), (F.unix_micros(F.max(F.col("at")).cast("timestamp")) - F.unix_micros(F.min(F.col("at")).cast("timestamp"))).cast("double").alias("us")).select("stage", "runs", (F.col("us") / 1e6).alias("seconds"))
+
+
+def with_text(worst: DataFrame, segments: DataFrame) -> DataFrame:
+    """The tightest segments with their source texts."""
+    return worst.join(segments.select("id", "source"), "id", "left")
+
+
 def listing(jobs: DataFrame, run_state: DataFrame) -> DataFrame:
     return jobs.join(run_state, "id", "left").withColumn("state", F.coalesce("state", F.lit("idle"))).orderBy(F.desc("id"))
 
@@ -81,5 +113,5 @@ def diagnostics(stages: DataFrame, fit_histogram: DataFrame, worst: DataFrame) -
     return (
         stages.select(F.lit("stage").alias("section"), F.concat_ws(" ", "name", "seconds").alias("line"))
         .unionByName(fit_histogram.select(F.lit("fit").alias("section"), F.concat_ws(": ", "flag", F.col("n").cast("string")).alias("line")))
-        .unionByName(worst.select(F.lit("worst").alias("section"), F.concat_ws(" ", "id", "flag").alias("line")))
+        .unionByName(worst.select(F.lit("worst").alias("section"), F.concat_ws(" ", "id", "flag", *(["source"] if "source" in worst.columns else [])).alias("line")))
     )

@@ -26,18 +26,24 @@ def placed(items: DataFrame) -> DataFrame:
     return out.withColumn("l", M.left_edge(F.col("x"), F.col("ax"), F.col("w"), F.col("halign"))).withColumn("r", F.col("l") + F.col("w"))
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
+#: Cells that a wide side is spelled out into; what spans more meets its whole place.
+MAX_CELLS = 64
+
+
+def _cells(lo: Column, hi: Column, size: Column | float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size).cast("long"), F.floor(hi / size).cast("long")))
 
 
-def _height(items: DataFrame) -> float:
-    return items.agg(F.max("height")).first()[0] or 1.0
+def _sizes(items: DataFrame, times: float) -> DataFrame:
+    """(job_id, place, size): cell sizes from the tallest text of a place, so one odd text widens the cells of its place alone."""
+    return items.groupBy(*KEYS).agg((F.max("height") * times).alias("size"))
 
 
 def neighbours(items: DataFrame) -> DataFrame:
     """(job_id, place, handle, gap_r, gap_l): distance to the nearest text on the same row, from edge to edge; null: none in reach."""
     p = placed(items).where((F.col("height") > 0) & F.col("kind").isin(MEASURED))
-    size = 3 * _height(p)
+    p = p.join(_sizes(p, 3.0), KEYS)
+    size = F.col("size")
     a = p.where(M.is_flat(F.col("rotation"), F.col("vertical"))).select(*KEYS, "handle", "y", F.col("height").alias("h"), "l", "r", F.greatest(6 * F.col("w"), 60 * F.col("height")).alias("reach"), _cells(F.col("y") - size, F.col("y") + size, size).alias("cell"))
     b = p.where(M.is_flat(F.col("rotation"), F.lit(False))).select(*KEYS, F.col("handle").alias("o"), F.col("y").alias("oy"), F.col("height").alias("oh"), F.col("l").alias("ol"), F.col("r").alias("o_r"), F.floor(F.col("y") / size).cast("long").alias("cell"))
     dy = F.abs(F.col("oy") - F.col("y"))
@@ -50,12 +56,14 @@ def neighbours(items: DataFrame) -> DataFrame:
 def wall_gaps(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(job_id, place, handle, crosses, wall_r, wall_l): rules through the text, and the nearest beside it where none is."""
     p = placed(items).where((F.col("height") > 0) & F.col("kind").isin(MEASURED) & M.is_flat(F.col("rotation"), F.col("vertical")))
-    size = 20 * _height(p)
-    h = F.col("height")
-    a = p.select(*KEYS, "handle", "l", "r", h.alias("h"), (F.col("y") - 0.2 * h).alias("base"), (F.col("y") + 1.2 * h).alias("top"), F.greatest(6 * F.col("w"), 60 * h).alias("reach"), _cells(F.col("y") - 0.2 * h, F.col("y") + 1.2 * h, size).alias("cell"))
-    b = rules.select(*KEYS, "pos", "lo", "hi", _cells(F.col("lo"), F.col("hi"), size).alias("cell"))
+    sizes = _sizes(p, 20.0)
+    h, size = F.col("height"), F.col("size")
+    a = p.join(sizes, KEYS).select(*KEYS, "handle", "l", "r", h.alias("h"), (F.col("y") - 0.2 * h).alias("base"), (F.col("y") + 1.2 * h).alias("top"), F.greatest(6 * F.col("w"), 60 * h).alias("reach"), "size")
+    b = rules.select(*KEYS, "pos", "lo", "hi").join(sizes, KEYS).withColumn("far", (F.col("hi") - F.col("lo")) / size > MAX_CELLS)
     inner, outer = F.col("l") + 0.3 * F.col("h"), F.col("r") - 0.3 * F.col("h")
-    met = a.join(b, [*KEYS, "cell"]).where((F.col("lo") <= F.col("top")) & (F.col("hi") >= F.col("base")))
+    near = a.withColumn("cell", _cells(F.col("base"), F.col("top"), size)).drop("size").join(b.where("not far").withColumn("cell", _cells(F.col("lo"), F.col("hi"), size)).drop("size", "far"), [*KEYS, "cell"]).drop("cell")
+    whole = a.drop("size").join(b.where("far").drop("size", "far"), KEYS)
+    met = near.unionByName(whole).where((F.col("lo") <= F.col("top")) & (F.col("hi") >= F.col("base")))
     beside = lambda ok, d: F.min(F.when(ok & (d <= F.col("reach")), d))
     pos = F.col("pos")
     out = met.groupBy(*KEYS, "handle").agg(F.max((pos >= inner) & (pos < outer)).alias("crosses"), beside(pos >= outer, pos - F.col("l")).alias("wall_r"), beside(pos < inner, F.col("r") - pos).alias("wall_l"))
@@ -84,28 +92,39 @@ def room_below(items: DataFrame, floors: DataFrame | None = None, cell: float =
     return met.groupBy(*KEYS, "handle").agg(F.greatest(F.min(F.col("y") - (F.col("oy") + F.col("oh"))), F.lit(0.0)).alias("clear"))
 
 
+def _jobs(df: DataFrame) -> list[str]:
+    return ["job_id"] if "job_id" in df.columns else []
+
+
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """points (px, py, …) with the boxes (box, x0, y0, x1, y1) that hold them, through cells of the mean box size."""
-    size = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
-    b = boxes.withColumn("cx", _cells(F.col("x0"), F.col("x1"), size)).withColumn("cy", _cells(F.col("y0"), F.col("y1"), size))
-    a = points.withColumn("cx", F.floor(F.col("px") / size).cast("long")).withColumn("cy", F.floor(F.col("py") / size).cast("long"))
-    return a.join(b, ["cx", "cy"]).where((F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))).drop("cx", "cy")
+    """points (px, py, …) with the boxes (box, x0, y0, x1, y1) of their job that hold them, through cells of the job's mean box size."""
+    keys = _jobs(boxes)
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    size = boxes.groupBy(*keys).agg(F.greatest(F.avg(side), F.lit(1e-9)).alias("size"))
+    sized = lambda df: df.join(size, keys) if keys else df.join(F.broadcast(size), F.lit(True))  # noqa: E731  one row
+    b = sized(boxes).withColumn("cx", _cells(F.col("x0"), F.col("x1"), F.col("size"))).withColumn("cy", _cells(F.col("y0"), F.col("y1"), F.col("size"))).drop("size")
+    a = sized(points).withColumn("cx", F.floor(F.col("px") / F.col("size")).cast("long")).withColumn("cy", F.floor(F.col("py") / F.col("size")).cast("long")).drop("size")
+    return a.join(b, [*keys, "cx", "cy"]).where((F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))).drop("cx", "cy")
 
 
 def sheet_numbers(items: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box, number): the text shaped like a sheet number that lies farthest to the lower right; ties to the earlier."""
     from sheetloom.functions.text import SHEET_NUMBER
 
-    found = items.where(F.col("plain").rlike(SHEET_NUMBER)).select(F.col("x").alias("px"), F.col("y").alias("py"), "ord", F.concat(F.regexp_extract("plain", SHEET_NUMBER, 1), F.lit("-"), F.regexp_extract("plain", SHEET_NUMBER, 2)).alias("number"))
+    found = items.where(F.col("plain").rlike(SHEET_NUMBER)).select(*_jobs(boxes), F.col("x").alias("px"), F.col("y").alias("py"), "ord", F.concat(F.regexp_extract("plain", SHEET_NUMBER, 1), F.lit("-"), F.regexp_extract("plain", SHEET_NUMBER, 2)).alias("number"))
     score = (F.col("px") - F.col("x0")) / (F.col("x1") - F.col("x0")) - (F.col("py") - F.col("y0")) / (F.col("y1") - F.col("y0"))
-    return in_boxes(found, boxes).groupBy("box").agg(F.max_by("number", F.struct(score, -F.col("ord"))).alias("number"))
+    return in_boxes(found, boxes).groupBy(*_jobs(boxes), "box").agg(F.max_by("number", F.struct(score, -F.col("ord"))).alias("number"))
 
 
 def side_gaps(boxes: DataFrame) -> DataFrame:
     """(box, right, left, above, below): distance to the nearest box that overlaps on the other axis; null: none."""
-    o = boxes.select(*(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
+    keys = _jobs(boxes)
+    o = boxes.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
     beside = (F.col("o_y0") < F.col("y1")) & (F.col("o_y1") > F.col("y0"))
     stacked = (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
     gap = lambda ok, d: F.min(F.when(ok & (d >= 0), d))
-    met = boxes.join(o, (F.col("box") != F.col("o_box")) & (beside | stacked), "left")
-    return met.groupBy("box").agg(gap(beside, F.col("o_x0") - F.col("x1")).alias("right"), gap(beside, F.col("x0") - F.col("o_x1")).alias("left"), gap(stacked, F.col("o_y0") - F.col("y1")).alias("above"), gap(stacked, F.col("y0") - F.col("o_y1")).alias("below"))
+    # The sheets of one job meet each other: a drawing has few.
+    met = (boxes.join(o, keys) if keys else boxes.join(o, F.lit(True))).where(F.col("box") != F.col("o_box"))
+    met = met.select(*keys, "box", "x0", "y0", "x1", "y1", "o_x0", "o_y0", "o_x1", "o_y1").where(beside | stacked)
+    alone = boxes.select(*keys, "box").join(met, [*keys, "box"], "left")
+    return alone.groupBy(*keys, "box").agg(gap(beside, F.col("o_x0") - F.col("x1")).alias("right"), gap(beside, F.col("x0") - F.col("o_x1")).alias("left"), gap(stacked, F.col("o_y0") - F.col("y1")).alias("above"), gap(stacked, F.col("y0") - F.col("o_y1")).alias("below"))

@@ -97,14 +97,35 @@ def within_budget(source: str, target: str, budget: str) -> Column:
 
 
 def shorten(rows: DataFrame, shorter: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS) -> DataFrame:
-    """At most `attempts` passes over rows (id, source, target, budget) still over budget; shorter gives (id, target)."""
-    done, left = [], rows
+    """(id, target, shortened) of all rows (id, source, target, budget): at most `attempts` passes of those over budget.
+
+    shorter gives (id, target). An answer within budget is taken; a row that none brings there keeps the target it had.
+    """
+    fine = within_budget("source", "target", "budget")
+    done, left = [rows.where(fine).select("id", "target", F.lit(False).alias("shortened"))], rows.where(~fine)
     for _ in range(attempts):
-        left = left.drop("target").join(shorter(left), "id")
-        good = within_budget("source", "target", "budget")
-        done.append(left.where(good))
-        left = left.where(~good)
-    return reduce(DataFrame.unionByName, done)
+        tried = left.join(shorter(left).select("id", F.col("target").alias("new")), "id", "left")
+        good = F.coalesce(within_budget("source", "new", "budget"), F.lit(False))
+        done.append(tried.where(good).select("id", F.col("new").alias("target"), F.lit(True).alias("shortened")))
+        left = tried.where(~good).drop("new")
+    return reduce(DataFrame.unionByName, [*done, left.select("id", "target", F.lit(False).alias("shortened"))])
+
+
+def payload(id: str, text: str, *optional: str) -> Column:
+    """One request per segment as JSON; optional fields appear only where they are set."""
+    return F.to_json(F.struct(F.col(id).alias("id"), F.col(text).alias("text"), *optional))
+
+
+def counters(answers: DataFrame) -> DataFrame:
+    """One row (ok, from_memory, shortened, attention) of answers (id, ok, note, shortened)."""
+    return answers.agg(F.count_if("ok").alias("ok"), F.count_if(F.col("note") == "from memory").alias("from_memory"), F.count_if("shortened").alias("shortened"), F.count_if(~F.col("ok")).alias("attention"))
+
+
+def progress(batched: DataFrame, done: DataFrame) -> DataFrame:
+    """(job_id, batch, seen): answers at hand after each batch of a job, what memory gave first. done: (job_id, n) from memory."""
+    sizes = batched.groupBy("job_id", "batch").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("job_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return sizes.join(done.select("job_id", F.col("n").alias("held")), "job_id", "left").select("job_id", "batch", (F.sum("n").over(w) + F.coalesce("held", F.lit(0))).alias("seen"))
 
 
 def batches(segments: DataFrame, order: str, size: int = BATCH) -> DataFrame:

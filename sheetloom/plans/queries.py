@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,25 +13,12 @@ from sheetloom.sources.tables import table
 from sheetloom.streaming import spend
 
 from . import pipeline
-
-Query = Callable[[SparkSession, str], DataFrame]
-_Q: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, Query, query
 
 TAG = r"(<[^>]+>)"
 TI, RULE, USAGE = S.TEXT_ITEM_SQL, S.RULE_SQL, S.USAGE_SQL
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def _ti(s: SparkSession, d: str) -> DataFrame:
     return S.text_items(table(s, d, "documents"))
 
@@ -511,8 +496,11 @@ def job_listing(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_Q)
+    from . import drawing_queries  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
