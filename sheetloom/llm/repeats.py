@@ -188,6 +188,9 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     return whole.union(more).union(some).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
-    """doc_id, text, spans (null: none): one row a row of docs."""
-    return _keyed(docs).join(repeated_spans(docs, tokens), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+def with_spans(docs: DataFrame, tokens: Tokens, also: Tokens | None = None) -> DataFrame:
+    """doc_id, text, spans (null: none), and spans of `also` as more: one row a row of docs."""
+    out = _keyed(docs).join(repeated_spans(docs, tokens), ["k1", "k2"], "left")
+    if also is not None:
+        out = out.join(repeated_spans(docs, also).withColumnRenamed("spans", "more"), ["k1", "k2"], "left")
+    return out.select("doc_id", "text", "spans", *(["more"] if also is not None else []))

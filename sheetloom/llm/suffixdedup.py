@@ -8,13 +8,16 @@ which yields order and common prefixes at once. A context's window that begins d
 too, if some suffix under a trie node of depth LENGTH - d or more is preceded by the same d bytes: node by node, members
 are put in the order of what precedes them and neighbours compared.
 
+A second pass with SHORT bytes marks shorter passages that repeat, of some forty words, without removing them: n_short
+counts the bytes they cover. It is the same search with another length.
+
 Defined results: null text is empty; a text shorter than LENGTH keeps all its bytes; repeated rows are repeats of each
 other. Texts are their UTF-8 bytes; the operator that returns text drops what is left of a cut character.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from .repeats import Context, Tokens, with_spans
 
 LENGTH = 400
 GRAM = 200
+#: Length of strings whose repeats are counted only, and the gram that anchors them.
+SHORT, SHORT_GRAM = 256, 64
 SHALLOW = 32
 
 
@@ -161,8 +166,9 @@ TOKENS = Tokens(
     resolve=resolve,
     hashes=lambda data: BYTE_CODES[np.frombuffer(data, np.uint8)],
 )
+SHORT_TOKENS = replace(TOKENS, window=SHORT, gram=SHORT_GRAM, resolve=lambda shard: resolve(shard, SHORT))
 
-FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())]
+FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("n_short", T.LongType()), T.StructField("kept", T.StringType())]
 
 
 def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -171,11 +177,11 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in FIELDS}
         data, offsets = utf8(batch.column("text"))
-        for k, spans in enumerate(batch.column("spans").to_pylist()):
+        for k, (spans, more) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("more").to_pylist(), strict=True)):
             own = data[offsets[k] : offsets[k + 1]]
-            gone = np.zeros(len(own), bool)
-            if spans:
-                gone = covered(len(own), np.array([s["a"] for s in spans]), np.array([s["b"] for s in spans]))
+            mask = lambda xs, n=len(own): covered(n, np.array([s["a"] for s in xs]), np.array([s["b"] for s in xs])) if xs else np.zeros(n, bool)
+            gone = mask(spans)
+            out["n_short"].append(int(mask(more).sum()))
             rest = own[~gone].tobytes()
             out["n_bytes"].append(len(own))
             out["n_removed"].append(int(gone.sum()))
@@ -184,7 +190,7 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
             out["kept"].append(rest.decode(errors="ignore") if keep_text else None)
         return out
 
-    return map_text(with_spans(docs, TOKENS), kernel, FIELDS, ["doc_id"])
+    return map_text(with_spans(docs, TOKENS, SHORT_TOKENS), kernel, FIELDS, ["doc_id"])
 
 
 def op1(docs: DataFrame) -> DataFrame:

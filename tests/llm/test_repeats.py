@@ -51,9 +51,9 @@ def test_suffix_dedup_is_exact(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
     rows = corpus(1)
     data = [list((t or "").encode()) for _, t, _, _ in rows]
-    want = Counter((i, len(b), sum(g), runs(g), hashlib.sha256(bytes(x for x, z in zip(b, g, strict=True) if not z)).hexdigest()) for (i, *_), b, g in zip(rows, data, brute(data, 400), strict=True))
+    want = Counter((i, len(b), sum(g), runs(g), hashlib.sha256(bytes(x for x, z in zip(b, g, strict=True) if not z)).hexdigest(), sum(m)) for (i, *_), b, g, m in zip(rows, data, brute(data, 400), brute(data, 256), strict=True))
     got = suffixdedup.op1(spark.createDataFrame(rows, SCHEMA))
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_short"]
     assert Counter(map(tuple, got.collect())) == want
 
 
