@@ -14,6 +14,7 @@ from sheetloom.streaming import spend
 
 from . import pipeline
 from .registry import QUERIES, SQL, Query, query
+from .wrap_sql import wrap_sql
 
 TAG = r"(<[^>]+>)"
 TI, RULE, USAGE = S.TEXT_ITEM_SQL, S.RULE_SQL, S.USAGE_SQL
@@ -378,12 +379,15 @@ def _wrapped(s, d):
     return fit.wrap_best(c.select("id", "text", F.array(F.lit(22.0), F.lit(24.0)).alias("caps"), F.array(F.lit(30.0), F.lit(30.0)).alias("caps_max"), F.lit(2).alias("max_lines"), (F.length("text") % 2).alias("spare")))
 
 
-@query()
+_WRAPPED = f"""with recursive cv as (select conv_id || ':' || turn id, text txt, [22.0::double, 24.0] caps, [30.0::double, 30.0] beside, 2 most, length(text) % 2 spare from conversations), {wrap_sql('cv')}"""
+
+
+@query(f"{_WRAPPED} select f.id, coalesce((select string_agg(line, '|' order by n) from w_lines l where l.id = f.id), '') \"lines\", f.f wf, ovr \"over\" from w_fit f")
 def greedy_wrap(s, d):
     return _wrapped(s, d).select("id", F.array_join("fit.lines", "|").alias("lines"), "fit.wf", "fit.over")
 
 
-@query()
+@query(f"{_WRAPPED} select case when ovr then 'overflow' when f < 0.85 then 'tight' when f < 1.0 then 'long' else 'ok' end flag, count(*) n from w_fit group by 1")
 def fit_histogram(s, d):
     return fit.histogram(_wrapped(s, d).select(fit.flag(F.col("fit.over"), F.col("fit.wf")).alias("flag")))
 
@@ -393,12 +397,21 @@ def _run(s, d):
     return pipeline.run_all(_ord(_ti(s, d)), _rules(s, d), none)
 
 
-@query()
+_CLEAR = "clr as (select a.handle, greatest(min(a.y - (b.y + b.height)), 0.0) clear from it a join it b on a.job_id = b.job_id and a.place = b.place and a.handle <> b.handle and b.y < a.y - 1e-9 and b.x < a.x + a.own_w and b.x + b.own_w > a.x where a.own_w > 0 group by 1)"
+_INST = f"""with recursive {_AV}, {_SEG[len(TI) + 2 :]}, {_CLEAR},
+inst as (select seg.job_id || '-' || seg.id id, it.handle, it.kind, it.y, it.height, plain, case when avail is not null then greatest(avail * 0.93 / (height * 1.0), {M.em_width_sql('plain')}) else {M.em_width_sql('plain')} * (case when it.lang = 'ja' then 2.4 else 1.4 end) end cap,
+ case when coalesce(clear, 0) > 0 then cast(greatest(0, least(2, floor((clear - 0.35 * height) / (1.45 * height)))) as int) else 0 end spare
+ from (select * from it where {_OK}) it join seg on seg.job_id = it.job_id and seg.source = it.plain left join av on it.handle = av.handle left join clr on it.handle = clr.handle),
+wi as (select handle id, '[EN]' || plain || '[/EN]' txt, [cap] caps, [cap] beside, 1 most, spare from inst), {wrap_sql('wi')}"""
+
+
+@query(f"""{_INST}, per as (select inst.id, bool_or(ovr) ovr, min(f) wf, any_value(plain) plain from inst join w_fit on inst.handle = w_fit.id group by 1)
+select id, case when ovr then 'overflow' when wf < 0.85 then 'tight' when wf < 1.0 then 'long' else '' end flag, wf suggested_width_factor, {M.em_width_sql("('[EN]' || plain || '[/EN]')")} / {M.em_width_sql('plain')} ratio from per""")
 def fit_flags(s, d):
     return _run(s, d).fits.select("id", "flag", "suggested_width_factor", "ratio")
 
 
-@query()
+@query(f"{_INST} select inst.id, handle inst, handle, case when n = 1 then 'update' else 'insert' end \"action\", line new_text, f width_mult, y - 1.45 * height * (n - 1) y from inst join w_fit on handle = w_fit.id join w_lines l on l.id = handle where n = 1 or kind = 'TEXT'")
 def patch_plan(s, d):
     return _run(s, d).plan
 
