@@ -14,6 +14,7 @@ from sheetloom.streaming import spend
 
 from . import pipeline
 from .registry import QUERIES, SQL, Query, query
+from .shape_sql import components_sql, merged_sql, paragraph_sql
 from .wrap_sql import wrap_sql
 
 TAG = r"(<[^>]+>)"
@@ -342,17 +343,20 @@ def sheet_number_topbox(s, d):
 
 
 def _points(s, d):
-    return _ti(s, d).where("place = 'model'").select((F.col("doc_id") * 100_000 + F.col("pos")).alias("node"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return _ti(s, d).select("job_id", "place", (F.col("doc_id") * 100_000 + F.col("pos")).alias("node"), F.col("x").alias("px"), F.col("y").alias("py"))
 
 
-@query()
+_PTS = f"{TI}, pts as (select job_id, place, doc_id * 100000 + pos node, x px, y py from ti)"
+
+
+@query(f"with recursive {_PTS}, {components_sql('30.0')} select node, label from labelled")
 def sheet_clusters(s, d):
     return cluster.clusters(_points(s, d), 30.0).select("node", "label")
 
 
-@query()
+@query(f"with recursive {_PTS}, {components_sql('30.0')}, {merged_sql()} select job_id, place, box, x0, y0, x1, y1, n from mbox")
 def merged_boxes(s, d):
-    return cluster.merge_boxes(cluster.cluster_boxes(cluster.clusters(_points(s, d), 30.0)))
+    return cluster.merge_boxes(cluster.cluster_boxes(cluster.clusters(_points(s, d), 30.0))).select("job_id", "place", "box", "x0", "y0", "x1", "y1", "n")
 
 
 @query(f"with {TI} select job_id, list_sort(list(x))[least(cast(floor(count(*) * 0.02) as bigint) + 1, count(*))] x_low, list_sort(list(x))[greatest(cast(floor(count(*) * 0.98) as bigint), 1)] x_high from ti group by job_id")
@@ -366,7 +370,10 @@ def upper_median(s, d):
     return _ti(s, d).groupBy("job_id").agg(M.upper_median(F.collect_list("height")).alias("height"))
 
 
-@query()
+_PI = f"pi as (select job_id, place, layer, handle, doc_id * 100000 + pos ord, plain, lang, height, x, y, {M.em_width_sql('plain')} * height w from ti where kind = 'TEXT')"
+
+
+@query(f"with recursive {TI}, {_PI}, {paragraph_sql('pi')} select handle, paragraph, line from para")
 def paragraphs(s, d):
     return segments.paragraphs(_ord(_ti(s, d))).select("handle", "paragraph", "line")
 
