@@ -9,7 +9,7 @@ windows with the same anchor form a run, whose context is all their tokens. Then
 * only contexts whose gram recurs in other surroundings need their tokens: one copy of each distinct context is fetched,
   and a resolver that the operator brings finds which of its windows start elsewhere too.
 
-A gram with more than HOT_CONTEXTS distinct contexts goes another exact way: windows of its contexts are counted by hash
+A gram with more than HOT_CONTEXTS distinct contexts, too many for one task, goes another exact way: windows of its contexts are counted by hash
 in one aggregation, so no task holds a hot group. Equality of contexts and grams is equality of two 64-bit hashes.
 """
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, parts_for, prefix_sums, slice_hashes, sliced, stash, utf8
 
-HOT_CONTEXTS = 1024
+#: Distinct contexts of a gram up to which one resolver gets them all: at twice the window each, some 16 MB of bytes.
+HOT_CONTEXTS = 1 << 14
 #: Tokens of contexts that a resolver gets at once.
 SHARD_BYTES = 4 << 20
 _POSITION_BITS = np.uint64(28)
