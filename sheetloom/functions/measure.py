@@ -87,3 +87,23 @@ def nearest_rank(values: Column, share: float) -> Column:
 
 def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def is_vertical(font: Column, big_font: Column, flags: Column) -> Column:
+    """A style set vertically: an @ before a font's name, or the style's vertical bit."""
+    return F.coalesce(font, F.lit("")).startswith("@") | F.coalesce(big_font, F.lit("")).startswith("@") | (F.coalesce(flags, F.lit(0)).bitwiseAND(4) != 0)
+
+
+# Entity counts up to which a picture keeps its width, and the pixels a picture may have.
+RENDER_STEPS = [(50_000, 4000), (200_000, 3000), (500_000, 2200)]
+RENDER_LEAST, RENDER_PIXELS = 1600, 16_000_000
+
+
+def render_size(entities: Column, width: Column, height: Column) -> Column:
+    """struct(w, h) in pixels: as wide as the number of entities affords, shrunk evenly to the pixels allowed."""
+    wide = F.lit(RENDER_LEAST)
+    for most, px in reversed(RENDER_STEPS):
+        wide = F.when(entities <= most, px).otherwise(wide)
+    tall = wide * height / width
+    by = F.least(F.lit(1.0), F.sqrt(F.lit(float(RENDER_PIXELS)) / (wide * tall)))
+    return F.struct(F.floor(wide * by).alias("w"), F.floor(tall * by).alias("h"))

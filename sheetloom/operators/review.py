@@ -72,7 +72,7 @@ def report_lines(checks: DataFrame, sample: int = 4) -> DataFrame:
 
 def notes_by_page(checks: DataFrame) -> DataFrame:
     page = F.regexp_extract("place", r"^page (\d+)$", 1)
-    return checks.where(page != "").select(page.cast("int").alias("page"), "kind", "n", "shown").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "shown"))).alias("notes"))
+    return checks.where(page != "").select(page.try_cast("int").alias("page"), "kind", "n", "shown").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "shown"))).alias("notes"))
 
 
 def report(result: DataFrame, checks: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def cell_chunks(value: Column, size: int = 250) -> Column:
 
 def mirror_cells(drawn: DataFrame, changed: DataFrame) -> DataFrame:
     """Drawn copies (block, handle, text) of changed cells (block, old_text, new_text)."""
-    return drawn.join(changed, (drawn["block"] == changed["block"]) & (drawn["text"] == changed["old_text"])).select(drawn["block"], "handle", "new_text")
+    return drawn.join(changed.select("block", F.col("old_text").alias("text"), "new_text"), ["block", "text"]).select("block", "handle", "new_text")
 
 
 def restyled(items: DataFrame, plan: DataFrame, fine: list[str], face: str) -> DataFrame:

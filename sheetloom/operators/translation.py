@@ -73,7 +73,7 @@ def translate(segments: DataFrame, translator: Translator, batch: int = BATCH) -
         for frame in frames:
             for at in range(0, len(frame), batch):
                 out = _ask(frame[at : at + batch], translator)
-                bad = out["target"].isna() | (out["target"].fillna("").str.strip() == "") | [marks(s) != marks(t) for s, t in zip(out["source"], out["target"], strict=True)]
+                bad = out["target"].isna() | (out["target"].fillna("").str.strip() == "") | pd.Series([marks(s) != marks(t) for s, t in zip(out["source"], out["target"], strict=True)], index=out.index)
                 bad &= ~out["note"].fillna("").str.startswith("failed")
                 again = [_ask(out.loc[[i], ["id", "source"]], translator) for i in out.index[bad]]
                 out = pd.concat([out[~bad], *again])

@@ -16,6 +16,7 @@ from sheetloom.sources import stages
 from sheetloom.sources.tables import table
 
 from .registry import query
+from .shape_sql import paragraph_sql
 
 
 def _sql_list(xs: list) -> str:
@@ -400,3 +401,297 @@ def sheets_by_kind(s, d):
 def diagnostics_text(s, d):
     worst = jobs.with_text(s.createDataFrame([("s1", "tight")], "id string, flag string"), s.createDataFrame([("s1", "план")], "id string, source string"))
     return jobs.diagnostics(s.createDataFrame([("read", 3)], "name string, seconds int"), s.createDataFrame([("ok", 2)], "flag string, n int"), worst)
+
+
+# ---------------------------------------------------------------- paragraphs
+
+PIECES = ["план", "этаж", "стена,", "дом.", "- пункт", "図面", "配管。", "note", "Next", "x   y", "wall-", "１２"]
+_PP = f"""pq as (select o_custkey % 40 job_id, 'model' place, 'l' || (o_orderkey % 3) layer, 'h' || o_orderkey handle, o_orderkey ord, {_sql_list(PIECES)}[o_orderkey % 12 + 1] || case when o_orderkey % 5 < 2 then ' ' || {_sql_list(PIECES)}[(o_orderkey // 12) % 12 + 1] else '' end plain,
+ ['ru', 'ja', 'en'][o_orderkey % 3 + 1] lang, 2.5::double * [1.0, 1.0, 1.0, 1.05, 1.3][(o_orderkey // 3) % 5 + 1] height, [0.0, 1.0, 2.0, 5.0, 9.0, 40.0, 42.0, 100.0][(o_orderkey // 7) % 8 + 1]::double x, -2.0::double * (o_orderkey % 61) y from orders),
+pi as (select *, {M.em_width_sql('plain')} * height w from pq)"""
+
+
+def _lines(s, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    num = lambda xs, i: F.element_at(F.array(*(F.lit(float(x)) for x in xs)), (i + 1).cast("int"))
+    plain = F.concat(_pick(PIECES, k % 12), F.when(k % 5 < 2, F.concat(F.lit(" "), _pick(PIECES, F.floor(k / 12) % 12))).otherwise(""))
+    return table(s, d, "orders").select(
+        (F.col("o_custkey") % 40).alias("job_id"), F.lit("model").alias("place"), F.concat(F.lit("l"), (k % 3).cast("string")).alias("layer"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), k.alias("ord"), F.lit("TEXT").alias("kind"), plain.alias("plain"),
+        _pick(["ru", "ja", "en"], k % 3).alias("lang"), (2.5 * num([1, 1, 1, 1.05, 1.3], F.floor(k / 3) % 5)).alias("height"), num([0, 1, 2, 5, 9, 40, 42, 100], F.floor(k / 7) % 8).alias("x"), (-2.0 * (k % 61)).cast("double").alias("y"),
+    )
+
+
+_PARA = f"with recursive {_PP}, {paragraph_sql('pi')}"
+
+
+@query(f"{_PARA} select handle, paragraph, line from para")
+def paragraph_runs(s, d):
+    return segments.paragraphs(_lines(s, d)).select("handle", "paragraph", "line")
+
+
+@query(f"{_PARA} select paragraph handle, string_agg(trim(plain), case when arg_min(lang, line) = 'ja' then '' else ' ' end order by line) as plain, cast(count(*) as int) n_lines, max(height) height from para join pi using (job_id, place, layer, handle) group by job_id, paragraph".replace("string_agg(trim(plain), case when arg_min(lang, line) = 'ja' then '' else ' ' end order by line)", "case when arg_min(lang, line) = 'ja' then string_agg(trim(plain), '' order by line) else string_agg(trim(plain), ' ' order by line) end"))
+def paragraph_units(s, d):
+    t = _lines(s, d)
+    return segments.paragraph_units(t, segments.paragraphs(t)).select("handle", "plain", "n_lines", "height")
+
+
+@query(f"""{_PARA}, q as (select para.job_id, paragraph, handle, line, x, height, plain, {M.em_width_sql('plain')} em, w from para join pi using (job_id, place, layer, handle)),
+r as (select *, max(x + w) over v col, min(x) over v st, first_value(height) over (partition by job_id, paragraph order by line) scale from q window v as (partition by job_id, paragraph)),
+z as (select *, least(col, col + (col - st) * 0.2) rgt, greatest(col, col + (col - st) * 0.2) most from r)
+select handle, line, greatest((rgt - x) / scale, em) cap, greatest((most - x) / scale, em) cap_max from z""")
+def paragraph_capacity(s, d):
+    t = _lines(s, d)
+    lines = t.join(segments.paragraphs(t).select("job_id", "handle", "paragraph", "line"), ["job_id", "handle"])
+    none = s.createDataFrame([], "job_id long, handle string, avail double")
+    return segments.paragraph_capacity(lines, none).select("handle", "line", "cap", "cap_max")
+
+
+@query(f"{_PARA}, u as (select job_id, paragraph, count(*) n from para group by 1, 2) select (select count(distinct (job_id, plain)) from pi) segments, (select count(*) from pi) entities, 0::bigint skipped, (select count(*) from u where n > 1) paragraphs")
+def prepare_counters(s, d):
+    t = _lines(s, d)
+    units = segments.paragraph_units(t, segments.paragraphs(t))
+    return segments.counters(t, units, t.select("job_id", "plain").distinct())
+
+
+@query(f"with {_PP} select plain, min(ord) first from pi where lang in ('ru', 'ja') and trim(plain) <> '' and plain <> '１２' and plain not in ('план', 'note') and not regexp_matches(plain, '^[-１２ ]+$') group by plain order by first limit 25")
+def unseen_strings(s, d):
+    known = s.createDataFrame([("план",), ("note",)], "source string")
+    return segments.unseen(_lines(s, d), ["ru", "ja"], known)
+
+
+# ---------------------------------------------------------------- room, budgets, plans
+
+
+@query("select o_orderkey id, case when o_orderkey % 5 = 2 then 1.5 + o_orderkey % 7 when o_orderkey % 5 in (1, 4) then 1.5 + o_orderkey % 7 else o_orderkey % 10 + 0.0 end x from orders")
+def align_points(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("id"), M.align_x((k % 10).cast("double"), (1.5 + k % 7).cast("double"), k % 5).alias("x"))
+
+
+@query("select o_orderkey id, case o_orderkey % 5 when 0 then 3.0 when 1 then 20.0 - (o_orderkey % 9) / 2.0 when 2 then 20.0 - (o_orderkey % 9) when 4 then 20.0 - (o_orderkey % 9) / 2.0 else 3.0 end::double l from orders")
+def left_edges(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("id"), M.left_edge(F.lit(3.0), F.lit(20.0), (k % 9).cast("double"), k % 5).alias("l"))
+
+
+@query("select o_orderkey id, o_orderkey % 7 <> 0 and ((o_orderkey % 720 - 360) % 360 + 360) % 360 in (0, 1, 359) flat from orders")
+def flat_texts(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("id"), M.is_flat((k % 720 - 360).cast("double"), k % 7 == 0).alias("flat"))
+
+
+@query("select o_orderkey id, o_orderkey % 4 in (0, 2) or (o_orderkey % 4 = 1 and (o_orderkey % 3 = 0 or o_orderkey % 2 = 0)) \"like\" from orders")
+def line_like(s, d):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 2 == 0, "one line").otherwise(r"two\Plines")
+    return table(s, d, "orders").select(k.alias("id"), M.fits_like_a_line(_pick(["TEXT", "MTEXT", "PDF", "TABLE_CELL"], k % 4), F.when(k % 3 == 0, 0.0).otherwise(9.0), raw).alias("like"))
+
+
+@query("select o_orderkey id, case when o_orderkey % 9 > 0 then cast(greatest(0, least(2, floor((o_orderkey % 9 - 0.35 * 2.0) / (1.45 * 2.0)))) as int) else 0 end spare from orders")
+def spare_lines(s, d):
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), M.spare_lines((F.col("o_orderkey") % 9).cast("double"), F.lit(2.0)).alias("spare"))
+
+
+@query("select o_orderkey id, case when o_orderkey % 2 = 0 and o_orderkey % 30 > 0 and o_orderkey % 30 > 1.02 * 12 then 12.0::double * 0.93::double end clamp, floor((o_orderkey % 30)::double * 2 / 0.6::double * 1.1::double) chars, greatest(4.0::double, floor((o_orderkey % 30)::double / 0.6::double * 0.95::double)) shorter from orders")
+def room_budgets(s, d):
+    box = (F.col("o_orderkey") % 30).cast("double")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "MTEXT").otherwise("TEXT")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), segments.box_clamp(kind, box, F.lit(12.0)).alias("clamp"), segments.budget_chars(box, F.lit(2)).cast("double").alias("chars"), segments.shorten_budget(box).cast("double").alias("shorter"))
+
+
+_OV = f"ov as (select o_orderkey id, o_orderpriority || '⟦1⟧' source, o_orderpriority || ' and more⟦1⟧' target, o_orderkey % 20 budget from orders)"
+
+
+def _answers(s, d):
+    o = table(s, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit("⟦1⟧")).alias("source"), F.concat("o_orderpriority", F.lit(" and more⟦1⟧")).alias("target"), (F.col("o_orderkey") % 20).alias("budget"))
+
+
+_CUT = """cu as (select *, length(replace(target, '⟦1⟧', '')) n0, replace(target, ' and more', '') t1, substring(source, 1, 3) || '⟦1⟧' t2 from ov)"""
+
+
+def _shorter(rows):
+    """Stands in for a model: first without the addition, then the first letters alone."""
+    first = F.replace("target", F.lit(" and more"), F.lit(""))
+    return rows.select("id", F.when(F.col("id") % 2 == 0, first).otherwise(F.concat(F.substring("source", 1, 3), F.lit("⟦1⟧"))).alias("target"))
+
+
+@query(f"with {_OV}, {_CUT} select id, case when n0 <= budget then target when length(replace(case when id % 2 = 0 then t1 else t2 end, '⟦1⟧', '')) <= budget then case when id % 2 = 0 then t1 else t2 end else target end target, n0 > budget and length(replace(case when id % 2 = 0 then t1 else t2 end, '⟦1⟧', '')) <= budget shortened from cu")
+def shortened(s, d):
+    return translation.shorten(_answers(s, d), _shorter)
+
+
+@query(f"with {_OV}, {_CUT}, z as (select id, n0 > budget and length(replace(case when id % 2 = 0 then t1 else t2 end, '⟦1⟧', '')) <= budget shortened from cu) select count(*) filter (id % 7 <> 0) ok, count(*) filter (id % 5 = 0) from_memory, count(*) filter (shortened) shortened, count(*) filter (id % 7 = 0) attention from z")
+def translate_counters(s, d):
+    out = translation.shorten(_answers(s, d), _shorter)
+    return translation.counters(out.select("id", (F.col("id") % 7 != 0).alias("ok"), F.when(F.col("id") % 5 == 0, "from memory").otherwise("").alias("note"), "shortened"))
+
+
+@query(f"with {_OV} select id, trim(target) <> '' and length(replace(target, '⟦1⟧', '')) <= budget fits from ov")
+def within_budget(s, d):
+    return _answers(s, d).select("id", translation.within_budget("source", "target", "budget").alias("fits"))
+
+
+@query("with b as (select o_custkey % 40 job_id, (row_number() over (partition by o_custkey % 40 order by o_orderkey) - 1) // 60 batch from orders), c as (select job_id, batch, count(*) n from b group by 1, 2) select job_id, cast(batch as bigint) batch, cast(sum(n) over (partition by job_id order by batch) + case when job_id % 2 = 0 then 5 else 0 end as bigint) seen from c")
+def answer_progress(s, d):
+    t = table(s, d, "orders").select((F.col("o_custkey") % 40).alias("job_id"), "o_orderkey")
+    held = t.select("job_id").distinct().where("job_id % 2 = 0").select("job_id", F.lit(5).alias("n"))
+    return translation.progress(translation.batches(t, "o_orderkey"), held).select("job_id", "batch", F.col("seen").cast("long").alias("seen"))
+
+
+@query("select o_orderkey id, upper(o_orderpriority) target, o_orderkey % 50 <> 0 ok, case when o_orderkey % 50 = 0 then 'left as it was' else '' end note from orders".replace("upper(o_orderpriority)", "case when o_orderkey % 50 = 0 then o_orderpriority || '⟦1⟧' else upper(o_orderpriority) || '⟦1⟧' end"))
+def translated_by_function(s, d):
+    def upper(rows):
+        lost = rows["id"].astype("int64") % 50 == 0
+        return rows.assign(target=rows["source"].str.upper().mask(lost, "no marker"), note="")[["id", "target", "note"]]
+
+    seg = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat("o_orderpriority", F.lit("⟦1⟧")).alias("source"))
+    return translation.translate(seg, upper).select(F.col("id").cast("long").alias("id"), "target", "ok", "note")
+
+
+@query("select o_orderkey id, 'h' || o_orderkey || case when u.n = 0 then 'a' else 'b' end handle, 'update' \"action\", '{' || o_orderpriority || '}' new_text from orders, lateral (select unnest([0, 1]) as n) u")
+def other_kinds_plan(s, d):
+    o = table(s, d, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("⟦1⟧"), "o_orderpriority").alias("target"), F.array(F.lit("{"), F.lit("}")).alias("codes"), F.array(*(F.concat(F.lit("h"), F.col("o_orderkey").cast("string"), F.lit(x)) for x in "ab")).alias("handles"))
+    return review.other_kinds_plan(t.select("id", "target", "codes"), t.select("id", F.explode("handles").alias("handle")))
+
+
+@query("select c.c_nationkey block, 'o' || o_orderkey handle, 'new ' || o_orderpriority new_text from orders join customer c on o_custkey = c_custkey where c.c_nationkey % 2 = 0")
+def mirrored_cells(s, d):
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    drawn = o.select(F.col("c_nationkey").alias("block"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("handle"), F.col("o_orderpriority").alias("text"))
+    changed = drawn.where("block % 2 = 0").select("block", F.col("text").alias("old_text"), F.concat(F.lit("new "), "text").alias("new_text")).distinct()
+    return review.mirror_cells(drawn, changed)
+
+
+@query("select distinct 'st' || (o_orderkey % 4) style, ['romans', 'MS Gothic', 'arial', 'txt'][o_orderkey % 4 + 1] old_font, case when o_orderkey % 4 = 1 then 'MS Gothic' else 'Noto' end new_font from orders where o_orderkey % 3 = 0")
+def restyled(s, d):
+    k = F.col("o_orderkey")
+    items = table(s, d, "orders").select(k.alias("handle"), F.concat(F.lit("st"), (k % 4).cast("string")).alias("style"), _pick(["romans", "MS Gothic", "arial", "txt"], k % 4).alias("font"))
+    plan = items.select("handle", F.when(F.col("handle") % 3 == 0, "update").otherwise("skip").alias("action"))
+    return review.restyled(items, plan, ["gothic"], "Noto")
+
+
+@query("select style, count(distinct space) spaces, count(*) handles from (select case when (o_orderkey // 4) % 2 = 0 then 'st1' else 'st2' end style, o_custkey % 5 space from orders) group by 1")
+def styles_in_use(s, d):
+    return _entities(s, d).groupBy("style").agg(F.count_distinct("space").alias("spaces"), F.count_distinct("handle").alias("handles"))
+
+
+@query("select o_orderkey id, o_orderkey % 4 in (1, 2) or o_orderkey % 8 >= 4 vertical from orders")
+def vertical_styles(s, d):
+    k = F.col("o_orderkey")
+    return table(s, d, "orders").select(k.alias("id"), M.is_vertical(_pick(["arial", "@gothic", "txt", None], k % 4), _pick([None, "big", "@big", None], k % 4), (k % 8).cast("int")).alias("vertical"))
+
+
+@query("with z as (select o_orderkey id, case when n <= 50000 then 4000 when n <= 200000 then 3000 when n <= 500000 then 2200 else 1600 end w, 1 + o_orderkey % 9 r from (select o_orderkey, (o_orderkey * 97) % 700000 n from orders)) select id, cast(floor(w * least(1.0, sqrt(16000000.0 / (w * (w * (r + 0.0::double) / 2.0))))) as bigint) w, cast(floor((w * (r + 0.0::double) / 2.0) * least(1.0, sqrt(16000000.0 / (w * (w * (r + 0.0::double) / 2.0))))) as bigint) h from z")
+def render_sizes(s, d):
+    k = F.col("o_orderkey")
+    z = M.render_size((k * 97) % 700_000, F.lit(2.0), (1 + k % 9).cast("double"))
+    return table(s, d, "orders").select(k.alias("id"), z["w"].alias("w"), z["h"].alias("h"))
+
+
+@query("""select o_orderkey id, case o_orderkey % 4 when 0 then 'page 2, page 10, model space' when 1 then 'page 7' when 2 then '' else 'block d, model space, sheet A, …' end places from orders""")
+def segment_places(s, d):
+    k = F.col("o_orderkey")
+    stored = F.when(k % 4 == 0, F.array(*(F.lit(x) for x in ("page:10", "model", "page:2", "page:10")))).when(k % 4 == 3, F.array(*(F.lit(x) for x in ("sheet:z", "paper:A", "model", "block:d"))))
+    return table(s, d, "orders").select(k.alias("id"), segments.short_places(segments.place_list(stored, _pick(["h1", "p7-3", "h2", "h3"], k % 4))).alias("places"))
+
+
+@query("select o_orderkey id, o_orderkey % 3 in (0, 2) and o_orderkey % 2 = 0 or (o_orderkey % 2 = 1 and o_orderkey % 3 in (0, 1)) \"taken\" from orders")
+def source_languages(s, d):
+    k = F.col("o_orderkey")
+    lang = _pick(["ru", "en", "ja"], k % 3)
+    taken = F.when(k % 2 == 0, lang.isin(segments.sources_for("en"))).otherwise(lang.isin(segments.sources_for("ja")))
+    return table(s, d, "orders").select(k.alias("id"), taken.alias("taken"))
+
+
+@query("select cast(o_orderkey % 40 as int) page, string_agg(kind || '=' || n, ';' order by kind) notes from (select o_orderkey % 40 o_orderkey, case when o_orderstatus = 'F' then 'a' else 'b' end kind, count(*) n from orders group by 1, 2) group by 1".replace("o_orderkey % 40 as int) page", "o_orderkey as int) page"))
+def notes_by_page(s, d):
+    g = table(s, d, "orders").groupBy(F.concat(F.lit("page "), (F.col("o_orderkey") % 40).cast("string")).alias("place"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("kind")).agg(F.count("*").alias("n"))
+    other = g.limit(1).select(F.lit("model space").alias("place"), "kind", "n")
+    notes = review.notes_by_page(g.unionByName(other).withColumn("shown", F.array(F.lit("x"))))
+    return notes.select("page", F.array_join(F.transform("notes", lambda z: F.concat(z["kind"], F.lit("="), z["n"])), ";").alias("notes"))
+
+
+@query("select 'NOT verified: 3 written, 1 left; geometry moved' line, 0 line_no union all select 'page 2: flagged by the reviewer (1): no note given', 1 union all select 'page 10: wider than the space (5): a; b; c; d and 1 more', 2")
+def report_text(s, d):
+    result = s.createDataFrame([(3, 1, False, ["geometry moved"])], "patched int, skipped int, ok boolean, problems array<string>")
+    rows = s.createDataFrame([(x, "overflow", True, True, x, "s", ["page 10"]) for x in "abcde"], "id string, fit string, approved boolean, ok boolean, display string, source string, places array<string>")
+    return review.report(result, review.to_check(rows, s.createDataFrame([("page 2", " ")], "place string, note string"))).select("line", "line_no")
+
+
+# ---------------------------------------------------------------- sheets
+
+
+def _boxes(s, d) -> DataFrame:
+    k = F.col("c_custkey")
+    x, y = ((k % 17) * 11.0).cast("double"), (F.floor(k / 17) % 13 * 7.0).cast("double")
+    return table(s, d, "customer").select((k % 25).alias("job_id"), k.alias("box"), x.alias("x0"), y.alias("y0"), (x + 3 + k % 4).alias("x1"), (y + 2 + k % 3).alias("y1"), F.lit(5).cast("long").alias("n"), F.when(k % 3 > 0, F.concat(_pick(["A", "B"], k % 2), F.lit("-"), (k % 40).cast("string"))).otherwise("").alias("number"))
+
+
+_BX = "bx as (select c_custkey % 25 job_id, c_custkey box, (c_custkey % 17) * 11.0::double x0, (c_custkey // 17) % 13 * 7.0::double y0, (c_custkey % 17) * 11.0::double + 3 + c_custkey % 4 x1, (c_custkey // 17) % 13 * 7.0::double + 2 + c_custkey % 3 y1, case when c_custkey % 3 > 0 then ['A', 'B'][c_custkey % 2 + 1] || '-' || (c_custkey % 40) else '' end number from customer)"
+_SG = f"""{_BX}, sg as (select a.job_id, a.box, min(case when b.y0 < a.y1 and b.y1 > a.y0 and b.x0 - a.x1 >= 0 then b.x0 - a.x1 end) rgt, min(case when b.y0 < a.y1 and b.y1 > a.y0 and a.x0 - b.x1 >= 0 then a.x0 - b.x1 end) lft,
+ min(case when b.x0 < a.x1 and b.x1 > a.x0 and b.y0 - a.y1 >= 0 then b.y0 - a.y1 end) abv, min(case when b.x0 < a.x1 and b.x1 > a.x0 and a.y0 - b.y1 >= 0 then a.y0 - b.y1 end) blw from bx a left join bx b on a.job_id = b.job_id and a.box <> b.box group by 1, 2)"""
+
+
+@query(f"with {_SG} select box, rgt \"right\", lft \"left\", abv above, blw below from sg")
+def sheet_side_gaps(s, d):
+    return spatial.side_gaps(_boxes(s, d)).select("box", "right", "left", "above", "below")
+
+
+@query(f"with {_SG} select bx.box, x0 - least(0.3 * (x1 - x0), coalesce(lft / 2, 0.3 * (x1 - x0))) x0, y0 - least(0.3 * (y1 - y0), coalesce(blw / 2, 0.3 * (y1 - y0))) y0, x1 + least(0.3 * (x1 - x0), coalesce(rgt / 2, 0.3 * (x1 - x0))) x1, y1 + least(0.3 * (y1 - y0), coalesce(abv / 2, 0.3 * (y1 - y0))) y1 from bx join sg using (job_id, box)")
+def grown_sheets(s, d):
+    b = _boxes(s, d)
+    return cluster.grown(b, spatial.side_gaps(b)).select("box", "x0", "y0", "x1", "y1")
+
+
+@query(f"with {_BX} select box, cast(row_number() over (partition by job_id order by case when number = '' then 1 else 0 end, case when number = '' then '' else number[1] end, case when number = '' then 0 else cast(number[3:] as int) end, floor(y1 / 20.0) desc, x0, box) as int) nth from bx")
+def sheet_order(s, d):
+    return cluster.named_order(_boxes(s, d), 20.0).select("box", "nth")
+
+
+_VX = "vx as (select o_custkey % 20 job_id, 'model' place, o_orderkey // 4 entity, o_orderkey node, cast((o_orderkey % 2) * 6000 + (o_orderkey // 4) % 40 * 9000 as double) px, cast((o_orderkey // 2 % 2) * 5500 + (o_orderkey // 160) % 30 * 9000 as double) py from orders)"
+
+
+@query(f"""with recursive {_VX}, span as (select job_id, place, greatest(max(px) - min(px), max(py) - min(py)) s from vx group by 1, 2), gp as (select job_id, place, greatest(2500.0, 0.01 * s) gap from span),
+fe as materialized (select a.node a, b.node b from vx a join vx b on a.job_id = b.job_id and a.node <> b.node join gp on gp.job_id = a.job_id where a.entity = b.entity or (abs(a.px - b.px) <= gap and abs(a.py - b.py) <= gap)),
+fc(node, label) using key (node) as (select node, node from vx union select fe.a, min(fc.label) from fc join fe on fe.b = fc.node join recurring.fc cur on cur.node = fe.a where fc.label < cur.label group by fe.a)
+select job_id, min(px) x0, min(py) y0, max(px) x1, max(py) y1, count(*) n from vx join fc using (node) group by job_id, label having max(px) - min(px) >= 5000 and max(py) - min(py) >= 5000""")
+def frames_by_layer(s, d):
+    k = F.col("o_orderkey")
+    v = table(s, d, "orders").select((F.col("o_custkey") % 20).alias("job_id"), F.lit("model").alias("place"), F.floor(k / 4).alias("entity"), k.alias("node"), ((k % 2) * 6000 + F.floor(k / 4) % 40 * 9000).cast("double").alias("px"), (F.floor(k / 2) % 2 * 5500 + F.floor(k / 160) % 30 * 9000).cast("double").alias("py"))
+    return cluster.frames_by_layer(v).select("job_id", "x0", "y0", "x1", "y1", "n")
+
+
+@query("select c_custkey id from customer where c_custkey % 4 in (1, 2)")
+def frame_layers(s, d):
+    k = F.col("c_custkey")
+    return table(s, d, "customer").where(cluster.on_frame_layer(_pick(["walls", "A-FRAME", "Рамка", "text"], k % 4))).select(k.alias("id"))
+
+
+_GP = f"""{_PP}, ex as (select job_id, list_sort(list(x))[least(cast(floor(count(*) * 0.02) as bigint) + 1, count(*))] x0, list_sort(list(x))[greatest(cast(floor(count(*) * 0.98) as bigint), 1)] x1, list_sort(list(y))[least(cast(floor(count(*) * 0.02) as bigint) + 1, count(*))] y0, list_sort(list(y))[greatest(cast(floor(count(*) * 0.98) as bigint), 1)] y1,
+ list_sort(list(height))[cast(floor(count(*) / 2) as bigint) + 1] h from pi group by 1)"""
+
+
+@query(f"with {_GP} select job_id, x0 - 0.1 * (x1 - x0) x0, y0 - 0.1 * (y1 - y0) y0, x1 + 0.1 * (x1 - x0) x1, y1 + 0.1 * (y1 - y0) y1 from ex")
+def text_extent(s, d):
+    return cluster.text_extent(_lines(s, d), padding=0.1).select("job_id", "x0", "y0", "x1", "y1")
+
+
+@query(f"with {_GP} select job_id, greatest(25 * h, 0.015 * greatest(x1 - x0, y1 - y0)) gap from ex")
+def sheet_gap(s, d):
+    t = _lines(s, d)
+    return cluster.sheet_gap(t, cluster.text_extent(t)).select("job_id", "gap")
+
+
+# ---------------------------------------------------------------- Latin forms
+
+_IN = ["ГОСТ 123", "СНиП и СП-5", "・項目", "１２Ａ～Ｂ", "• пункт", "ПГОСТ", "〜", "ｶﾅ"]
+_LATIN = ["GOST 123", "SNiP и SP-5", "- 項目", "12A~B", "- пункт", "ПГОСТ", "–", "カナ"]
+_ASCII = ["ГОСТ 123", "СНиП и СП-5", "·項目", "12A~B", "• пункт", "ПГОСТ", "〜", "ｶﾅ"]
+
+
+@query(f"select o_orderkey id, {_sql_list(_LATIN)}[o_orderkey % 8 + 1] || ' ' || o_orderpriority latin, {_sql_list(_ASCII)}[o_orderkey % 8 + 1] || ' ' || o_orderpriority ascii from orders")
+def latin_forms(s, d):
+    t = F.concat(_pick(_IN, F.col("o_orderkey") % 8), F.lit("　"), "o_orderpriority")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), X.latinize(t).alias("latin"), X.ascii_forms(t).alias("ascii"))
