@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, parts_for, prefix_sums, slice_hashes, sliced, stash, utf8
 
-#: Distinct contexts of a gram up to which one resolver gets them all: at twice the window each, some 16 MB of bytes.
-HOT_CONTEXTS = 1 << 14
+#: Distinct contexts of a gram up to which one resolver gets them all: at twice the window each, some 3 MB of bytes and a hundred
+#: of tries.
+HOT_CONTEXTS = 1 << 12
 #: Tokens of contexts that a resolver gets at once.
 SHARD_BYTES = 4 << 20
 _POSITION_BITS = np.uint64(28)
