@@ -86,22 +86,47 @@ def report(result: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def patch_plan(table: DataFrame, instances: DataFrame, items: DataFrame, only_approved: bool = True, cjk: bool = False) -> DataFrame:
-    """(handle, action, new_text, width_mult, y): updates of every line, and inserts for lines below the last of a text.
+    """(id, inst, handle, action, new_text, width_mult, y): updates of every line, and inserts for lines below the last of a text.
 
-    instances: (id, inst, handles, caps, caps_max, max_lines, spare). A reviewer's width factor wraps at that factor and
-    folds the rest into the last line; otherwise the best wrap decides. A line that is no longer needed becomes blank.
+    instances: (job_id, id, inst, handles, caps, caps_max, max_lines, spare). A reviewer's width factor wraps at that factor
+    and folds the rest into the last line; otherwise the best wrap decides. A line that is no longer needed becomes blank.
     """
     want = table.where((F.col("target") != "") & (F.col("approved") | F.lit(not only_approved))).select("id", "width_factor", "width_override", F.col("display").alias("text"))
     best = fits.wrap_at(fits.wrap_best(want.join(instances, "id"), cjk), cjk)
     best = best.withColumns({"lines": F.when(F.col("width_override"), F.col("forced")).otherwise(F.col("fit.lines")), "mult": F.when(F.col("width_override"), F.col("width_factor")).otherwise(F.col("fit.wf"))})
-    rows = best.select("id", "inst", "handles", "mult", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("handles"), F.size("lines")) - 1), lambda i: F.struct(F.get("handles", i).alias("handle"), F.coalesce(F.get("lines", i), F.lit("")).alias("line")))).alias("line_no", "z"))
-    rows = rows.select("id", "inst", "line_no", "mult", F.coalesce("z.handle", F.element_at("handles", -1)).alias("handle"), F.when(F.col("z.handle").isNull(), F.col("line_no") - F.size("handles") + 1).alias("below"), F.col("z.line").alias("line"))
-    at = items.select("handle", "kind", "height", "y")
-    out = rows.join(at, "handle", "left").where(F.col("below").isNull() | (F.col("kind") == "TEXT"))
+    rows = best.select("job_id", "id", "inst", "handles", "mult", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("handles"), F.size("lines")) - 1), lambda i: F.struct(F.get("handles", i).alias("handle"), F.coalesce(F.get("lines", i), F.lit("")).alias("line")))).alias("line_no", "z"))
+    rows = rows.select("job_id", "id", "inst", "line_no", "mult", F.coalesce("z.handle", F.element_at("handles", -1)).alias("handle"), F.when(F.col("z.handle").isNull(), F.col("line_no") - F.size("handles") + 1).alias("below"), F.col("z.line").alias("line"))
+    at = items.select("job_id", "handle", "kind", "height", "y")
+    out = rows.join(at, ["job_id", "handle"], "left").where(F.col("below").isNull() | (F.col("kind") == "TEXT"))
     action = F.when(F.col("kind").isNull(), "skip").when(F.col("below").isNotNull(), "insert").otherwise("update")
     return out.select("id", "inst", "handle", action.alias("action"), F.col("line").alias("new_text"), F.col("mult").alias("width_mult"), (F.col("y") - 1.45 * F.col("height") * F.coalesce("below", F.lit(0))).alias("y"))
 
 
+def refined(plan: DataFrame, items: DataFrame, fine: list[str] | None = None, face: str = "Noto") -> DataFrame:
+    """The plan with what the drawn text already has taken into account: items (job_id, handle, kind, raw, width_factor, box_width, style, font).
+
+    width is the text's own factor times the plan's; narrowed rows with wide
+    gaps are padded again; rich text gets its width as a code and its fonts changed; a box only ever shrinks. A style is
+    pointed to `face` unless its font holds one of `fine`; full-width forms of a style that is pointed anew become plain.
+    """
+    fine = fine or []
+    p = plan.join(items.select("job_id", "handle", "raw", "width_factor", "box_width", "style", "font"), ["job_id", "handle"], "left")
+    rich = F.col("kind").isin("MTEXT", "MLEADER", "TABLE_CELL")
+    keep = F.exists(F.array(*(F.lit(x) for x in fine)), lambda x: F.contains(F.lower("font"), F.lower(x))) if fine else F.lit(False)
+    text = F.when(F.coalesce(keep, F.lit(False)), F.col("new_text")).otherwise(X.ascii_forms(F.col("new_text")))
+    padded = repad_narrowed(text, F.col("width_mult"))
+    coded = X.narrow_mtext(X.swap_fonts(padded, face, fine)["text"], F.col("width_mult"))
+    own = F.when(F.coalesce("width_factor", F.lit(0.0)) > 0, F.col("width_factor")).otherwise(1.0)
+    box = F.when(rich & (F.coalesce("box_width", F.lit(0.0)) > 0), F.least(F.col("box_width"), F.col("box_width") * F.col("width_mult")))
+    return p.select(*plan.columns, F.when(rich, coded).otherwise(padded).alias("written"), F.when(rich, own).otherwise(own * F.col("width_mult")).alias("width"), box.alias("box"), F.when(keep, F.col("font")).otherwise(face).alias("new_font"))
+
+
+def page_plan(plan: DataFrame, places: DataFrame) -> DataFrame:
+    """(job_id, page, writes): what is written on each page, from the top and the left; places (job_id, handle, page, x, y0)."""
+    w = plan.join(places, ["job_id", "handle"]).where("action <> 'skip'")
+    return w.groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x", "handle", "new_text"))).alias("writes"))
+
+
 def other_kinds_plan(table: DataFrame, handle_map: DataFrame) -> DataFrame:
     """The same text for every handle of a segment, codes put back; table has id, target, codes."""
     return table.join(handle_map, "id").select("id", "handle", F.lit("update").alias("action"), X.unmask(F.col("target"), F.col("codes")).alias("new_text"))

@@ -15,6 +15,8 @@ from sheetloom.sources import entities as E
 from sheetloom.sources import stages
 from sheetloom.sources.tables import table
 
+from . import pipeline
+from .queries import _FITS, _OK, _PLAN, instances_sql
 from .registry import query
 from .shape_sql import paragraph_sql
 
@@ -459,6 +461,47 @@ def unseen_strings(s, d):
     return segments.unseen(_lines(s, d), ["ru", "ja"], known)
 
 
+_TI = _PP[: _PP.index(",\npi as")] + ", ti as (select *, 'TEXT' kind from pq)"
+_WANTED = f"({_OK} and not regexp_matches(plain, '^[- １２]+$'))"
+_NO_RULES = "rule as (select 0::bigint job_id, '' place, 0.0::double pos, 0.0::double lo, 0.0::double hi where false)"
+_RUN = instances_sql(_TI, _NO_RULES, _WANTED)
+
+
+def _run(s, d, shorter=None):
+    none = s.createDataFrame([], "job_id long, place string, pos double, lo double, hi double")
+    return pipeline.run_all(_lines(s, d), none, s.createDataFrame([], "source string, target string"), shorter=shorter)
+
+
+@query(f"{_RUN}, {_FITS}")
+def fit_flags_of_paragraphs(s, d):
+    return _run(s, d).fits.select("id", "flag", "suggested_width_factor", "ratio")
+
+
+@query(f"{_RUN}, {_PLAN}")
+def patch_plan_of_paragraphs(s, d):
+    return _run(s, d).plan
+
+
+@query("select o_custkey % 40 job_id, o_orderkey % 9 page, count(*) n, string_agg('w' || o_orderkey, ',' order by o_orderkey % 61, o_orderkey) writes from orders where o_orderkey % 4 <> 0 group by 1, 2")
+def page_plan(s, d):
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select((F.col("o_custkey") % 40).alias("job_id"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), k.alias("k"))
+    plan = o.select("job_id", "handle", F.when(F.col("k") % 4 == 0, "skip").otherwise("update").alias("action"), F.concat(F.lit("w"), F.col("k").cast("string")).alias("new_text"))
+    places = o.select("job_id", "handle", (F.col("k") % 9).alias("page"), F.col("k").cast("double").alias("x"), (F.col("k") % 61).cast("double").alias("y0"))
+    return review.page_plan(plan, places).select("job_id", "page", F.size("writes").cast("long").alias("n"), F.array_join(F.transform("writes", lambda w: w["new_text"]), ",").alias("writes"))
+
+
+@query(r"""with z as (select o_orderkey id, o_orderkey % 2 = 0 narrow, o_orderkey % 3 c, o_orderkey % 4 = 0 fine from orders)
+select id, case c when 0 then case when fine then 'Ａ b' else 'A b' end when 1 then case when narrow then 'label     v' else 'label   v' end else case when narrow then '\W0.8;' else '' end || '{\fNoto|b0;x}' end written,
+ case when c = 2 then 0.9::double when narrow then 0.9::double * 0.8::double else 0.9::double end width, case when c = 2 then case when narrow then 40.0::double * 0.8::double else 40.0::double end end box, case when fine then 'MS Gothic' else 'Noto' end new_font from z""")
+def refined_plan(s, d):
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders")
+    plan = o.select(F.lit(1).cast("long").alias("job_id"), k.alias("handle"), F.when(k % 3 == 2, "MTEXT").otherwise("TEXT").alias("kind"), _pick(["Ａ b", "label   v", r"{\fArial|b0;x}"], k % 3).alias("new_text"), F.when(k % 2 == 0, 0.8).otherwise(1.0).alias("width_mult"))
+    items = o.select(F.lit(1).cast("long").alias("job_id"), k.alias("handle"), F.lit("").alias("raw"), F.lit(0.9).alias("width_factor"), F.lit(40.0).alias("box_width"), F.lit("st").alias("style"), F.when(k % 4 == 0, "MS Gothic").otherwise("arial").alias("font"))
+    return review.refined(plan, items, ["gothic"]).select(F.col("handle").alias("id"), "written", "width", "box", "new_font")
+
+
 # ---------------------------------------------------------------- room, budgets, plans
 
 

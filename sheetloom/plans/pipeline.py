@@ -1,7 +1,8 @@
-"""The whole run over a table of items: prepare, translate, fit, approve, plan. One lazy plan; nothing is collected."""
+"""The whole run over a table of items: prepare, translate, fit, approve, plan. Nothing is collected; paragraphs are kept as a table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import measure as M
 from sheetloom.operators import fit, review, segments, spatial, translation
+from sheetloom.sources.stages import checkpointed
 
 
 @dataclass
@@ -24,26 +26,51 @@ class Run:
 
 
 def prepare(items: DataFrame, rules: DataFrame, target: str = "en") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(units, segments, instances). Single lines only: the width of an instance is its measured room."""
-    units = segments.masked(segments.translatable(items, segments.sources_for(target)))
+    """(units, segments, instances). A unit is a paragraph or a lone text; an instance has a cap a line, its own or the paragraph's."""
+    wanted = segments.translatable(items, segments.sources_for(target))
+    # Read three times below, and the dearest part: kept as a table.
+    joined = checkpointed(segments.paragraphs(wanted).select("job_id", "handle", "paragraph", "line"))
+    units = segments.masked(segments.paragraph_units(wanted, joined))
     seg = segments.segments(units, ["ord"]).withColumn("id", F.concat_ws("-", "job_id", "id"))
-    avail = spatial.available_widths(items, rules)
-    clear = spatial.room_below(items)
-    at = units.join(seg.select("job_id", F.col("source").alias("marked"), "id"), ["job_id", "marked"]).join(avail, ["job_id", "place", "handle"], "left").join(clear, ["job_id", "place", "handle"], "left")
-    cap = segments.single_capacity(F.col("plain"), F.col("lang"), F.col("height"), F.lit(1.0), F.col("avail"))
-    inst = at.select("id", F.col("handle").alias("inst"), F.array("handle").alias("handles"), F.array(cap).alias("caps"), F.array(cap).alias("caps_max"), F.lit(1).alias("max_lines"), M.spare_lines(F.coalesce("clear", F.lit(0.0)), F.col("height")).alias("spare"))
+    avail, clear = spatial.available_widths(items, rules), spatial.room_below(items)
+    lines = wanted.join(joined, ["job_id", "handle"], "left").withColumns({"paragraph": F.coalesce("paragraph", "handle"), "line": F.coalesce("line", F.lit(0))})
+    shared = segments.paragraph_capacity(lines, avail)
+    alone = segments.single_capacity(F.col("plain"), F.col("lang"), F.col("height"), F.lit(1.0), F.col("avail"))
+    room = lines.join(avail, ["job_id", "place", "handle"], "left").join(clear, ["job_id", "place", "handle"], "left").join(shared.select("job_id", "handle", F.col("cap").alias("p_cap"), "cap_max"), ["job_id", "handle"])
+    room = room.select("job_id", F.col("paragraph").alias("handle"), F.struct("line", alone.alias("alone"), "p_cap", "cap_max", M.spare_lines(F.coalesce("clear", F.lit(0.0)), F.col("height")).alias("spare")).alias("r"))
+    caps = room.groupBy("job_id", "handle").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    one = F.size("rs") == 1
+    each = lambda f, g: F.transform("rs", lambda r: F.when(one, r[f]).otherwise(r[g]))
+    at = units.join(seg.select("job_id", F.col("source").alias("marked"), "id"), ["job_id", "marked"]).join(caps, ["job_id", "handle"])
+    inst = at.select("job_id", "id", F.col("handle").alias("inst"), "handles", each("alone", "p_cap").alias("caps"), each("alone", "cap_max").alias("caps_max"), F.col("n_lines").alias("max_lines"), F.element_at("rs", -1)["spare"].alias("spare"))
     return units, seg, inst
 
 
-def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str = "en", approve: bool = True) -> Run:
-    """items needs job_id, ord, handle, kind, place, layer, plain, lang, height, x, y. The mock translator stands in for a model."""
+def shortened(seg: DataFrame, inst: DataFrame, answers: DataFrame, fits: DataFrame, shorter: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answers with those that overflow shortened to the least room any of their instances has; a column shortened."""
+    room = inst.groupBy("id").agg(F.min(F.aggregate("caps", F.lit(0.0), lambda a, c: a + c)).alias("room"))
+    long = answers.join(fits.where("flag = 'overflow'").select("id"), "id", "left_semi").join(seg.select("id", "source"), "id").join(room, "id")
+    cut = translation.shorten(long.select("id", "source", "target", segments.shorten_budget(F.col("room")).alias("budget")), shorter)
+    new = cut.where("shortened").select("id", F.col("target").alias("new"))
+    return answers.join(new, "id", "left").withColumns({"target": F.coalesce("new", "target"), "shortened": F.col("new").isNotNull()}).drop("new")
+
+
+def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str = "en", approve: bool = True, shorter: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+    """items needs job_id, ord, handle, kind, place, layer, plain, lang, height, x, y. The mock translator stands in for a model.
+
+    shorter (rows id, source, target, budget to id, target): answers that overflow are asked for again and assessed anew.
+    """
     units, seg, inst = prepare(items, rules, target)
     remembered = translation.hits(seg, memory).select("id", "target")
     fresh = translation.mock(translation.misses(seg, memory), target.upper())
     answers = translation.reassemble(seg, remembered, fresh)
-    fits = fit.assess(seg, inst, answers, cjk=target in ("ja", "zh"))
+    cjk = target in ("ja", "zh")
+    fits = fit.assess(seg, inst, answers, cjk=cjk)
+    if shorter is not None:
+        answers = shortened(seg, inst, answers, fits, shorter)
+        fits = fit.assess(seg, inst, answers, cjk=cjk)
     none = seg.sparkSession.createDataFrame([], "id string, text string, approved boolean, width_factor double")
     table = review.review_table(seg, answers, fits, none)
     if approve:
         table = review.review_table(seg, answers, fits, review.approve_all_ok(table, none))
-    return Run(items, units, seg, inst, answers, fits, table, review.patch_plan(table, inst, items, cjk=target in ("ja", "zh")))
+    return Run(items, units, seg, inst, answers, fits, table, review.patch_plan(table, inst, items, cjk=cjk))

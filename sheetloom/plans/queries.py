@@ -405,20 +405,40 @@ def _run(s, d):
 
 
 _CLEAR = "clr as (select a.handle, greatest(min(a.y - (b.y + b.height)), 0.0) clear from it a join it b on a.job_id = b.job_id and a.place = b.place and a.handle <> b.handle and b.y < a.y - 1e-9 and b.x < a.x + a.own_w and b.x + b.own_w > a.x where a.own_w > 0 group by 1)"
-_INST = f"""with recursive {_AV}, {_SEG[len(TI) + 2 :]}, {_CLEAR},
-inst as (select seg.job_id || '-' || seg.id id, it.handle, it.kind, it.y, it.height, plain, case when avail is not null then greatest(avail * 0.93 / (height * 1.0), {M.em_width_sql('plain')}) else {M.em_width_sql('plain')} * (case when it.lang = 'ja' then 2.4 else 1.4 end) end cap,
- case when coalesce(clear, 0) > 0 then cast(greatest(0, least(2, floor((clear - 0.35 * height) / (1.45 * height)))) as int) else 0 end spare
- from (select * from it where {_OK}) it join seg on seg.job_id = it.job_id and seg.source = it.plain left join av on it.handle = av.handle left join clr on it.handle = clr.handle),
-wi as (select handle id, '[EN]' || plain || '[/EN]' txt, [cap] caps, [cap] beside, 1 most, spare from inst), {wrap_sql('wi')}"""
 
 
-@query(f"""{_INST}, per as (select inst.id, bool_or(ovr) ovr, min(f) wf, any_value(plain) plain from inst join w_fit on inst.handle = w_fit.id group by 1)
-select id, case when ovr then 'overflow' when wf < 0.85 then 'tight' when wf < 1.0 then 'long' else '' end flag, wf suggested_width_factor, {M.em_width_sql("('[EN]' || plain || '[/EN]')")} / {M.em_width_sql('plain')} ratio from per""")
+def instances_sql(base: str, rules: str, wanted: str) -> str:
+    """The run in DuckDB up to w_fit and w_lines, over a `ti`: base defines it, rules gives `rule`, wanted says what is translated."""
+    av = _AV.replace(TI, base).replace(RULE, rules)
+    em, w = M.em_width_sql("plain"), "u.job_id = q.job_id and u.paragraph = q.paragraph"
+    return f"""with recursive {av}, {_CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 100000 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
+pi as (select job_id, place, layer, handle, ord, plain, lang, height, x, y, own_w w from ok_ where kind = 'TEXT'), {paragraph_sql('pi')},
+ln as materialized (select ok_.*, coalesce(paragraph, ok_.handle) paragraph, coalesce(line, 0) line from ok_ left join para on para.job_id = ok_.job_id and para.handle = ok_.handle),
+un as (select job_id, paragraph, count(*) n_lines, max(height) height, arg_min(lang, line) lang, arg_min(ord, line) ord, case when count(*) = 1 then any_value(plain) when arg_min(lang, line) = 'ja' then string_agg(trim(plain), '' order by line) else string_agg(trim(plain), ' ' order by line) end plain from ln group by 1, 2),
+sg as (select job_id, plain source, min(ord) first from un group by 1, 2), seg as (select *, job_id || '-s' || lpad(cast(row_number() over (partition by job_id order by first) as varchar), 5, '0') id from sg),
+pc as (select job_id, paragraph, max(x + own_w) col, min(x) st, min(x + avail * 0.93) reserve, arg_min(height, line) scale from ln left join av using (handle) group by 1, 2),
+rm as (select ln.*, n_lines, case when avail is not null then greatest(avail * 0.93 / (ln.height * 1.0), {em.replace('plain', 'ln.plain')}) else {em.replace('plain', 'ln.plain')} * (case when ln.lang = 'ja' then 2.4 else 1.4 end) end alone,
+ greatest((least(col, coalesce(reserve, col + (col - st) * 0.2)) - ln.x) / scale, {em.replace('plain', 'ln.plain')}) p_cap, greatest((greatest(least(col, coalesce(reserve, col + (col - st) * 0.2)), coalesce(reserve, col + (col - st) * 0.2)) - ln.x) / scale, {em.replace('plain', 'ln.plain')}) cap_max,
+ case when coalesce(clear, 0) > 0 then cast(greatest(0, least(2, floor((clear - 0.35 * ln.height) / (1.45 * ln.height)))) as int) else 0 end spare
+ from ln join un on ln.job_id = un.job_id and ln.paragraph = un.paragraph join pc on pc.job_id = ln.job_id and pc.paragraph = ln.paragraph left join av on av.handle = ln.handle left join clr on clr.handle = ln.handle),
+inst as materialized (select q.job_id, q.paragraph, list(q.handle order by line) hs, list(case when q.n_lines = 1 then alone else p_cap end order by line) caps, list(case when q.n_lines = 1 then alone else cap_max end order by line) beside, count(*) most, arg_max(spare, line) spare from rm q group by 1, 2),
+wi as (select inst.paragraph id, '[EN]' || plain || '[/EN]' txt, caps, beside, cast(most as int) most, spare from inst join un using (job_id, paragraph)), {wrap_sql('wi')},
+done as materialized (select seg.id, inst.*, un.plain, f, ovr from inst join un using (job_id, paragraph) join seg on seg.job_id = un.job_id and seg.source = un.plain join w_fit on w_fit.id = inst.paragraph)"""
+
+
+_FITS = f"per as (select id, bool_or(ovr) ovr, min(f) wf, any_value(plain) plain from done group by 1) select id, case when ovr then 'overflow' when wf < 0.85 then 'tight' when wf < 1.0 then 'long' else '' end flag, wf suggested_width_factor, {M.em_width_sql(chr(40) + chr(39) + '[EN]' + chr(39) + ' || plain || ' + chr(39) + '[/EN]' + chr(39) + chr(41))} / {M.em_width_sql('plain')} ratio from per"
+_PLAN = """rows_ as (select done.*, u.n from done, lateral (select unnest(range(1, greatest(len(hs), (select max(n) from w_lines l where l.id = done.paragraph)) + 1)) as n) u)
+select r.id, r.paragraph inst, it.handle, case when n > len(hs) then 'insert' else 'update' end "action", coalesce((select line from w_lines l where l.id = r.paragraph and l.n = r.n), '') new_text, f width_mult, it.y - 1.45 * it.height * greatest(n - len(hs), 0) y
+ from rows_ r join it on it.handle = r.hs[least(n, len(hs))] where n <= len(hs) or it.kind = 'TEXT'"""
+_INST = instances_sql(TI, RULE, _OK)
+
+
+@query(f"{_INST}, {_FITS}")
 def fit_flags(s, d):
     return _run(s, d).fits.select("id", "flag", "suggested_width_factor", "ratio")
 
 
-@query(f"{_INST} select inst.id, handle inst, handle, case when n = 1 then 'update' else 'insert' end \"action\", line new_text, f width_mult, y - 1.45 * height * (n - 1) y from inst join w_fit on handle = w_fit.id join w_lines l on l.id = handle where n = 1 or kind = 'TEXT'")
+@query(f"{_INST}, {_PLAN}")
 def patch_plan(s, d):
     return _run(s, d).plan
 
