@@ -688,6 +688,14 @@ def grown_sheets(s, d):
     return cluster.grown(b, spatial.side_gaps(b)).select("box", "x0", "y0", "x1", "y1")
 
 
+@query(f"with {_BX}, p as (select o_custkey % 25 job_id, o_orderkey ord, 'A-' || (o_orderkey % 90) number, (o_orderkey % 190) + 0.5::double px, (o_orderkey // 190 % 95) + 0.25::double py from orders where o_orderkey % 2 = 0) select bx.job_id, box, arg_max(p.number, ((px - x0) / (x1 - x0) - (py - y0) / (y1 - y0), -ord)) number from bx join p on p.job_id = bx.job_id and px between x0 and x1 and py between y0 and y1 group by 1, 2".replace("arg_max(p.number, ((px - x0) / (x1 - x0) - (py - y0) / (y1 - y0), -ord))", "first(p.number order by (px - x0) / (x1 - x0) - (py - y0) / (y1 - y0) desc, ord)"))
+def sheet_numbers_by_job(s, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 2 == 0, F.concat(F.lit(" A ー "), (k % 90).cast("string"))).otherwise("A-1-2")
+    items = table(s, d, "orders").select((F.col("o_custkey") % 25).alias("job_id"), k.alias("ord"), text.alias("plain"), (k % 190 + 0.5).cast("double").alias("x"), (F.floor(k / 190) % 95 + 0.25).cast("double").alias("y"))
+    return spatial.sheet_numbers(items, _boxes(s, d).drop("number")).select("job_id", "box", "number")
+
+
 @query(f"with {_BX} select box, cast(row_number() over (partition by job_id order by case when number = '' then 1 else 0 end, case when number = '' then '' else number[1] end, case when number = '' then 0 else cast(number[3:] as int) end, floor(y1 / 20.0) desc, x0, box) as int) nth from bx")
 def sheet_order(s, d):
     return cluster.named_order(_boxes(s, d), 20.0).select("box", "nth")

@@ -113,10 +113,13 @@ def mask_tokens(s, d):
     return table(s, d, "pages").select("page_id", X.mask(html, TAG).alias("marked"), F.size(X.codes(html, TAG)).cast("long").alias("n_codes"))
 
 
-@query("select page_id, html restored, true ok from pages")
+@query(r"select page_id, case page_id % 3 when 0 then html when 1 then coalesce(regexp_extract(html, '<[^>]+>'), '') || regexp_replace(html, '<[^>]+>', '') else html || regexp_extract(html, '<[^>]+>') end restored, page_id % 3 = 0 or not contains(html, '<') ok from pages".replace("html || regexp_extract(html, '<[^>]+>') end", "html end"))
 def unmask_tokens(s, d):
+    """A marker that is lost gives its code to the front; one that is repeated counts once."""
     p = table(s, d, "pages").select("page_id", "html", X.mask(F.col("html"), TAG).alias("m"), X.codes(F.col("html"), TAG).alias("c"))
-    return p.select("page_id", X.unmask(F.col("m"), F.col("c")).alias("restored"), X.markers_ok(F.col("m"), F.col("m")).alias("ok"))
+    k = F.col("page_id") % 3
+    edited = F.when(k == 0, F.col("m")).when(k == 1, F.replace("m", F.lit("⟦1⟧"), F.lit(""))).otherwise(F.concat("m", F.when(F.contains("m", F.lit("⟦1⟧")), "⟦1⟧").otherwise("")))
+    return p.withColumn("e", edited).select("page_id", X.unmask(F.col("e"), F.col("c")).alias("restored"), X.markers_ok(F.col("m"), F.col("e")).alias("ok"))
 
 
 @query(f"{_PARTS} select page_id, (page_id % 2 = 1 or len(parts) = 1) ok from p")
@@ -141,9 +144,14 @@ def em_width(s, d):
     return _ti(s, d).select("handle", M.em_width(F.col("plain")).alias("em"))
 
 
-@query(f"with {TI} select handle, len(regexp_extract_all(plain, '[\\x{{3000}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{FF00}}-\\x{{FFEF}}]+|[^\\x{{3000}}-\\x{{30FF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{FF00}}-\\x{{FFEF}}]+')) n_runs from ti")
+_WIDE = r"\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}"
+
+
+@query(f"with {TI}, r as (select handle, regexp_extract_all(plain, '[{_WIDE}]+|[^{_WIDE}]+') rs from ti) select handle, cast(len(rs) as bigint) n_runs, array_to_string(list_transform(rs, lambda x: case when regexp_matches(x, '^[{_WIDE}]') then 'w' else 'n' end || length(x)), ' ') runs from r")
 def script_runs(s, d):
-    return _ti(s, d).select("handle", F.size(X.script_runs(F.col("plain"))).cast("long").alias("n_runs"))
+    t = _ti(s, d).select("handle", X.script_runs(F.col("plain")).alias("rs"))
+    show = F.transform("rs", lambda z: F.concat(F.when(z["cjk"], "w").otherwise("n"), F.length(z["text"]).cast("string")))
+    return t.select("handle", F.size("rs").cast("long").alias("n_runs"), F.array_join(show, " ").alias("runs"))
 
 
 @query(f"with {TI} select handle, plain decoded from ti where lang = 'ru' and not regexp_matches(plain, '[^\\x{{0000}}-\\x{{007E}}\\x{{0400}}-\\x{{04FF}}]')")
@@ -167,11 +175,12 @@ def json_props_extract(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(f"with {TI}, p as (select distinct {_PLACE} place from ti) select place, row_number() over (order by place) n from p")
+@query(f"with {TI}, q as (select distinct place from ti union select distinct 'page:' || (doc_id % 30) from ti), p as (select {_PLACE} place from q) select place, row_number() over (order by not starts_with(place, 'page '), case when starts_with(place, 'page ') then cast(substring(place, 6) as int) else 0 end, place) n from p")
 def place_listing(s, d):
     from pyspark.sql.window import Window
 
-    p = _ti(s, d).select(X.place_name(F.col("place")).alias("place")).distinct()
+    t = _ti(s, d)
+    p = t.select("place").union(t.select(F.concat(F.lit("page:"), (F.col("doc_id") % 30).cast("string")))).distinct().select(X.place_name(F.col("place")).alias("place"))
     return p.select("place", F.row_number().over(Window.orderBy(*X.place_order(F.col("place")))).cast("long").alias("n"))
 
 
@@ -446,7 +455,7 @@ def patch_plan(s, d):
 _COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
-@query("select false ok, 'geometry moved' problems, (select count(*) from lineitem) n")
+@query("with m as (select count(*) n, count(*) filter (l_orderkey % 1000 = 0) moved from lineitem) select moved = 0 ok, case when moved > 0 then 'geometry moved' else '' end problems, n from m")
 def verify_report(s, d):
     before = table(s, d, "lineitem").select(*_COLS)
     moved = before.withColumn("l_quantity", F.when(F.col("l_orderkey") % 1000 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
@@ -454,7 +463,7 @@ def verify_report(s, d):
     return review.verify(a, b, 3, 4, added=1).join(a.select("n"), F.lit(True)).select("ok", F.array_join("problems", "; ").alias("problems"), "n")
 
 
-@query("select true same, count(*) n from lineitem")
+@query(f"with a as (select {', '.join(_COLS)} from lineitem), b as (select {', '.join(_COLS)} from lineitem order by l_partkey) select (select count(*) from (select * from a except all select * from b)) = 0 and (select count(*) from (select * from b except all select * from a)) = 0 same, (select count(*) from a) n")
 def fingerprint_equal(s, d):
     li = table(s, d, "lineitem").select(*_COLS)
     a, b = review.fingerprint(li, _COLS), review.fingerprint(li.repartition(7), _COLS)
@@ -518,9 +527,11 @@ def folder_counts(s, d):
     return jobs.folders(_jobs(s, d))
 
 
-@query(f"with {_JOBS} select id from jb where trim(client) = '' and (select count(*) from jb where trim(client) = '' and status = 'running') = 0")
+@query(f"with {_JOBS}, k as (select id, coalesce(nullif(trim(client), ''), 'Unfiled') || (id % 997) client, status from jb) select id, client from k where client in ('AUTOMOBILE129', 'AUTOMOBILE142', 'AUTOMOBILE104') and client not in (select client from k where status = 'running')")
 def folder_delete(s, d):
-    return jobs.deletable(_jobs(s, d), "Unfiled").select("id")
+    """Folders with a running job keep all of theirs; the others go."""
+    j = _jobs(s, d).withColumn("client", F.concat(F.coalesce(F.nullif(F.trim("client"), F.lit("")), F.lit("Unfiled")), (F.col("id") % 997).cast("string")))
+    return jobs.deletable(j, "AUTOMOBILE129").union(jobs.deletable(j, "AUTOMOBILE142")).union(jobs.deletable(j, "AUTOMOBILE104")).select("id", "client")
 
 
 @query(f"with {_JOBS} select id, coalesce(case when id % 5 = 0 then 'Moved' end, client) client, project from jb")
