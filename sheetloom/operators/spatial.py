@@ -11,18 +11,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import measure as M
+from sheetloom.sources.stages import checkpointed
 
 KEYS = ["job_id", "place"]
 MEASURED = ["TEXT", "ATTRIB", "MTEXT", "PDF"]
 
 
+OPTIONAL = {"width_factor": 1.0, "rotation": 0.0, "vertical": False, "halign": 0, "ax": 0.0}
+
+
+def measured(items: DataFrame) -> DataFrame:
+    """Geometry alone, with own_w: widths come from the letters of whole texts, so they are measured once and kept as a table."""
+    if "own_w" in items.columns:
+        return items
+    for name, value in OPTIONAL.items():
+        if name not in items.columns:
+            items = items.withColumn(name, F.lit(value))
+    own = M.rendered_width(F.col("plain"), F.col("height"), F.col("width_factor"))
+    return checkpointed(items.select(*KEYS, "handle", "kind", "height", "x", "y", *OPTIONAL, own.alias("own_w")))
+
+
 def placed(items: DataFrame) -> DataFrame:
     """Adds w (at least the height), l and r (edges), and the optional columns that are missing."""
-    for name, value in (("width_factor", 1.0), ("rotation", 0.0), ("vertical", False), ("halign", 0), ("ax", 0.0)):
+    for name, value in OPTIONAL.items():
         if name not in items.columns:
             items = items.withColumn(name, F.lit(value))
-    own = M.rendered_width(F.col("plain"), F.col("height"), F.col("width_factor"))
-    out = items.withColumn("own_w", own).withColumn("w", F.greatest("own_w", "height"))
+    if "own_w" not in items.columns:
+        items = items.withColumn("own_w", M.rendered_width(F.col("plain"), F.col("height"), F.col("width_factor")))
+    out = items.withColumn("w", F.greatest("own_w", "height"))
     return out.withColumn("l", M.left_edge(F.col("x"), F.col("ax"), F.col("w"), F.col("halign"))).withColumn("r", F.col("l") + F.col("w"))
 
 
@@ -41,7 +57,7 @@ def _sizes(items: DataFrame, times: float) -> DataFrame:
 
 def neighbours(items: DataFrame) -> DataFrame:
     """(job_id, place, handle, gap_r, gap_l): distance to the nearest text on the same row, from edge to edge; null: none in reach."""
-    p = placed(items).where((F.col("height") > 0) & F.col("kind").isin(MEASURED))
+    p = placed(measured(items)).where((F.col("height") > 0) & F.col("kind").isin(MEASURED))
     p = p.join(_sizes(p, 3.0), KEYS)
     size = F.col("size")
     a = p.where(M.is_flat(F.col("rotation"), F.col("vertical"))).select(*KEYS, "handle", "y", F.col("height").alias("h"), "l", "r", F.greatest(6 * F.col("w"), 60 * F.col("height")).alias("reach"), _cells(F.col("y") - size, F.col("y") + size, size).alias("cell"))
@@ -55,7 +71,7 @@ def neighbours(items: DataFrame) -> DataFrame:
 
 def wall_gaps(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(job_id, place, handle, crosses, wall_r, wall_l): rules through the text, and the nearest beside it where none is."""
-    p = placed(items).where((F.col("height") > 0) & F.col("kind").isin(MEASURED) & M.is_flat(F.col("rotation"), F.col("vertical")))
+    p = placed(measured(items)).where((F.col("height") > 0) & F.col("kind").isin(MEASURED) & M.is_flat(F.col("rotation"), F.col("vertical")))
     sizes = _sizes(p, 20.0)
     h, size = F.col("height"), F.col("size")
     a = p.join(sizes, KEYS).select(*KEYS, "handle", "l", "r", h.alias("h"), (F.col("y") - 0.2 * h).alias("base"), (F.col("y") + 1.2 * h).alias("top"), F.greatest(6 * F.col("w"), 60 * h).alias("reach"), "size")
@@ -72,6 +88,7 @@ def wall_gaps(items: DataFrame, rules: DataFrame) -> DataFrame:
 
 def available_widths(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(job_id, place, handle, avail): room of a flat text up to its neighbour or cell wall; no row: nothing limits it."""
+    items = measured(items)
     p = placed(items).select(*KEYS, "handle", "halign", "w", "height")
     both = p.join(neighbours(items), [*KEYS, "handle"], "left").join(wall_gaps(items, rules), [*KEYS, "handle"], "left")
     r, l, m = F.least("gap_r", "wall_r"), F.least("gap_l", "wall_l"), 0.3 * F.col("height")
@@ -79,17 +96,29 @@ def available_widths(items: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select(*KEYS, "handle", F.when(room.isNotNull(), F.greatest(room, F.col("w"))).alias("avail")).where("avail is not null")
 
 
-def room_below(items: DataFrame, floors: DataFrame | None = None, cell: float = 100.0) -> DataFrame:
-    """(job_id, place, handle, clear): clear height under a text, to the next text or rule that shares some of its width."""
-    p = placed(items)
+def room_below(items: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """(job_id, place, handle, clear): clear height under a text, to the next text or rule that shares some of its width.
+
+    A text looks through its own band of heights and the one below. What it finds there is final if nothing farther down can
+    reach as high; only the others look through their whole columns, in cells of twice the place's mean width.
+    """
+    p = placed(measured(items))
     a = p.where(M.is_flat(F.col("rotation"), F.col("vertical")) & (F.col("height") > 0) & (F.col("own_w") > 0)).select(*KEYS, "handle", "y", F.col("x").alias("x0"), (F.col("x") + F.col("own_w")).alias("x1"))
     b = p.select(*KEYS, F.col("handle").alias("o"), F.col("y").alias("oy"), F.col("height").alias("oh"), F.col("x").alias("o0"), (F.col("x") + F.col("own_w")).alias("o1"))
     if floors is not None:
         b = b.unionByName(floors.select(*KEYS, F.lit(None).cast("string").alias("o"), F.col("pos").alias("oy"), F.lit(0.0).alias("oh"), F.col("lo").alias("o0"), F.col("hi").alias("o1")))
-    a, b = a.withColumn("cell", _cells(F.col("x0"), F.col("x1"), cell)), b.withColumn("cell", _cells(F.col("o0"), F.col("o1"), cell))
     under = ~F.col("o").eqNullSafe(F.col("handle")) & (F.col("oy") < F.col("y") - 1e-9) & (F.col("o0") < F.col("x1")) & (F.col("o1") > F.col("x0"))
-    met = a.join(b, [*KEYS, "cell"]).where(under)
-    return met.groupBy(*KEYS, "handle").agg(F.greatest(F.min(F.col("y") - (F.col("oy") + F.col("oh"))), F.lit(0.0)).alias("clear"))
+    top = F.max(F.col("oy") + F.col("oh")).alias("top")
+    sizes = p.groupBy(*KEYS).agg(F.greatest(F.max("height"), F.lit(1e-9)).alias("tall"), F.greatest(2 * F.avg("own_w"), F.lit(1e-9)).alias("wide"))
+    band = F.floor(F.col("y") / (20 * F.col("tall"))).cast("long")
+    near_a = a.join(sizes, KEYS).withColumn("band", band)
+    near_b = b.join(sizes, KEYS).withColumn("band", F.explode(F.array(F.floor(F.col("oy") / (20 * F.col("tall"))).cast("long"), F.floor(F.col("oy") / (20 * F.col("tall"))).cast("long") + 1))).drop("tall", "wide")
+    near = near_a.join(near_b, [*KEYS, "band"]).where(under).groupBy(*KEYS, "handle").agg(F.first("y").alias("y"), F.first("tall").alias("tall"), F.first("band").alias("band"), top)
+    final = near.where(F.col("top") >= (F.col("band") - 1) * 20 * F.col("tall") + F.col("tall")).select(*KEYS, "handle", "y", "top")
+    rest = a.join(final.select(*KEYS, "handle"), [*KEYS, "handle"], "left_anti")
+    celled = lambda df, lo, hi: df.join(sizes.select(*KEYS, "wide"), KEYS).withColumn("cell", _cells(F.col(lo), F.col(hi), F.col("wide"))).drop("wide")
+    far = celled(rest, "x0", "x1").join(celled(b, "o0", "o1"), [*KEYS, "cell"]).where(under).groupBy(*KEYS, "handle").agg(F.first("y").alias("y"), top)
+    return final.unionByName(far).select(*KEYS, "handle", F.greatest(F.col("y") - F.col("top"), F.lit(0.0)).alias("clear"))
 
 
 def _jobs(df: DataFrame) -> list[str]:

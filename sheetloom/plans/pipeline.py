@@ -32,7 +32,8 @@ def prepare(items: DataFrame, rules: DataFrame, target: str = "en") -> tuple[Dat
     joined = checkpointed(segments.paragraphs(wanted).select("job_id", "handle", "paragraph", "line"))
     units = segments.masked(segments.paragraph_units(wanted, joined))
     seg = segments.segments(units, ["ord"]).withColumn("id", F.concat_ws("-", "job_id", "id"))
-    avail, clear = spatial.available_widths(items, rules), spatial.room_below(items)
+    geometry = spatial.measured(items)
+    avail, clear = spatial.available_widths(geometry, rules), spatial.room_below(geometry)
     lines = wanted.join(joined, ["job_id", "handle"], "left").withColumns({"paragraph": F.coalesce("paragraph", "handle"), "line": F.coalesce("line", F.lit(0))})
     shared = segments.paragraph_capacity(lines, avail)
     alone = segments.single_capacity(F.col("plain"), F.col("lang"), F.col("height"), F.lit(1.0), F.col("avail"))
