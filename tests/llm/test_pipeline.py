@@ -23,3 +23,77 @@ def test_contaminated_spans_go(spark):
     out = {r.doc_id: r for r in corpus_pipeline.benchmark(spark, docs, SF).collect()}
     assert set(out) == {1, 3} and out[3].text == "clean text"
     assert item[:60] not in out[1].text and out[1].n_chars == len(out[1].text)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["lang_pred", "score", "removed", "class_id", "n_class", "n_words", "n_hit", "clean_text", "copies", "size", "h", "d", "t"]
+
+
+def awkward(spark):
+    """Nulls in every column, empty and blank texts, repeated rows and ids, ties, a very long text, and columns of clashing names."""
+    import random
+
+    r = random.Random(4)
+    voc = {"en": "the house of water and stone near long river bank where people walk".split(), "de": "das haus von wasser und stein nahe dem langen fluss wo leute gehen".split()}
+    text = lambda l, n: "\n".join(" ".join(r.choice(voc[l]) + r.choice(["", "s", "en", str(r.randint(0, 999))]) for _ in range(12)) for _ in range(n))
+    rows = [(i, text(l := r.choice(["en", "de"]), r.randint(2, 6)), l, r.choice(["a", "b", None]), 1) for i in range(60)]
+    near = rows[3][1].split(" ")
+    near[20] = "changed"
+    rows += [(100, rows[3][1], "en", "a", 1), (101, " ".join(near), "en", "b", 1), (102, None, "en", "a", None), (103, "", None, "b", 0), (104, " \n\n ", "de", None, 4), (None, text("de", 3), "de", "a", 1), (None, None, None, None, None)]
+    rows += [rows[5], rows[5], (5, text("en", 2), "en", "z", 1), (106, text("en", 4000), "en", "a", 1), (107, "— 12 !?", None, "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in CLASHING:
+        docs = docs.selectExpr("*", f"concat('own', doc_id) as {c}")
+    return docs
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = awkward(spark)
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = docs.collect()
+        assert docs.columns == (columns if k < 4 else [*columns, "copy"])
+        # Columns that the stages do not own come through unchanged.
+        own = {x.doc_id: x.score for x in before}
+        assert all(x.score == own[x.doc_id] for x in after)
+        if name == "language_id":
+            assert {x.doc_id for x in before} - {x.doc_id for x in after} == {102, 103, 104, 107}
+            assert all(x.text is not None for x in after)
+        if name == "line_dedup":
+            seen, want = [], {}
+            # Rows that repeat an id and a text are one document; of one id, texts have some fixed order.
+            key = lambda x: (x.doc_id is not None, x.doc_id or 0)
+            pairs = sorted({(key(x), x.text) for x in before})
+            tied = {k for k, n in Counter(k for k, _ in pairs).items() if n > 1}
+            for at, text in pairs:
+                kept = []
+                for line in text.split("\n"):
+                    s = frozenset(line.split())
+                    if not s or not any(5 * len(s & q) >= 4 * len(s | q) for q in seen):
+                        kept.append(line)
+                    if s:
+                        seen.append(s)
+                want[at, text] = "\n".join(kept)
+            expected = Counter((x.doc_id, want[key(x), x.text]) for x in before if key(x) not in tied and want[key(x), x.text].strip())
+            assert Counter((x.doc_id, x.text) for x in after if key(x) not in tied) == expected
+        if name == "near_dedup":
+            assert len({x.text for x in after}) == len(after)
+        if name == "mixing":
+            assert {x.copy for x in after} <= {1, 2}
+    assert docs.where(F.col("doc_id") == 106).count() >= 1
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+    assert out.columns == [*docs.columns, "copy"]
