@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontaminate", benchmark), ("mixing", mixture)]
 
-#: Likelihoods, components and Newton steps are beyond SQL; tests hold the stages against brute force.
+#: Likelihoods, components and Newton steps are beyond SQL; tests hold each operator, and the line stage of the pipeline, against brute force.
 ORACLE_SQL = None
 
 
