@@ -29,6 +29,8 @@ TOLERANCE = 1e-9
 STRIPE_ROWS = 50_000
 #: Passes that settle what rounding left.
 SETTLE_PASSES = 3
+#: Sources up to which their one row each is broadcast (under 200 bytes a row); checked by a count, beyond it both sides shuffle.
+FEW_SOURCES = 10_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,16 +64,21 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return at.select("sk", "source_size", "n_docs", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("level"))).alias("target"))
 
 
+def _beside(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """rows with the row of their source: no shuffle of rows, and so no hot source in one task, where sources are few."""
+    return rows.join(F.broadcast(sources) if few else sources, "sk")
+
+
 def _rate(lam: Column, x: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * x))))
 
 
-def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+def _newton(hist: DataFrame, state: DataFrame, cap: float, few: bool) -> DataFrame:
     """One step for every source that is not done: one aggregation over the histogram, partial sums first."""
     lam, x = F.col("lam"), F.col("size") * F.col("scale")
     r = _rate(lam, x, cap)
     took = F.col("n") * F.col("size") * r
-    sums = hist.join(state.where("not done"), "sk").groupBy("sk").agg(F.sum(took).alias("value"), F.sum(F.when(r < cap, took * x).otherwise(0.0)).alias("slope"))
+    sums = _beside(hist, state.where("not done"), few).groupBy("sk").agg(F.sum(took).alias("value"), F.sum(F.when(r < cap, took * x).otherwise(0.0)).alias("slope"))
     gap = F.col("value") - F.col("target")
     lo, hi = F.when(gap < 0, lam).otherwise(F.col("lo")), F.when(gap > 0, lam).otherwise(F.col("hi"))
     guess = lam - gap / F.when(F.col("slope") > 0, F.col("slope"))
@@ -80,20 +87,20 @@ def _newton(hist: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     return state.join(sums, "sk", "left").select("sk", "target", "source_size", "scale", F.when(done, lam).otherwise(new).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done"))
 
 
-def solve(hist: DataFrame, goals: DataFrame, cap: float = CAP, max_steps: int = MAX_STEPS) -> DataFrame:
+def solve(hist: DataFrame, goals: DataFrame, cap: float = CAP, max_steps: int = MAX_STEPS, few: bool = False) -> DataFrame:
     """(sk, lam, scale, target, source_size). hist: (sk, size, n); goals: (sk, source_size, n_docs, target)."""
     full = F.col("target") >= cap * F.col("source_size")
     state = goals.select("sk", "target", "source_size", F.when(F.col("source_size") > 0, F.col("n_docs") / F.col("source_size")).otherwise(0.0).alias("scale"), F.when(full, 1e6).otherwise(0.0).alias("lam"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"), full.alias("done"))
     for _ in range(0, max_steps, STEPS_A_CUT):
         for _ in range(STEPS_A_CUT):
-            state = _newton(hist, state, cap)
+            state = _newton(hist, state, cap, few)
         state = cut(state)
         if state.where("not done").isEmpty():
             break
     return state.select("sk", "lam", "scale", "target", "source_size")
 
 
-def round_copies(rated: DataFrame, cap: int = CAP, passes: int = SETTLE_PASSES) -> DataFrame:
+def round_copies(rated: DataFrame, cap: int = CAP, passes: int = SETTLE_PASSES, few: bool = False) -> DataFrame:
     """Adds copies to (rid, doc_id, h, sk, size, n_docs, target, r): 0 to cap, near sum(size * r) by source."""
     stripe = F.pmod(F.xxhash64("doc_id", "h"), F.ceil(F.col("n_docs") / STRIPE_ROWS).cast("long"))
     along = Window.partitionBy("sk", "stripe").orderBy(F.desc("size"), "doc_id", "h", "rid")
@@ -104,7 +111,7 @@ def round_copies(rated: DataFrame, cap: int = CAP, passes: int = SETTLE_PASSES)
         out = cut(out)
         off = out.groupBy("sk").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
         # One candidate a source and size class: its longest document that can give or take a copy.
-        can = out.join(off, "sk").where((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") <= F.abs("off")))
+        can = _beside(out, off, few).where((F.col("size") > 0) & F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") <= F.abs("off")))
         best = can.groupBy("sk", F.floor(F.log2("size")).alias("class")).agg(F.max(F.struct("size", "doc_id", "h", "rid")).alias("c"), F.max("off").alias("off"))
         offers = best.groupBy("sk").agg(F.max("off").alias("off"), F.sort_array(F.collect_list("c"), asc=False).alias("cs"))
         start = F.struct(F.abs("off").alias("left"), F.array().cast("array<bigint>").alias("ids"))
@@ -121,9 +128,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     hist = cut(sized.groupBy("sk", "size").agg(F.count("*").alias("n")))
     sources = hist.groupBy("sk").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     goals = cut(targets(sources, weights, share, cap))
-    lam = solve(hist.where("size > 0"), goals, cap).drop("source_size", "target").join(goals, "sk")
-    rated = sized.join(lam, "sk").withColumn("r", F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(_rate(F.col("lam"), F.col("size") * F.col("scale"), cap)))
-    return round_copies(rated.drop("lam", "scale"), cap)
+    few = goals.count() <= FEW_SOURCES
+    lam = solve(hist.where("size > 0"), goals, cap, few=few).drop("source_size", "target").join(goals, "sk")
+    rated = _beside(sized, lam, few).withColumn("r", F.when(F.col("target") >= cap * F.col("source_size"), F.lit(float(cap))).otherwise(_rate(F.col("lam"), F.col("size") * F.col("scale"), cap)))
+    return round_copies(rated.drop("lam", "scale"), cap, few=few)
 
 
 def op5(docs: DataFrame) -> DataFrame:
