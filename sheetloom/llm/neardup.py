@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, NON_SPACE, cut, mix, prefix_sums, slice_hashes, sliced, utf8, word_bounds
+from .common import BYTE_CODES, NON_SPACE, cut, mix, prefix_sums, slice_hashes, sliced, stash, utf8, word_bounds
 from .graph import components
 
 SHINGLE = 5
@@ -240,8 +240,9 @@ def classes(docs: DataFrame) -> DataFrame:
     n, named = _labelled(docs)
     ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
     of_text = named.join(ids, "label").select("h1", "h2", "class_id", "label")
-    with_words = n.rows.join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "label")
-    size = with_words.groupBy("label").agg(F.count("*").alias("n_class"))
+    # Tables of their own: rows and sizes then meet from two exchanges, and the part of a hot class can be split.
+    with_words = stash(n.rows.join(of_text, ["h1", "h2"]).select("doc_id", "class_id", "label"))
+    size = stash(with_words.groupBy("label").agg(F.count("*").alias("n_class")))
     out = with_words.join(size, "label").select("doc_id", "class_id", "n_class")
     blank = _blank(docs).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"))
     return out.unionByName(blank)

@@ -168,7 +168,8 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     w = tokens.window
     keyed = _keyed(docs)
     found = stash(keyed.mapInArrow(_anchors(tokens), "k1 long, k2 long, lo int, hi int, at int, gram long, ctx long"))
-    recur = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("pure")).where("n > 1").select("gram", "pure")
+    # A table of its own: the join below then reads anchors and grams from two exchanges, and a hot gram's part can be split.
+    recur = stash(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("pure")).where("n > 1").select("gram", "pure"))
     rows = stash(found.join(recur, "gram"))
     mixed = rows.where("not pure")
     contexts = stash(mixed.groupBy("gram", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("one")))
