@@ -51,8 +51,12 @@ def to_remember(table: DataFrame) -> DataFrame:
     return table.where("approved and trim(target) <> ''").select("source", "target")
 
 
-def to_check(table: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """(place, kind, n, shown): what is worth a look, by place; table has places array<string>; flags (place, note)."""
+#: Texts of a place and kind that a report carries; n counts all.
+SHOWN = 50
+
+
+def to_check(table: DataFrame, flags: DataFrame | None = None, keep: int = SHOWN) -> DataFrame:
+    """(place, kind, n, shown): what is worth a look, by place; table has places array<string>; flags (place, note). shown: the first `keep` by id."""
     kinds = F.array_compact(F.array(F.when(F.col("fit") == "overflow", "wider than the space"), F.when(~F.col("approved"), "not approved, so left in the original language").when(~F.col("ok"), "the model was unsure")))
     shown = X.excerpt(F.when(F.col("display") != "", F.col("display")).otherwise(F.col("source")))
     places = F.when(F.size(F.coalesce("places", F.array().cast("array<string>"))) > 0, F.col("places")).otherwise(F.array(F.lit("somewhere not recorded")))
@@ -60,7 +64,11 @@ def to_check(table: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     if flags is not None:
         note = F.when(F.trim("note") == "", "no note given").otherwise(F.trim("note"))
         rows = rows.unionByName(flags.select(F.lit("").alias("id"), "place", F.lit("flagged by the reviewer").alias("kind"), note.alias("shown")))
-    return rows.groupBy("place", "kind").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("id", "shown"))), lambda z: z["shown"]).alias("shown"))
+    sizes = rows.groupBy("place", "kind").agg(F.count("*").alias("n"))
+    # The limit on the rank is applied in every task before rows move.
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("place", "kind").orderBy("id", "shown"))).where(F.col("nth") <= keep)
+    texts = first.groupBy("place", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "shown"))), lambda z: z["shown"]).alias("shown"))
+    return sizes.join(texts, ["place", "kind"])
 
 
 def report_lines(checks: DataFrame, sample: int = 4) -> DataFrame:

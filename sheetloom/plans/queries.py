@@ -27,7 +27,7 @@ def _ti(s: SparkSession, d: str) -> DataFrame:
 
 def _ord(df: DataFrame) -> DataFrame:
     """A stable scan order from the keys."""
-    return df.withColumn("ord", F.col("doc_id") * 100_000 + F.col("pos"))
+    return df.withColumn("ord", F.col("doc_id") * (1 << 32) + F.col("pos"))
 
 
 # ---------------------------------------------------------------- inventory
@@ -72,7 +72,7 @@ def skipped_items(s, d):
     return segments.skipped(_ti(s, d), ["ru", "ja"]).select("handle")
 
 
-_SEG = f"""{TI}, sg as (select job_id, plain source, min(doc_id * 100000 + pos) first, arg_min(lang, doc_id * 100000 + pos) lang, max(height) max_height, count(*) n from ti where {_OK} group by 1, 2),
+_SEG = f"""{TI}, sg as (select job_id, plain source, min(doc_id * 4294967296 + pos) first, arg_min(lang, doc_id * 4294967296 + pos) lang, max(height) max_height, count(*) n from ti where {_OK} group by 1, 2),
 seg as (select *, 's' || lpad(cast(row_number() over (partition by job_id order by first) as varchar), 5, '0') id from sg)"""
 
 
@@ -86,7 +86,7 @@ def segments_dedup(s, d):
     return _segments(s, d).select("job_id", "id", "source", "lang", "max_height", F.col("count").alias("n"))
 
 
-@query(f"with {_SEG}, l as (select job_id, plain source, layer, min(doc_id * 100000 + pos) o from ti where {_OK} group by 1, 2, 3) select seg.job_id, id, string_agg(layer, ', ' order by o) layers from seg join l on seg.job_id = l.job_id and seg.source = l.source group by 1, 2")
+@query(f"with {_SEG}, l as (select job_id, plain source, layer, min(doc_id * 4294967296 + pos) o from ti where {_OK} group by 1, 2, 3) select seg.job_id, id, string_agg(layer, ', ' order by o) layers from seg join l on seg.job_id = l.job_id and seg.source = l.source group by 1, 2")
 def segment_context(s, d):
     return _segments(s, d).select("job_id", "id", F.array_join("layers", ", ").alias("layers"))
 
@@ -352,10 +352,10 @@ def sheet_number_topbox(s, d):
 
 
 def _points(s, d):
-    return _ti(s, d).select("job_id", "place", (F.col("doc_id") * 100_000 + F.col("pos")).alias("node"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return _ti(s, d).select("job_id", "place", (F.col("doc_id") * (1 << 32) + F.col("pos")).alias("node"), F.col("x").alias("px"), F.col("y").alias("py"))
 
 
-_PTS = f"{TI}, pts as (select job_id, place, doc_id * 100000 + pos node, x px, y py from ti)"
+_PTS = f"{TI}, pts as (select job_id, place, doc_id * 4294967296 + pos node, x px, y py from ti)"
 
 
 @query(f"with recursive {_PTS}, {components_sql('30.0')} select node, label from labelled")
@@ -379,7 +379,7 @@ def upper_median(s, d):
     return _ti(s, d).groupBy("job_id").agg(M.upper_median(F.collect_list("height")).alias("height"))
 
 
-_PI = f"pi as (select job_id, place, layer, handle, doc_id * 100000 + pos ord, plain, lang, height, x, y, {M.em_width_sql('plain')} * height w from ti where kind = 'TEXT')"
+_PI = f"pi as (select job_id, place, layer, handle, doc_id * 4294967296 + pos ord, plain, lang, height, x, y, {M.em_width_sql('plain')} * height w from ti where kind = 'TEXT')"
 
 
 @query(f"with recursive {TI}, {_PI}, {paragraph_sql('pi')} select handle, paragraph, line from para")
@@ -420,7 +420,7 @@ def instances_sql(base: str, rules: str, wanted: str) -> str:
     """The run in DuckDB up to w_fit and w_lines, over a `ti`: base defines it, rules gives `rule`, wanted says what is translated."""
     av = _AV.replace(TI, base).replace(RULE, rules)
     em, w = M.em_width_sql("plain"), "u.job_id = q.job_id and u.paragraph = q.paragraph"
-    return f"""with recursive {av}, {_CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 100000 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
+    return f"""with recursive {av}, {_CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 4294967296 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
 pi as (select job_id, place, layer, handle, ord, plain, lang, height, x, y, own_w w from ok_ where kind = 'TEXT'), {paragraph_sql('pi')},
 ln as materialized (select ok_.*, coalesce(paragraph, ok_.handle) paragraph, coalesce(line, 0) line from ok_ left join para on para.job_id = ok_.job_id and para.handle = ok_.handle),
 un as (select job_id, paragraph, count(*) n_lines, max(height) height, arg_min(lang, line) lang, arg_min(ord, line) ord, case when count(*) = 1 then any_value(plain) when arg_min(lang, line) = 'ja' then string_agg(trim(plain), '' order by line) else string_agg(trim(plain), ' ' order by line) end plain from ln group by 1, 2),
