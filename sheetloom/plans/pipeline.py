@@ -66,9 +66,12 @@ def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str =
     fresh = translation.mock(translation.misses(seg, memory), target.upper())
     answers = translation.reassemble(seg, remembered, fresh)
     cjk = target in ("ja", "zh")
+    if shorter is not None:
+        # Each is read several times by what follows; as one plan it would grow with every pass.
+        seg, inst, answers = checkpointed(seg), checkpointed(inst), checkpointed(answers)
     fits = fit.assess(seg, inst, answers, cjk=cjk)
     if shorter is not None:
-        answers = shortened(seg, inst, answers, fits, shorter)
+        answers = checkpointed(shortened(seg, inst, answers, checkpointed(fits), shorter))
         fits = fit.assess(seg, inst, answers, cjk=cjk)
     none = seg.sparkSession.createDataFrame([], "id string, text string, approved boolean, width_factor double")
     table = review.review_table(seg, answers, fits, none)
