@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, linededup, mixing, neardup, phrasededup, pii, secrets, suffixdedup
+from . import alignment, ann, decontaminate, infill, langid, linededup, mixing, neardup, phrasededup, pii, secrets, suffixdedup
 from .common import table
 
 
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": lambda s, d: linededup.op10(table(s, d, "documents")),
         "op8_phrase_dedup": lambda s, d: phrasededup.op8(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: neardup.op9(table(s, d, "documents")),
+        "op11_token_alignment": lambda s, d: alignment.op11(table(s, d, "documents")),
+        "op12_fill_in_middle": lambda s, d: infill.op12(table(s, d, "documents")),
     }
 
 
@@ -61,7 +63,14 @@ gone as (select doc_id, ln from ln join f on ln.ts = f.ts left join near on f.id
 g as (select doc_id, count(*) n, string_agg(cast(ln as varchar), ',' order by ln) removed from gone group by doc_id)
 select d.doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end n_lines, coalesce(g.n, 0) n_removed, coalesce(removed, '') removed from documents d left join g on d.doc_id = g.doc_id"""
 
+_OP12 = r"""with t as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+d as (select doc_id, t, length(t) n, cast('0x' || h[1:8] as ubigint) % (length(t) + 1) c1, cast('0x' || h[9:16] as ubigint) % (length(t) + 1) c2, cast('0x' || h[17:24] as ubigint) % 100 f, cast('0x' || h[25:32] as ubigint) % 100 o from t),
+c as (select *, cast(least(c1, c2) as bigint) p, cast(greatest(c1, c2) as bigint) q, case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or f >= 90 then 'plain' when o < 20 then 'spm' else 'psm' end form from d),
+x as (select *, substring(t, 1, p) a, substring(t, p + 1, q - p) m, substring(t, q + 1) z from c)
+select doc_id, n, form, case when form <> 'plain' then p end prefix_chars, case when form <> 'plain' then q - p end middle_chars, sha256(t) restored_sha256,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) output_sha256 from x"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL; offsets of matches, byte windows, fitted models and roundings are beyond it and are held by tests."""
-    return {"op7_decontaminate": _OP7, "op8_phrase_dedup": _OP8, "op9_near_dedup": _OP9, "op10_line_dedup": _OP10}
+    return {"op7_decontaminate": _OP7, "op8_phrase_dedup": _OP8, "op9_near_dedup": _OP9, "op10_line_dedup": _OP10, "op12_fill_in_middle": _OP12}
