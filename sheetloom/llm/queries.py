@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, decontaminate, infill, langid, linededup, mixing, neardup, phrasededup, pii, secrets, suffixdedup
+from . import alignment, ann, decontaminate, infill, langid, linededup, mixing, neardup, ngramjoin, phrasededup, pii, secrets, suffixdedup
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_phrase_dedup": lambda s, d: phrasededup.op8(table(s, d, "documents")),
         "op9_near_dedup": lambda s, d: neardup.op9(table(s, d, "documents")),
         "op11_token_alignment": lambda s, d: alignment.op11(table(s, d, "documents")),
+        "op13_ngram_join": lambda s, d: ngramjoin.op13(table(s, d, "documents")),
         "op12_fill_in_middle": lambda s, d: infill.op12(table(s, d, "documents")),
     }
 
@@ -70,7 +71,14 @@ x as (select *, substring(t, 1, p) a, substring(t, p + 1, q - p) m, substring(t,
 select doc_id, n, form, case when form <> 'plain' then p end prefix_chars, case when form <> 'plain' then q - p end middle_chars, sha256(t) restored_sha256,
   sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) output_sha256 from x"""
 
+_OP13 = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[u.i:u.i + 4], ' ') s from w, lateral (select unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i) u where len(ws) > 0),
+size as (select doc_id, count(*) n from sh group by doc_id), pr as (select a.doc_id a, b.doc_id b, count(*) n from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+e0 as (select a, b from pr join size x on a = x.doc_id join size y on b = y.doc_id where 100 * pr.n >= 80 * (x.n + y.n - pr.n)), e as (select a, b from e0 union all select b, a from e0),
+reach(a, b) as (select doc_id, doc_id from documents union select reach.a, e.b from reach join e on reach.b = e.a)
+select d.doc_id, coalesce(size.n, 0) n_shingles, c.b component_id from documents d left join size on d.doc_id = size.doc_id join (select a, min(b) b from reach group by a) c on d.doc_id = c.a"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL; offsets of matches, byte windows, fitted models and roundings are beyond it and are held by tests."""
-    return {"op7_decontaminate": _OP7, "op8_phrase_dedup": _OP8, "op9_near_dedup": _OP9, "op10_line_dedup": _OP10, "op12_fill_in_middle": _OP12}
+    return {"op7_decontaminate": _OP7, "op8_phrase_dedup": _OP8, "op9_near_dedup": _OP9, "op10_line_dedup": _OP10, "op12_fill_in_middle": _OP12, "op13_ngram_join": _OP13}
