@@ -93,11 +93,12 @@ def report(result: DataFrame, checks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- patch plan
 
 
-def patch_plan(table: DataFrame, instances: DataFrame, items: DataFrame, only_approved: bool = True, cjk: bool = False) -> DataFrame:
-    """(id, inst, handle, action, new_text, width_mult, y): updates of every line, and inserts for lines below the last of a text.
+def line_writes(table: DataFrame, instances: DataFrame, items: DataFrame, only_approved: bool = True, cjk: bool = False) -> DataFrame:
+    """(job_id, id, inst, handle, kind, seq, below, action, new_text, width_mult, y): updates of every line, and inserts for lines below the last of a text.
 
     instances: (job_id, id, inst, handles, caps, caps_max, max_lines, spare). A reviewer's width factor wraps at that factor
     and folds the rest into the last line; otherwise the best wrap decides. A line that is no longer needed becomes blank.
+    seq orders the writes of a job: by segment, then text, then line.
     """
     want = table.where((F.col("target") != "") & (F.col("approved") | F.lit(not only_approved))).select("id", "width_factor", "width_override", F.col("display").alias("text"))
     best = fits.wrap_at(fits.wrap_best(want.join(instances, "id"), cjk), cjk)
@@ -107,7 +108,12 @@ def patch_plan(table: DataFrame, instances: DataFrame, items: DataFrame, only_ap
     at = items.select("job_id", "handle", "kind", "height", "y")
     out = rows.join(at, ["job_id", "handle"], "left").where(F.col("below").isNull() | (F.col("kind") == "TEXT"))
     action = F.when(F.col("kind").isNull(), "skip").when(F.col("below").isNotNull(), "insert").otherwise("update")
-    return out.select("id", "inst", "handle", action.alias("action"), F.col("line").alias("new_text"), F.col("mult").alias("width_mult"), (F.col("y") - 1.45 * F.col("height") * F.coalesce("below", F.lit(0))).alias("y"))
+    return out.select("job_id", "id", "inst", "handle", "kind", F.struct("id", "inst", "line_no").alias("seq"), "below", action.alias("action"), F.col("line").alias("new_text"), F.col("mult").alias("width_mult"), (F.col("y") - 1.45 * F.col("height") * F.coalesce("below", F.lit(0))).alias("y"))
+
+
+def patch_plan(table: DataFrame, instances: DataFrame, items: DataFrame, only_approved: bool = True, cjk: bool = False) -> DataFrame:
+    """(id, inst, handle, action, new_text, width_mult, y) of line_writes."""
+    return line_writes(table, instances, items, only_approved, cjk).select("id", "inst", "handle", "action", "new_text", "width_mult", "y")
 
 
 def refined(plan: DataFrame, items: DataFrame, fine: list[str] | None = None, face: str = "Noto") -> DataFrame:

@@ -1,4 +1,7 @@
-"""The whole run over a table of items: prepare, translate, fit, approve, plan. Nothing is collected; paragraphs are kept as a table."""
+"""The whole run: prepare, translate, fit, approve, plan over a table of items, then write into the entities and verify.
+
+Nothing is collected; what several steps read is kept as a table.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.functions import measure as M
-from sheetloom.operators import fit, review, segments, spatial, translation
+from sheetloom.operators import apply, fit, review, segments, spatial, translation
+from sheetloom.sources import entities as scans
 from sheetloom.sources.stages import checkpointed
 
 
@@ -23,9 +27,21 @@ class Run:
     fits: DataFrame
     table: DataFrame
     plan: DataFrame
+    cjk: bool = False
+
+
+@dataclass
+class Finished:
+    """A run carried through: what was written, the entities after it, the writes that are not in force, and each job's verdict."""
+
+    run: Run
+    writes: DataFrame
+    after: DataFrame
+    conflicts: DataFrame
+    verdicts: DataFrame
 
 
-def prepare(items: DataFrame, rules: DataFrame, target: str = "en") -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepare(items: DataFrame, rules: DataFrame, target: str = "en", floors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, segments, instances). A unit is a paragraph or a lone text; an instance has a cap a line, its own or the paragraph's."""
     wanted = segments.translatable(items, segments.sources_for(target))
     # Read three times below, and the dearest part: kept as a table.
@@ -33,7 +49,7 @@ def prepare(items: DataFrame, rules: DataFrame, target: str = "en") -> tuple[Dat
     units = segments.masked(segments.paragraph_units(wanted, joined))
     seg = segments.segments(units, ["ord"]).withColumn("id", F.concat_ws("-", "job_id", "id"))
     geometry = spatial.measured(items)
-    avail, clear = spatial.available_widths(geometry, rules), spatial.room_below(geometry)
+    avail, clear = spatial.available_widths(geometry, rules), spatial.room_below(geometry, floors)
     lines = wanted.join(joined, ["job_id", "handle"], "left").withColumns({"paragraph": F.coalesce("paragraph", "handle"), "line": F.coalesce("line", F.lit(0))})
     shared = segments.paragraph_capacity(lines, avail)
     alone = segments.single_capacity(F.col("plain"), F.col("lang"), F.col("height"), F.lit(1.0), F.col("avail"))
@@ -56,12 +72,13 @@ def shortened(seg: DataFrame, inst: DataFrame, answers: DataFrame, fits: DataFra
     return answers.join(new, "id", "left").withColumns({"target": F.coalesce("new", "target"), "shortened": F.col("new").isNotNull()}).drop("new")
 
 
-def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str = "en", approve: bool = True, shorter: Callable[[DataFrame], DataFrame] | None = None) -> Run:
+def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str = "en", approve: bool = True, shorter: Callable[[DataFrame], DataFrame] | None = None, floors: DataFrame | None = None) -> Run:
     """items needs job_id, ord, handle, kind, place, layer, plain, lang, height, x, y. The mock translator stands in for a model.
 
     shorter (rows id, source, target, budget to id, target): answers that overflow are asked for again and assessed anew.
+    rules stand upright beside texts, floors lie level below them.
     """
-    units, seg, inst = prepare(items, rules, target)
+    units, seg, inst = prepare(items, rules, target, floors)
     remembered = translation.hits(seg, memory).select("id", "target")
     fresh = translation.mock(translation.misses(seg, memory), target.upper())
     answers = translation.reassemble(seg, remembered, fresh)
@@ -77,4 +94,29 @@ def run_all(items: DataFrame, rules: DataFrame, memory: DataFrame, target: str =
     table = review.review_table(seg, answers, fits, none)
     if approve:
         table = review.review_table(seg, answers, fits, review.approve_all_ok(table, none))
-    return Run(items, units, seg, inst, answers, fits, table, review.patch_plan(table, inst, items, cjk=cjk))
+    return Run(items, units, seg, inst, answers, fits, table, review.patch_plan(table, inst, items, cjk=cjk), cjk)
+
+
+def run_drawing(entities: DataFrame, memory: DataFrame, fonts: DataFrame | None = None, target: str = "en", fine: list[str] | None = None, face: str = "Noto", shorter: Callable[[DataFrame], DataFrame] | None = None) -> Finished:
+    """From the entities of drawings to the entities after: scan, rules and floors, the run, writes of all kinds, and the proof.
+
+    fonts: (job_id, style, font); styles without one count as neither fine nor known.
+    """
+    found = checkpointed(scans.items(entities))
+    walls, floors = (checkpointed(scans.rule_lines(entities, vertical)) for vertical in (True, False))
+    run = run_all(found, walls, memory, target, shorter=shorter, floors=floors)
+    return finish(run, entities, fonts, fine, face)
+
+
+def finish(run: Run, entities: DataFrame, fonts: DataFrame | None = None, fine: list[str] | None = None, face: str = "Noto") -> Finished:
+    """Refines the plan of a run, writes it into the entities and verifies each job."""
+    table, inst = checkpointed(run.table), checkpointed(run.instances)
+    own = apply.with_optional(entities).select("job_id", F.col("handle").alias("base"), "width_factor", "box_width")
+    base = F.when(F.col("kind").isin(apply.PARTS), F.regexp_replace("handle", r":[^:]*$", "")).otherwise(F.col("handle"))
+    items = run.items.drop("width_factor", "box_width", "font").withColumn("base", base).join(own, ["job_id", "base"], "left").drop("base")
+    items = items.join(fonts, ["job_id", "style"], "left") if fonts is not None else items.withColumn("font", F.lit(None).cast("string"))
+    lines = review.line_writes(table, inst, items, cjk=run.cjk)
+    plan = checkpointed(apply.writes(lines, table, inst, items, fine, face))
+    after, conflicts = apply.applied(entities, plan)
+    after = checkpointed(after)
+    return Finished(run, plan, after, conflicts, apply.verified(entities, after))

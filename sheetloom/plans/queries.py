@@ -416,11 +416,14 @@ def _run(s, d):
 _CLEAR = "clr as (select a.handle, greatest(min(a.y - (b.y + b.height)), 0.0) clear from it a join it b on a.job_id = b.job_id and a.place = b.place and a.handle <> b.handle and b.y < a.y - 1e-9 and b.x < a.x + a.own_w and b.x + b.own_w > a.x where a.own_w > 0 group by 1)"
 
 
-def instances_sql(base: str, rules: str, wanted: str) -> str:
-    """The run in DuckDB up to w_fit and w_lines, over a `ti`: base defines it, rules gives `rule`, wanted says what is translated."""
+_CLEAR_FLOORS = "clr as (select handle, greatest(min(gap), 0.0) clear from (select a.handle, a.y - (b.y + b.height) gap from it a join it b on a.job_id = b.job_id and a.place = b.place and a.handle <> b.handle and b.y < a.y - 1e-9 and b.x < a.x + a.own_w and b.x + b.own_w > a.x where a.own_w > 0 union all select a.handle, a.y - f.pos from it a join flr f on a.job_id = f.job_id and a.place = f.place and f.pos < a.y - 1e-9 and f.lo < a.x + a.own_w and f.hi > a.x where a.own_w > 0) group by 1)"
+
+
+def instances_sql(base: str, rules: str, wanted: str, floors: bool = False) -> str:
+    """The run in DuckDB up to w_fit and w_lines, over a `ti`: base defines it, rules gives `rule`, wanted says what is translated; with floors, base has `flr`."""
     av = _AV.replace(TI, base).replace(RULE, rules)
     em, w = M.em_width_sql("plain"), "u.job_id = q.job_id and u.paragraph = q.paragraph"
-    return f"""with recursive {av}, {_CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 4294967296 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
+    return f"""with recursive {av}, {_CLEAR_FLOORS if floors else _CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 4294967296 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
 pi as (select job_id, place, layer, handle, ord, plain, lang, height, x, y, own_w w from ok_ where kind = 'TEXT'), {paragraph_sql('pi')},
 ln as materialized (select ok_.*, coalesce(paragraph, ok_.handle) paragraph, coalesce(line, 0) line from ok_ left join para on para.job_id = ok_.job_id and para.handle = ok_.handle),
 un as (select job_id, paragraph, count(*) n_lines, max(height) height, arg_min(lang, line) lang, arg_min(ord, line) ord, case when count(*) = 1 then any_value(plain) when arg_min(lang, line) = 'ja' then string_agg(trim(plain), '' order by line) else string_agg(trim(plain), ' ' order by line) end plain from ln group by 1, 2),
@@ -547,7 +550,7 @@ def job_listing(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import drawing_queries  # noqa: F401  registers its own
+    from . import drawing_queries, drawing_runs  # noqa: F401  register their own
 
     return dict(QUERIES)
 

@@ -21,17 +21,20 @@ def is_space_block(name: Column) -> Column:
     return F.upper(F.ltrim(name, F.lit("*$"))).rlike("^(MODEL_SPACE|PAPER_SPACE)")
 
 
-def items(entities: DataFrame) -> DataFrame:
-    """Text items of all spaces in scan order: one branch a type, blanks and placeholders dropped, blocks of spaces left out."""
-    e = entities.where(~is_space_block(F.regexp_replace("space", "^block:", "")))
-    base = ["job_id", "ord", F.col("space").alias("place"), "layer", "style", "height", "x", "y"]
+#: Columns that an entity table may bring along, with what stands for them where it does not.
+CARRIED = {"width_factor": 1.0, "rotation": 0.0, "box_width": None, "vertical": False, "halign": 0, "ax": None}
+
+
+def _branches(e: DataFrame) -> list[DataFrame]:
+    """One projection a type: (sub, kind, handle, raw, plain) beside what every item has."""
+    base = ["job_id", "ord", F.col("space").alias("place"), "layer", "style", "height", "x", "y", *(c for c in CARRIED if c in e.columns)]
     item = lambda df, kind, handle, raw, plain, sub: df.select(*base, sub.alias("sub"), F.lit(kind).alias("kind"), handle.alias("handle"), raw.alias("raw"), plain.alias("plain"))
     text, none = F.coalesce("text", F.lit("")), F.lit(0)
     plain_dim = F.replace(text, F.lit("<>"), F.lit(" "))
     attribs = e.where("type = 'INSERT'").select("*", F.posexplode("attribs").alias("sub", "a"))
     # Blank cells keep their number, so the index is taken before the filter.
     cells = e.where("type = 'ACAD_TABLE'").select("*", F.posexplode("cells").alias("sub", "cell"))
-    parts = [
+    return [
         item(e.where("type = 'TEXT'"), "TEXT", F.col("handle"), text, text, none),
         item(e.where("type = 'MTEXT'"), "MTEXT", F.col("handle"), text, X.mtext_plain(text), none),
         item(attribs, "ATTRIB", F.concat_ws(":", "handle", "a.tag"), F.col("a.text"), F.col("a.text"), F.col("sub")),
@@ -41,10 +44,56 @@ def items(entities: DataFrame) -> DataFrame:
         item(e.where("type = 'TOLERANCE'"), "TOLERANCE", F.col("handle"), text, text, none),
         item(e.where(F.col("type").isin("MULTILEADER", "MLEADER")), "MLEADER", F.col("handle"), text, X.mtext_plain(text), none),
     ]
+
+
+def defects(e: DataFrame) -> Column:
+    """array<string>: why an entity cannot be read, by what its type needs; empty if it can. Types without a projection need nothing.
+
+    The tag reader leaves null what it could not read as a number and puts a note in `bad`, if the table has that column.
+    """
+    text, height = F.col("type").isin("TEXT", "MTEXT"), F.col("height")
+    wrong = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    found = [
+        F.when(F.col("handle").isNull() | (F.col("handle") == ""), "no handle"),
+        F.when(text & (wrong(height) | (height < 0)), "height is not a number"),
+        F.when(text & (wrong(F.col("x")) | wrong(F.col("y"))), "place is not a number"),
+        F.when(F.col("type").isin("LINE", "LWPOLYLINE", "POLYLINE") & (F.coalesce(F.size("vertices"), F.lit(0)) < 2), "too few vertices"),
+        F.when(F.col("type").isin("LINE", "LWPOLYLINE", "POLYLINE") & F.exists("vertices", lambda v: v.isNull() | wrong(v["x"]) | wrong(v["y"])), "vertex is not a number"),
+        F.when((F.col("type") == "ACAD_TABLE") & F.col("cells").isNull(), "no cells"),
+        F.when((F.col("type") == "ACAD_TABLE") & F.exists("cells", lambda c: c.isNull()), "cell without value"),
+        F.when((F.col("type") == "INSERT") & F.exists("attribs", lambda a: a.isNull() | a["tag"].isNull()), "attribute without tag"),
+    ]
+    return F.array_compact(F.array(*found, *([F.col("bad")] if "bad" in e.columns else [])))
+
+
+def items(entities: DataFrame, tolerant: bool = False) -> DataFrame:
+    """Text items of all spaces in scan order: one branch a type, blanks and placeholders dropped, blocks of spaces left out.
+
+    tolerant: an entity that cannot be read gives one row `[unreadable: reasons]` of its type, without language, in its place of
+    the order, and never stops the scan; without it such entities give what they can.
+    """
+    e = entities.where(~is_space_block(F.regexp_replace("space", "^block:", "")))
+    odd = None
+    if tolerant:
+        e = e.withColumn("defects", defects(e))
+        odd, e = e.where(F.size("defects") > 0), e.where(F.size("defects") == 0)
+    parts = _branches(e)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(X.strip(F.coalesce("raw", F.lit(""))) != "").withColumn("lang", X.detect_lang(F.when(F.col("kind") == "DIMENSION", F.col("raw")).otherwise(F.col("plain"))))
+    out = out.where(X.strip(F.coalesce("raw", F.lit(""))) != "").withColumn("lang", X.detect_lang(F.when(F.col("kind") == "DIMENSION", F.col("raw")).otherwise(F.col("plain"))))
+    # Rich text says its own width inside.
+    own = F.when(F.col("kind").isin("MTEXT", "MLEADER"), X.mtext_width_factor(F.col("raw")))
+    out = out.withColumn("width_factor", F.coalesce(own, "width_factor", F.lit(1.0)) if "width_factor" in entities.columns else F.coalesce(own, F.lit(1.0)))
+    for name in set(CARRIED) & set(entities.columns) - {"width_factor"}:
+        if CARRIED[name] is not None:
+            out = out.withColumn(name, F.coalesce(name, F.lit(CARRIED[name])))
+    if odd is None:
+        return out
+    said = F.concat(F.lit("[unreadable: "), F.array_join("defects", "; "), F.lit("]"))
+    zero = {"height": F.lit(0.0), "x": F.lit(0.0), "y": F.lit(0.0), "width_factor": F.lit(1.0), "layer": F.lit(""), "style": F.lit(""), "raw": F.lit("")}
+    bad = {"place": F.col("space"), "sub": F.lit(0), "kind": F.coalesce("type", F.lit("?")), "handle": F.coalesce("handle", F.lit("?")), "plain": said, "lang": F.lit("none")}
+    return out.unionByName(odd.select(*((zero | bad).get(c, F.col(c) if c in odd.columns else F.lit(None)).cast(t).alias(c) for c, t in out.dtypes)))
 
 
 def rule_lines(entities: DataFrame, vertical: bool = True, limit: int = MAX_RULES) -> DataFrame:
