@@ -14,7 +14,8 @@ blank line stays.
    near copies therefore costs a few pairs a line, and no match is passed over.
 4. Pairs are verified on the 64-bit token sets of the lines, read again from the texts.
 
-A line's key is (d, t): doc_id, and 34 bits of the text's hash over the line's number, the same in every run.
+A line's key is (d, h, t): doc_id, a 64-bit hash of the text, and 34 bits of another one over the line's number, the same in
+every run. Texts that share a doc_id (all nulls share one) are thus told apart by 98 bits.
 
 Defined results: null text has no lines; rows that repeat a doc_id and text are one document; a null doc_id comes first;
 equal doc_ids with different texts are ordered by their hashes. Empty texts are one blank line; a text of any length is
@@ -43,8 +44,11 @@ PARTITION_ROWS = 1_000_000
 _NO_ID = -(1 << 63)
 #: Bits of a line's key that count lines.
 _LINE_BITS = 30
-_ROW = ["d", "t", "np", "bm", "w0", "w1"]
-_PAIR = ["xd", "xt", "yd", "yt"]
+_KEY = ["d", "h", "t"]
+_ROW = [*_KEY, "np", "bm", "w0", "w1"]
+_PAIR = [f"{s}{c}" for s in "xy" for c in _KEY]
+#: A document's key.
+_DOC = ["d", "h", "u"]
 
 
 def _blanked(text: Column) -> Column:
@@ -69,24 +73,29 @@ def _held(df: DataFrame, **computed: Column) -> DataFrame:
     return df
 
 
-def _text_key() -> Column:
-    return F.call_function("shiftright", F.xxhash64("text"), F.lit(_LINE_BITS))
+def _doc_key() -> list[Column]:
+    """d, h and u of a row of documents."""
+    return [F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("h"), F.call_function("shiftright", F.xxhash64(F.lit(11), "text"), F.lit(_LINE_BITS)).alias("u")]
+
+
+def _line_key(u: Column, ln: Column) -> Column:
+    return F.call_function("shiftleft", u, F.lit(_LINE_BITS)).bitwiseOR(ln.cast("long")).alias("t")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _text_key().alias("h"), _blanked(F.col("text")).alias("text"))
+    return docs.where("text is not null").select(*_doc_key(), _blanked(F.col("text")).alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, t, line)"""
-    rows = _keyed(docs).select("d", "h", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
-    return rows.select("d", F.call_function("shiftleft", F.col("h"), F.lit(_LINE_BITS)).bitwiseOR(F.col("ln").cast("long")).alias("t"), "line")
+    """(d, h, t, line)"""
+    rows = _keyed(docs).select(*_DOC, F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return rows.select("d", "h", _line_key(F.col("u"), F.col("ln")), "line")
 
 
 def _places(keys: DataFrame) -> DataFrame:
-    """(d, h, lns) from line keys (d, t)."""
-    at = keys.select("d", F.call_function("shiftright", F.col("t"), F.lit(_LINE_BITS)).alias("h"), F.col("t").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int").alias("ln"))
-    return at.groupBy("d", "h").agg(F.collect_set("ln").alias("lns"))
+    """(d, h, u, lns) from line keys."""
+    at = keys.select("d", "h", F.call_function("shiftright", F.col("t"), F.lit(_LINE_BITS)).alias("u"), F.col("t").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int").alias("ln"))
+    return at.groupBy(*_DOC).agg(F.collect_set("ln").alias("lns"))
 
 
 def ranks(docs: DataFrame) -> list[int]:
@@ -111,7 +120,7 @@ def _need(a: Column, b: Column) -> Column:
 
 
 def _earlier(y: dict[str, Column], x: dict[str, Column]) -> Column:
-    return (y["d"] < x["d"]) | ((y["d"] == x["d"]) & (y["t"] < x["t"]))
+    return (y["d"] < x["d"]) | ((y["d"] == x["d"]) & ((y["h"] < x["h"]) | ((y["h"] == x["h"]) & (y["t"] < x["t"]))))
 
 
 def _index(s: dict[str, Column]) -> Column:
@@ -150,18 +159,18 @@ class _Join:
         # 31 bits are enough to meet by: what meets by chance is verified like the rest.
         prefix = F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
         t = token_sets(_lines(self.docs), self.rank).where(n > 0).select(
-            "d", "t", n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
+            *_KEY, n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
             parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), prefix.alias("prefix"),
         )
         self.lines = stash(t)
-        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "t", "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
+        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct(*_KEY, "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
         self.sets = stash(first.select("s1", "s2", "times", "f.*"))
 
     def met(self) -> DataFrame:
-        """Pairs (xd, xt, yd, yt) out of lists of up to HOT postings, token null; and the postings of the other lists, xd null."""
+        """Pairs of line keys out of lists of up to HOT postings, token null; and the postings of the other lists, xd null."""
         rows = self.sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        posted = self.sets.select("d", "t", "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
-        posted = _solid(posted.select("token", "d", "t", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
+        posted = self.sets.select(*_KEY, "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
+        posted = _solid(posted.select("token", *_KEY, (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
         hot = posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token", F.lit(True).alias("hot")).hint("shuffle_hash")
         listed = posted.join(hot, "token", "left")
         cold = listed.where("hot is null").drop("hot")
@@ -171,72 +180,72 @@ class _Join:
         smaller = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & _earlier(y, x))
         both = cold.join(found, "token").where(smaller & _near(x, y, y["n"], x["n"]))
         later = _earlier(y, x)
-        pairs = both.select(*(F.when(later, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("d", "y_d", "xd"), ("t", "y_t", "xt"), ("y_d", "d", "yd"), ("y_t", "t", "yt"))))
+        sides = [(c, f"y_{c}", f"x{c}") for c in _KEY] + [(f"y_{c}", c, f"y{c}") for c in _KEY]
+        pairs = both.select(*(F.when(later, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in sides))
         return stash(pairs.unionByName(listed.where("hot").select("token", *_ROW), allowMissingColumns=True))
 
     def _against(self, probes: DataFrame, posted: DataFrame) -> DataFrame:
-        """(xd, xt, yd, yt) of the probes and the earlier postings of their tokens that may match."""
+        """Pairs of the probes and the earlier postings of their tokens that may match."""
         x, y = _row(), _row("y_")
         other = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in _ROW))
         index = F.when(x["n"] > y["n"], _index(y)).when(x["n"] < y["n"], _index(x)).otherwise(_index(x) | _index(y))
         both = probes.join(other, "token").where(_earlier(y, x) & _near(x, y, F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])) & index)
-        return both.select(F.col("d").alias("xd"), F.col("t").alias("xt"), F.col("y_d").alias("yd"), F.col("y_t").alias("yt"))
+        return both.select(*(F.col(c).alias(f"x{c}") for c in _KEY), *(F.col(f"y_{c}").alias(f"y{c}") for c in _KEY))
 
     def headed(self, hot: DataFrame) -> DataFrame:
         """Pairs of hot postings with the earliest of each share of their list."""
-        share = F.pmod(F.xxhash64("d", "t"), F.lit(HEADS))
+        share = F.pmod(F.xxhash64(*_KEY), F.lit(HEADS))
         heads = hot.groupBy("token", share.alias("share")).agg(F.min(F.struct(*_ROW)).alias("head")).select("token", "head.*")
         return self._against(hot, heads)
 
     def tokens_of(self, keys: DataFrame, few: bool) -> DataFrame:
-        """(d, t, toks) of the lines with these keys (d, t), from the texts. few: the places are a table first, and if it is small no text is shuffled."""
+        """Keys and toks of the lines with these keys, from the texts. few: the places are a table first, and if it is small no text is shuffled."""
         places = stash(_places(keys)) if few else _places(keys).hint("merge")
-        cutout = _held(_keyed(self.docs).join(places, ["d", "h"]).select("d", "h", "text", "lns"), all=F.split("text", "\n"))
-        line = cutout.select("d", "h", F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.get("all", n).alias("line")))).alias("w"))
-        t = F.call_function("shiftleft", F.col("h"), F.lit(_LINE_BITS)).bitwiseOR(F.col("w.ln").cast("long"))
-        return line.select("d", t.alias("t"), _hashes(F.col("w.line")).alias("toks")).dropDuplicates(["d", "t"])
+        cutout = _held(_keyed(self.docs).join(places, _DOC).select(*_DOC, "text", "lns"), all=F.split("text", "\n"))
+        line = cutout.select(*_DOC, F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.get("all", n).alias("line")))).alias("w"))
+        return line.select("d", "h", _line_key(F.col("u"), F.col("w.ln")), _hashes(F.col("w.line")).alias("toks")).dropDuplicates(_KEY)
 
     def matched(self, pairs: DataFrame, few: bool = False) -> DataFrame:
-        """(d, t) of the lines x of which a pair has similarity 0.8 or more."""
+        """Keys of the lines x of which a pair has similarity 0.8 or more."""
         pairs = stash(pairs.select(*_PAIR).distinct())
-        side = lambda s: pairs.select(F.col(f"{s}d").alias("d"), F.col(f"{s}t").alias("t"))
+        side = lambda s: pairs.select(*(F.col(f"{s}{c}").alias(c) for c in _KEY))
         toks = stash(self.tokens_of(side("x").union(side("y")).distinct(), few))
-        a, b = (toks.select(F.col("d").alias(f"{s}d"), F.col("t").alias(f"{s}t"), F.col("toks").alias(s)) for s in "xy")
-        both = pairs.join(a, ["xd", "xt"]).join(b, ["yd", "yt"]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y")))
-        out = stash(both.select(F.col("xd").alias("d"), F.col("xt").alias("t")).distinct())
+        a, b = (toks.select(*(F.col(c).alias(f"{s}{c}") for c in _KEY), F.col("toks").alias(s)) for s in "xy")
+        both = pairs.join(a, _PAIR[:3]).join(b, _PAIR[3:]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y")))
+        out = stash(both.select(*(F.col(f"x{c}").alias(c) for c in _KEY)).distinct())
         drop_stash(pairs, toks)
         return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(d, h, removed): per document with lines to go, their numbers from 0; d is doc_id (null: the least long), h the key of its text."""
+    """(d, h, u, removed): per document with lines to go, their numbers from 0; d is doc_id (null: the least long), h and u the key of its text."""
     j = _Join(docs)
     met = j.met()
     cold, hot = met.where("token is null").select(*_PAIR), met.where("token is not null").select("token", *_ROW)
-    named = lambda pairs: pairs.select(F.col("xd").alias("d"), F.col("xt").alias("t"))
+    named = lambda pairs: pairs.select(*(F.col(f"x{c}").alias(c) for c in _KEY))
     short = stash(j.headed(hot).distinct())
-    whole = j._against(hot.join(named(short), ["d", "t"], "left_anti"), hot)
+    whole = j._against(hot.join(named(short), _KEY, "left_anti"), hot)
     gone = j.matched(cold.union(short).union(whole))
-    refused = named(short).distinct().join(gone, ["d", "t"], "left_anti")
-    gone = gone.union(j.matched(j._against(hot.join(refused, ["d", "t"], "left_semi"), hot), few=True))
-    keys = j.sets.join(gone.withColumn("gone", F.lit(True)), ["d", "t"], "left").where("gone or times > 1")
-    keys = keys.select("s1", "s2", F.col("d").alias("fd"), F.col("t").alias("ft"), F.col("gone").isNotNull().alias("gone"))
-    out = j.lines.select("d", "t", "s1", "s2").join(keys, ["s1", "s2"]).where("gone or d <> fd or t <> ft")
-    return _places(out.select("d", "t")).select("d", "h", F.sort_array("lns").alias("removed"))
+    refused = named(short).distinct().join(gone, _KEY, "left_anti")
+    gone = gone.union(j.matched(j._against(hot.join(refused, _KEY, "left_semi"), hot), few=True))
+    keys = j.sets.join(gone.withColumn("gone", F.lit(True)), _KEY, "left").where("gone or times > 1")
+    keys = keys.select("s1", "s2", *(F.col(c).alias(f"f{c}") for c in _KEY), F.col("gone").isNotNull().alias("gone"))
+    out = j.lines.select(*_KEY, "s1", "s2").join(keys, ["s1", "s2"]).where("gone or d <> fd or h <> fh or t <> ft")
+    return _places(out.select(*_KEY)).select(*_DOC, F.sort_array("lns").alias("removed"))
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
     out = removed_lines(docs)
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _text_key().alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    return keyed.join(out, ["d", "h"], "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
+    keyed = docs.select("doc_id", *_doc_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return keyed.join(out, _DOC, "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
 def without_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs with the removed lines cut from text; a document left without words by it goes."""
-    keys = ["__line_d", "__line_h"]
-    out = removed_lines(docs).select(F.col("d").alias(keys[0]), F.col("h").alias(keys[1]), F.col("removed").alias("__line_gone"))
-    keyed = docs.withColumn(keys[0], F.coalesce("doc_id", F.lit(_NO_ID))).withColumn(keys[1], _text_key())
+    keys = [f"__line_{c}" for c in _DOC]
+    out = removed_lines(docs).select(*(F.col(c).alias(k) for c, k in zip(_DOC, keys, strict=True)), F.col("removed").alias("__line_gone"))
+    keyed = docs.withColumns(dict(zip(keys, _doc_key(), strict=True)))
     # Numbers that stay, by one set difference: the work is linear in the lines of a text, however many go.
     cut = _held(keyed.join(out, keys, "left"), __line_all=F.when(F.col("__line_gone").isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__line_all") - 1), "__line_gone"), lambda i: F.get("__line_all", i))

@@ -165,3 +165,11 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     rows = [(None, a), (None, a), (1, b), (None, b), (2, c), (3, b), (2, b), (4, ""), (None, None)]
     got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((x.doc_id, x.text) for x in got) == Counter([(None, a), (1, b), (2, c), (4, ""), (None, None)])
+
+
+def test_lines_of_documents_that_share_an_id_stay_apart(spark):
+    """34 bits of these texts' hashes are equal and their ids are null: keys that hold no more would mix their lines."""
+    one, two = "p7368 q r\np7368 q r\nlast a7368 one", "s55524 t u\nv55524 w x\ny55524 z k"
+    docs = spark.createDataFrame([(None, one), (None, two)], "doc_id long, text string")
+    assert sorted((x.n_removed, x.removed) for x in linededup.op10(docs).collect()) == [(0, ""), (1, "1")]
+    assert {x.text for x in linededup.without_removed(docs).collect()} == {"p7368 q r\nlast a7368 one", two}
