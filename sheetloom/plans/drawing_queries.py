@@ -206,7 +206,7 @@ def rule_lines_level(s, d):
     return E.rule_lines(_entities(s, d), vertical=False).select("job_id", "place", "pos", "lo", "hi")
 
 
-@query(f"with {ENT}, r as (select job_id, space place, type, ord, u.n from en, lateral (select unnest(range(0, case type when 'LINE' then 1 when 'LWPOLYLINE' then 2 else 0 end)) as n) u) select job_id, place, least(count(*), 5) n from r group by 1, 2")
+@query(f"with {ENT}, r as (select job_id, space place, type, ord, u.n from en, lateral (select unnest(range(0, case type when 'LINE' then 1 when 'LWPOLYLINE' then 2 else 0 end)) as n) u) select job_id, place, count(*) n from (select *, rank() over (partition by job_id, place order by ord) before from r) where before <= 5 group by 1, 2")
 def rules_capped_by_space(s, d):
     return E.rule_lines(_entities(s, d), limit=5).groupBy("job_id", "place").agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetloom.operators import apply
+from sheetloom.sources import entities as E
 from sheetloom.sources.stages import checkpointed
 from sheetloom.sources.tables import table
 
@@ -100,3 +101,43 @@ def drawing_verified(s, d):
         one = v.select(F.lit(name).alias("case"), "job_id", "ok", F.array_join("problems", "; ").alias("problems"), "new_lines")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- references
+
+_TURNS, _SCALES = [0.0, 90.0, 180.0, 270.0, 30.0], [1.0, 2.0, -1.0, 0.5]
+_REFS = f"""rf as (select o_custkey % 40 job_id, case when o_orderkey % 3 = 0 then 'model' else 'block:b' || ((o_orderkey // 3) % 6) end space, o_orderkey ord, o_orderkey k, (o_orderkey % 97)::double x, (o_custkey % 89)::double y, (o_orderkey // 5) % 6 to_, (o_orderkey // 2) % 7 sort,
+ {_sql_list([str(t) for t in _TURNS])}[(o_orderkey // 7) % 5 + 1]::double turn, {_sql_list([str(x) for x in _SCALES])}[(o_orderkey // 11) % 4 + 1]::double sx, {_sql_list([str(x) for x in _SCALES])}[(o_orderkey // 13) % 4 + 1]::double sy from orders)"""
+
+
+def referring(s, d) -> DataFrame:
+    """Entities of 40 jobs in model space and six blocks that refer to each other: a seventh references, the others upright lines and closed boxes."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    num = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (i + 1).cast("int"))
+    is_ref = F.floor(k / 2) % 7 == 0
+    x, y = (k % 97).cast("double"), (c % 89).cast("double")
+    point = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    box = F.array(point(0, 0), point(7, 0), point(7, 3), point(0, 3))
+    return table(s, d, "orders").select(
+        (c % 40).alias("job_id"), F.when(k % 3 == 0, "model").otherwise(F.concat(F.lit("block:b"), (F.floor(k / 3) % 6).cast("string"))).alias("space"), k.alias("ord"), F.when(is_ref, "INSERT").when(k % 2 == 0, "LINE").otherwise("LWPOLYLINE").alias("type"),
+        F.when(is_ref, F.concat(F.lit("b"), (F.floor(k / 5) % 6).cast("string"))).alias("block"), x.alias("x"), y.alias("y"), num(_SCALES, F.floor(k / 11) % 4).alias("xscale"), num(_SCALES, F.floor(k / 13) % 4).alias("yscale"), num(_TURNS, F.floor(k / 7) % 5).alias("rotation"),
+        F.when(~is_ref, F.when(k % 2 == 0, F.array(point(0, 0), point(0, 11))).otherwise(box)).alias("vertices"), (k % 2 == 1).alias("closed"),
+    )
+
+
+# A block's base point is its number by minus its number.
+_REF_SQL = rf"""with recursive {_REFS}, r0 as (select job_id, space, ord, 'b' || to_ name, x, y, case when turn = 30 then cos(radians(30.0)) when turn = 0 then 1.0 when turn = 180 then -1.0 else 0.0 end co, case when turn = 30 then sin(radians(30.0)) when turn = 90 then 1.0 when turn = 270 then -1.0 else 0.0 end si, sx, sy, to_::double ux, -(to_::double) uy from rf where sort = 0),
+r1 as (select job_id, space, ord, name, co * sx a, si * sx b, -si * sy c, co * sy d, x, y, ux, uy from r0), r2 as (select job_id, space, ord, name, a, b, c, d, x - (a * ux + c * uy) e, y - (b * ux + d * uy) f from r1),
+at_(job_id, place, ord, name, way, level, a, b, c, d, e, f) as (select job_id, space, ord, name, [name], 1, a, b, c, d, e, f from r2 where space <> 'block:' || name union all
+ select m.job_id, m.place, m.ord, i.name, list_append(way, i.name), level + 1, m.a * i.a + m.c * i.b, m.b * i.a + m.d * i.b, m.a * i.c + m.c * i.d, m.b * i.c + m.d * i.d, m.a * i.e + m.c * i.f + m.e, m.b * i.e + m.d * i.f + m.f
+ from at_ m join r2 i on i.job_id = m.job_id and i.space = 'block:' || m.name where level < 2 and not list_contains(way, i.name) and m.place <> 'block:' || i.name),
+eg as (select job_id, space, u.n, ord, case when k % 2 = 0 then x else x + [0, 7, 7, 0][u.n + 1] end x0, case when k % 2 = 0 then y else y + [0, 0, 3, 3][u.n + 1] end y0, case when k % 2 = 0 then x else x + [7, 7, 0, 0][u.n + 1] end x1, case when k % 2 = 0 then y + 11 else y + [0, 3, 3, 0][u.n + 1] end y1 from rf, lateral (select unnest(range(0, case when k % 2 = 0 then 1 else 4 end)) as n) u where sort <> 0),
+pl as (select job_id, space place, 0 level, x0, y0, x1, y1 from eg union all select a.job_id, place, level, a.a * x0 + a.c * y0 + a.e, a.b * x0 + a.d * y0 + a.f, a.a * x1 + a.c * y1 + a.e, a.b * x1 + a.d * y1 + a.f from eg join at_ a on a.job_id = eg.job_id and eg.space = 'block:' || a.name)"""
+
+
+@query(f"{_REF_SQL} select job_id, place, count(*) n, round(sum(x0), 3) pos, round(sum(greatest(y0, y1) - least(y0, y1)), 3) length from pl where abs(x1 - x0) <= 0.01 * greatest(abs(y1 - y0), 1e-9) group by 1, 2")
+def block_rules(s, d):
+    """Upright rules of every space, with those that references put there through two levels."""
+    bases = s.range(40).select(F.col("id").alias("job_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).select("job_id", F.concat(F.lit("b"), "n").alias("name"), F.col("n").cast("double").alias("bx"), (-F.col("n")).cast("double").alias("by"))
+    r = E.rule_lines(referring(s, d), bases=bases)
+    return r.groupBy("job_id", "place").agg(F.count("*").alias("n"), F.round(F.sum("pos"), 3).alias("pos"), F.round(F.sum(F.col("hi") - F.col("lo")), 3).alias("length"))

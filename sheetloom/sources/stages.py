@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetloom.sources.entities import read_stage as read_json
-
 POINTER = "CURRENT"
 
 
@@ -63,6 +61,8 @@ def read_stage(spark: SparkSession, path: str, like: T.StructType, strict: bool
     version = spark.read.text(f"{path}/{POINTER}").first()[0]
     if strict:
         return spark.read.schema(like).option("mode", "FAILFAST").json(f"{path}/{version}")
+    from sheetloom.sources.entities import read_stage as read_json  # a scan; it needs this module for its tables
+
     return read_json(spark, f"{path}/{version}", like, strict=False)
 
 
