@@ -1,7 +1,7 @@
 """Documents linked by the Jaccard similarity of their n-grams: an exact join by trees of count vectors.
 
 A document is the set of its distinct SHINGLE-word shingles (A-Z lower-cased; fewer words are one shingle). Its shingles are
-hashed into groups, about one for eight shingles, and the count in each group is a point. The overlap of two
+hashed into groups, about one for two shingles, and the count in each group is a point. The overlap of two
 documents is at most the sum of the smaller counts of each group, and the overlap of anything below two nodes of a tree at most
 that sum over the nodes' upper corners; a pair, or a pair of subtrees, whose bound is below what a link needs is dropped,
 and the pairs that survive are verified on whole sets. Larger vectors fold onto smaller ones by adding halves.
@@ -12,10 +12,11 @@ document alone has there drops out in an aggregation, and of shingles with the s
 
 1. Documents with equal sets are one point.
 2. The points of a shingle meet its first one; pairs that pass the bound are verified, and links joined to classes.
-3. Shingles whose points are then of several classes get their tree: first over points alone, which leaves those with a
-   possible partner in another class; then with their sets, where a link joins two classes in the task. A shingle with over BLOCK points is
-   cut by size (a partner is in the same or the next step of sizes) and hash, and pairs of cuts are tasks of their own. What is one class costs nothing
-   more, so copies are never expanded into pairs, and no link that would join two classes is passed over.
+3. Shingles whose points are then of several classes get their trees, one for each step of sizes, as a partner is in the same
+   or the next step. Of two classes up to FEW candidates of a shingle are verified as pairs, once however many shingles they share. Where there are
+   more, the points are set aside, and if their classes are still apart, their sets meet in tasks that stop at the first link of two classes.
+   A shingle with over BLOCK points is cut by step and hash, and pairs of cuts are tasks of their own. What is one class costs
+   nothing more, so copies are never expanded into pairs, and no link that would join two classes is passed over.
 
 Defined results: null, empty and blank texts have no shingles and are components of their own; a component is named after
 its smallest doc_id (null only if all are null); repeated rows and ids are rows of their own; ties at exactly 0.8 link; a text of any length is one set, held whole in
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, sliced, stash, utf8
+from .common import cut, drop_stash, mix, sliced, stash, utf8
 from .graph import components
 from .neardup import shingles
 
@@ -40,9 +41,9 @@ from .neardup import shingles
 PER_CENT = 80
 RANK_BUCKETS = 1 << 16
 #: Shingles for each group of a count vector, and the fewest and most groups.
-PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 16, 4096
-#: Points of a leaf; points of a task's block.
-LEAF, BLOCK = 32, 2048
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 2, 16, 1 << 15
+#: Points of a leaf; points of a task's block; candidates between two classes that are verified as pairs.
+LEAF, BLOCK, FEW = 32, 2048, 4
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -65,6 +66,20 @@ def groups_of(n: np.ndarray) -> np.ndarray:
     return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / PER_GROUP)).clip(0).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A count vector in bytes of one, or of four where a count needs it."""
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked_counts(packed: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(packed, "<u1" if len(packed) == groups_of(np.array([n]))[0] else "<u4").astype(np.int64)
+
+
+def step_of(n: np.ndarray) -> np.ndarray:
+    """Steps of sizes: linked sets are at most two apart (one, but for rounding)."""
+    return np.floor(np.log(n) / np.log(100 / PER_CENT)).astype(np.int64)
+
+
 def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
     """Count vectors (last axis) over fewer groups."""
     while vectors.shape[-1] > groups:
@@ -122,10 +137,21 @@ class Tree:
 
 
 def candidates(n: np.ndarray, label: np.ndarray, vectors: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of a point of left and one of right, of different labels, whose overlap may be enough: two trees against each other.
+    """Pairs of a point of left and one of right, of different labels, whose overlap may be enough: trees of a step against those of the next.
 
     With left and right the same array, each pair comes once.
     """
+    itself = left is right
+    of_left = {s: left[step_of(n[left]) == s] for s in np.unique(step_of(n[left]))}
+    of_right = of_left if itself else {s: right[step_of(n[right]) == s] for s in np.unique(step_of(n[right]))}
+    for s, points in of_left.items():
+        for d in range(0 if itself else -2, 3):
+            if s + d in of_right:
+                yield from _between(n, label, vectors, points, of_right[s + d])
+
+
+def _between(n: np.ndarray, label: np.ndarray, vectors: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """candidates() of two sets of about one size: two trees against each other."""
     some = np.concatenate([left, right])
     groups = min(v.shape[0] for v in (vectors[k] for k in some))
     coarse = np.zeros((len(vectors), groups), np.int64)
@@ -189,12 +215,12 @@ def _pointed(rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             n = np.bincount(row, minlength=batch.num_rows)
             groups = groups_of(n)
             begin = np.concatenate([[0], np.cumsum(groups)])
-            counts = np.bincount(begin[row] + (h & (groups[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1])).astype("<u4")
+            counts = np.bincount(begin[row] + (h & (groups[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(begin[-1]))
             order = np.lexsort((h, rank[(h >> np.uint64(48)).astype(np.int64)], row))
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             first = order[place < (n - -(-PER_CENT * n // 100) + 1)[row]]
             bounds = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=batch.num_rows))]).astype(np.int32)
-            vectors = pa.array([counts[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
+            vectors = pa.array([packed_counts(counts[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), vectors, pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[first].view(np.int64)))], ["node", "n", "vector", "first"])
 
     return run
@@ -217,7 +243,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
         ok = 100 * np.minimum(a, b) >= PER_CENT * np.maximum(a, b)
         for k in np.flatnonzero(ok):
-            ok[k] = overlap_bound(_view(batch.column("va")[k], "<u4"), _view(batch.column("vb")[k], "<u4")) >= needed(a[k], b[k])
+            ok[k] = overlap_bound(unpacked_counts(batch.column("va")[k].as_buffer(), a[k]), unpacked_counts(batch.column("vb")[k].as_buffer(), b[k])) >= needed(a[k], b[k])
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -232,18 +258,24 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], n
     get = lambda c: group.column(c).to_numpy()
     own, cell, other = get("cell"), get("i")[0], get("j")[0]
     left = np.flatnonzero(own == cell)
-    return get("n"), get("label"), [_view(v, "<u4").astype(np.int64) for v in group.column("vector")], left, left if cell == other else np.flatnonzero(own == other)
+    return get("n"), get("label"), [unpacked_counts(v.as_buffer(), k) for v, k in zip(group.column("vector"), get("n"), strict=True)], left, left if cell == other else np.flatnonzero(own == other)
 
 
-def _possible(group: pa.Table) -> pa.Table:
-    """The points that have a candidate in another class."""
+def _possible(group: pa.Table, most: int = FEW) -> pa.Table:
+    """Candidates (a, b) between classes, `most` of two classes; and of classes with more, each point as a, with b null."""
     n, label, vectors, left, right = _sides(group)
-    found: set[int] = set()
+    node, token = group.column("node").to_numpy(), group.column("token")[0].as_py()
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    many: set[int] = set()
     if len(left) and len(right):
         for p, q in candidates(n, label, vectors, left, right):
-            found |= {p, q}
-    at = pa.array(sorted(found), pa.int64())
-    return group.select(["token", "node"]).take(at)
+            held = pairs.setdefault((min(label[p], label[q]), max(label[p], label[q])), [])
+            if len(held) < most:
+                held.append((p, q))
+            else:
+                many |= {p, q, *(x for pair in held for x in pair)}
+    out = [(int(node[p]), int(node[q])) for held in pairs.values() for p, q in held] + [(int(node[p]), None) for p in sorted(many)]
+    return pa.table({"token": pa.array([token] * len(out), pa.int64()), "a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
 def _links(group: pa.Table) -> pa.Table:
@@ -296,18 +328,23 @@ class _Join:
     def members(self) -> DataFrame:
         """(token, node, k, center): shingles that several points have among their first, one for each set of points."""
         each = self.points.select("node", F.explode("first").alias("token"))
-        of = each.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("center"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("two"))
-        lists = of.where("k > 1").groupBy("k", "center", "one", "two").agg(F.min("token").alias("token"))
+        of = each.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("center"), F.bit_xor(F.xxhash64("node")).alias("all"))
+        lists = of.where("k > 1").groupBy("k", "center", "all").agg(F.min("token").alias("token"))
         return stash(each.join(stash(lists.select("token", "k", "center")), "token"))
 
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are linked."""
+        packed = stash(self.packed(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+        side = lambda s: packed.select(F.col("node").alias(s), F.col("packed").alias(f"p{s}"))
+        out = stash(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(_verified, "a long, b long"))
+        drop_stash(packed)
+        return out
+
     def star_links(self, members: DataFrame) -> DataFrame:
         """Verified pairs of a shingle's first point and its others."""
         point = lambda s: self.points.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("vector").alias(f"v{s}"))
         pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-        near = stash(pairs.join(point("a"), "a").join(point("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long"))
-        packed = stash(self.packed(near.select(F.explode(F.array("a", "b")).alias("node"))))
-        side = lambda s: packed.select(F.col("node").alias(s), F.col("packed").alias(f"p{s}"))
-        return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(_verified, "a long, b long")
+        return self.verified(stash(pairs.join(point("a"), "a").join(point("b"), "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long")))
 
     def _tasks(self, rows: DataFrame) -> DataFrame:
         """Rows (token, node, n, ...) once for each task (token, i, j) that compares two blocks, cell naming their own.
@@ -324,29 +361,36 @@ class _Join:
         placed = stepped.join(known, ["token", "step"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("near")[F.lit(0)])).withColumn("cell", name(F.col("step"), F.col("block")))
         others = F.flatten(F.transform(F.map_entries("near"), lambda e: F.transform(F.sequence(F.lit(0).cast("long"), e["value"] - 1), lambda b: name(F.col("step") + e["key"], b))))
         dealt = placed.withColumn("other", F.explode(others))
-        return dealt.drop("near", "block", "step", "points").withColumns({"i": F.least("cell", "other"), "j": F.greatest("cell", "other")})
+        return dealt.select(*rows.columns, "cell", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"))
 
-    def cross_links(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Verified links across classes, of shingles with three points or more (two are settled) of several classes."""
-        named = members.where("k > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("token", "node", "label")
+    def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(token, node, label, n) of shingles whose points are of several classes."""
+        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("token", "node", "label")
         split = named.groupBy("token").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("token")
-        mixed = stash(named.join(split, "token"))
-        point = self.points.select("node", "n", "vector")
-        possible = self._tasks(mixed.join(point, "node")).groupBy("token", "i", "j").applyInArrow(_possible, "token long, node long")
-        left = stash(mixed.join(possible.distinct(), ["token", "node"]))
-        held = point.join(stash(self.packed(left.select("node"))), "node")
-        return self._tasks(left.join(held, "node")).groupBy("token", "i", "j").applyInArrow(_links, "a long, b long")
+        return stash(named.join(split, "token").join(self.points.select("node", "n"), "node").select("token", "node", "label", "n"))
+
+    def cross_links(self, members: DataFrame, edges: DataFrame) -> DataFrame:
+        """Verified links across the classes that edges make, of shingles with three points or more (two are settled)."""
+        mixed = self._mixed(members.where("k > 2"), components(edges))
+        vectors = self.points.select("node", "vector")
+        possible = _possible
+        found = stash(self._tasks(mixed).join(vectors, "node").groupBy("token", "i", "j").applyInArrow(lambda group: possible(group), "token long, a long, b long"))
+        few = self.verified(stash(found.where("b is not null").select("a", "b").distinct()))
+        many = found.where("b is null").select("token", F.col("a").alias("node")).distinct()
+        if many.isEmpty():
+            return few
+        apart = self._mixed(many, components(edges.union(few)))
+        packed = stash(self.packed(apart.select("node")))
+        held = self._tasks(apart).join(vectors.join(packed, "node"), "node")
+        return few.union(stash(held.groupBy("token", "i", "j").applyInArrow(_links, "a long, b long")))
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row a row of docs."""
     j = _Join(docs)
     members = j.members()
-    edges = stash(j.star_links(members))
-    labels = components(edges)
-    more = stash(j.cross_links(members, labels))
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    edges = j.star_links(members)
+    labels = components(edges.union(j.cross_links(members, edges)))
     named = j.nodes.select("node", "s1", "s2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = cut(named)
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sheetloom.operators import apply
 from sheetloom.sources import entities as E
+from sheetloom.sources import stages
+from sheetloom.sources import tagstream as T_
 from sheetloom.sources.stages import checkpointed
 from sheetloom.sources.tables import table
 
@@ -141,3 +143,39 @@ def block_rules(s, d):
     bases = s.range(40).select(F.col("id").alias("job_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).select("job_id", F.concat(F.lit("b"), "n").alias("name"), F.col("n").cast("double").alias("bx"), (-F.col("n")).cast("double").alias("by"))
     r = E.rule_lines(referring(s, d), bases=bases)
     return r.groupBy("job_id", "place").agg(F.count("*").alias("n"), F.round(F.sum("pos"), 3).alias("pos"), F.round(F.sum(F.col("hi") - F.col("lo")), 3).alias("length"))
+
+
+# ---------------------------------------------------------------- tag streams
+
+_TAGGED = f"""{_DRAWN.partition('ru_ as')[0]} tg as (select job_id, entity handle, type, plain, kind, y, ord % 53 = 0 and type not in ('INSERT', 'ACAD_TABLE') bad from en),
+cu as (select c_custkey % 40 job_id, 'c' || c_custkey handle from customer)"""
+
+
+def tagged(s, d) -> str:
+    """The drawings as tag files in the session's shared folder; every 53rd text has a height that is no number."""
+    path = stages.scratch(s, "tags")
+    e = drawn(s, d)
+    T_.write_tags(e.withColumn("height", F.when((F.col("ord") % 53 == 0) & F.col("type").isin("TEXT", "MTEXT", "DIMENSION"), F.concat(F.lit("x"), F.col("height"))).otherwise(F.col("height").cast("string"))), path)
+    return path
+
+
+@query(f"with {_TAGGED} select job_id, handle, type, case when type in ('INSERT', 'ACAD_TABLE') then '' else plain end body, case type when 'INSERT' then 'T=' || plain || ';U=7' when 'ACAD_TABLE' then '=;=' || plain else '' end parts, bad from tg union all select job_id, handle, 'LINE', '', '', false from cu")
+def tag_entities(s, d):
+    """Entities written as tag files and read again in splits of 20,000 bytes: all columns of each, bad records marked."""
+    e = T_.entities(T_.read_tags(s, tagged(s, d), split_bytes=20_000))
+    parts = F.coalesce(F.array_join(F.transform("attribs", lambda p: F.concat(p["tag"], F.lit("="), p["text"])), ";"), F.array_join(F.transform("cells", lambda c: F.concat(F.lit("="), c)), ";"), F.lit(""))
+    return e.select("job_id", "handle", "type", F.coalesce("text", F.lit("")).alias("body"), parts.alias("parts"), F.col("bad").isNotNull().alias("bad"))
+
+
+@query(f"with {_TAGGED}, n as (select job_id, count(*) + count(*) filter (type = 'INSERT') * 2 n, count(*) filter (bad) errors from tg group by 1), c as (select job_id, count(*) n from cu group by 1) select n.job_id, n.n + coalesce(c.n, 0) + 1 records, errors from n left join c using (job_id)")
+def tag_errors(s, d):
+    """The audit of each drawing: its records (spaces and attributes too), and those that are malformed."""
+    found = T_.error_count(T_.read_tags(s, tagged(s, d), split_bytes=7_000, schema="file string, height double, _corrupt_record string"))
+    return found.groupBy(F.regexp_extract("file", r"job_id=(\d+)", 1).cast("long").alias("job_id")).agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+
+
+@query(f"with {_TAGGED}, z as (select handle, type, case when type = 'MTEXT' or kind in ('ATTRIB', 'TABLE_CELL', 'TEXT', 'DIMENSION') then plain end p, kind, bad, ord from (select tg.*, cast(substr(handle, 2) as bigint) ord from tg))\nselect handle || case kind when 'ATTRIB' then ':T' when 'TABLE_CELL' then ':1' else '' end handle, kind, p plain from z where not bad and trim(p) <> '' union all select handle || ':U', 'ATTRIB', '7' from z where kind = 'ATTRIB' union all select handle, type, '[unreadable: ' || case when type in ('TEXT', 'MTEXT') then 'height is not a number; ' else '' end || 'malformed record]' from z where bad")
+def tolerant_items(s, d):
+    """Text items of drawings read from tag files: an entity that cannot be read is one marked row, and the scan goes on."""
+    found = T_.entities(T_.read_tags(s, tagged(s, d), split_bytes=50_000))
+    return E.items(found, tolerant=True).select("handle", "kind", "plain")
