@@ -12,6 +12,8 @@ from sheetloom.sources.stages import checkpointed
 MIN_MEMBERS = 5
 #: Rounds of label propagation; label jumps halve paths, so so many reach across 2**MAX_ROUNDS nodes.
 MAX_ROUNDS = 60
+#: Mean boxes beside each other that a box may span and still be spelled out into cells.
+MAX_CELLS = 8
 KEYS = ["job_id", "place"]
 
 
@@ -76,14 +78,18 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
     keys = _keys(boxes)
     for _ in range(MAX_ROUNDS):
         boxes = checkpointed(boxes.select(*keys, "box", "x0", "y0", "x1", "y1", "n"))
-        # Boxes meet in the cells of a grid as wide as the mean box, in which a box stands in about four.
+        # Boxes meet in the cells of a grid as wide as the mean box, in which a box stands in about four; those far wider meet all of their job and place.
         side = boxes.groupBy(*keys).agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("size"))
         sized = boxes.join(side, keys) if keys else boxes.join(F.broadcast(side), F.lit(True))  # one row
+        sized = sized.withColumn("wide", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > MAX_CELLS * F.col("size"))
         span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long")))
-        a = sized.withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1")).drop("size", "n")
-        o = a.select(*keys, "cx", "cy", *(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
-        hit = (F.col("box") < F.col("o_box")) & (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1"))
-        pairs = checkpointed(a.join(o, [*keys, "cx", "cy"]).where(hit).select(F.col("box").alias("a"), F.col("o_box").alias("b")).distinct())
+        a = sized.where("not wide").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1")).drop("size", "n", "wide")
+        other = lambda df: df.select(*keys, *(c for c in ("cx", "cy") if c in df.columns), *(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
+        hit = (F.col("x0") <= F.col("o_x1")) & (F.col("o_x0") <= F.col("x1")) & (F.col("y0") <= F.col("o_y1")) & (F.col("o_y0") <= F.col("y1"))
+        ends = lambda df: df.where(hit & (F.col("box") != F.col("o_box"))).select(F.least("box", "o_box").alias("a"), F.greatest("box", "o_box").alias("b"))
+        wide, every = sized.where("wide").select(*keys, "box", "x0", "y0", "x1", "y1"), other(boxes)
+        far = wide.join(every, keys) if keys else wide.join(every, F.lit(True))
+        pairs = checkpointed(ends(a.join(other(a), [*keys, "cx", "cy"])).union(ends(far)).distinct())
         if pairs.isEmpty():
             return boxes
         labels = components(boxes.select(F.col("box").alias("node")), pairs)
@@ -132,24 +138,3 @@ def frames_by_layer(vertices: DataFrame, min_size: float = 5000.0) -> DataFrame:
 
 def on_frame_layer(layer: Column) -> Column:
     return F.exists(F.array(*(F.lit(w) for w in X.FRAME_WORDS)), lambda w: F.contains(F.lower(layer), w))
-
-
-def grown(boxes: DataFrame, gaps: DataFrame, margin: float = 0.3) -> DataFrame:
-    """Boxes with `margin` of their size on every side, but no farther than half-way to the neighbour there (gaps: spatial.side_gaps)."""
-    keys = [*_keys(boxes), "box"]
-    g = boxes.join(gaps, [k for k in keys if k in gaps.columns], "left")
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    room = lambda side, size: F.least(margin * size, F.coalesce(F.col(side) / 2, margin * size))
-    return g.select(*keys, (F.col("x0") - room("left", w)).alias("x0"), (F.col("y0") - room("below", h)).alias("y0"), (F.col("x1") + room("right", w)).alias("x1"), (F.col("y1") + room("above", h)).alias("y1"), "n")
-
-
-def reading_order(boxes: DataFrame, row: float) -> DataFrame:
-    """Boxes in rows from the top, then by their left side."""
-    return boxes.orderBy(F.desc(F.floor(F.col("y1") / row)), "x0")
-
-
-def named_order(boxes: DataFrame, row: float) -> DataFrame:
-    """Adds nth, the reading order within a job: sheets with a number (A-2 before A-10) by it, then the others in rows from the top."""
-    prefix, digits = F.regexp_extract("number", r"^([A-Z]+)-(\d+)$", 1), F.regexp_extract("number", r"^([A-Z]+)-(\d+)$", 2).try_cast("int")
-    w = Window.partitionBy("job_id").orderBy(digits.isNull(), prefix, digits, F.desc(F.floor(F.col("y1") / row)), "x0", "box")
-    return boxes.withColumn("nth", F.row_number().over(w))

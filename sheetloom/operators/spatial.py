@@ -131,9 +131,14 @@ def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     size = boxes.groupBy(*keys).agg(F.greatest(F.avg(side), F.lit(1e-9)).alias("size"))
     sized = lambda df: df.join(size, keys) if keys else df.join(F.broadcast(size), F.lit(True))  # noqa: E731  one row
-    b = sized(boxes).withColumn("cx", _cells(F.col("x0"), F.col("x1"), F.col("size"))).withColumn("cy", _cells(F.col("y0"), F.col("y1"), F.col("size"))).drop("size")
+    b = sized(boxes).withColumn("wide", side > 8 * F.col("size"))
+    near = b.where("not wide").withColumn("cx", _cells(F.col("x0"), F.col("x1"), F.col("size"))).withColumn("cy", _cells(F.col("y0"), F.col("y1"), F.col("size"))).drop("size", "wide")
     a = sized(points).withColumn("cx", F.floor(F.col("px") / F.col("size")).cast("long")).withColumn("cy", F.floor(F.col("py") / F.col("size")).cast("long")).drop("size")
-    return a.join(b, [*keys, "cx", "cy"]).where((F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))).drop("cx", "cy")
+    holds = (F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))
+    # A box far wider than the others meets the points of its job, instead of being spelled out into cells without bound.
+    wide = b.where("wide").drop("size", "wide")
+    far = points.join(wide, keys) if keys else points.join(wide, F.lit(True))
+    return a.join(near, [*keys, "cx", "cy"]).drop("cx", "cy").where(holds).unionByName(far.where(holds))
 
 
 def sheet_numbers(items: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -146,11 +151,11 @@ def sheet_numbers(items: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def side_gaps(boxes: DataFrame) -> DataFrame:
-    """(box, right, left, above, below): distance to the nearest box that overlaps on the other axis; null: none."""
+    """(box, right, left, above, below): distance to the nearest box that overlaps or touches on the other axis; null: none."""
     keys = _jobs(boxes)
     o = boxes.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")))
-    beside = (F.col("o_y0") < F.col("y1")) & (F.col("o_y1") > F.col("y0"))
-    stacked = (F.col("o_x0") < F.col("x1")) & (F.col("o_x1") > F.col("x0"))
+    beside = (F.col("o_y0") <= F.col("y1")) & (F.col("o_y1") >= F.col("y0"))
+    stacked = (F.col("o_x0") <= F.col("x1")) & (F.col("o_x1") >= F.col("x0"))
     gap = lambda ok, d: F.min(F.when(ok & (d >= 0), d))
     # The sheets of one job meet each other: a drawing has few.
     met = (boxes.join(o, keys) if keys else boxes.join(o, F.lit(True))).where(F.col("box") != F.col("o_box"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sheetloom.functions import measure as M
 from sheetloom.functions import text as X
-from sheetloom.operators import cluster, fit, jobs, review, segments, spatial, translation
+from sheetloom.operators import cluster, fit, jobs, review, segments, sheets, spatial, translation
 from sheetloom.sources import entities as E
 from sheetloom.sources import stages
 from sheetloom.sources.tables import table
@@ -673,8 +673,8 @@ def _boxes(s, d) -> DataFrame:
 
 
 _BX = "bx as (select c_custkey % 25 job_id, c_custkey box, (c_custkey % 17) * 11.0::double x0, (c_custkey // 17) % 13 * 7.0::double y0, (c_custkey % 17) * 11.0::double + 3 + c_custkey % 4 x1, (c_custkey // 17) % 13 * 7.0::double + 2 + c_custkey % 3 y1, case when c_custkey % 3 > 0 then ['A', 'B'][c_custkey % 2 + 1] || '-' || (c_custkey % 40) else '' end number from customer)"
-_SG = f"""{_BX}, sg as (select a.job_id, a.box, min(case when b.y0 < a.y1 and b.y1 > a.y0 and b.x0 - a.x1 >= 0 then b.x0 - a.x1 end) rgt, min(case when b.y0 < a.y1 and b.y1 > a.y0 and a.x0 - b.x1 >= 0 then a.x0 - b.x1 end) lft,
- min(case when b.x0 < a.x1 and b.x1 > a.x0 and b.y0 - a.y1 >= 0 then b.y0 - a.y1 end) abv, min(case when b.x0 < a.x1 and b.x1 > a.x0 and a.y0 - b.y1 >= 0 then a.y0 - b.y1 end) blw from bx a left join bx b on a.job_id = b.job_id and a.box <> b.box group by 1, 2)"""
+_SG = f"""{_BX}, sg as (select a.job_id, a.box, min(case when b.y0 <= a.y1 and b.y1 >= a.y0 and b.x0 - a.x1 >= 0 then b.x0 - a.x1 end) rgt, min(case when b.y0 <= a.y1 and b.y1 >= a.y0 and a.x0 - b.x1 >= 0 then a.x0 - b.x1 end) lft,
+ min(case when b.x0 <= a.x1 and b.x1 >= a.x0 and b.y0 - a.y1 >= 0 then b.y0 - a.y1 end) abv, min(case when b.x0 <= a.x1 and b.x1 >= a.x0 and a.y0 - b.y1 >= 0 then a.y0 - b.y1 end) blw from bx a left join bx b on a.job_id = b.job_id and a.box <> b.box group by 1, 2)"""
 
 
 @query(f"with {_SG} select box, rgt \"right\", lft \"left\", abv above, blw below from sg")
@@ -682,10 +682,19 @@ def sheet_side_gaps(s, d):
     return spatial.side_gaps(_boxes(s, d)).select("box", "right", "left", "above", "below")
 
 
-@query(f"with {_SG} select bx.box, x0 - least(0.3 * (x1 - x0), coalesce(lft / 2, 0.3 * (x1 - x0))) x0, y0 - least(0.3 * (y1 - y0), coalesce(blw / 2, 0.3 * (y1 - y0))) y0, x1 + least(0.3 * (x1 - x0), coalesce(rgt / 2, 0.3 * (x1 - x0))) x1, y1 + least(0.3 * (y1 - y0), coalesce(abv / 2, 0.3 * (y1 - y0))) y1 from bx join sg using (job_id, box)")
+def grown_sql(boxes: str, gaps: str, scale: str) -> str:
+    """`gs` (job_id, box, x0, y0, x1, y1): boxes grown by their gaps (rgt, lft, abv, blw) and the job's median height h."""
+    room = lambda g, lo, hi: f"case when {g} is not null then least({g} / 2, 0.3 * greatest({hi} - {lo}, 20 * h)) end"
+    return f"""ge as (select b.*, {room('lft', 'x0', 'x1')} el, {room('rgt', 'x0', 'x1')} er, {room('blw', 'y0', 'y1')} ed, {room('abv', 'y0', 'y1')} eu, 0.12 * greatest(x1 - x0, y1 - y0, 20 * h) + 30 * h alone from {boxes} b join {gaps} using (job_id, box) join {scale} using (job_id)),
+gf as (select *, coalesce(greatest(el, er, ed, eu), alone) other from ge), gg as (select job_id, box, x0 - coalesce(el, other) x0, y0 - coalesce(ed, other) y0, x1 + coalesce(er, other) x1, y1 + coalesce(eu, other) y1 from gf),
+gs as (select job_id, box, x0, y0 - 0.6::double * greatest((x1 - x0) / 1.6::double - (y1 - y0), 0) y0, x1, y1 + (1 - 0.6::double) * greatest((x1 - x0) / 1.6::double - (y1 - y0), 0) y1 from gg)"""
+
+
+@query(f"with {_SG}, sc as (select distinct job_id, 0.1::double + (job_id % 3) * 0.05::double h from bx), {grown_sql('bx', 'sg', 'sc')} select box, x0, y0, x1, y1 from gs")
 def grown_sheets(s, d):
     b = _boxes(s, d)
-    return cluster.grown(b, spatial.side_gaps(b)).select("box", "x0", "y0", "x1", "y1")
+    heights = b.select("job_id", (0.1 + (F.col("job_id") % 3) * 0.05).alias("h")).distinct()
+    return sheets.grown(b, heights).select("box", "x0", "y0", "x1", "y1")
 
 
 @query(f"with {_BX}, p as (select o_custkey % 25 job_id, o_orderkey ord, 'A-' || (o_orderkey % 90) number, (o_orderkey % 190) + 0.5::double px, (o_orderkey // 190 % 95) + 0.25::double py from orders where o_orderkey % 2 = 0) select bx.job_id, box, arg_max(p.number, ((px - x0) / (x1 - x0) - (py - y0) / (y1 - y0), -ord)) number from bx join p on p.job_id = bx.job_id and px between x0 and x1 and py between y0 and y1 group by 1, 2".replace("arg_max(p.number, ((px - x0) / (x1 - x0) - (py - y0) / (y1 - y0), -ord))", "first(p.number order by (px - x0) / (x1 - x0) - (py - y0) / (y1 - y0) desc, ord)"))
@@ -696,9 +705,12 @@ def sheet_numbers_by_job(s, d):
     return spatial.sheet_numbers(items, _boxes(s, d).drop("number")).select("job_id", "box", "number")
 
 
-@query(f"with {_BX} select box, cast(row_number() over (partition by job_id order by case when number = '' then 1 else 0 end, case when number = '' then '' else number[1] end, case when number = '' then 0 else cast(number[3:] as int) end, floor(y1 / 20.0) desc, x0, box) as int) nth from bx")
+@query(f"""with {_BX}, z as (select *, case when job_id % 2 = 0 then case when number = '' then 'C' else number end else number end nm from bx), y as (select *, min(case when nm <> '' then 1 else 0 end) over (partition by job_id) = 1 named from z)
+select box, cast(row_number() over (partition by job_id order by case when named then nm[1] end nulls first, case when named then coalesce(try_cast(nm[3:] as int), 0) end nulls first, case when not named then -round_even(y1 / 20.0::double, 0) end nulls first, case when not named then x0 end nulls first, box) as int) nth from y""")
 def sheet_order(s, d):
-    return cluster.named_order(_boxes(s, d), 20.0).select("box", "nth")
+    b = _boxes(s, d)
+    name = F.when((F.col("job_id") % 2 == 0) & (F.col("number") == ""), "C").otherwise(F.col("number"))
+    return sheets.in_order(b.withColumn("name", name), 20.0).select("box", "nth")
 
 
 _VX = "vx as (select o_custkey % 20 job_id, 'model' place, o_orderkey // 4 entity, o_orderkey node, cast((o_orderkey % 2) * 6000 + (o_orderkey // 4) % 40 * 9000 as double) px, cast((o_orderkey // 2 % 2) * 5500 + (o_orderkey // 160) % 30 * 9000 as double) py from orders)"

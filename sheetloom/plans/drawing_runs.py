@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.operators import apply
+from sheetloom.operators import apply, sheets
 from sheetloom.sources import entities as E
 from sheetloom.sources import stages
 from sheetloom.sources import tagstream as T_
@@ -13,9 +13,10 @@ from sheetloom.sources.stages import checkpointed
 from sheetloom.sources.tables import table
 
 from . import pipeline
-from .drawing_queries import _LANG, _PP, _WANTED, _lines, _pick, _sql_list
+from .drawing_queries import _LANG, _PP, _WANTED, _lines, _pick, _sql_list, grown_sql
 from .queries import instances_sql
 from .registry import query
+from .shape_sql import components_sql, merged_sql
 
 # ---------------------------------------------------------------- a drawing carried to its end
 
@@ -179,3 +180,53 @@ def tolerant_items(s, d):
     """Text items of drawings read from tag files: an entity that cannot be read is one marked row, and the scan goes on."""
     found = T_.entities(T_.read_tags(s, tagged(s, d), split_bytes=50_000))
     return E.items(found, tolerant=True).select("handle", "kind", "plain")
+
+
+@query("select c_custkey % 40 job_id, 'c' || c_custkey handle, c_custkey % 50 * 3.0::double x0, case when c_custkey % 2 = 0 then c_custkey % 50 * 3.0::double else c_custkey % 50 * 3.0::double + 30 end x1 from customer")
+def tag_lines_alone(s, d):
+    """The lines of tag files alone: one type and three columns are parsed."""
+    found = T_.read_tags(s, tagged(s, d), split_bytes=30_000, schema=f"file string, handle string, vertices {T_.POINTS}", only={"type": ["LINE"]})
+    return found.select(F.regexp_extract("file", r"job_id=(\d+)", 1).cast("long").alias("job_id"), "handle", F.col("vertices")[0]["x"].alias("x0"), F.col("vertices")[1]["x"].alias("x1"))
+
+
+# ---------------------------------------------------------------- sheets
+
+_SHEET_ITEMS = """si as (select o_custkey % 12 job_id, o_orderkey ord, 'h' || o_orderkey handle, ((o_orderkey // 4) % 6) sh, case when (o_orderkey // 4) % 97 = 0 then 40.0::double else 2.5::double + (o_orderkey % 3) * 0.5::double end height,
+ ((o_orderkey // 4) % 3) * (600.0::double + (o_custkey % 12) * 40) + (o_orderkey % 40) * 4.0::double x, (((o_orderkey // 4) % 6) // 3) * 700.0::double + (o_custkey % 30) * 5.0::double y from orders where o_custkey % 12 <> 11 or o_orderkey % 6 = 0)"""
+
+
+def _sheet_items(s, d) -> DataFrame:
+    """Texts of 12 jobs in six places each, spread differently; the last job is thin."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    q = F.floor(k / 4)
+    o = table(s, d, "orders").where((c % 12 != 11) | (k % 6 == 0))
+    return o.select((c % 12).alias("job_id"), k.alias("ord"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), F.lit("model").alias("place"), F.lit("TEXT").alias("kind"), F.when(q % 97 == 0, 40.0).otherwise(2.5 + (k % 3) * 0.5).alias("height"), ((q % 3) * (600.0 + (c % 12) * 40) + (k % 40) * 4.0).alias("x"), (F.floor(q % 6 / 3) * 700.0 + (c % 30) * 5.0).alias("y"))
+
+
+@query(f"""with recursive {_SHEET_ITEMS}, pts as (select job_id, 'model' place, job_id || '|' || handle node, x px, y py, height from si),
+so as (select job_id, count(*) n, list_sort(list(height)) hs, list_sort(list(px)) xs, list_sort(list(py)) ys from pts group by 1 having count(*) > 1),
+sc as materialized (select job_id, hs[n // 2 + 1] h, greatest(xs[cast(greatest(floor(n * 0.98::double) - 1, 0) as bigint) + 1] - xs[cast(floor(n * 0.02::double) as bigint) + 1], ys[cast(greatest(floor(n * 0.98::double) - 1, 0) as bigint) + 1] - ys[cast(floor(n * 0.02::double) as bigint) + 1], 1.0) extent from so),
+gp as materialized (select *, greatest(25 * h, 0.015::double * extent) gap from sc), {components_sql('(select gap from gp where gp.job_id = a.job_id)')}, {merged_sql(5)},
+sg as (select a.job_id, a.box, min(case when b.y0 <= a.y1 and b.y1 >= a.y0 and b.x0 - a.x1 >= 0 then b.x0 - a.x1 end) rgt, min(case when b.y0 <= a.y1 and b.y1 >= a.y0 and a.x0 - b.x1 >= 0 then a.x0 - b.x1 end) lft,
+ min(case when b.x0 <= a.x1 and b.x1 >= a.x0 and b.y0 - a.y1 >= 0 then b.y0 - a.y1 end) abv, min(case when b.x0 <= a.x1 and b.x1 >= a.x0 and a.y0 - b.y1 >= 0 then a.y0 - b.y1 end) blw from mbox a left join mbox b on a.job_id = b.job_id and a.box <> b.box group by 1, 2),
+{grown_sql('mbox', 'sg', 'sc')} select gs.job_id, cast(row_number() over (partition by gs.job_id order by -round_even(gs.y1 / (0.15::double * extent), 0), gs.x0, gs.y0, gs.box) as int) nth, gs.x0, gs.y0, gs.x1, gs.y1, n from gs join sc using (job_id) join mbox using (job_id, box)""")
+def sheets_discovered(s, d):
+    """Sheets of every job from where its texts stand, through all steps in one plan."""
+    return sheets.discovered(_sheet_items(s, d))
+
+
+_FRAMES = "fr as (select c_custkey % 12 job_id, c_custkey box, case when c_custkey % 12 < 8 then ['A', 'B'][c_custkey % 2 + 1] || '-' || (c_custkey % 40) else case when c_custkey % 5 = 0 then '' else 'A-1' end end nm, (c_custkey % 9) * 130.0::double x0, (c_custkey // 9 % 8) * 110.0::double y0 from customer)"
+
+
+@query(f"""with recursive {_SHEET_ITEMS}, {_FRAMES}, pd as (select job_id, 0.02::double * min(greatest(110.0 + box % 4, 85.0)) pad from fr group by 1), f as (select fr.*, x0 - pad wx0, y0 - pad wy0, x0 + 110 + box % 4 + pad wx1, y0 + 85 + pad wy1 from fr join pd using (job_id)),
+t as (select f.job_id, box, s.y py, s.height h, row_number() over (partition by f.job_id, box order by s.ord) i from f join si s on s.job_id = f.job_id and s.x between wx0 and wx1),
+w(job_id, box, i, lo, hi) as (select job_id, box, 0::bigint, wy0, wy1 from f union all select w.job_id, w.box, t.i, case when t.py between lo and hi then least(lo, t.py - 0.25::double * t.h) else lo end, case when t.py between lo and hi then greatest(hi, t.py + 1.25::double * t.h) else hi end from w join t on t.job_id = w.job_id and t.box = w.box and t.i = w.i + 1),
+z as (select job_id, box, min(lo) y0, max(hi) y1 from w group by 1, 2), o as (select z.*, nm, wx0 x0, wx1 x1, max(z.y1 - z.y0) over (partition by z.job_id) tall, min(case when nm <> '' then 1 else 0 end) over (partition by z.job_id) = 1 named from z join f using (job_id, box))
+select job_id, cast(row_number() over (partition by job_id order by case when named then string_split(nm, '-')[1] end nulls first, case when named then cast(string_split(nm, '-')[2] as bigint) end nulls first, case when not named then -round_even(y1 / greatest(tall * 0.5::double, 1.0), 0) end nulls first, case when not named then x0 end nulls first, box) as int) nth, nm "name", x0, y0, x1, y1 from o""")
+def sheets_framed(s, d):
+    """Stated frames as windows, stretched over the texts that begin in them, in the order of their numbers or of their rows."""
+    c = F.col("c_custkey")
+    x, y = ((c % 9) * 130.0).cast("double"), (F.floor(c / 9) % 8 * 110.0).cast("double")
+    name = F.when(c % 12 < 8, F.concat(_pick(["A", "B"], c % 2), F.lit("-"), (c % 40).cast("string"))).when(c % 5 == 0, "").otherwise("A-1")
+    frames = table(s, d, "customer").select((c % 12).alias("job_id"), c.alias("box"), name.alias("name"), x.alias("x0"), y.alias("y0"), (x + 110 + c % 4).alias("x1"), (y + 85).alias("y1"))
+    return sheets.framed(frames, _sheet_items(s, d))

@@ -6,12 +6,14 @@ number. A split reads from the first entity that starts in it to the end of the
 
 * Options: path (a file or folder), splitBytes (default 32 MB), mode (PERMISSIVE, DROPMALFORMED, FAILFAST).
 * A record that breaks the format, or whose numbers cannot be read, keeps what could be read, and its whole text in _corrupt_record.
-* A schema that is given names the columns that are parsed; equality and IN on type, handle, owner and layer are applied while
-  reading.
+* A schema that is given names the columns that are parsed. Options only.type, only.handle, only.owner and only.layer list values
+  (a JSON array) to which reading is confined; records that do not have one of them are not parsed further. Spark's own hook for filters
+  keeps what one scan pushed for all scans of the same frame, which loses rows when a frame is used twice, so it is not used.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sheetloom.sources.stages import checkpointed
 
@@ -30,7 +32,7 @@ POINTS = "array<struct<x:double,y:double>>"
 SCHEMA = f"file string, ord long, type string, handle string, owner string, layer string, style string, text string, flags int, height double, x double, y double, width_factor double, box_width double, rotation double, block string, xscale double, yscale double, vertices {POINTS}, closed boolean, cells array<string>, _corrupt_record string"
 SPLIT_BYTES = 32 << 20
 BATCH_ROWS = 2000
-#: Columns that filters can be pushed to.
+#: Columns by which reading can be confined.
 FILTERED = {"type", "handle", "owner", "layer"}
 #: Group codes of the columns that are one value.
 CODES = {"handle": 5, "owner": 330, "layer": 8, "style": 7, "height": 40, "flags": 70, "rotation": 50}
@@ -182,16 +184,9 @@ def records(path: str, start: int, end: int) -> Iterator[Record]:
 class TagReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.options = schema, dict(options)
-        self.wanted: list[tuple[str, set]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in FILTERED:
-                self.wanted.append((f.attribute[0], {f.value}))
-            elif isinstance(f, In) and len(f.attribute) == 1 and f.attribute[0] in FILTERED:
-                self.wanted.append((f.attribute[0], set(f.value)))
-            else:
-                yield f
+        self.wanted = [(k.partition(".")[2], set(json.loads(v))) for k, v in self.options.items() if k.startswith("only.")]
+        if unknown := {c for c, _ in self.wanted} - FILTERED:
+            raise ValueError(f"reading cannot be confined by {sorted(unknown)}")
 
     def partitions(self) -> list[Split]:
         from pyarrow import fs
@@ -240,15 +235,16 @@ class TagSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, with its filters pushed down. The module travels with it, so workers need not find it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the format known to a session. The module travels with it, so workers need not find it."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(TagSource)
 
 
-def read_tags(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, mode: str = "PERMISSIVE", schema: str | None = None) -> DataFrame:
+def read_tags(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, mode: str = "PERMISSIVE", schema: str | None = None, only: dict[str, list[str]] | None = None) -> DataFrame:
     register(spark)
     reader = spark.read.format("tags").option("splitBytes", str(split_bytes)).option("mode", mode)
+    for column, values in (only or {}).items():
+        reader = reader.option(f"only.{column}", json.dumps(values))
     return (reader.schema(schema) if schema else reader).load(path)
 
 
