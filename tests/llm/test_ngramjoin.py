@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -63,11 +64,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, None), (2, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "few"), [(1, nj.BLOCK, nj.FEW), (2, 3, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, block, few):
     rows = corpus(seed)
-    if block:
-        monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(nj, "_possible", partial(nj._possible, most=few))
     docs = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], "doc_id long, text string, node int, token string, n long, label long")
     out = nj.op13(docs)
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
@@ -83,6 +84,7 @@ def test_blocks_of_one_shingle_find_links_across_classes(spark, monkeypatch):
         own = prose(r, 30 + g)
         rows += [(10 * g + k, f"{shared} {edited(r, own, k)}") for k in range(3)]
     monkeypatch.setattr(nj, "BLOCK", 5)
+    monkeypatch.setattr(nj, "_possible", partial(nj._possible, most=1))
     assert Counter(map(tuple, nj.op13(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == plain(rows)
 
 
