@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TRASH_DAYS = 14
 
@@ -48,9 +49,10 @@ def deletable(jobs: DataFrame, client: str) -> DataFrame:
 
 
 def update_job(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Non-blank fields of changes (id, client, project) replace."""
-    new = changes.select("id", *(F.nullif(F.trim(c), F.lit("")).alias(f"n_{c}") for c in ("client", "project")))
-    return jobs.join(new, "id", "left").select(*(F.coalesce(f"n_{c}", c).alias(c) if c in ("client", "project") else jobs[c] for c in jobs.columns))
+    """Non-blank fields of changes (id; client, project, status as there are) replace."""
+    named = [c for c in ("client", "project", "status") if c in changes.columns]
+    new = changes.select("id", *(F.nullif(F.trim(c), F.lit("")).alias(f"n_{c}") for c in named))
+    return jobs.join(new, "id", "left").select(*(F.coalesce(f"n_{c}", c).alias(c) if c in named else jobs[c] for c in jobs.columns))
 
 
 def set_flag(flags: Column, place: Column, note: Column | None) -> Column:
@@ -115,3 +117,16 @@ def diagnostics(stages: DataFrame, fit_histogram: DataFrame, worst: DataFrame) -
         .unionByName(fit_histogram.select(F.lit("fit").alias("section"), F.concat_ws(": ", "flag", F.col("n").cast("string")).alias("line")))
         .unionByName(worst.select(F.lit("worst").alias("section"), F.concat_ws(" ", "id", "flag", *(["source"] if "source" in worst.columns else [])).alias("line")))
     )
+
+
+def created(jobs: DataFrame, new: DataFrame, stamp: Column) -> DataFrame:
+    """jobs with new ones (client, project; the rest of a job's columns if there): blank names get their defaults, ids are the
+    stamp and, if that is taken, the stamp with the next free number behind it."""
+    fields = [f.name for f in jobs.schema]
+    name = lambda c, value: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(value)).alias(c)
+    rest = [F.col(c) if c in new.columns else F.lit("new" if c == "status" else None).cast(jobs.schema[c].dataType).alias(c) for c in fields if c not in ("id", "client", "project")]
+    taken = jobs.where(F.col("id").startswith(stamp)).agg(F.coalesce(F.max(F.coalesce(F.regexp_extract("id", r"-(\d{3})$", 1).try_cast("int"), F.lit(0))), F.lit(-1)).alias("last"))
+    nth = F.row_number().over(Window.orderBy("client", "project")) + F.col("last")  # the jobs of one request
+    rows = new.join(taken, F.lit(True)).withColumn("nth", nth)
+    ids = F.when(F.col("nth") == 0, stamp).otherwise(F.concat(stamp, F.lit("-"), F.lpad(F.col("nth").cast("string"), 3, "0"))).alias("id")
+    return jobs.unionByName(rows.select(ids, name("client", "Unfiled"), name("project", "General"), *rest))

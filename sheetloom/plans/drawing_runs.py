@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetloom.operators import apply, sheets
+from sheetloom import schema
+from sheetloom.operators import apply, jobs, outputs, sheets, spatial
 from sheetloom.sources import entities as E
 from sheetloom.sources import stages
+from sheetloom.sources import tables as S
 from sheetloom.sources import tagstream as T_
 from sheetloom.sources.stages import checkpointed
-from sheetloom.sources.tables import table
+from sheetloom.sources.tables import USAGE_SQL, table
+from sheetloom.streaming import spend
 
 from . import pipeline
 from .drawing_queries import _LANG, _PP, _WANTED, _lines, _pick, _sql_list, grown_sql
@@ -230,3 +233,86 @@ def sheets_framed(s, d):
     name = F.when(c % 12 < 8, F.concat(_pick(["A", "B"], c % 2), F.lit("-"), (c % 40).cast("string"))).when(c % 5 == 0, "").otherwise("A-1")
     frames = table(s, d, "customer").select((c % 12).alias("job_id"), c.alias("box"), name.alias("name"), x.alias("x0"), y.alias("y0"), (x + 110 + c % 4).alias("x1"), (y + 85).alias("y1"))
     return sheets.framed(frames, _sheet_items(s, d))
+
+
+# ---------------------------------------------------------------- stages, streams, order, pages
+
+
+@query("select o_orderkey id, case when o_orderkey % 3 = 0 then 'acme' else 'Unfiled' end client, case when o_orderkey % 4 = 0 then 'moved' else 'General' end project, case when o_orderkey % 5 = 0 then 'done' else 'new' end status from orders")
+def stage_updates(s, d):
+    """A stage of jobs, one an order: created, then changed by two updates that each name the version they read."""
+    path, k = stages.scratch(s, "jobs"), F.col("o_orderkey")
+    o = table(s, d, "orders")
+    none = F.lit("")
+    blank = s.createDataFrame([], schema.JOB)
+    first = o.select(k.cast("string").alias("id"), F.when(k % 3 == 0, "acme").otherwise("Unfiled").alias("client"), F.lit("General").alias("project"), F.lit("new").alias("status"))
+    stages.update_stage(s, path, schema.JOB, lambda held: held.unionByName(blank.unionByName(first, allowMissingColumns=True)))
+    moved = o.where(k % 4 == 0).select(k.cast("string").alias("id"), F.lit(" ").alias("client"), F.lit("moved").alias("project"), none.alias("status"))
+    done = o.where(k % 5 == 0).select(k.cast("string").alias("id"), none.alias("client"), none.alias("project"), F.lit("done").alias("status"))
+    for edits in (moved, done):
+        stages.update_stage(s, path, schema.JOB, lambda held, e=edits: jobs.update_job(held, e))
+    return stages.read_stage(s, path, schema.JOB).select(F.col("id").cast("long").alias("id"), "client", "project", "status")
+
+
+@query(f"with {USAGE_SQL}, cost as (select u.*, (input * coalesce(p.p_in, o.p_in) + output * coalesce(p.p_out, o.p_out)) / 1e6 usd from usage u left join pricing p on p.model = u.model and p.model <> 'default', (select * from pricing where model = 'default') o) select strftime(\"at\", '%Y-%m-%d') as day, cast(round(sum(usd) * 1e6) as bigint) usd, count(*) n from cost group by strftime(\"at\", '%Y-%m-%d')")
+def streamed_spend(s, d):
+    """Spending a day as a stream over files of events in the order of time, two files a batch, resumed once from its checkpoint."""
+    base = stages.scratch(s, "stream")
+    events = table(s, d, "events")
+    events.repartitionByRange(7, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    usage = S.usage(spend.file_stream(s, f"{base}/in", events.schema, files_a_batch=2))
+    for _ in range(2):
+        spend.start_daily(usage, S.pricing(s), f"{base}/out", f"{base}/checkpoint", late="60 days").awaitTermination()
+    return spend.daily_totals(s, f"{base}/out").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("usd") * 1e6).cast("long").alias("usd"), "n")
+
+
+@query(f"with {_REFS}, e as (select job_id, space place, x pos, y lo, y + 11 hi, ord from rf where sort <> 0 and k % 2 = 0) select job_id, place, pos, lo, hi, ord, row_number() over (order by job_id, place, pos, lo, hi, ord) - 1 position from e")
+def rules_in_order(s, d):
+    """Upright lines over all jobs in the order of an output, each with its position."""
+    e = referring(s, d).where("type = 'LINE'")
+    rows = e.select("job_id", F.col("space").alias("place"), F.col("vertices")[0]["x"].alias("pos"), F.col("vertices")[0]["y"].alias("lo"), F.col("vertices")[1]["y"].alias("hi"), "ord")
+    return outputs.positioned(rows, ["job_id", "place", "pos", "lo", "hi", "ord"])
+
+
+_LAYOUTS = """lo as (select o_custkey % 40 job_id, 'paper:A' || (o_orderkey % 25) space, max(case when o_orderkey % 3 = 0 then 1 else 0 end) kept from orders group by 1, 2)"""
+
+
+@query(f"with {_LAYOUTS} select job_id, space, row_number() over (order by job_id, space) - 1 position from lo where kept = 1")
+def layouts_in_order(s, d):
+    """Paper layouts with anything on them, written in sorted files and read back in the order of the files."""
+    k = F.col("o_orderkey")
+    e = table(s, d, "orders").select((F.col("o_custkey") % 40).alias("job_id"), F.concat(F.lit("paper:A"), (k % 25).cast("string")).alias("space"), F.when(k % 3 == 0, "TEXT").otherwise("VIEWPORT").alias("type"))
+    path = stages.scratch(s, "layouts")
+    outputs.write_sorted(E.paper_layouts(e), path, ["job_id", "space"], 5)
+    held = s.read.parquet(path)
+    at = held.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"))
+    return outputs.positioned(at, ["file", "i"], 3).select("job_id", "space", "position")
+
+
+_LEFT = """ls as (select l_orderkey page, l_linenumber span, min(l_partkey % 6 * 2.0::double) x0, min(l_partkey % 6 * 2.0::double) + 3 x1, min(l_suppkey % 3 * 1.5::double) y0, min(l_suppkey % 3 * 1.5::double) + 8 y1, min(case when l_suppkey % 4 = 0 then 'v' else 'h' end) dir from lineitem group by 1, 2),
+dl as (select distinct l_orderkey page, 3 line, 0.0::double x0, 3.5::double x1, 0.0::double y0, 9.0::double y1, 'h' dir from lineitem where l_orderkey % 3 > 0)"""
+
+
+@query(f"""with recursive {_LEFT}, k as (select ls.*, dl.line home from ls left join dl on dl.page = ls.page and dl.dir = ls.dir and (ls.x0 + ls.x1) / 2 between dl.x0 - 1 and dl.x1 + 1 and (ls.y0 + ls.y1) / 2 between dl.y0 - 1 and dl.y1 + 1),
+q as (select *, row_number() over (partition by page order by span) i from k where home is null),
+w(page, i, span, opened, home) as (select page, i, span, [struct_pack(x0 := x0, x1 := x1, y0 := y0, y1 := y1, dir := dir)], 1::bigint from q where i = 1 union all
+ select page, i, span, case when at_ is null or at_ = 0 then list_append(opened, me) else opened end, case when at_ is null or at_ = 0 then len(opened) + 1 else at_ end from (select q.page, q.i, q.span, w.opened, struct_pack(x0 := q.x0, x1 := q.x1, y0 := q.y0, y1 := q.y1, dir := q.dir) me,
+ list_position(list_transform(w.opened, lambda o: o.dir = q.dir and (q.x0 + q.x1) / 2 between o.x0 - 1 and o.x1 + 1 and (q.y0 + q.y1) / 2 between o.y0 - 1 and o.y1 + 1), true) at_ from w join q on q.page = w.page and q.i = w.i + 1))
+select page, span, home line from k where home is not null union all select w.page, w.span, case when w.page % 3 > 0 then 4 else 0 end + w.home - 1 from w""")
+def span_leftovers(s, d):
+    """Lines of every span: those detected, and those that spans without a line open for the ones after them."""
+    g = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("span")).agg(F.min((F.col("l_partkey") % 6 * 2.0)).alias("x0"), F.min(F.col("l_suppkey") % 3 * 1.5).alias("y0"), F.min(F.when(F.col("l_suppkey") % 4 == 0, "v").otherwise("h")).alias("dir"))
+    spans = g.select("page", "span", "x0", "y0", (F.col("x0") + 3).alias("x1"), (F.col("y0") + 8).alias("y1"), "dir")
+    zero = lambda v, n: F.lit(float(v)).alias(n)
+    lines = g.where("page % 3 > 0").select("page").distinct().select("page", F.lit(3).alias("line"), zero(0, "x0"), zero(3.5, "x1"), zero(0, "y0"), zero(9, "y1"), F.lit("h").alias("dir"))
+    return E.home_lines(spans, lines).select("page", "span", F.col("line").cast("long").alias("line"))
+
+
+@query(f"""with {_PP}, flr as (select l_suppkey % 40 job_id, 'model' place, -2.0::double * (l_partkey % 61) - (l_linenumber % 4) * 0.5::double - 0.25::double pos, (l_orderkey % 60)::double lo, (l_orderkey % 60) + l_quantity::double hi from lineitem)
+select handle, greatest(min(gap), 0.0) clear from (select a.handle, a.y - (b.y + b.height) gap from pi a join pi b on a.job_id = b.job_id and a.handle <> b.handle and b.y < a.y - 1e-9 and b.x < a.x + a.w and b.x + b.w > a.x where a.w > 0
+ union all select a.handle, a.y - f.pos from pi a join flr f on a.job_id = f.job_id and f.pos < a.y - 1e-9 and f.lo < a.x + a.w and f.hi > a.x where a.w > 0) group by 1""")
+def clearance_with_floors(s, d):
+    """Clear height below every text, down to the next text or the next level rule."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    floors = table(s, d, "lineitem").select((F.col("l_suppkey") % 40).alias("job_id"), F.lit("model").alias("place"), (-2.0 * (F.col("l_partkey") % 61) - (n % 4) * 0.5 - 0.25).alias("pos"), (k % 60).cast("double").alias("lo"), ((k % 60) + F.col("l_quantity")).cast("double").alias("hi"))
+    return spatial.room_below(_lines(s, d), floors).select("handle", "clear")

@@ -174,13 +174,37 @@ def glyph_rows(glyphs: DataFrame) -> DataFrame:
     return glyphs.groupBy("span").applyInPandas(_glyph_rows, "span long, ord long, row int")
 
 
+def _holds(span: Column, line: Column, slack: float) -> Column:
+    """A line runs the way of a span and, with some slack, holds its centre."""
+    cx, cy = (span["x0"] + span["x1"]) / 2, (span["y0"] + span["y1"]) / 2
+    return (span["dir"] == line["dir"]) & cx.between(line["x0"] - slack, line["x1"] + slack) & cy.between(line["y0"] - slack, line["y1"] + slack)
+
+
 def home_lines(spans: DataFrame, lines: DataFrame, slack: float = 1.0) -> DataFrame:
-    """spans (page, span, x0, y0, x1, y1, dir) with the first line (page, line, …, dir) that holds their centre; else null."""
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    """spans (page, span, x0, y0, x1, y1, dir) with the first line (page, line, …, dir) that holds their centre.
+
+    A span that no line holds opens one with its own box, behind all lines of the page, and spans after it can join that. Which of the
+    opened lines are there depends on the spans before, so the leftover spans of a page, and they alone, are folded in order.
+    """
     l = lines.select("page", "line", F.col("dir").alias("l_dir"), *(F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")))
-    holds = (F.col("dir") == F.col("l_dir")) & cx.between(F.col("l_x0") - slack, F.col("l_x1") + slack) & cy.between(F.col("l_y0") - slack, F.col("l_y1") + slack)
-    first = spans.join(l, "page").where(holds).groupBy("page", "span").agg(F.min("line").alias("line"))
-    return spans.join(first, ["page", "span"], "left")
+    span = F.struct("x0", "y0", "x1", "y1", "dir")
+    at = F.struct(*(F.col(f"l_{c}").alias(c) for c in ("x0", "y0", "x1", "y1", "dir")))
+    first = spans.join(l, "page").where(_holds(span, at, slack)).groupBy("page", "span").agg(F.min("line").alias("line"))
+    known = spans.join(first, ["page", "span"], "left")
+    left = known.where("line is null").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("span", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), "dir"))).alias("spans"))
+
+    def take(a: Column, s: Column) -> Column:
+        # homes: for each span so far the number of its line among those opened; opened: the spans that opened them.
+        home = F.array_position(F.transform(a["opened"], lambda o: _holds(s, o, slack)), F.lit(True)).cast("int") - 1
+        opens = home < 0
+        return F.struct(F.array_append(a["homes"], F.when(opens, F.size(a["opened"])).otherwise(home)).alias("homes"), F.when(opens, F.array_append(a["opened"], s)).otherwise(a["opened"]).alias("opened"))
+
+    kind = left.schema["spans"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<int>").alias("homes"), F.array().cast(kind).alias("opened"))
+    homes = left.select("page", F.explode(F.arrays_zip("spans", F.aggregate("spans", start, take)["homes"].alias("homes"))).alias("z")).select("page", F.col("z.spans.span").alias("span"), F.col("z.homes").alias("nth"))
+    last = lines.groupBy("page").agg(F.max("line").alias("last"))
+    opened = homes.join(last, "page", "left").select("page", "span", (F.coalesce("last", F.lit(-1)) + 1 + F.col("nth")).cast(dict(lines.dtypes)["line"]).alias("new_line"))
+    return known.join(opened, ["page", "span"], "left").withColumn("line", F.coalesce("line", "new_line")).drop("new_line")
 
 
 def line_texts(spans: DataFrame) -> DataFrame:

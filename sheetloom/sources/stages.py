@@ -1,22 +1,34 @@
-"""Stage documents: written whole or not at all, read strictly, and the price list that lies beside them.
+"""Stage documents: written whole or not at all, by one writer at a time in effect, and the price list that lies beside them.
 
-A version of a stage is a folder of its own; a small pointer file names the version in force and is replaced by one
-rename. A reader sees the old version or the new one, never a mixture, and an executor lost half-way leaves the old.
+A version of a stage is a folder of rows and an entry in the stage's log, numbered one after the other. An entry appears whole or not at
+all and never replaces another: whoever names the next number first has it. A writer says which version it has read; if another one
+came in between, its commit fails, and it reads again and retries, so no update is lost. A reader sees the newest entry's rows,
+never a mixture, and a writer or executor that is lost half-way leaves the version before. The log needs a file system
+whose rename fails if the target is there, as HDFS; local folders use a link, which does.
 """
 
 from __future__ import annotations
 
+import json
+import random
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTER = "CURRENT"
+LOG = "_log"
 
 
-def _fs(spark: SparkSession, path: str):
+class StageConflict(RuntimeError):
+    """Another writer has committed since the version that was read."""
+
+
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
@@ -40,30 +52,90 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_stage(df: DataFrame, path: str) -> str:
-    """Writes a new version of the stage and puts it in force; gives the version's name."""
-    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.json(f"{path}/{version}", ignoreNullFields=False)
-    fs, pointer = _fs(spark, f"{path}/{POINTER}")
-    _, fresh = _fs(spark, f"{path}/.{POINTER}-{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
+# ---------------------------------------------------------------- the log
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the version in force; 0 and none before the first."""
+    fs, log = _fs(spark, f"{path}/{LOG}")
+    if not fs.exists(log):
+        return 0, None
+    numbers = [int(name) for s in fs.listStatus(log) if (name := s.getPath().getName()).isdigit()]
+    if not numbers:
+        return 0, None
+    entry = spark.read.text(f"{path}/{LOG}/{max(numbers):012d}").first()[0]
+    return max(numbers), f"{path}/{json.loads(entry)['rows']}"
+
+
+def _entered(spark: SparkSession, path: str, number: int, entry: dict) -> bool:
+    """Puts an entry into the log, whole, unless its number is taken."""
+    jvm = spark.sparkContext._jvm
+    fs, fresh = _fs(spark, f"{path}/{LOG}/.{uuid.uuid4().hex}")
+    _, target = _fs(spark, f"{path}/{LOG}/{number:012d}")
+    out = fs.create(fresh, False)
+    out.write(bytearray(json.dumps(entry).encode()))
     out.close()
-    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, pointer, overwrite)
-    return version
+    try:
+        if fs.getScheme() == "file":
+            file = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(file(target), file(fresh))
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, target, none)
+        return True
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(getattr(e, "java_exception", e)) or fs.exists(target):
+            return False
+        raise
+    finally:
+        if fs.exists(fresh):
+            fs.delete(fresh, False)
+
+
+def _write_rows(df: DataFrame, path: str) -> str:
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{name}", ignoreNullFields=False)
+    return name
+
+
+def commit_stage(df: DataFrame, path: str, read_version: int) -> int:
+    """Writes the rows as the version behind the one that was read, and gives its number. StageConflict: somebody was first, nothing changed."""
+    spark = df.sparkSession
+    if current(spark, path)[0] != read_version:
+        raise StageConflict(f"{path} is no longer at version {read_version}")
+    if not _entered(spark, path, read_version + 1, {"rows": _write_rows(df, path)}):
+        raise StageConflict(f"{path} got version {read_version + 1} from another writer")
+    return read_version + 1
+
+
+def write_stage(df: DataFrame, path: str, tries: int = 100) -> int:
+    """A new version whatever the one before holds; gives its number. The rows are written once, only their number is tried again."""
+    spark, entry = df.sparkSession, {"rows": _write_rows(df, path)}
+    for _ in range(tries):
+        number = current(spark, path)[0] + 1
+        if _entered(spark, path, number, entry):
+            return number
+    raise StageConflict(f"{path} changed {tries} times meanwhile")
+
+
+def update_stage(spark: SparkSession, path: str, like: T.StructType, change: Callable[[DataFrame], DataFrame], tries: int = 50) -> int:
+    """Reads the version in force, changes it and commits; if another writer was first, all of it again on what that one left."""
+    for n in range(tries):
+        number, _ = current(spark, path)
+        before = read_stage(spark, path, like) if number else spark.createDataFrame([], like)
+        try:
+            return commit_stage(change(before), path, number)
+        except StageConflict:
+            time.sleep(random.random() * min(1.0, 0.05 * 2**n))
+    raise StageConflict(f"{path} changed {tries} times meanwhile")
 
 
 def read_stage(spark: SparkSession, path: str, like: T.StructType, strict: bool = True) -> DataFrame:
     """The version in force."""
-    version = spark.read.text(f"{path}/{POINTER}").first()[0]
-    if strict:
-        return spark.read.schema(like).option("mode", "FAILFAST").json(f"{path}/{version}")
-    from sheetloom.sources.entities import read_stage as read_json  # a scan; it needs this module for its tables
-
-    return read_json(spark, f"{path}/{version}", like, strict=False)
+    number, rows = current(spark, path)
+    if not number:
+        raise PySparkException(f"{path} has no version yet")
+    return spark.read.schema(like).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(rows)
 
 
 def read_pricing(spark: SparkSession, path: str) -> DataFrame:
