@@ -7,8 +7,8 @@ vendored file). Any other is live-looking, in however many repositories its owne
 under the kind "live" where no rule's span stands.
 
 Shuffles: one aggregation of (hash, owner, repository) to distinct triples with partial aggregation, one of those to
-counts, and one equi-join of candidates (not texts) with the counts, which adaptive execution can split if a hash is
-hot. The texts are read once and never shuffle: the scan leaves a narrow table of spans, and only rows with candidates
+counts, which are written as a table, and one equi-join of candidates (not texts) with that table, which adaptive execution can
+split if a hash is hot. The texts are read once and never shuffle: the scan leaves a narrow table of spans, and only rows with candidates
 take part in the joins.
 
 Defined results: null or empty text has no spans. A null owner or repository counts as one value of its own. Repeated
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_text
+from .common import cut, map_text, stash
 from .spans import Span, free
 
 KINDS = ["assign", "access", "hex", "live"]
@@ -124,7 +124,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
 
 def _judged(found: DataFrame) -> DataFrame:
     each = found.where(F.size("found") > 0).select(*(c for c in found.columns if c != "found"), F.explode("found").alias("f")).select("*", "f.*").drop("f")
-    return each.join(ownership(found, F.col("_o"), F.col("_r")), "hash", "left")
+    # A table of its own: candidates and counts meet from two exchanges, and the part of a hot hash can be split.
+    return each.join(stash(ownership(found, F.col("_o"), F.col("_r"))), "hash", "left")
 
 
 def op4(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:

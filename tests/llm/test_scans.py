@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -330,3 +331,45 @@ def test_window_set_is_small():
     s = decontaminate.WindowSet([("1", text)], 10)
     held = len(s.text) + sum(x.nbytes for part in s.parts.values() for x in part)
     assert held + sys.getsizeof(s.item_ids) < 5 * len(text) + (1 << 20)
+
+
+def test_ownership_over_a_generated_corpus(spark):
+    """Random values in prose, some of one owner (live), some copied by most owners: the whole query against counts in plain Python."""
+    r = random.Random(21)
+    alphabet = string.ascii_letters + string.digits
+    value = lambda: "".join(r.choice(alphabet) for _ in range(r.randint(24, 44)))
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 11)))
+    owners = [f"org{k}" for k in range(12)]
+    copied, live = [value() for _ in range(20)], [value() for _ in range(150)]
+    docs = []
+    for k in range(400):
+        words = [word() for _ in range(r.randint(3, 60))]
+        if k < 240:
+            words.insert(r.randrange(len(words)), copied[k % 20])  # every copied value is in the hands of all owners
+        if k % 3 == 0:
+            words.insert(r.randrange(len(words)), live[k // 3 % 150])
+        docs.append((k, " ".join(words), owners[k // 20 % 12 if k < 240 else k % 5]))
+    docs += [docs[0], (900, None, "org1"), (901, "", None)]
+    holders: dict[str, set] = {}
+    found = {}
+    for i, text, owner in docs:
+        base = secrets.rule_spans(text) if text else []
+        spans = [(a, b, v) for a, b, v in (secrets.loose_spans(text) if text else []) if all(b <= s[1] or s[2] <= a for s in base)]
+        found[i] = (base, spans)
+        for v in [s[3] for s in base] + [v for _, _, v in spans]:
+            holders.setdefault(v, set()).add(owner or "")
+    everyone = len({o or "" for _, _, o in docs})
+    is_copied = lambda v: len(holders[v]) >= 2 and len(holders[v]) > secrets.COPIED_SHARE * everyone
+    order = {k: n for n, k in enumerate(secrets.KINDS)}
+    want = {}
+    for i, (base, spans) in found.items():
+        base = [s[:3] for s in base]
+        kept = [("live", a, b) for a, b, v in spans if not is_copied(v)]
+        told = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(set(xs), key=lambda s: (s[1], order[s[0]], s[2])))
+        want[i] = (hashlib.sha256(told(base).encode()).hexdigest(), told(base + kept), len(kept))
+    got = secrets.op4(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(docs) and {x.doc_id: (x.base_sha256, x.spans, x.n_live) for x in got} == want
+    text = {i: t for i, t, _ in docs}
+    flagged = {text[x.doc_id][int(a) : int(b)] for x in got for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "live"}
+    used = {v for v in live if any(v in (t or "") for t in text.values())}
+    assert len(flagged & used) >= 0.97 * len(used) and not flagged & set(copied) and len(flagged - used) <= 0.02 * len(flagged)
