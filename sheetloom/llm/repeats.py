@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import mix, parts_for, prefix_sums, slice_hashes, sliced, stash, utf8
 
@@ -31,6 +32,8 @@ HOT_CONTEXTS = 1 << 12
 #: Tokens of contexts that a resolver gets at once.
 SHARD_BYTES = 4 << 20
 _POSITION_BITS = np.uint64(28)
+#: Tokens of which the runs are looked for at once: their places fit the position bits.
+RUN_TOKENS = 1 << 27
 
 
 @dataclass
@@ -60,8 +63,22 @@ class Tokens:
     hashes: Callable[[bytes], np.ndarray]
 
 
-def runs(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, first window, last window, anchor (all as token positions in the slice), gram hash, context hash of each run."""
+def runs(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int, most: int = RUN_TOKENS) -> tuple[np.ndarray, ...]:
+    """Row, first window, last window, anchor (all as token positions in the slice), gram hash, context hash of each run.
+
+    A longer slice is taken in stretches of `most` windows. A run that a border cuts is two runs, each as good as any other.
+    """
+    if len(codes) < most + window:
+        return _runs(codes, bounds, window, gram)
+    parts = []
+    for at in range(0, len(codes) - window + 1, most):
+        size = min(most + window - 1, len(codes) - at)
+        row, lo, hi, anchor, grams, ctx = _runs(codes[at : at + size], np.clip(bounds - at, 0, size), window, gram)
+        parts.append((row, lo + at, hi + at, anchor + at, grams, ctx))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _runs(codes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     n, w = len(codes), window - gram + 1
     empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     if n < window:
@@ -183,12 +200,16 @@ def repeated_spans(docs: DataFrame, tokens: Tokens) -> DataFrame:
     if not hot.isEmpty():
         each = stash(texts.where("hot").drop("hot").mapInArrow(_windows(tokens), "gram long, ctx long, times long, a int, w long"))
         again = each.groupBy("gram", "w").agg(F.sum("times").alias("n")).where("n > 1").select("gram", "w")
-        partial = partial.unionByName(each.join(again, ["gram", "w"]).select("gram", "ctx", "a", F.col("a").alias("b")))
+        # Contexts that occur again whole are removed whole anyway; of the others, neighbouring windows become one stretch.
+        hits = each.where("times = 1").join(again, ["gram", "w"]).select("gram", "ctx", "a")
+        order = Window.partitionBy("gram", "ctx").orderBy("a")
+        starts = hits.withColumn("new", F.coalesce(F.col("a") - F.lag("a").over(order) > 1, F.lit(True)).cast("int"))
+        partial = partial.unionByName(starts.withColumn("run", F.sum("new").over(order)).groupBy("gram", "ctx", "run").agg(F.min("a").alias("a"), F.max("a").alias("b")).drop("run"))
     partial = stash(partial)
     whole = rows.where("pure").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + w).alias("b"))
     more = mixed.join(contexts.where("times > 1").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select("k1", "k2", F.col("lo").alias("a"), (F.col("hi") + w).alias("b"))
     some = mixed.join(partial, ["gram", "ctx"]).select("k1", "k2", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + w).alias("b"))
-    return whole.union(more).union(some).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return whole.union(more).union(some).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, tokens: Tokens, also: Tokens | None = None) -> DataFrame:

@@ -107,3 +107,18 @@ def test_runs_place_every_window_once():
     windows = [(int(k), int(w)) for k, a, b in zip(row, lo, hi, strict=True) for w in range(a, b + 1)]
     assert windows == [(k, w) for k in range(4) for w in range(bounds[k], bounds[k + 1] - 29)]
     assert ((anchor >= hi) & (anchor <= lo + 22)).all()
+
+
+def test_runs_in_stretches_have_the_same_windows_and_anchors():
+    r = np.random.default_rng(4)
+    codes = r.integers(1, 40, 900).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bounds = np.array([0, 0, 5, 130, 131, 700, 700, 900])
+
+    def windows(most):
+        row, lo, hi, anchor, gram, _ = repeats.runs(codes, bounds, 20, 6, most)
+        return sorted((int(a), int(w), int(x), int(g)) for a, b, c, x, g in zip(row, lo, hi, anchor, gram, strict=True) for w in range(b, c + 1))
+
+    whole = windows(10_000)
+    assert len(whole) == sum(max(0, n - 19) for n in np.diff(bounds))
+    for most in (1, 7, 100, 333):
+        assert windows(most) == whole
