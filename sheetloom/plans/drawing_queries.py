@@ -316,24 +316,37 @@ def stage_round_trip(s, d):
     return stages.read_stage(s, path, schema.TRANSLATION).select(F.col("id").cast("long").alias("id"), "target", "ok", "note")
 
 
-@query("select * from (values ('m1', 3.0::double, 15.0::double, 0.3::double, 3.75::double), ('default', 1.0::double, 5.0::double, 0.0::double, 0.0::double)) t(model, p_in, p_out, p_read, p_write)")
+@query("select 'm' || p_partkey model, p_retailprice / 300 p_in, case when p_partkey % 3 > 0 then p_retailprice / 60 else 0.0 end p_out, case when p_partkey % 4 = 0 then p_size / 10.0::double else 0.0 end p_read, 0.0::double p_write from part")
 def pricing_from_file(s, d):
-    path = stages.scratch(s, "pricing")
-    s.createDataFrame([('{"model": "m1", "input": 3.0, "output": 15.0, "cache_read": 0.3, "cache_write": 3.75}',), ('{"model": "default", "input": 1.0, "output": 5.0}',)], "value string").coalesce(1).write.text(path)
+    """A price list written as a file, a model a part, with rates that some rows lack."""
+    path, k = stages.scratch(s, "pricing"), F.col("p_partkey")
+    rates = table(s, d, "part").select(F.concat(F.lit("m"), k).alias("model"), (F.col("p_retailprice") / 300).alias("input"), F.when(k % 3 > 0, F.col("p_retailprice") / 60).alias("output"), F.when(k % 4 == 0, F.col("p_size") / 10).alias("cache_read"))
+    rates.write.json(path)
     return stages.read_pricing(s, path)
 
 
-@query("select 2 n, 'план здания|этаж' as text")
+@query("""with l as (select coalesce(source, 'none') source, doc_id, string_split(text, chr(10))[1] line from documents where text is not null), t as (select source, string_agg(line, chr(10) order by doc_id) body from l where trim(line) <> '' group by 1)
+select source, md5(regexp_replace(body, '\\s+$', '')) digest, len(string_split(regexp_replace(body, '\\s+$', ''), chr(10))) n from t where trim(body) <> ''""")
 def workspace_texts(s, d):
+    """A workspace of one file a source, the first lines of its documents, some with front matter: read whole, without it."""
     path = stages.scratch(s, "workspace")
-    s.createDataFrame([(1, "---\ntitle: x\n---\nплан здания"), (2, "этаж"), (3, " ")], "k int, value string").repartitionByRange(3, "k").select("value").write.option("lineSep", "\x00").text(path)
-    t = E.workspace_text(s, f"{path}/part-*").select(F.regexp_replace("text", "[\x00\n]+$", "").alias("text")).where("trim(text) <> ''")
-    return t.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("text")), "|").alias("text"))
+    first = table(s, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.split("text", "\n")[0].alias("line")).where("trim(line) <> ''")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda z: z["line"]), "\n")
+    files = first.groupBy("source").agg(body.alias("body"))
+    front = F.when(F.length("source") % 2 == 0, F.concat(F.lit("---\ntitle: "), F.col("source"), F.lit("\nkind: notes\n---\n"))).otherwise("")
+    files.select("source", F.concat(front, "body").alias("value")).repartition("source").write.partitionBy("source").text(path)
+    t = E.workspace_text(s, f"{path}/*/*.txt")
+    text = F.regexp_replace("text", r"\s+$", "")
+    return t.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.md5(text.cast("binary")).alias("digest"), F.size(F.split(text, "\n")).alias("n"))
 
 
-@query("select 'a' term, 'b' translation union all select 'план', 'plan' union all select 'этаж', 'floor'")
+@query("select 'k' || o_orderkey term, o_orderpriority translation from orders where o_orderkey % 5 <> 0")
 def glossary_pairs(s, d):
-    return E.glossary(s.createDataFrame([("# x\na → b · план → plan\nno pair\nэтаж → floor",)], "text string"))
+    """The pairs of a glossary text a customer; lines without an arrow have none."""
+    k = F.col("o_orderkey")
+    pair = F.when(k % 5 == 0, F.concat(F.lit("note "), k)).otherwise(F.concat(F.lit("k"), k, F.lit(" → "), "o_orderpriority"))
+    texts = table(s, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit("# terms\n"), F.call_function("array_join", F.collect_list(pair), F.when(F.max("o_custkey") % 2 == 0, " · ").otherwise("\n"))).alias("text"))
+    return E.glossary(texts.select("text"))
 
 
 _TR = "tj as (select o_orderkey id, o_orderdate deleted_at, (select max(o_orderdate) from orders) now from orders where o_orderkey % 3 = 0)"
@@ -399,10 +412,16 @@ def sheets_by_kind(s, d):
     return jobs.sheets(layouts, frames, c.where("sheet % 3 = 2"))
 
 
-@query("select 'stage' section, 'read 3' line union all select 'fit', 'ok: 2' union all select 'worst', 's1 tight план'")
+@query("""with st as (select event_type, count(*) n from events group by 1), f as (select case when o_orderkey % 7 = 0 then 'overflow' when o_orderkey % 5 = 0 then 'tight' else 'ok' end flag, o_orderkey k, o_totalprice r, o_orderpriority p from orders),
+w as (select * from f where flag <> 'ok' order by r, k limit 8)
+select 'stage' section, event_type || ' ' || n line from st union all select 'fit', flag || ': ' || count(*) from f group by flag union all select 'worst', k || ' ' || flag || case when k % 3 > 0 then ' ' || p else '' end from w""")
 def diagnostics_text(s, d):
-    worst = jobs.with_text(s.createDataFrame([("s1", "tight")], "id string, flag string"), s.createDataFrame([("s1", "план")], "id string, source string"))
-    return jobs.diagnostics(s.createDataFrame([("read", 3)], "name string, seconds int"), s.createDataFrame([("ok", 2)], "flag string, n int"), worst)
+    """Runs of each stage, flags and the eight tightest with their texts, where these are known."""
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(k.cast("string").alias("id"), k.alias("k"), F.when(k % 7 == 0, "overflow").when(k % 5 == 0, "tight").otherwise("ok").alias("flag"), F.col("o_totalprice").alias("r"), F.col("o_orderpriority").alias("source"))
+    timed = table(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("seconds"))
+    worst = o.where("flag <> 'ok'").orderBy("r", "k").limit(8).select("id", "flag")
+    return jobs.diagnostics(timed, o.groupBy("flag").agg(F.count("*").alias("n")), jobs.with_text(worst, o.where("k % 3 > 0")))
 
 
 # ---------------------------------------------------------------- paragraphs
@@ -656,11 +675,21 @@ def notes_by_page(s, d):
     return notes.select("page", F.array_join(F.transform("notes", lambda z: F.concat(z["kind"], F.lit("="), z["n"])), ";").alias("notes"))
 
 
-@query("select 'NOT verified: 3 written, 1 left; geometry moved' line, 0 line_no union all select 'page 2: flagged by the reviewer (1): no note given', 1 union all select 'page 10: wider than the space (5): a; b; c; d and 1 more', 2")
+@query("""with r as (select lpad(cast(o_orderkey as varchar), 10, '0') id, 'page ' || (o_orderkey % 12) place, o_orderkey % 7 = 0 wide, o_orderkey % 11 = 0 un, o_orderkey % 5 = 0 ns, o_orderpriority || o_orderkey shown from orders),
+k as (select id, place, 'wider than the space' kind, shown from r where wide union all select id, place, case when un then 'not approved, so left in the original language' else 'the model was unsure' end, shown from r where un or ns
+ union all select '', 'page ' || (c_custkey % 12), 'flagged by the reviewer', case when c_custkey % 20 = 0 then 'no note given' else 'note ' || c_custkey end from customer where c_custkey % 10 = 0),
+g as (select *, row_number() over (partition by place, kind order by id, shown) i, count(*) over (partition by place, kind) n from k),
+l as (select place, kind, place || ': ' || kind || ' (' || any_value(n) || '): ' || string_agg(shown, '; ' order by i) filter (where i <= 4) || case when any_value(n) > 4 then ' and ' || (any_value(n) - 4) || ' more' else '' end line from g group by place, kind)
+select 0 line_no, 'NOT verified: ' || count(*) filter (o_orderkey % 2 = 0) || ' written, ' || count(*) filter (o_orderkey % 2 = 1) || ' left; geometry moved' line from orders union all select row_number() over (order by cast(place[6:] as int), kind), line from l""")
 def report_text(s, d):
-    result = s.createDataFrame([(3, 1, False, ["geometry moved"])], "patched int, skipped int, ok boolean, problems array<string>")
-    rows = s.createDataFrame([(x, "overflow", True, True, x, "s", ["page 10"]) for x in "abcde"], "id string, fit string, approved boolean, ok boolean, display string, source string, places array<string>")
-    return review.report(result, review.to_check(rows, s.createDataFrame([("page 2", " ")], "place string, note string"))).select("line", "line_no")
+    """The whole report: the verdict, then every place and kind with its number, the first four texts and how many more."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    o = table(s, d, "orders")
+    result = o.agg(F.count_if(k % 2 == 0).alias("patched"), F.count_if(k % 2 == 1).alias("skipped"), F.lit(False).alias("ok"), F.array(F.lit("geometry moved")).alias("problems"))
+    page = lambda x: F.concat(F.lit("page "), (x % 12).cast("string"))
+    rows = o.select(F.lpad(k.cast("string"), 10, "0").alias("id"), F.when(k % 7 == 0, "overflow").otherwise("").alias("fit"), (k % 11 != 0).alias("approved"), (k % 5 != 0).alias("ok"), F.concat("o_orderpriority", k).alias("display"), F.lit("s").alias("source"), F.array(page(k)).alias("places"))
+    flags = table(s, d, "customer").where(c % 10 == 0).select(page(c).alias("place"), F.when(c % 20 == 0, " ").otherwise(F.concat(F.lit("note "), c)).alias("note"))
+    return review.report(result, review.to_check(rows, flags)).select("line", "line_no")
 
 
 # ---------------------------------------------------------------- sheets

@@ -379,7 +379,7 @@ def upper_median(s, d):
     return _ti(s, d).groupBy("job_id").agg(M.upper_median(F.collect_list("height")).alias("height"))
 
 
-_PI = f"pi as (select job_id, place, layer, handle, doc_id * 4294967296 + pos ord, plain, lang, height, x, y, {M.em_width_sql('plain')} * height w from ti where kind = 'TEXT')"
+_PI = f"pi as (select job_id, place, layer, handle, doc_id * 4294967296 + pos ord, plain, lang, height, x, y, {M.em_width_sql('plain')} * height w from ti where kind in ('TEXT', 'MTEXT'))"
 
 
 @query(f"with recursive {TI}, {_PI}, {paragraph_sql('pi')} select handle, paragraph, line from para")
@@ -424,7 +424,7 @@ def instances_sql(base: str, rules: str, wanted: str, floors: bool = False) -> s
     av = _AV.replace(TI, base).replace(RULE, rules)
     em, w = M.em_width_sql("plain"), "u.job_id = q.job_id and u.paragraph = q.paragraph"
     return f"""with recursive {av}, {_CLEAR_FLOORS if floors else _CLEAR}, ok_ as materialized (select *, row_number() over (order by ord_) ord from (select it.*, {'doc_id * 4294967296 + pos' if base == TI else 'ord'} ord_ from it where {wanted})),
-pi as (select job_id, place, layer, handle, ord, plain, lang, height, x, y, own_w w from ok_ where kind = 'TEXT'), {paragraph_sql('pi')},
+pi as (select job_id, place, layer, handle, ord, plain, lang, height, x, y, own_w w from ok_ where kind in ('TEXT', 'MTEXT')), {paragraph_sql('pi')},
 ln as materialized (select ok_.*, coalesce(paragraph, ok_.handle) paragraph, coalesce(line, 0) line from ok_ left join para on para.job_id = ok_.job_id and para.handle = ok_.handle),
 un as (select job_id, paragraph, count(*) n_lines, max(height) height, arg_min(lang, line) lang, arg_min(ord, line) ord, case when count(*) = 1 then any_value(plain) when arg_min(lang, line) = 'ja' then string_agg(trim(plain), '' order by line) else string_agg(trim(plain), ' ' order by line) end plain from ln group by 1, 2),
 sg as (select job_id, plain source, min(ord) first from un group by 1, 2), seg as (select *, job_id || '-s' || lpad(cast(row_number() over (partition by job_id order by first) as varchar), 5, '0') id from sg),
@@ -491,9 +491,12 @@ def _micro(c):
     return F.round(F.col(c) * 1e6).cast("long").alias(c)
 
 
-@query(f"with {_COST} select {_MU.format('sum(usd)')} all_usd, cast(sum(input) as bigint) tokens_in, cast(sum(output) as bigint) tokens_out, count(distinct job_id) jobs from cost")
+@query(f"""with {_COST}, nw as (select max("at") n from cost) select {_MU.format('sum(usd)')} all_usd, {_MU.format('''coalesce(sum(usd) filter (date_trunc('month', "at") = date_trunc('month', n)), 0)''')} month_usd, {_MU.format('''coalesce(sum(usd) filter (date_trunc('day', "at") = date_trunc('day', n)), 0)''')} today_usd, cast(sum(input) as bigint) tokens_in, cast(sum(output) as bigint) tokens_out, count(distinct job_id) jobs from cost, nw""")
 def spend_totals(s, d):
-    return jobs.spend_totals(_cost(s, d), F.current_timestamp()).select(_micro("all_usd"), "tokens_in", "tokens_out", "jobs")
+    """In all, in the month and on the day of the last use."""
+    cost = _cost(s, d)
+    last = cost.join(F.broadcast(cost.agg(F.max("at").alias("now"))), F.lit(True))  # one row
+    return jobs.spend_totals(last, F.col("now")).select(_micro("all_usd"), _micro("month_usd"), _micro("today_usd"), "tokens_in", "tokens_out", "jobs")
 
 
 @query(f"with {_COST} select job_id, {_MU.format('sum(usd)')} usd, cast(sum(input) as bigint) tokens_in, cast(sum(output) as bigint) tokens_out from cost group by job_id")
