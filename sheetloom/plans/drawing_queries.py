@@ -226,18 +226,18 @@ def paper_layouts(s, d):
     return E.paper_layouts(_entities(s, d))
 
 
-@query("select c_custkey id from customer where c_custkey % 3 = 0 and c_custkey % 7 <> 0")
+@query("select c_custkey id from customer where c_custkey % 3 <> 1 and c_custkey % 7 <> 0")
 def frames_by_block(s, d):
     k = F.col("c_custkey")
     inserts = table(s, d, "customer").select(k.alias("id"), _pick(["A1_Frame", "door", "図枠A3"], k % 3).alias("name"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.when(k % 7 == 0, 4000.0).otherwise(9000.0).alias("x1"), F.lit(6000.0).alias("y1"))
-    return E.frames_by_block(inserts.where("id % 3 <> 2")).select("id")
+    return E.frames_by_block(inserts).select("id")
 
 
 @query("select distinct 'f' || (c_custkey % 30) || '.png' path from customer where c_custkey % 2 = 0 union select distinct 'x' || (c_custkey % 5) || '.dwg' from customer where c_custkey % 5 <> 0")
 def linked_files(s, d):
     c = table(s, d, "customer")
     k = F.col("c_custkey")
-    pictures = c.where(k % 2 == 0).select(F.concat(F.lit("f"), (k % 30).cast("string"), F.lit(".png")).alias("path")).unionByName(c.select(F.lit("").alias("path")))
+    pictures = c.select(F.when(k % 2 == 0, F.concat(F.lit("f"), (k % 30).cast("string"), F.lit(".png"))).otherwise("").alias("path"))
     refs = c.select(F.lit(1).alias("job_id"), F.concat(F.lit("b"), (k % 5).cast("string")).alias("name"), F.concat(F.lit("x"), (k % 5).cast("string"), F.lit(".dwg")).alias("path")).distinct()
     held = s.createDataFrame([(1, "block:b0")], "job_id int, space string")
     return E.linked_files(pictures, refs, held)
@@ -349,13 +349,13 @@ def glossary_pairs(s, d):
     return E.glossary(texts.select("text"))
 
 
-_TR = "tj as (select o_orderkey id, o_orderdate deleted_at, (select max(o_orderdate) from orders) now from orders where o_orderkey % 3 = 0)"
+_TR = "tj as (select o_orderkey id, o_orderdate deleted_at, (select max(o_orderdate) from orders) now from orders)"
 
 
 def _trashed(s, d):
     o = table(s, d, "orders")
     now = o.agg(F.max("o_orderdate").alias("now"))
-    return o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("deleted_at")).join(F.broadcast(now), F.lit(True)).withColumn("now", F.col("now").cast("timestamp"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("deleted_at")).join(F.broadcast(now), F.lit(True)).withColumn("now", F.col("now").cast("timestamp"))
 
 
 @query(f"with {_TR} select id, (epoch(now) - epoch(deleted_at)) / 86400.0 deleted_days_ago from tj where (epoch(now) - epoch(deleted_at)) / 86400.0 <= 14")
@@ -677,7 +677,7 @@ def notes_by_page(s, d):
 
 @query("""with r as (select lpad(cast(o_orderkey as varchar), 10, '0') id, 'page ' || (o_orderkey % 12) place, o_orderkey % 7 = 0 wide, o_orderkey % 11 = 0 un, o_orderkey % 5 = 0 ns, o_orderpriority || o_orderkey shown from orders),
 k as (select id, place, 'wider than the space' kind, shown from r where wide union all select id, place, case when un then 'not approved, so left in the original language' else 'the model was unsure' end, shown from r where un or ns
- union all select '', 'page ' || (c_custkey % 12), 'flagged by the reviewer', case when c_custkey % 20 = 0 then 'no note given' else 'note ' || c_custkey end from customer where c_custkey % 10 = 0),
+ union all select '', 'page ' || (c_custkey % 12), 'flagged by the reviewer', case when c_custkey % 20 = 0 then 'no note given' else 'note ' || c_custkey end from customer),
 g as (select *, row_number() over (partition by place, kind order by id, shown) i, count(*) over (partition by place, kind) n from k),
 l as (select place, kind, place || ': ' || kind || ' (' || any_value(n) || '): ' || string_agg(shown, '; ' order by i) filter (where i <= 4) || case when any_value(n) > 4 then ' and ' || (any_value(n) - 4) || ' more' else '' end line from g group by place, kind)
 select 0 line_no, 'NOT verified: ' || count(*) filter (o_orderkey % 2 = 0) || ' written, ' || count(*) filter (o_orderkey % 2 = 1) || ' left; geometry moved' line from orders union all select row_number() over (order by cast(place[6:] as int), kind), line from l""")
@@ -688,7 +688,7 @@ def report_text(s, d):
     result = o.agg(F.count_if(k % 2 == 0).alias("patched"), F.count_if(k % 2 == 1).alias("skipped"), F.lit(False).alias("ok"), F.array(F.lit("geometry moved")).alias("problems"))
     page = lambda x: F.concat(F.lit("page "), (x % 12).cast("string"))
     rows = o.select(F.lpad(k.cast("string"), 10, "0").alias("id"), F.when(k % 7 == 0, "overflow").otherwise("").alias("fit"), (k % 11 != 0).alias("approved"), (k % 5 != 0).alias("ok"), F.concat("o_orderpriority", k).alias("display"), F.lit("s").alias("source"), F.array(page(k)).alias("places"))
-    flags = table(s, d, "customer").where(c % 10 == 0).select(page(c).alias("place"), F.when(c % 20 == 0, " ").otherwise(F.concat(F.lit("note "), c)).alias("note"))
+    flags = table(s, d, "customer").select(page(c).alias("place"), F.when(c % 20 == 0, " ").otherwise(F.concat(F.lit("note "), c)).alias("note"))
     return review.report(result, review.to_check(rows, flags)).select("line", "line_no")
 
 

@@ -195,15 +195,15 @@ def tag_lines_alone(s, d):
 # ---------------------------------------------------------------- sheets
 
 _SHEET_ITEMS = """si as (select o_custkey % 12 job_id, o_orderkey ord, 'h' || o_orderkey handle, ((o_orderkey // 4) % 6) sh, case when (o_orderkey // 4) % 97 = 0 then 40.0::double else 2.5::double + (o_orderkey % 3) * 0.5::double end height,
- ((o_orderkey // 4) % 3) * (600.0::double + (o_custkey % 12) * 40) + (o_orderkey % 40) * 4.0::double x, (((o_orderkey // 4) % 6) // 3) * 700.0::double + (o_custkey % 30) * 5.0::double y from orders where o_custkey % 12 <> 11 or o_orderkey % 6 = 0)"""
+ (((o_orderkey // 4) % 3) * (600.0::double + (o_custkey % 12) * 40) + (o_orderkey % 40) * 4.0::double) * (case when o_custkey % 12 = 11 then 60.0::double else 1.0::double end) x, ((((o_orderkey // 4) % 6) // 3) * 700.0::double + (o_custkey % 30) * 5.0::double) * (case when o_custkey % 12 = 11 then 60.0::double else 1.0::double end) y from orders)"""
 
 
 def _sheet_items(s, d) -> DataFrame:
-    """Texts of 12 jobs in six places each, spread differently; the last job is thin."""
+    """Texts of 12 jobs in six places each, spread differently; those of the last job lie far apart."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     q = F.floor(k / 4)
-    o = table(s, d, "orders").where((c % 12 != 11) | (k % 6 == 0))
-    return o.select((c % 12).alias("job_id"), k.alias("ord"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), F.lit("model").alias("place"), F.lit("TEXT").alias("kind"), F.when(q % 97 == 0, 40.0).otherwise(2.5 + (k % 3) * 0.5).alias("height"), ((q % 3) * (600.0 + (c % 12) * 40) + (k % 40) * 4.0).alias("x"), (F.floor(q % 6 / 3) * 700.0 + (c % 30) * 5.0).alias("y"))
+    wide = F.when(c % 12 == 11, 60.0).otherwise(1.0)
+    return table(s, d, "orders").select((c % 12).alias("job_id"), k.alias("ord"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), F.lit("model").alias("place"), F.lit("TEXT").alias("kind"), F.when(q % 97 == 0, 40.0).otherwise(2.5 + (k % 3) * 0.5).alias("height"), (((q % 3) * (600.0 + (c % 12) * 40) + (k % 40) * 4.0) * wide).alias("x"), ((F.floor(q % 6 / 3) * 700.0 + (c % 30) * 5.0) * wide).alias("y"))
 
 
 @query(f"""with recursive {_SHEET_ITEMS}, pts as (select job_id, 'model' place, job_id || '|' || handle node, x px, y py, height from si),
