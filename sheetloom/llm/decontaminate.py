@@ -10,6 +10,7 @@ partitions instead: blocks of the item table, each about half the bound, are sca
 
 Defined results: null or word-less text has no words and no hits; a null item has no windows; repeated items count as
 separate item_ids; repeated rows are kept, each judged alone; an empty benchmark leaves every document clean.
+A text of any length is scanned whole, alone in its slice; an empty table gives no rows; columns named like a result's are replaced by it.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Training counts trigrams over every labelled document outside the held-out quart
 (language, bucket). The model has languages x BUCKETS numbers, whatever the corpus, and only it reaches the driver.
 
 Defined results: text that is null or has no letters is `und` with score 0; without any labelled document everything is
-`und`. A null doc_id counts as the empty text. Equal rows get equal results.
+`und`. A null doc_id counts as the empty text. Equal rows get equal results. Of equal
+proportions the language first by name is named. A text of any length is scored whole, in one pass over its n-grams; an empty table gives no rows; columns named like a result's are replaced by it.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ every run. Texts that share a doc_id (all nulls share one) are thus told apart b
 
 Defined results: null text has no lines; rows that repeat a doc_id and text are one document; a null doc_id comes first;
 equal doc_ids with different texts are ordered by their hashes. Empty texts are one blank line; a text of any length is
-read line by line. An empty table gives no rows; other columns are not looked at.
+read line by line. An empty table gives no rows; other columns are not looked at. whatever their
+names; where rows are returned whole, they keep theirs.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ bounded share of a source each; what rounding leaves is then settled with single
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, ordered last; equal
 rows are told apart only by doc_id and text and round alike when those are equal; an empty table gives an empty mix.
+A text of any length is counted inside the JVM; columns of documents that have the name of a result's are set aside or not looked at.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ join two classes is passed over. A pair at similarity 0.8 shares no band with pr
 
 Defined results: a text without words (null, empty, blank) is a class of its own row; a class is named after its smallest
 doc_id (null only if every doc_id in it is null); equal rows are one class. An empty table gives no rows.
+A text of any length is one set, held whole in its task; only doc_id and text are looked at, so other columns cannot clash.
 """
 
 from __future__ import annotations

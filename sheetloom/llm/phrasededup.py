@@ -9,6 +9,7 @@ more than BASE children. A shard holds whole groups of an anchor gram, and equal
 of a passage lies in another shard, so streaming a document is streaming its contexts, each to its one shard.
 
 Defined results: null text has no words; a text under WINDOW words keeps all; repeated rows are repeats of each other.
+A text of any length is read whole, alone in its slice; an empty table gives no rows; only doc_id and text are looked at.
 """
 
 from __future__ import annotations

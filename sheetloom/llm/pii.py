@@ -9,7 +9,8 @@ corpus text goes in. Windows are all regions of a text, however long, that
 cheap patterns show to hold enough digits or an at sign.
 
 Defined results: null or empty text has no spans; equal rows are judged alike; spans of the field that overlap a span of
-the rules are dropped, so the rules' spans always stand.
+the rules are dropped, so the rules' spans always stand. A text of any length is
+read whole, the field decodes its regions alone; an empty table gives no rows; only doc_id and text are looked at.
 """
 
 from __future__ import annotations

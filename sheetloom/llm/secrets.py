@@ -12,7 +12,8 @@ split if a hash is hot. The texts are read once and never shuffle: the scan leav
 take part in the joins.
 
 Defined results: null or empty text has no spans. A null owner or repository counts as one value of its own. Repeated
-rows are one repository if their ids are equal. The rules' spans stand whatever the frequencies say.
+rows are one repository if their ids are equal. The rules' spans stand whatever the frequencies say. A text of any length
+is read whole; an empty table gives no rows; other columns than id, text, owner and repository are not looked at.
 """
 
 from __future__ import annotations

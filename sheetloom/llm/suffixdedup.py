@@ -12,7 +12,8 @@ A second pass with SHORT bytes marks shorter passages that repeat, of some forty
 counts the bytes they cover. It is the same search with another length.
 
 Defined results: null text is empty; a text shorter than LENGTH keeps all its bytes; repeated rows are repeats of each
-other. Texts are their UTF-8 bytes; the operator that returns text drops what is left of a cut character.
+other. Texts are their UTF-8 bytes; the operator that returns text drops what is left of a cut character. A text of any
+length is read whole, alone in its slice; an empty table gives no rows; only doc_id and text are looked at, and results have no other columns.
 """
 
 from __future__ import annotations

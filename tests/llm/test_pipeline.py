@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +99,88 @@ def test_stages_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0, name
     assert out.columns == [*docs.columns, "copy"]
+
+
+def shingles(text):
+    from collections import Counter
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def classes(texts):
+    """For each text the number of its class: weighted Jaccard of five-word shingles of 0.8 or more links, over all pairs that share one."""
+    bags = [shingles(t) for t in texts]
+    root, holders = list(range(len(bags))), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, bag in enumerate(bags):
+        met = {j for s in bag for j in holders.get(s, ())}
+        for j in met:
+            both = sum((bag & bags[j]).values())
+            if both >= 0.8 * (bag.total() + bags[j].total() - both):
+                root[find(i)] = find(j)
+        for s in bag:
+            holders.setdefault(s, []).append(i)
+    return [find(i) for i in range(len(bags))]
+
+
+def test_every_stage_against_brute_force_on_its_own_input(spark, tmp_path):
+    """The whole table of the smallest size, stage by stage; the line stage is held in the test above and by its SQL."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+    windows = set()
+    for item in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(item.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = docs.collect()
+        if name == "language_id":
+            assert {r.doc_id for r in after} == {i for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
+        if name == "near_dedup":
+            ids = sorted(before)
+            of = dict(zip(ids, classes([before[i].text for i in ids]), strict=True))
+            first = {}
+            for i in ids:
+                first.setdefault(of[i], i)
+            assert {r.doc_id for r in after} == set(first.values()) and all(r.text == before[r.doc_id].text for r in after)
+        if name == "decontaminate":
+            want = {}
+            for i, r in before.items():
+                w = words(r.text)
+                hit = [False] * len(w)
+                for size in {len(x) for x in windows}:
+                    for k in range(len(w) - size + 1):
+                        if tuple(w[k : k + size]) in windows:
+                            hit[k : k + size] = [True] * size
+                if sum(hit) <= corpus_pipeline.MAX_CONTAMINATED * len(w):
+                    want[i] = [x for x, h in zip(w, hit, strict=True) if not h]
+            assert {r.doc_id: words(r.text) for r in after} == want
+            assert any(len(words(before[i].text)) > len(w) for i, w in want.items())
+        if name == "mixing":
+            size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for i, r in before.items()}
+            weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted({r.source for r in before.values()}))}
+            held, taken = dict.fromkeys(weight, 0), dict.fromkeys(weight, 0)
+            for i, r in before.items():
+                held[r.source] += size[i]
+            for r in after:
+                taken[r.source] += size[r.doc_id]
+            open_, left, target = dict(weight), 1.5 * sum(held.values()), {}
+            while True:
+                share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+                full = [s for s in open_ if share[s] > 2 * held[s]]
+                if not full:
+                    break
+                for s in full:
+                    target[s] = 2 * held[s]
+                    left -= target[s]
+                    del open_[s]
+            target |= share
+            assert all(abs(taken[s] - target[s]) <= max(0.01 * target[s], max(n for i, n in size.items() if before[i].source == s)) for s in target)
