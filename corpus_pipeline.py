@@ -1,6 +1,11 @@
 """A corpus pipeline from five operators: each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
 
 Rows keep the columns of `documents`; n_chars follows the text where a stage changes it. The last stage adds `copy`.
+
+Every stage takes any rows: documents without text or letters go at the first stage, and lines or spans that go never leave an empty text;
+nulls in other columns and columns whose names an operator uses come through unchanged; rows that repeat an id and a text are
+decided alike by the line stage and are one document for the near-copy stage, which of ties keeps the least id, then the
+lesser row; texts of any length are whole; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
