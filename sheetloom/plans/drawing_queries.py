@@ -274,7 +274,7 @@ def page_line_texts(s, d):
     return E.line_texts(spans).select("page", "text")
 
 
-@query("select distinct l_orderkey page, l_linenumber span, case when l_linenumber <= 4 then cast((l_linenumber - 1) // 2 as int) end line from lineitem")
+@query("with p as (select distinct l_orderkey page, l_linenumber span from lineitem) select page, span, cast(case when span <= 4 then (span - 1) // 2 else 1 + count(*) filter (span > 4) over (partition by page order by span) end as int) line from p")
 def span_home_lines(s, d):
     n = F.col("l_linenumber")
     li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("n")).distinct()
