@@ -112,12 +112,12 @@ def drawing_verified(s, d):
 # ---------------------------------------------------------------- references
 
 _TURNS, _SCALES = [0.0, 90.0, 180.0, 270.0, 30.0], [1.0, 2.0, -1.0, 0.5]
-_REFS = f"""rf as (select o_custkey % 40 job_id, case when o_orderkey % 3 = 0 then 'model' else 'block:b' || ((o_orderkey // 3) % 6) end space, o_orderkey ord, o_orderkey k, (o_orderkey % 97)::double x, (o_custkey % 89)::double y, (o_orderkey // 5) % 6 to_, (o_orderkey // 2) % 7 sort,
+_REFS = f"""rf as (select o_orderkey // 400 job_id, case when o_orderkey % 3 = 0 then 'model' else 'block:b' || ((o_orderkey // 3) % 6) end space, o_orderkey ord, o_orderkey k, (o_orderkey % 97)::double x, (o_custkey % 89)::double y, (o_orderkey // 5) % 6 to_, (o_orderkey // 2) % 7 sort,
  {_sql_list([str(t) for t in _TURNS])}[(o_orderkey // 7) % 5 + 1]::double turn, {_sql_list([str(x) for x in _SCALES])}[(o_orderkey // 11) % 4 + 1]::double sx, {_sql_list([str(x) for x in _SCALES])}[(o_orderkey // 13) % 4 + 1]::double sy from orders)"""
 
 
 def referring(s, d) -> DataFrame:
-    """Entities of 40 jobs in model space and six blocks that refer to each other: a seventh references, the others upright lines and closed boxes."""
+    """Entities, 400 orders a job, in model space and six blocks that refer to each other: a seventh references, the others upright lines and closed boxes."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     num = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (i + 1).cast("int"))
     is_ref = F.floor(k / 2) % 7 == 0
@@ -125,7 +125,7 @@ def referring(s, d) -> DataFrame:
     point = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
     box = F.array(point(0, 0), point(7, 0), point(7, 3), point(0, 3))
     return table(s, d, "orders").select(
-        (c % 40).alias("job_id"), F.when(k % 3 == 0, "model").otherwise(F.concat(F.lit("block:b"), (F.floor(k / 3) % 6).cast("string"))).alias("space"), k.alias("ord"), F.when(is_ref, "INSERT").when(k % 2 == 0, "LINE").otherwise("LWPOLYLINE").alias("type"),
+        F.floor(k / 400).cast("long").alias("job_id"), F.when(k % 3 == 0, "model").otherwise(F.concat(F.lit("block:b"), (F.floor(k / 3) % 6).cast("string"))).alias("space"), k.alias("ord"), F.when(is_ref, "INSERT").when(k % 2 == 0, "LINE").otherwise("LWPOLYLINE").alias("type"),
         F.when(is_ref, F.concat(F.lit("b"), (F.floor(k / 5) % 6).cast("string"))).alias("block"), x.alias("x"), y.alias("y"), num(_SCALES, F.floor(k / 11) % 4).alias("xscale"), num(_SCALES, F.floor(k / 13) % 4).alias("yscale"), num(_TURNS, F.floor(k / 7) % 5).alias("rotation"),
         F.when(~is_ref, F.when(k % 2 == 0, F.array(point(0, 0), point(0, 11))).otherwise(box)).alias("vertices"), (k % 2 == 1).alias("closed"),
     )
@@ -144,7 +144,7 @@ pl as (select job_id, space place, 0 level, x0, y0, x1, y1 from eg union all sel
 @query(f"{_REF_SQL} select job_id, place, count(*) n, round(sum(x0), 3) pos, round(sum(greatest(y0, y1) - least(y0, y1)), 3) length from pl where abs(x1 - x0) <= 0.01 * greatest(abs(y1 - y0), 1e-9) group by 1, 2")
 def block_rules(s, d):
     """Upright rules of every space, with those that references put there through two levels."""
-    bases = s.range(40).select(F.col("id").alias("job_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).select("job_id", F.concat(F.lit("b"), "n").alias("name"), F.col("n").cast("double").alias("bx"), (-F.col("n")).cast("double").alias("by"))
+    bases = referring(s, d).select("job_id").distinct().select("job_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("n")).select("job_id", F.concat(F.lit("b"), "n").alias("name"), F.col("n").cast("double").alias("bx"), (-F.col("n")).cast("double").alias("by"))
     r = E.rule_lines(referring(s, d), bases=bases)
     return r.groupBy("job_id", "place").agg(F.count("*").alias("n"), F.round(F.sum("pos"), 3).alias("pos"), F.round(F.sum(F.col("hi") - F.col("lo")), 3).alias("length"))
 
