@@ -4,7 +4,8 @@
 line holds the code 0 and the next one a type's name, and no value can be taken for that, because behind a value stands a code, which is a
 number. A split reads from the first entity that starts in it to the end of the last one, so any split size gives the same rows.
 
-* Options: path (a file or folder), splitBytes (default 32 MB), mode (PERMISSIVE, DROPMALFORMED, FAILFAST).
+* Options: path (a file or folder), splitBytes (default 32 MB), mode (PERMISSIVE, DROPMALFORMED, FAILFAST), maxTasks (default 256): neighbouring
+  splits of a file are read by one task, in one pass, so that there are about so many tasks, as long as none gets over 32 MB.
 * A record that breaks the format, or whose numbers cannot be read, keeps what could be read, and its whole text in _corrupt_record.
 * A schema that is given names the columns that are parsed. Options only.type, only.handle, only.owner and only.layer list values
   (a JSON array) to which reading is confined; records that do not have one of them are not parsed further. Spark's own hook for filters
@@ -18,6 +19,7 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -31,6 +33,8 @@ from sheetloom.sources.stages import checkpointed
 POINTS = "array<struct<x:double,y:double>>"
 SCHEMA = f"file string, ord long, type string, handle string, owner string, layer string, style string, text string, flags int, height double, x double, y double, width_factor double, box_width double, rotation double, block string, xscale double, yscale double, vertices {POINTS}, closed boolean, cells array<string>, _corrupt_record string"
 SPLIT_BYTES = 32 << 20
+#: Tasks that splits are dealt to, unless that makes one larger than SPLIT_BYTES.
+MAX_TASKS = 256
 BATCH_ROWS = 2000
 #: Columns by which reading can be confined.
 FILTERED = {"type", "handle", "owner", "layer"}
@@ -50,15 +54,19 @@ class Record:
     """The tags of one entity; wrong collects what could not be read."""
 
     def __init__(self, offset: int, lines: list[bytes]) -> None:
-        self.offset, self.lines, self.wrong = offset, lines, False
-        self.tags: list[tuple[int, str]] = []
-        for k in range(0, len(lines) - 1, 2):
+        self.offset, self.lines, self.wrong = offset, lines, len(lines) % 2 == 1
+        self.type = lines[1].decode().rstrip("\r")  # a name of capitals, or no entity would begin here
+
+    @cached_property
+    def tags(self) -> list[tuple[int, str]]:
+        """Parsed when first asked for, as reading confined to other types never asks."""
+        out: list[tuple[int, str]] = []
+        for k in range(0, len(self.lines) - 1, 2):
             try:
-                self.tags.append((int(lines[k]), lines[k + 1].decode().rstrip("\r")))
+                out.append((int(self.lines[k]), self.lines[k + 1].decode().rstrip("\r")))
             except ValueError:  # not a number, or not UTF-8
                 self.wrong = True
-        self.wrong |= len(lines) % 2 == 1
-        self.type = self.tags[0][1] if self.tags else None
+        return out
 
     def first(self, code: int) -> str | None:
         return next((v for c, v in self.tags if c == code), None)
@@ -139,9 +147,11 @@ def _opened(path: str):  # noqa: ANN202
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]+:", path) else (fs.LocalFileSystem(), path)
 
 
-def _lines(f: pa.NativeFile, at: int) -> Iterator[tuple[int, bytes]]:
-    rest = b""
-    while block := f.read(1 << 20):
+def _lines(f: pa.NativeFile, at: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """Lines from at on, read in blocks no larger than what is left up to end; beyond it, where a last entity may go on, in small ones."""
+    rest, to = b"", at
+    while block := f.read(min(1 << 20, max(end - to, 1 << 13))):
+        to += len(block)
         parts = (rest + block).split(b"\n")
         rest = parts.pop()
         for p in parts:
@@ -156,7 +166,7 @@ def records(path: str, start: int, end: int) -> Iterator[Record]:
     held, name = _opened(path)
     with held.open_input_file(name) as f:
         f.seek(max(0, start - 1))
-        lines = _lines(f, max(0, start - 1))
+        lines = _lines(f, max(0, start - 1), end)
         if start:
             next(lines, None)  # the line that a split begins inside belongs to the one before
         offset, tags = -1, []
@@ -184,7 +194,8 @@ def records(path: str, start: int, end: int) -> Iterator[Record]:
 class TagReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.options = schema, dict(options)
-        self.wanted = [(k.partition(".")[2], set(json.loads(v))) for k, v in self.options.items() if k.startswith("only.")]
+        wanted = [(k.partition(".")[2], set(json.loads(v))) for k, v in self.options.items() if k.startswith("only.")]
+        self.wanted = sorted(wanted, key=lambda w: w[0] != "type")  # the type needs no parsing
         if unknown := {c for c, _ in self.wanted} - FILTERED:
             raise ValueError(f"reading cannot be confined by {sorted(unknown)}")
 
@@ -196,6 +207,10 @@ class TagReader(DataSourceReader):
         info = held.get_file_info(name)
         found = held.get_file_info(fs.FileSelector(name, recursive=True)) if info.type == fs.FileType.Directory else [info]
         files = [x for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))]
+        # Each task has its price, so small splits of large inputs go to a task in runs of neighbours; entities start in one of them all the same.
+        most = int(self.options.get("maxtasks", MAX_TASKS))
+        total = sum(x.size for x in files)
+        size *= max(1, min(-(-total // (size * most)), SPLIT_BYTES // size))
         scheme = path[: path.index(":") + 1] + "//" if re.match(r"[a-z][a-z0-9+.-]+:", path) else ""
         return [Split(f"{scheme}{x.path}", a, min(a + size, x.size)) for x in sorted(files, key=lambda x: x.path) for a in range(0, x.size, size)]
 
@@ -208,6 +223,7 @@ class TagReader(DataSourceReader):
         for r in records(partition.path, partition.start, partition.end):
             if any(r.value(c) not in allowed for c, allowed in self.wanted):
                 continue
+            _ = r.tags  # what is wrong with them counts, whichever columns are wanted
             values = {c: r.value(c) for c in names if c not in ("file", "ord", "_corrupt_record")}
             if r.wrong and mode == "FAILFAST":
                 raise ValueError(f"malformed record at {partition.path}:{r.offset}")

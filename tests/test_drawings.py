@@ -135,6 +135,18 @@ def test_splits_of_any_size_give_the_same_records(tmp_path, ending):
         assert parts == whole
 
 
+def test_small_splits_of_large_inputs_share_tasks(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.dxf").write_text(TAGS * 20)
+    path = str(tmp_path)
+    reader = tagstream.TagReader(None, {"path": path, "splitbytes": "5", "maxtasks": "12"})
+    parts = reader.partitions()
+    assert len(parts) <= 12 + 3 and sum(p.end - p.start for p in parts) == sum(f.stat().st_size for f in tmp_path.iterdir())
+    whole = sorted(tuple(r) for r in tagstream.read_tags(spark, path, schema="file string, ord long, type string").collect())
+    assert sorted((p.path, r.offset, r.type) for p in parts for r in tagstream.records(p.path, p.start, p.end)) == whole
+    assert tagstream.read_tags(spark, path, split_bytes=5).rdd.getNumPartitions() <= tagstream.MAX_TASKS + 3
+
+
 def test_tag_streams_as_a_data_source(spark, tmp_path):
     (tmp_path / "job_id=4").mkdir()
     (tmp_path / "job_id=4" / "a.dxf").write_text(TAGS)
