@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,21 +159,36 @@ def cell_texts(tags: DataFrame) -> DataFrame:
     return t.where("cell >= 0").select("handle", "cell").distinct().join(texts, ["handle", "cell"], "left").select("handle", "cell", F.coalesce("value", F.lit("")).alias("value"))
 
 
-def _glyph_rows(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a span's glyphs: a new one where the baseline leaves the row's first or the pen jumps back."""
-    group = group.sort_values("ord", kind="stable")
-    row, first, last, out = -1, None, None, []
-    for g in group.itertuples():
-        if first is None or abs(g.y - first) > 0.3 * g.size or g.x < last - 0.5 * g.size:
-            row, first = row + 1, g.y
-        last = g.x
+def _glyph_rows(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+    """Rows of glyphs that are sorted by span and ord; held is [span, row, the row's first baseline, the last x], carried over batches."""
+    span, row, first, last = held
+    out = []
+    numbers = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("y", "x", "size"))  # null: not a number
+    for s, y, x, size in zip(batch.column("span").to_pylist(), *numbers, strict=True):
+        if s != span:
+            span, row, first = s, 0, y
+        elif abs(y - first) > 0.3 * size or x < last - 0.5 * size:
+            row, first = row + 1, y
+        last = x
         out.append(row)
-    return group.assign(row=out)[["span", "ord", "row"]]
+    held[:] = span, row, first, last
+    return pa.RecordBatch.from_arrays([batch.column("span"), batch.column("ord"), pa.array(out, pa.int32())], names=["span", "ord", "row"])
 
 
 def glyph_rows(glyphs: DataFrame) -> DataFrame:
-    """(span, ord, row): anchored at the row's first glyph, hence a grouped fold; glyphs (span, ord, x, y, size)."""
-    return glyphs.groupBy("span").applyInPandas(_glyph_rows, "span long, ord long, row int")
+    """(span, ord, row) of glyphs (span, ord, x, y, size): a new row where the baseline leaves the row's first or the pen jumps back.
+
+    That is a fold, as it depends on the row's first glyph. Spans are dealt whole and sorted, and a task folds them one after the other as they
+    stream by, so there is no call a span and no span is held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [..., 0, 0.0, 0.0]  # no span yet; null is one
+        for batch in batches:
+            yield _glyph_rows(batch, held)
+
+    dealt = glyphs.select(F.col("span").cast("long").alias("span"), F.col("ord").cast("long").alias("ord"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "size")))
+    return dealt.repartition("span").sortWithinPartitions("span", "ord").mapInArrow(run, "span long, ord long, row int")
 
 
 def _holds(span: Column, line: Column, slack: float) -> Column:

@@ -179,6 +179,29 @@ def test_drawings_written_as_tags_come_back(spark, tmp_path):
     assert keep(back) == keep(e) and back.where("bad is not null").count() == 0
 
 
+def test_rows_of_glyphs_stream_over_batches(spark):
+    """Spans fold one after the other whatever the batches are, without a call a span."""
+    rng = random.Random(3)
+    rows = [(s, o, rng.choice([0.0, 1.0, 2.0, 4.0]), rng.uniform(0, 30), 5.0) for s in range(40) for o in range(rng.choice([1, 2, 9]))]
+    want = {}
+    for s in range(40):
+        row, first, last = -1, None, None
+        for _, o, y, x, size in (r for r in rows if r[0] == s):
+            if first is None or abs(y - first) > 0.3 * size or x < last - 0.5 * size:
+                row, first = row + 1, y
+            last = x
+            want[s, o] = row
+    rng.shuffle(rows)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = entities.glyph_rows(spark.createDataFrame(rows, "span long, ord long, y double, x double, size double"))
+        assert {(r.span, r.ord): r.row for r in found.collect()} == want
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def plain_window(box, texts):
     x0, y0, x1, y1 = box
     for x, y, h in texts:
