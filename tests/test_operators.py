@@ -160,3 +160,38 @@ def test_whole_run(spark):
     assert table["План этажа"].target == "[EN]План этажа[/EN]" and table["図面の名前"].note == "from memory" and all(x.approved for x in table.values())
     plan = [(x.handle, x.action, x.new_text) for x in run.plan.orderBy("handle").collect()]
     assert [p[:2] for p in plan if p[1] == "update"] == [("h1", "update"), ("h2", "update"), ("h4", "update")] and plan[-1][2] == "Drawing"
+
+
+def test_best_met_against_all_pairs(spark):
+    """Equal ends, empty stretches, ties in the order and texts on top of each other, with open and with closed ends."""
+    rng = random.Random(5)
+    stretch = lambda least: (lo := float(rng.randrange(9)), lo + rng.randrange(least, 6))
+    a = [(rng.randrange(2), *stretch(1), float(rng.randrange(5))) for _ in range(150)]
+    b = [(rng.randrange(2), *stretch(0), float(rng.randrange(5)), rng.randrange(100)) for _ in range(60)]
+    for closed in (False, True):
+        for strict in (False, True):
+            want = {}
+            for k, lo, hi, at in a:
+                met = [v for j, l2, h2, t, v in b if j == k and (t < at or (t == at and not strict)) and ((l2 <= hi and h2 >= lo) if closed else (l2 < hi and h2 > lo))]
+                if met:
+                    want[k, lo, hi, at] = max(met)
+            got = spatial.best_met(spark.createDataFrame(a, "k int, lo double, hi double, at double"), spark.createDataFrame(b, "k int, lo double, hi double, at double, value int"), ["k"], closed, strict)
+            assert {tuple(r)[:4]: r.best for r in got.collect()} == want
+
+
+def test_gaps_between_sheets_against_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(2), n, x := float(rng.randrange(12)), y := float(rng.randrange(12)), x + rng.randrange(4), y + rng.randrange(4)) for n in range(70)]
+    got = {r.box: (r.right, r.left, r.above, r.below) for r in spatial.side_gaps(spark.createDataFrame(rows, "job_id int, box long, x0 double, y0 double, x1 double, y1 double")).collect()}
+    least = lambda ds: min((d for d in ds if d >= 0), default=None)
+    for j, n, x0, y0, x1, y1 in rows:
+        o = [r for r in rows if r[0] == j and r[1] != n]
+        beside, stacked = [r for r in o if r[3] <= y1 and r[5] >= y0], [r for r in o if r[2] <= x1 and r[4] >= x0]
+        assert got[n] == (least(r[2] - x1 for r in beside), least(x0 - r[4] for r in beside), least(r[3] - y1 for r in stacked), least(y0 - r[5] for r in stacked))
+
+
+def test_sheets_of_a_job_do_not_all_meet_each_other(spark):
+    """Every join of the gaps carries a place beside the job, so that it cannot pair up a drawing."""
+    boxes = spark.range(50).selectExpr("1 job_id", "id box", "id % 7 * 10.0D x0", "id % 5 * 10.0D y0", "id % 7 * 10.0D + 3 x1", "id % 5 * 10.0D + 3 y1")
+    joins = [x for x in spatial.side_gaps(boxes)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and all("lo#" in x or "hi#" in x or "edge#" in x or "box#" in x for x in joins)
