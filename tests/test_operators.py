@@ -195,3 +195,12 @@ def test_sheets_of_a_job_do_not_all_meet_each_other(spark):
     boxes = spark.range(50).selectExpr("1 job_id", "id box", "id % 7 * 10.0D x0", "id % 5 * 10.0D y0", "id % 7 * 10.0D + 3 x1", "id % 5 * 10.0D + 3 y1")
     joins = [x for x in spatial.side_gaps(boxes)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert joins and all("lo#" in x or "hi#" in x or "edge#" in x or "box#" in x for x in joins)
+
+
+def test_edges_of_neighbours_meet_a_row_once(spark):
+    """Hundreds of texts on one spot are one edge of their row: what is searched does not grow with their pairs."""
+    rows = [item(n, "аа", (n % 3) * 30, 0.0) for n in range(300)]
+    got = spatial.neighbours(spark.createDataFrame(rows, ITEM))
+    assert "handle <> " not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "NOT (o#" not in plan
+    width = 2 * 0.75 * 2.0
+    assert {r.handle: (r.gap_r, r.gap_l) for r in got.collect()} == {f"h{n}": (30.0 if n % 3 < 2 and 30 <= max(6 * width, 120) else None, 30.0 if n % 3 else None) for n in range(300)}
