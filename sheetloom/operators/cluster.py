@@ -1,4 +1,7 @@
-"""Single-linkage clusters of points and boxes: grid-cell edges, connected components, bounding boxes."""
+"""Single-linkage clusters of points and boxes: runs of grid cells, connected components, bounding boxes.
+
+Joins of points and labels are merge joins: a small file can hold many rows, and Spark would send them whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +18,8 @@ MAX_ROUNDS = 60
 #: Mean boxes beside each other that a box may span and still be spelled out into cells.
 MAX_CELLS = 8
 KEYS = ["job_id", "place"]
+#: Width of a cell in gaps: two cells side by side are less than a gap wide. Beyond so many cells from 0 a coordinate is too rough for that.
+CELL, FARTHEST = 0.49, float(2**45)
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -22,50 +27,94 @@ def _keys(df: DataFrame) -> list[str]:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes (node): the least node of its component. Least neighbouring labels and label jumps."""
+    """(node, label) for all nodes (node): the least node of its component. Least neighbouring labels and label jumps.
+
+    A node's own label is an edge as well, so a round is one join and one aggregation: the least label beside a node or at its label, which never exceeds its own.
+    """
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"))
     labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least")).withColumnRenamed("a", "node")
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "least").alias("new"))
-        hop = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        fresh = checkpointed(step.join(hop, "new", "left").select("node", "label", F.least("new", "up").alias("new")))
-        labels = fresh.select("node", F.col("new").alias("label"))
+        asks = both.select("a", "b", F.lit(None).cast(labels.schema["label"].dataType).alias("own")).union(labels.select("node", "label", "label"))
+        fresh = checkpointed(asks.join(labels.hint("merge"), asks["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("new"), F.max("own").alias("label")))
+        labels = fresh.select(F.col("a").alias("node"), F.col("new").alias("label"))
         if fresh.where("new <> label").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def near_pairs(points: DataFrame, gap: Column | float) -> DataFrame:
-    """(a, b) of points (job_id, place, node, px, py; the keys if there) no farther apart than gap on either axis, once a pair, through a 3 x 3 ring of cells.
+def _grid(points: DataFrame, gap: Column | float) -> DataFrame:
+    """points with their cell (_cx, _cy) and the gap; a place that is not finite is a cell of its own, which _odd names."""
+    g = points.where(F.col("px").isNotNull() & F.col("py").isNotNull()).withColumn("_gap", gap if isinstance(gap, Column) else F.lit(float(gap))).where("_gap is not null")
+    q = [F.col(c) / (CELL * F.col("_gap")) for c in ("px", "py")]
+    finite = (F.abs("px") < float("inf")) & (F.abs("py") < float("inf"))
+    far = F.when(F.greatest(F.abs(q[0]), F.abs(q[1])) > FARTHEST, F.raise_error(F.lit("coordinates are too large for the gap between points"))).otherwise("")
+    g = g.withColumn("_odd", F.when(finite, far.cast("string")).otherwise(F.concat_ws("|", F.col("px") + 0.0, F.col("py") + 0.0)))
+    return g.withColumns({f"_c{a}": F.when(F.col("_odd") == "", F.floor(c)).otherwise(0).cast("long") for a, c in zip("xy", q, strict=True)})
+
+
+def _beside(cells: DataFrame, keys: list[str], offsets: list[tuple[int, int]], here: list[str], there: list[str]) -> DataFrame:
+    """Pairs of filled cells at these offsets: columns `here` of a cell, `there` of the one beside it with o_ before them."""
+    d = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in offsets)))
+    a = cells.withColumn("d", d).select(*keys, "d.dx", "d.dy", (F.col("_cx") + F.col("d.dx")).alias("_cx"), (F.col("_cy") + F.col("d.dy")).alias("_cy"), *here)
+    return a.join(cells.select(*keys, "_cx", "_cy", *(F.col(c).alias(f"o_{c}") for c in there)).hint("merge"), [*keys, "_cx", "_cy"])
 
-    gap is a number, or a column that is the same for all points of a job and place.
+
+def _corners(met: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b) of cells that meet over a corner, if a point of one and a point of the other are near on both axes.
+
+    Only a cell's points that no other point of it exceeds on both axes, towards the corner, can be needed.
     """
-    keys = _keys(points)
-    gap = gap if isinstance(gap, Column) else F.lit(float(gap))
-    cell = points.withColumn("gap", gap).withColumn("cx", F.floor(F.col("px") / F.col("gap")).cast("long")).withColumn("cy", F.floor(F.col("py") / F.col("gap")).cast("long"))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    a = cell.withColumn("d", around).select(*keys, "node", "px", "py", "gap", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    b = cell.select(*keys, F.col("node").alias("other"), F.col("px").alias("ox"), F.col("py").alias("oy"), "cx", "cy")
-    near = (F.col("node") < F.col("other")) & (F.abs(F.col("px") - F.col("ox")) <= F.col("gap")) & (F.abs(F.col("py") - F.col("oy")) <= F.col("gap"))
-    return a.join(b, [*keys, "cx", "cy"]).where(near).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pair = [*keys, "_cx", "_cy", "dx", "dy"]
+    pts = grid.where("_odd = ''").select(*keys, "_cx", "_cy", "px", "py").distinct()
+    up = F.signum(F.col("dy"))
+    m = met.select(*pair, "a", "b", "_gap")
+    first = m.withColumns({"_cx": F.col("_cx") - F.col("dx"), "_cy": F.col("_cy") - F.col("dy")}).join(pts.hint("merge"), [*keys, "_cx", "_cy"]).withColumns({"_cx": F.col("_cx") + F.col("dx"), "_cy": F.col("_cy") + F.col("dy")})
+    other = m.select(*pair).join(pts.hint("merge"), [*keys, "_cx", "_cy"])
+    front = lambda df, x, y: df.withColumn("most", F.max(y).over(Window.partitionBy(*pair).orderBy(x, F.desc(y)).rowsBetween(Window.unboundedPreceding, -1))).where(F.col("most").isNull() | (y > F.col("most"))).drop("most")
+    near = front(first, F.desc("px"), F.col("py") * up).join(front(other, F.col("px").asc(), -F.col("py") * up).select(*pair, F.col("px").alias("ox"), F.col("py").alias("oy")).hint("merge"), pair)
+    return near.where((F.abs(F.col("px") - F.col("ox")) <= F.col("_gap")) & (F.abs(F.col("py") - F.col("oy")) <= F.col("_gap"))).select("a", "b")
 
 
 def clusters(points: DataFrame, gap: Column | float, links: DataFrame | None = None) -> DataFrame:
-    """points with the label of their cluster, inside a job and place; node is unique over all. Points at one place collapse first.
+    """points (job_id, place, node, px, py; the keys if there) with the label of their cluster, inside a job and place; node is unique over all.
+
+    Points no farther apart than gap on either axis belong together: a number, or a column that is the same for all points of a job and
+    place. links (a, b): nodes that belong together whatever their distance.
 
-    links (a, b): nodes that belong together whatever their distance.
+    No pairs of points: cells are less than half a gap wide, so points of a cell and of the cells around it belong together. Filled cells on end are one
+    run, runs side by side are joined. Cells two or three steps apart are near if their extents are, or, over a corner, if two of their outer points are.
     """
     keys = _keys(points)
-    extra = [c for c in ("gap",) if c in points.columns]
-    at = points.groupBy(*keys, "px", "py").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in extra))
-    pairs = near_pairs(at, gap)
+    grid = _grid(points, gap)
+    at = [*keys, "_cx", "_cy", "_odd"]
+    cells = grid.groupBy(*at).agg(F.min("node").alias("node"), F.first("_gap").alias("_gap"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+    column = Window.partitionBy(*keys, "_odd", "_cx").orderBy("_cy")
+    opens = F.coalesce(F.col("_cy") - F.lag("_cy").over(column) > 1, F.lit(True))
+    cells = cells.withColumn("opens", opens).withColumn("_run", F.sum(F.col("opens").cast("long")).over(column))
+    cells = checkpointed(cells.withColumn("run", F.min("node").over(Window.partitionBy(*keys, "_odd", "_cx", "_run"))).drop("opens", "_run", "node"))
+    even = cells.where("_odd = ''")
+    pairs = _beside(even, keys, [(1, -1), (1, 0), (1, 1)], ["run"], ["run"]).select(F.col("run").alias("a"), F.col("o_run").alias("b")).distinct()
     if links is not None:
-        heads = points.join(at.withColumnRenamed("node", "head"), [*keys, "px", "py"]).select("node", "head")
-        ends = links.join(heads.select(F.col("node").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("node").alias("b"), F.col("head").alias("hb")), "b")
-        pairs = pairs.union(ends.where("ha <> hb").select("ha", "hb"))
-    labels = components(at.select("node"), pairs)
-    return points.join(at.join(labels, "node").select(*keys, "px", "py", "label"), [*keys, "px", "py"])
+        heads = grid.select(*at, "node").join(cells.select(*at, "run").hint("merge"), at).select("node", "run")
+        ends = links.join(heads.select(F.col("node").alias("a"), F.col("run").alias("ra")).hint("merge"), "a").join(heads.select(F.col("node").alias("b"), F.col("run").alias("rb")).hint("merge"), "b")
+        pairs = pairs.union(ends.where("ra <> rb").select("ra", "rb").distinct())
+    labels = components(cells.select(F.col("run").alias("node")).distinct(), pairs)
+    cells = checkpointed(cells.join(labels.withColumnRenamed("node", "run").hint("merge"), "run").drop("run"))
+    # What is not joined yet, but may be near.
+    ring = [(i, j) for i in range(4) for j in range(-3, 4) if max(i, abs(j)) > 1 and (i or j > 0)]
+    c = F.col
+    met = _beside(cells.where("_odd = ''"), keys, ring, ["_gap", "label", "x1", "y0", "y1"], ["label", "x0", "y0", "y1"])
+    beside = (c("dx") < 2) | (c("o_x0") - c("x1") <= c("_gap"))
+    level = F.when(c("dy") > 1, c("o_y0") - c("y1") <= c("_gap")).when(c("dy") < -1, c("y0") - c("o_y1") <= c("_gap")).otherwise(True)
+    met = checkpointed(met.where(c("label") != c("o_label")).where(beside & level).select(*keys, "_cx", "_cy", "dx", "dy", "_gap", F.least("label", "o_label").alias("a"), F.greatest("label", "o_label").alias("b")))
+    over = (c("dx") > 1) & (F.abs("dy") > 1)
+    sure = met.where(~over).select("a", "b").distinct()
+    pairs = checkpointed(sure.union(_corners(met.where(over).join(sure.hint("merge"), ["a", "b"], "left_anti"), grid, keys)).distinct())
+    if not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        joined = components(ends, pairs).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        cells = cells.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
+    return grid.join(cells.select(*at, "label").hint("merge"), at).drop("_gap", "_cx", "_cy", "_odd")
 
 
 def cluster_boxes(clustered: DataFrame, least: int = MIN_MEMBERS) -> DataFrame:
@@ -130,7 +179,7 @@ def frames_by_layer(vertices: DataFrame, min_size: float = 5000.0) -> DataFrame:
     Vertices of an entity belong together, and those that are near each other; components of min_size both ways are frames.
     """
     first = vertices.groupBy("job_id", "entity").agg(F.min("node").alias("a"))
-    links = vertices.join(first, ["job_id", "entity"]).where("a <> node").select("a", F.col("node").alias("b"))
+    links = vertices.join(first.hint("merge"), ["job_id", "entity"]).where("a <> node").select("a", F.col("node").alias("b"))
     gapped = vertices.join(frame_gap(vertices, min_size), KEYS)
     boxes = cluster_boxes(clusters(gapped, F.col("gap"), links), 1)
     return boxes.where((F.col("x1") - F.col("x0") >= min_size) & (F.col("y1") - F.col("y0") >= min_size))
