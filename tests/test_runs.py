@@ -61,6 +61,20 @@ def test_shortening_keeps_every_row(spark):
     assert got == {"1": ("tiny", True), "2": ("ok", False), "3": ("hopeless", False)} and len(tries) == 2
 
 
+def test_a_pass_of_shortening_asks_once_a_row(spark):
+    """Passes used to be planned into each other, so a task sorted all of them at once and each row was asked for again and again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(s):
+        asked.add(1)
+        return "still too long"
+
+    rows = spark.createDataFrame([(str(i), "s", "long answer", 4) for i in range(20)], "id string, source string, target string, budget int")
+    ask = F.udf(count, "string").asNondeterministic()
+    out = translation.shorten(rows, lambda left: left.select("id", ask("source").alias("target")))
+    assert out.count() == 20 and out.where("shortened").isEmpty() and asked.value == 2 * 20
+
+
 def test_stages_change_at_once(spark, tmp_path):
     path = str(tmp_path / "stage")
     one = spark.createDataFrame([("1", "a", True, "")], schema.TRANSLATION)
