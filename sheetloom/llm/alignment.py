@@ -29,6 +29,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,18 @@ VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes of text whose events are one row; bytes of text that are encoded at once; distinct (document, pair) of a batch, at least."""
+    """Bytes of text whose events are one row; bytes of text that are encoded at once; distinct (document, pair) of a batch, at least;
+    pieces that a generation of a worker's memory holds, and bytes of the longest of them."""
 
     stretch: int = 1 << 16
     piece: int = 2 << 20
     pairs: int = 1 << 20
+    known: int = 1 << 18
+    word: int = 48
+
+
+#: Pieces that a tokenizer gets in one call; what it returns is much larger than the ids that stay.
+_CALL = 2048
 
 
 #: Bits of a pair that hold the B id.
@@ -124,10 +132,34 @@ def seams(data: np.ndarray) -> np.ndarray:
     return at[safe & (after > 0x20) & (after != 0x7F)]
 
 
-def _expanded(tokens: list[list[int]], inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """What a worker remembers of pieces: (ids of A, ids of B), packed, both empty if either side does not give the piece back.
+
+    A full generation takes the place of the older one, and what is found there comes over: pieces that recur stay.
+    """
+
+    def __init__(self) -> None:
+        self.new: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def put(self, found: dict[bytes, tuple[bytes, bytes]], limits: Limits) -> None:
+        for piece, ids in found.items():
+            if len(piece) <= limits.word:
+                if len(self.new) >= limits.known:
+                    self.old, self.new = self.new, {}
+                self.new[piece] = ids
+
+
+@lru_cache(maxsize=2)
+def known(a: str, b: str) -> Known:
+    """One memory a worker and pair of vocabularies."""
+    return Known()
+
+
+def _expanded(tokens: list[bytes], packed: str, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ids of all pieces in order, and how many each has, from those of the distinct pieces."""
-    count = np.array([len(t) for t in tokens], np.int64)
-    flat = np.array([i for t in tokens for i in t], np.int64)
+    flat = np.frombuffer(b"".join(tokens), packed).astype(np.int64)
+    count = np.fromiter(map(len, tokens), np.int64, len(tokens)) // np.dtype(packed).itemsize
     n = count[inverse]
     start = (np.cumsum(count) - count)[inverse]
     at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -139,6 +171,41 @@ class Encoder:
         self.limits = limits
         self.sides = [loaded(ByteLevel, a), loaded(Pieces, b)]
         self.packed = packed_as(*(sizes for _, sizes in self.sides))
+        self.known = known(a, b)
+
+    def encoded(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """ids of both sides for distinct pieces. Only what the worker does not remember is encoded."""
+        got = list(map(self.known.new.get, texts))
+        found: dict[bytes, tuple[bytes, bytes]] = {}
+        fresh: list[int] = []
+        for k in (k for k, ids in enumerate(got) if ids is None):
+            ids = got[k] = self.known.old.get(texts[k])
+            if ids is None:
+                fresh.append(k)
+            else:
+                found[texts[k]] = ids
+        for at in range(0, len(fresh), _CALL):
+            part = fresh[at : at + _CALL]
+            held = [texts[k] for k in part]
+            words = [t.decode() for t in held]
+            for k, t, *ids in zip(part, held, *(self._checked(tokenizer, sizes, words, held) for tokenizer, sizes in self.sides), strict=True):
+                got[k] = found[t] = tuple(ids) if all(ids) else (b"", b"")
+        self.known.put(found, self.limits)
+        return got
+
+    def _checked(self, tokenizer: ByteLevel | Pieces, sizes: np.ndarray, words: list[str], held: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece; none where they do not give it back. The pieces are compared in one go, and one by one only if that fails."""
+        tokens, back = tokenizer.encode(words), tokenizer.bytes
+        flat = list(chain.from_iterable(tokens))
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+        ids = np.array(flat, np.int64)
+        long = np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
+        packed, ends = ids.astype(self.packed).tobytes(), (ends * np.dtype(self.packed).itemsize).tolist()
+        out = [packed[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        want = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1)
+        if np.array_equal(long, want) and b"".join(map(back.__getitem__, flat)) == b" " + b" ".join(held):
+            return out
+        return [x if b"".join([back[i] for i in t]) == b" " + h else b"" for x, t, h in zip(out, tokens, held, strict=True)]
 
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """For each side ids and their number in each text [starts[i], starts[i + 1]) of data; and whether both give it back."""
@@ -155,15 +222,13 @@ class Encoder:
         end[last] = starts[1:]
         hashes = slice_hashes(prefix_sums(BYTE_CODES[data]), begin, end)
         _, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        texts = [data[begin[k] : end[k]].tobytes().decode() for k in one]
+        raw = data.tobytes()
+        tokens = self.encoded([raw[s:e] for s, e in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
         of = np.searchsorted(starts, begin, "right") - 1
         good, out = np.ones(len(first), bool), []
-        for tokenizer, _ in self.sides:
-            tokens = tokenizer.encode(texts)
-            back = tokenizer.bytes
-            same = np.fromiter((b"".join([back[i] for i in ids]) == b" " + t.encode() for ids, t in zip(tokens, texts, strict=True)), bool, len(texts))
-            good[of[~same[inverse]]] = False
-            ids, n = _expanded(tokens, inverse)
+        for side in zip(*tokens, strict=True):
+            ids, n = _expanded(side, self.packed, inverse)
+            good[of[n == 0]] = False
             out.append((ids, np.bincount(of, n, len(first)).astype(np.int64)))
         return out, good
 

@@ -102,6 +102,32 @@ def test_a_long_text_is_encoded_in_pieces():
     assert whole[0][0] == alignment.ByteLevel(alignment.VOCABULARY_A).encode([text])[0]
 
 
+def test_a_worker_encodes_what_recurs_once(monkeypatch):
+    asked = []
+    encode = alignment.ByteLevel.encode
+    monkeypatch.setattr(alignment.ByteLevel, "encode", lambda self, texts: asked.extend(texts) or encode(self, texts))
+    texts = [f"once{k % 50} другое once{k % 7}-x once▁inside{k % 3}" if k % 9 == 0 else f"once{k % 50} once{k % 7}-x" for k in range(600)]
+    first = encoded(texts)
+    assert encoded(texts[::-1])[::-1] == first  # two batches of one worker
+    assert len(asked) == len(set(asked)) == 50 + 7 + 1 + 1
+    assert [t is None for t in first] == [k % 9 == 0 for k in range(600)]
+
+
+@pytest.mark.parametrize(("known", "word"), [(3, 48), (40, 4), (1, 1)])
+def test_memory_of_pieces_is_bounded_and_changes_nothing(known, word):
+    texts = [f"word{k % 50} другое {k % 7} can't {'long' * (k % 5)} {'▁' * (k % 11 == 0)}x" for k in range(300)]
+    a, b = alignment.ByteLevel(alignment.VOCABULARY_A), alignment.Pieces(alignment.VOCABULARY_B)
+    alignment.known.cache_clear()
+    for at in range(0, 300, 20):
+        part = texts[at : at + 20]
+        want = [None if "▁" in t else (a.encode([t])[0], b.encode([t])[0]) for t in part]
+        assert encoded(part, alignment.Limits(known=known, word=word)) == want
+        held = alignment.known(alignment.VOCABULARY_A, alignment.VOCABULARY_B)
+        assert len(held.new) <= known and len(held.old) <= known
+        assert max(map(len, [*held.new, *held.old]), default=0) <= word
+    alignment.known.cache_clear()
+
+
 def test_alignment_of_no_rows(spark):
     assert alignment.op11(documents(spark, [])).collect() == []
     assert [tuple(r) for r in alignment.op11(documents(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(k, 0, 0, 0, 0, 0, 0, "") for k in (1, 2)]
