@@ -15,7 +15,8 @@ blank line stays.
 4. Pairs are verified on the 64-bit token sets of the lines, read again from the texts.
 
 A line's key is (d, h, t): doc_id, a 64-bit hash of the text, and 34 bits of another one over the line's number, the same in
-every run. Texts that share a doc_id (all nulls share one) are thus told apart by 98 bits.
+every run. Texts that share a doc_id (all nulls share one) are thus told apart by 98 bits. The distinct sets are sorted by key and
+numbered, so postings and pairs carry a number of one word, which has the order of keys.
 
 Defined results: null text has no lines; rows that repeat a doc_id and text are one document; a null doc_id comes first;
 equal doc_ids with different texts are ordered by their hashes. Empty texts are one blank line; a text of any length is
@@ -46,8 +47,8 @@ _NO_ID = -(1 << 63)
 #: Bits of a line's key that count lines.
 _LINE_BITS = 30
 _KEY = ["d", "h", "t"]
-_ROW = [*_KEY, "np", "bm", "w0", "w1"]
-_PAIR = [f"{s}{c}" for s in "xy" for c in _KEY]
+_ROW = ["id", "np", "bm", "w0", "w1"]
+_PAIR = ["x", "y"]
 #: A document's key.
 _DOC = ["d", "h", "u"]
 
@@ -93,10 +94,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("d", "h", _line_key(F.col("u"), F.col("ln")), "line")
 
 
-def _places(keys: DataFrame) -> DataFrame:
-    """(d, h, u, lns) from line keys."""
-    at = keys.select("d", "h", F.call_function("shiftright", F.col("t"), F.lit(_LINE_BITS)).alias("u"), F.col("t").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int").alias("ln"))
-    return at.groupBy(*_DOC).agg(F.collect_set("ln").alias("lns"))
+def _places(keys: DataFrame, *more: str) -> DataFrame:
+    """(d, h, u, lns) from line keys; lns are line numbers, or structs of them and more columns."""
+    at = keys.select("d", "h", F.call_function("shiftright", F.col("t"), F.lit(_LINE_BITS)).alias("u"), F.col("t").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int").alias("ln"), *more)
+    return at.groupBy(*_DOC).agg(F.collect_set(F.struct("ln", *more) if more else "ln").alias("lns"))
 
 
 def ranks(docs: DataFrame) -> list[int]:
@@ -121,7 +122,7 @@ def _need(a: Column, b: Column) -> Column:
 
 
 def _earlier(y: dict[str, Column], x: dict[str, Column]) -> Column:
-    return (y["d"] < x["d"]) | ((y["d"] == x["d"]) & ((y["h"] < x["h"]) | ((y["h"] == x["h"]) & (y["t"] < x["t"]))))
+    return y["id"] < x["id"]
 
 
 def _index(s: dict[str, Column]) -> Column:
@@ -163,15 +164,18 @@ class _Join:
             *_KEY, n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
             parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), prefix.alias("prefix"),
         )
-        self.lines = stash(t)
-        first = self.lines.groupBy("s1", "s2").agg(F.min(F.struct(*_KEY, "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
-        self.sets = stash(first.select("s1", "s2", "times", "f.*"))
+        lines = stash(t)
+        first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*_KEY, "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
+        # Ranges of keys, sorted inside: numbers ascend with the keys. They are read from the table only, so they are the same for all that asks.
+        self.sets = stash(first.select("s1", "s2", "times", "f.*").orderBy(*_KEY).withColumn("id", F.monotonically_increasing_id()))
+        self.lines = stash(lines.select(*_KEY, "s1", "s2"))
+        drop_stash(lines)
 
     def met(self) -> DataFrame:
-        """Pairs of line keys out of lists of up to HOT postings, token null; and the postings of the other lists, xd null."""
+        """Pairs of numbers out of lists of up to HOT postings, token null; and the postings of the other lists, x null."""
         rows = self.sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        posted = self.sets.select(*_KEY, "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
-        posted = _solid(posted.select("token", *_KEY, (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
+        posted = self.sets.select("id", "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
+        posted = _solid(posted.select("token", "id", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
         hot = posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token", F.lit(True).alias("hot")).hint("shuffle_hash")
         listed = posted.join(hot, "token", "left")
         cold = listed.where("hot is null").drop("hot")
@@ -180,9 +184,7 @@ class _Join:
         x, y = _row(), _row("y_")
         smaller = (y["n"] < x["n"]) | ((y["n"] == x["n"]) & _earlier(y, x))
         both = cold.join(found, "token").where(smaller & _near(x, y, y["n"], x["n"]))
-        later = _earlier(y, x)
-        sides = [(c, f"y_{c}", f"x{c}") for c in _KEY] + [(f"y_{c}", c, f"y{c}") for c in _KEY]
-        pairs = both.select(*(F.when(later, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in sides))
+        pairs = both.select(F.greatest("id", "y_id").alias("x"), F.least("id", "y_id").alias("y"))
         return stash(pairs.unionByName(listed.where("hot").select("token", *_ROW), allowMissingColumns=True))
 
     def _against(self, probes: DataFrame, posted: DataFrame) -> DataFrame:
@@ -191,29 +193,30 @@ class _Join:
         other = posted.select("token", *(F.col(k).alias(f"y_{k}") for k in _ROW))
         index = F.when(x["n"] > y["n"], _index(y)).when(x["n"] < y["n"], _index(x)).otherwise(_index(x) | _index(y))
         both = probes.join(other, "token").where(_earlier(y, x) & _near(x, y, F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])) & index)
-        return both.select(*(F.col(c).alias(f"x{c}") for c in _KEY), *(F.col(f"y_{c}").alias(f"y{c}") for c in _KEY))
+        return both.select(x["id"].alias("x"), y["id"].alias("y"))
 
     def headed(self, hot: DataFrame) -> DataFrame:
         """Pairs of hot postings with the earliest of each share of their list."""
-        share = F.pmod(F.xxhash64(*_KEY), F.lit(HEADS))
+        share = F.pmod(F.xxhash64("id"), F.lit(HEADS))
         heads = hot.groupBy("token", share.alias("share")).agg(F.min(F.struct(*_ROW)).alias("head")).select("token", "head.*")
         return self._against(hot, heads)
 
-    def tokens_of(self, keys: DataFrame, few: bool) -> DataFrame:
-        """Keys and toks of the lines with these keys, from the texts. few: the places are a table first, and if it is small no text is shuffled."""
-        places = stash(_places(keys)) if few else _places(keys).hint("merge")
-        cutout = _held(_keyed(self.docs).join(places, _DOC).select(*_DOC, "text", "lns"), all=F.split("text", "\n"))
-        line = cutout.select(*_DOC, F.explode(F.transform("lns", lambda n: F.struct(n.alias("ln"), F.get("all", n).alias("line")))).alias("w"))
-        return line.select("d", "h", _line_key(F.col("u"), F.col("w.ln")), _hashes(F.col("w.line")).alias("toks")).dropDuplicates(_KEY)
+    def tokens_of(self, ids: DataFrame, few: bool) -> DataFrame:
+        """Numbers and toks of the sets with these numbers, from the texts. few: the places are a table first, and if it is small no text is shuffled."""
+        places = _places(self.sets.select(*_KEY, "id").join(ids, "id", "left_semi"), "id")
+        places = stash(places) if few else places.hint("merge")
+        cutout = _held(_keyed(self.docs).join(places, _DOC).select("text", "lns"), all=F.split("text", "\n"))
+        line = cutout.select(F.explode(F.transform("lns", lambda n: F.struct(n["id"].alias("id"), F.get("all", n["ln"]).alias("line")))).alias("w"))
+        return line.select("w.id", _hashes(F.col("w.line")).alias("toks")).dropDuplicates(["id"])
 
     def matched(self, pairs: DataFrame, few: bool = False) -> DataFrame:
-        """Keys of the lines x of which a pair has similarity 0.8 or more."""
+        """Numbers of the sets x of which a pair has similarity 0.8 or more."""
         pairs = stash(pairs.select(*_PAIR).distinct())
-        side = lambda s: pairs.select(*(F.col(f"{s}{c}").alias(c) for c in _KEY))
-        toks = stash(self.tokens_of(side("x").union(side("y")).distinct(), few))
-        a, b = (toks.select(*(F.col(c).alias(f"{s}{c}") for c in _KEY), F.col("toks").alias(s)) for s in "xy")
-        both = pairs.join(a, _PAIR[:3]).join(b, _PAIR[3:]).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y")))
-        out = stash(both.select(*(F.col(f"x{c}").alias(c) for c in _KEY)).distinct())
+        side = lambda s: pairs.select(F.col(s).alias("id"))
+        toks = stash(self.tokens_of(side("x").union(side("y")), few))
+        a, b = (toks.select(F.col("id").alias(s), F.col("toks").alias(f"{s}_toks")) for s in "xy")
+        both = pairs.join(a, "x").join(b, "y").where(9 * F.size(F.array_intersect("x_toks", "y_toks")) >= 4 * (F.size("x_toks") + F.size("y_toks")))
+        out = stash(both.select(F.col("x").alias("id")).distinct())
         drop_stash(pairs, toks)
         return out
 
@@ -223,13 +226,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     j = _Join(docs)
     met = j.met()
     cold, hot = met.where("token is null").select(*_PAIR), met.where("token is not null").select("token", *_ROW)
-    named = lambda pairs: pairs.select(*(F.col(f"x{c}").alias(c) for c in _KEY))
+    named = lambda pairs: pairs.select(F.col("x").alias("id"))
     short = stash(j.headed(hot).distinct())
-    whole = j._against(hot.join(named(short), _KEY, "left_anti"), hot)
+    whole = j._against(hot.join(named(short), "id", "left_anti"), hot)
     gone = j.matched(cold.union(short).union(whole))
-    refused = named(short).distinct().join(gone, _KEY, "left_anti")
-    gone = gone.union(j.matched(j._against(hot.join(refused, _KEY, "left_semi"), hot), few=True))
-    keys = j.sets.join(gone.withColumn("gone", F.lit(True)), _KEY, "left").where("gone or times > 1")
+    refused = named(short).distinct().join(gone, "id", "left_anti")
+    gone = gone.union(j.matched(j._against(hot.join(refused, "id", "left_semi"), hot), few=True))
+    keys = j.sets.join(gone.withColumn("gone", F.lit(True)), "id", "left").where("gone or times > 1")
     keys = keys.select("s1", "s2", *(F.col(c).alias(f"f{c}") for c in _KEY), F.col("gone").isNotNull().alias("gone"))
     out = j.lines.select(*_KEY, "s1", "s2").join(keys, ["s1", "s2"]).where("gone or d <> fd or h <> fh or t <> ft")
     return _places(out.select(*_KEY)).select(*_DOC, F.sort_array("lns").alias("removed"))

@@ -173,3 +173,17 @@ def test_lines_of_documents_that_share_an_id_stay_apart(spark):
     docs = spark.createDataFrame([(None, one), (None, two)], "doc_id long, text string")
     assert sorted((x.n_removed, x.removed) for x in linededup.op10(docs).collect()) == [(0, ""), (1, "1")]
     assert {x.text for x in linededup.without_removed(docs).collect()} == {"p7368 q r\nlast a7368 one", two}
+
+
+def test_postings_and_pairs_of_lines_carry_one_word_in_the_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 3)
+    rows = [(k % 7 if k % 5 else None, f"alpha{k % 4} beta gamma delta{k % 9} epsilon zeta eta\ntheta{k}\nalpha{k % 4} beta gamma delta{k % 9} epsilon zeta") for k in range(40)]
+    j = linededup._Join(spark.createDataFrame(rows, "doc_id long, text string"))
+    met = j.met()
+    assert met.columns == ["x", "y", "token", "id", "np", "bm", "w0", "w1"]
+    found = j.sets.orderBy("d", "h", "t").collect()
+    ids = [x.id for x in found]
+    assert ids == sorted(set(ids)) and {x.d for x in found} >= {linededup._NO_ID, 1, 6}
+    assert met.where("x is not null and y >= x").count() == 0
+    assert {x for r in met.collect() for x in (r.x, r.y, r.id)} - {None} <= set(ids)
+    assert "prefix" not in j.lines.columns
