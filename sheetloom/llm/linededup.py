@@ -1,7 +1,7 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its distinct tokens (runs outside [\\x20\\x09-\\x0D]), each a 48-bit hash under the rank of its rarity:
-tokens are counted over all documents in RANK_BUCKETS hash buckets, so the table that orders them has a fixed size. A
+the tokens of all lines are counted in RANK_BUCKETS hash buckets, so the table that orders them has a fixed size. A
 line goes if an earlier line (by doc_id, then text hash, then place) has Jaccard similarity of 0.8 or more with it; a
 blank line stays.
 
@@ -100,20 +100,26 @@ def _places(keys: DataFrame, *more: str) -> DataFrame:
     return at.groupBy(*_DOC).agg(F.collect_set(F.struct("ln", *more) if more else "ln").alias("lns"))
 
 
-def ranks(docs: DataFrame) -> list[int]:
-    """Rarity of each hash bucket: the logarithm, in eighths of a bit, of its number of tokens in the corpus."""
-    counts = _lines(docs).select(F.explode(F.split("line", " ")).alias("t")).groupBy((F.xxhash64("t").bitwiseAND(F.lit(RANK_BUCKETS - 1))).alias("b")).agg(F.count("*").alias("n"))
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(d, h, t, hashes) of the lines that have tokens."""
+    return _held(_lines(docs), hashes=_hashes(F.col("line"))).where(F.size("hashes") > 0).select(*_KEY, "hashes")
+
+
+def ranks(hashed: DataFrame) -> list[int]:
+    """Rarity of each hash bucket: the logarithm, in eighths of a bit, of its number of tokens in all lines."""
+    counts = hashed.select(F.explode("hashes").alias("x")).groupBy(F.col("x").bitwiseAND(F.lit(RANK_BUCKETS - 1)).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * RANK_BUCKETS
     for row in counts.collect():  # RANK_BUCKETS rows at most
         out[row.b] = min(511, int(8 * math.log2(row.n + 1)))
     return out
 
 
-def token_sets(lines: DataFrame, rank: list[int]) -> DataFrame:
-    """Adds toks: distinct tokens, rarest first, as ranks over the upper 48 bits of hashes. The ranks are one constant of the plan."""
-    table = F.from_json(F.lit(json.dumps(rank, separators=(",", ":"))), "array<bigint>")
-    code = lambda x: F.coalesce(F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")), F.lit(0).cast("long")) * F.lit(1 << 48) + F.shiftrightunsigned(x, 16)
-    return _held(lines, toks=F.sort_array(F.transform(_hashes(F.col("line")), code)))
+def token_sets(hashed: DataFrame, rank: list[int]) -> DataFrame:
+    """(d, h, t, toks): distinct tokens, rarest first, as ranks over the upper 48 bits of hashes. The ranks are one constant of the plan."""
+    table = F.from_json(F.lit(json.dumps([r << 48 for r in rank], separators=(",", ":"))), "array<bigint>")
+    code = lambda x: F.get(table, x.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(x, 16))
+    # Columns of a table may be null for all Spark knows; without that, it sorts plain longs.
+    return _held(hashed, toks=F.sort_array(F.transform("hashes", lambda x: F.coalesce(code(x), F.lit(0).cast("long"))))).select(*_KEY, "toks")
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -153,18 +159,21 @@ def _solid(df: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame) -> None:
         self.docs = docs.select("doc_id", "text")
-        self.rank = ranks(self.docs)
+        # Texts are split and hashed once: the table of hashes is counted, ordered by the counts, and goes before any lists are made.
+        hashed = stash(hashed_lines(self.docs))
+        self.rank = ranks(hashed)
         n = F.size("toks")
         bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
         parity = lambda take: F.aggregate("toks", F.lit(0).cast("long"), lambda a, x: take(a, x))
         part = lambda k: F.when(n > LONG, parity(lambda a, x: F.when(x.bitwiseAND(F.lit(192)) == 64 * k, a.bitwiseXOR(bit(x))).otherwise(a))).otherwise(F.lit(0).cast("long")).alias(f"w{k}")
         # 31 bits are enough to meet by: what meets by chance is verified like the rest.
         prefix = F.transform(F.slice("toks", 1, n - F.floor((4 * n + 4) / 5).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-        t = token_sets(_lines(self.docs), self.rank).where(n > 0).select(
+        t = token_sets(hashed, self.rank).select(
             *_KEY, n.alias("n"), F.xxhash64("toks").alias("s1"), F.xxhash64(F.lit(3), "toks").alias("s2"),
             parity(lambda a, x: a.bitwiseXOR(bit(x))).alias("bm"), part(0), part(1), prefix.alias("prefix"),
         )
         lines = stash(t)
+        drop_stash(hashed)
         first = lines.groupBy("s1", "s2").agg(F.min(F.struct(*_KEY, "n", "bm", "w0", "w1", "prefix")).alias("f"), F.count("*").alias("times"))
         # Ranges of keys, sorted inside: numbers ascend with the keys. They are read from the table only, so they are the same for all that asks.
         self.sets = stash(first.select("s1", "s2", "times", "f.*").orderBy(*_KEY).withColumn("id", F.monotonically_increasing_id()))
@@ -176,8 +185,9 @@ class _Join:
         rows = self.sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
         posted = self.sets.select("id", "n", "bm", "w0", "w1", F.posexplode("prefix").alias("p", "token"))
         posted = _solid(posted.select("token", "id", (F.col("n") * F.lit(1 << 32) + F.col("p")).alias("np"), "bm", "w0", "w1")).repartition(max(parts_for(posted), rows // PARTITION_ROWS), "token")
-        hot = posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token", F.lit(True).alias("hot")).hint("shuffle_hash")
-        listed = posted.join(hot, "token", "left")
+        # The tokens of long lists, at most one in HOT postings, are counted once and are a table for all uses of the lists.
+        hot = stash(posted.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("token"))
+        listed = posted.join(hot.withColumn("hot", F.lit(True)).hint("shuffle_hash"), "token", "left")
         cold = listed.where("hot is null").drop("hot")
         # The larger set meets the index prefix of the smaller. The filter names `hot` so that all lists are read from one exchange.
         found = listed.where(F.when(F.col("hot").isNull(), _index(_row())).otherwise(False)).select("token", *(F.col(k).alias(f"y_{k}") for k in _ROW))
@@ -204,7 +214,7 @@ class _Join:
     def tokens_of(self, ids: DataFrame, few: bool) -> DataFrame:
         """Numbers and toks of the sets with these numbers, from the texts. few: the places are a table first, and if it is small no text is shuffled."""
         places = _places(self.sets.select(*_KEY, "id").join(ids, "id", "left_semi"), "id")
-        places = stash(places) if few else places.hint("merge")
+        places = stash(places) if few else places.hint("shuffle_hash")
         cutout = _held(_keyed(self.docs).join(places, _DOC).select("text", "lns"), all=F.split("text", "\n"))
         line = cutout.select(F.explode(F.transform("lns", lambda n: F.struct(n["id"].alias("id"), F.get("all", n["ln"]).alias("line")))).alias("w"))
         return line.select("w.id", _hashes(F.col("w.line")).alias("toks")).dropDuplicates(["id"])
@@ -215,7 +225,8 @@ class _Join:
         side = lambda s: pairs.select(F.col(s).alias("id"))
         toks = stash(self.tokens_of(side("x").union(side("y")), few))
         a, b = (toks.select(F.col("id").alias(s), F.col("toks").alias(f"{s}_toks")) for s in "xy")
-        both = pairs.join(a, "x").join(b, "y").where(9 * F.size(F.array_intersect("x_toks", "y_toks")) >= 4 * (F.size("x_toks") + F.size("y_toks")))
+        shared = F.size("x_toks") - F.size(F.array_except("x_toks", "y_toks"))  # one hash table a pair; an intersection takes two
+        both = pairs.join(a, "x").join(b, "y").where(9 * shared >= 4 * (F.size("x_toks") + F.size("y_toks")))
         out = stash(both.select(F.col("x").alias("id")).distinct())
         drop_stash(pairs, toks)
         return out

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -187,3 +188,23 @@ def test_postings_and_pairs_of_lines_carry_one_word_in_the_order_of_keys(spark,
     assert met.where("x is not null and y >= x").count() == 0
     assert {x for r in met.collect() for x in (r.x, r.y, r.id)} - {None} <= set(ids)
     assert "prefix" not in j.lines.columns
+
+
+def test_texts_are_split_and_hashed_once_for_the_ranks_and_sets_of_lines(spark, monkeypatch):
+    calls, tables, files = [], [], []
+    split, write = linededup._lines, linededup.stash
+
+    def kept(df):
+        tables.append(write(df))
+        files.append([Path(x.removeprefix("file:")) for x in tables[-1].inputFiles()])
+        return tables[-1]
+
+    monkeypatch.setattr(linededup, "_lines", lambda docs: calls.append(1) or split(docs))
+    monkeypatch.setattr(linededup, "stash", kept)
+    j = linededup._Join(spark.createDataFrame([(k, f"common rare{k} common\n\n common  other{k % 3}") for k in range(20)], "doc_id long, text string"))
+    assert len(calls) == 1
+    assert tables[0].columns == ["d", "h", "t", "hashes"] and files[0] and not any(x.exists() for x in files[0])
+    bucket = spark.sql(f"select xxhash64('common') & {linededup.RANK_BUCKETS - 1}").first()[0]
+    assert j.rank[bucket] == 42 and sum(x > 0 for x in j.rank) == 24  # 40 lines have it; 20 and 3 other tokens
+    j.met()
+    assert tables[-2].columns == ["token"]  # of long lists, counted once for all that reads the lists
