@@ -14,8 +14,6 @@ from sheetloom.functions import text as X
 
 from . import blocks
 
-#: Rules of one space beyond which no more are kept.
-MAX_RULES = 400_000
 #: Types with a projection here, and types whose text cannot be reached.
 HANDLED = ["TEXT", "MTEXT", "INSERT", "DIMENSION", "ARC_DIMENSION", "LARGE_RADIAL_DIMENSION", "ACAD_TABLE", "ATTDEF", "TOLERANCE", "MULTILEADER", "MLEADER"]
 UNREACHABLE = ["ACAD_PROXY_ENTITY", "OLE2FRAME"]
@@ -100,11 +98,11 @@ def items(entities: DataFrame, tolerant: bool = False) -> DataFrame:
     return out.unionByName(odd.select(*((zero | bad).get(c, F.col(c) if c in odd.columns else F.lit(None)).cast(t).alias(c) for c, t in out.dtypes)))
 
 
-def rule_lines(entities: DataFrame, vertical: bool = True, limit: int = MAX_RULES, levels: int = blocks.LEVELS, bases: DataFrame | None = None) -> DataFrame:
+def rule_lines(entities: DataFrame, vertical: bool = True, limit: int | None = None, levels: int = blocks.LEVELS, bases: DataFrame | None = None) -> DataFrame:
     """(job_id, place, pos, lo, hi): edges of lines within 1 % of upright (level), closing edges included.
 
-    Lines inside blocks count in their own space, and wherever a reference puts them, through as many levels as said. Of a space that has
-    `limit` rules the entities that follow are not read, as in a scan that stops there.
+    Lines inside blocks count in their own space, and wherever a reference puts them, through as many levels as said. All rules are kept
+    unless there is a limit: then of a space that has `limit` rules the entities that follow are not read, as in a scan that stops there.
     """
     v = blocks.placed_shapes(entities, ["LINE", "LWPOLYLINE", "POLYLINE"], bases, levels)
     ring = F.when(F.col("closed"), F.concat("vertices", F.slice("vertices", 1, 1))).otherwise(F.col("vertices"))
@@ -113,6 +111,8 @@ def rule_lines(entities: DataFrame, vertical: bool = True, limit: int = MAX_RULE
     a, b = F.col("e.a"), F.col("e.b")
     straight = F.abs(b[across] - a[across]) <= 0.01 * F.greatest(F.abs(b[along] - a[along]), F.lit(1e-9))
     out = pairs.where(straight).select("job_id", "place", "ord", a[across].alias("pos"), F.least(a[along], b[along]).alias("lo"), F.greatest(a[along], b[along]).alias("hi"))
+    if limit is None:
+        return out.drop("ord")
     before = F.rank().over(Window.partitionBy("job_id", "place").orderBy("ord"))
     return out.withColumn("before", before).where(F.col("before") <= limit).drop("before", "ord")
 

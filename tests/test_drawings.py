@@ -119,6 +119,13 @@ def test_a_scan_stops_at_an_entity(spark):
     assert entities.rule_lines(e, limit=3).count() == 4 and entities.rule_lines(e, limit=4).count() == 4 and entities.rule_lines(e, limit=5).count() == 6
 
 
+def test_a_space_keeps_all_of_its_rules(spark):
+    """A space used to lose what came after 400,000 rules."""
+    line = spark.createDataFrame([entity(1, "model", 0, "LINE", "l", vertices=[(1.0, 0.0), (1.0, 4.0)])], ENTITY)
+    n = 400_100
+    assert entities.rule_lines(spark.range(n).select(F.col("id").alias("ord")).crossJoin(line.drop("ord"))).count() == n
+
+
 TAGS = """  0\nSECTION\n  2\nENTITIES\n  0\nTEXT\n  5\nA1\n  8\nl\n 40\n2.5\n 10\n1.5\n 20\n-2\n  1\n0\n  0\nTEXT\n  5\n0\n  1\nLINE\n 40\nhigh\n  0\nLWPOLYLINE\n  5\nP\n 70\n1\n 10\n0\n 20\n0\n 10\n5\n 20\n0\n  0\nLINE\n  5\nL\n 10\n1\n 20\n2\n 11\n3\n 21\n4
   0\nMTEXT\n  5\nM\n  3\nфи\n  1\nло^Jx\nbroken\n  0\nACAD_TABLE\n  5\nT\n301\nCELL_VALUE\n  1\ntail\n  2\nhead \n304\nACVALUE_END\n301\nCELL_VALUE\n304\nACVALUE_END\n  0\nINSERT\n  5\nI\n  2\nblk\n 41\n2\n 50\n90\n  0\nENDSEC\n  0\nEOF\n"""
 
