@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sheetloom.operators import spatial
+from sheetloom.plans import queries
 
 ITEM = "job_id long, place string, handle string, kind string, height double, x double, y double, plain string, own_w double, rotation double, vertical boolean"
 RULE = "job_id long, place string, pos double, lo double, hi double"
@@ -69,3 +70,8 @@ def test_groups_go_on_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {f"h{i}": (10.0 if i % 20 < 19 else None, 10.0 if i % 20 else None) for i in range(40)}
+
+
+def test_capacity_moves_widths_and_no_texts(spark):
+    plan = queries.queries()["capacity_single"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "em#" in plan and "plain#" not in plan and "text#" not in plan
