@@ -5,6 +5,9 @@ Joins of points and labels are merge joins: a small file can hold many rows, and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +18,8 @@ from sheetloom.sources.stages import checkpointed
 MIN_MEMBERS = 5
 #: Rounds of label propagation; label jumps halve paths, so so many reach across 2**MAX_ROUNDS nodes.
 MAX_ROUNDS = 60
+#: Edges whose components are found in one task, and how often a task's share of more edges is cut to a forest before rounds begin.
+FEW, CUTS = 250_000, 4
 #: Mean boxes beside each other that a box may span and still be spelled out into cells.
 MAX_CELLS = 8
 KEYS = ["job_id", "place"]
@@ -26,8 +31,51 @@ def _keys(df: DataFrame) -> list[str]:
     return [k for k in KEYS if k in df.columns]
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each end of the edges that came by, but the least of its component, and that least one."""
+    up: dict = {}
+
+    def root(x):  # noqa: ANN001, ANN202
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if kind is not None:
+        ends = [x for x in up if up[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array(ends, kind.field(0).type), pa.array([root(x) for x in ends], kind.field(1).type)], names=["a", "b"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) for all nodes (node): the least node of its component. Least neighbouring labels and label jumps.
+    """(node, label) for all nodes (node): the least node of its component.
+
+    Few edges are joined in one task. Of more, each task keeps a forest of its share, which joins the same nodes; if that does not make them few, rounds settle them.
+    """
+    kind = dict(nodes.dtypes)["node"]
+    forest = lambda df: df.mapInArrow(_rooted, f"a {kind}, b {kind}")
+    edges = checkpointed(edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    n = edges.count()
+    for _ in range(CUTS):
+        if n <= FEW:
+            break
+        edges = checkpointed(forest(edges.repartition(-(-n // FEW), "a")))
+        n, before = edges.count(), n
+        if n > before // 2:
+            break
+    if n > FEW:
+        return _in_rounds(nodes, edges)
+    labels = forest(edges.coalesce(1)).toDF("node", "least")
+    return checkpointed(nodes.join(labels.hint("merge"), "node", "left").select("node", F.coalesce("least", "node").alias("label")))
+
+
+def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """components of any number of edges. Least neighbouring labels and label jumps.
 
     A node's own label is an edge as well, so a round is one join and one aggregation: the least label beside a node or at its label, which never exceeds its own.
     """
@@ -84,10 +132,28 @@ def clusters(points: DataFrame, gap: Column | float, links: DataFrame | None = N
     No pairs of points: cells are less than half a gap wide, so points of a cell and of the cells around it belong together. Filled cells on end are one
     run, runs side by side are joined. Cells two or three steps apart are near if their extents are, or, over a corner, if two of their outer points are.
     """
+    grid, cells, at = _cells(points, gap, links)
+    return grid.join(cells.select(*at, "label").hint("merge"), at).drop("_gap", "_cx", "_cy", "_odd")
+
+
+def boxes_of_clusters(points: DataFrame, gap: Column | float, least: int = MIN_MEMBERS, group: list[str] | None = None) -> DataFrame:
+    """cluster_boxes of clusters, from cells alone: no point is given its label. A point counts n times if points has that column.
+
+    group: columns of points that belong together whatever their distance.
+    """
+    keys = _keys(points)
+    _, cells, _ = _cells(points, gap, group=group)
+    out = cells.groupBy(*keys, "label").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
+    return out.where(F.col("n") >= least).withColumnRenamed("label", "box")
+
+
+def _cells(points: DataFrame, gap: Column | float, links: DataFrame | None = None, group: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points in the grid of clusters; its filled cells with the label, extent and number of their points; the key of a cell."""
     keys = _keys(points)
     grid = _grid(points, gap)
     at = [*keys, "_cx", "_cy", "_odd"]
-    cells = grid.groupBy(*at).agg(F.min("node").alias("node"), F.first("_gap").alias("_gap"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+    count = F.sum("n") if "n" in points.columns else F.count("*")
+    cells = grid.groupBy(*at).agg(count.alias("n"), F.min("node").alias("node"), F.first("_gap").alias("_gap"), F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
     column = Window.partitionBy(*keys, "_odd", "_cx").orderBy("_cy")
     opens = F.coalesce(F.col("_cy") - F.lag("_cy").over(column) > 1, F.lit(True))
     cells = cells.withColumn("opens", opens).withColumn("_run", F.sum(F.col("opens").cast("long")).over(column))
@@ -98,6 +164,11 @@ def clusters(points: DataFrame, gap: Column | float, links: DataFrame | None = N
         heads = grid.select(*at, "node").join(cells.select(*at, "run").hint("merge"), at).select("node", "run")
         ends = links.join(heads.select(F.col("node").alias("a"), F.col("run").alias("ra")).hint("merge"), "a").join(heads.select(F.col("node").alias("b"), F.col("run").alias("rb")).hint("merge"), "b")
         pairs = pairs.union(ends.where("ra <> rb").select("ra", "rb").distinct())
+    if group is not None:
+        there = " and ".join(f"{c} is not null" for c in group)
+        held = grid.where(there).select(*at, *(c for c in group if c not in at)).distinct().join(cells.select(*at, "run").hint("merge"), at).select(*group, "run").distinct()
+        first = F.min("run").over(Window.partitionBy(*group))
+        pairs = pairs.union(held.select(first.alias("a"), F.col("run").alias("b")).where("a <> b").distinct())
     labels = components(cells.select(F.col("run").alias("node")).distinct(), pairs)
     cells = checkpointed(cells.join(labels.withColumnRenamed("node", "run").hint("merge"), "run").drop("run"))
     # What is not joined yet, but may be near.
@@ -109,12 +180,14 @@ def clusters(points: DataFrame, gap: Column | float, links: DataFrame | None = N
     met = checkpointed(met.where(c("label") != c("o_label")).where(beside & level).select(*keys, "_cx", "_cy", "dx", "dy", "_gap", F.least("label", "o_label").alias("a"), F.greatest("label", "o_label").alias("b")))
     over = (c("dx") > 1) & (F.abs("dy") > 1)
     sure = met.where(~over).select("a", "b").distinct()
-    pairs = checkpointed(sure.union(_corners(met.where(over).join(sure.hint("merge"), ["a", "b"], "left_anti"), grid, keys)).distinct())
+    apart = met.where(over).join(sure.hint("merge"), ["a", "b"], "left_anti")
+    # Points are read again only if cells meet over corners.
+    pairs = checkpointed(sure if met.where(over).isEmpty() else sure.union(_corners(apart, grid, keys)).distinct())
     if not pairs.isEmpty():
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         joined = components(ends, pairs).select(F.col("node").alias("label"), F.col("label").alias("least"))
         cells = cells.join(joined.hint("merge"), "label", "left").withColumn("label", F.coalesce("least", "label")).drop("least")
-    return grid.join(cells.select(*at, "label").hint("merge"), at).drop("_gap", "_cx", "_cy", "_odd")
+    return grid, cells, at
 
 
 def cluster_boxes(clustered: DataFrame, least: int = MIN_MEMBERS) -> DataFrame:
@@ -146,10 +219,26 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
     raise RuntimeError(f"boxes did not settle in {MAX_ROUNDS} rounds")
 
 
+def at_ranks(rows: DataFrame, keys: list[str], column: str, **ranks: Callable[[Column], Column]) -> DataFrame:
+    """(keys, total, one column a rank): the values of a column that stand at these places of its order, from 1; ranks follow from the number of rows.
+
+    Equal values are counted before they are sorted, so a group's rows never meet. A row counts n times if rows has that column.
+    """
+    counts = rows.groupBy(*keys, F.col(column).alias("value")).agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("of"))
+    total = counts.groupBy(*keys).agg(F.sum("of").alias("total"))
+    upto = F.sum("of").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    z = counts.withColumn("upto", upto).join(total, keys)
+    out = z.groupBy(*keys, "total").agg(*(F.min(F.when(F.col("upto") >= rank(F.col("total")), F.struct("upto", "value"))).alias(name) for name, rank in ranks.items()))
+    return out.select(*keys, "total", *(F.col(f"{name}.value").alias(name) for name in ranks))
+
+
+def upper_middle(n: Column) -> Column:
+    return F.floor(n / 2) + 1
+
+
 def sheet_gap(items: DataFrame, extent: DataFrame) -> DataFrame:
     """(job_id, place, gap): how far apart texts of one sheet may stand: 25 upper-median heights, or 1.5 % of the trimmed extent if that is more."""
-    ranked = items.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy("height"))).withColumn("size", F.count("*").over(Window.partitionBy(*KEYS)))
-    h = ranked.groupBy(*KEYS).agg(F.max(F.when(F.col("nth") == F.floor(F.col("size") / 2) + 1, F.col("height"))).alias("h"))
+    h = at_ranks(items, KEYS, "height", h=upper_middle)
     return h.join(extent, KEYS).select(*KEYS, F.greatest(25 * F.col("h"), 0.015 * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("gap"))
 
 
@@ -157,12 +246,9 @@ def text_extent(items: DataFrame, trim: float = 0.02, padding: float = 0.0) -> D
     """(job_id, place, x0, y0, x1, y1): where texts stand, the outermost share `trim` at each end left out; padding in shares of the extent."""
     out = None
     for axis in ("x", "y"):
-        w = Window.partitionBy(*KEYS).orderBy(axis, "handle")
-        r = items.select(*KEYS, axis, F.row_number().over(w).alias("nth"), F.count("*").over(Window.partitionBy(*KEYS)).alias("n"))
-        lo, hi = F.least(F.floor(F.col("n") * trim) + 1, F.col("n")), F.greatest(F.floor(F.col("n") * (1 - trim)), F.lit(1))
-        ends = r.groupBy(*KEYS).agg(F.max(F.when(F.col("nth") == lo, F.col(axis))).alias(f"{axis}0"), F.max(F.when(F.col("nth") == hi, F.col(axis))).alias(f"{axis}1"))
-        pad = padding * (F.col(f"{axis}1") - F.col(f"{axis}0"))
-        ends = ends.select(*KEYS, (F.col(f"{axis}0") - pad).alias(f"{axis}0"), (F.col(f"{axis}1") + pad).alias(f"{axis}1"))
+        ends = at_ranks(items, KEYS, axis, lo=lambda n: F.least(F.floor(n * trim) + 1, n), hi=lambda n: F.greatest(F.floor(n * (1 - trim)), F.lit(1)))
+        pad = padding * (F.col("hi") - F.col("lo"))
+        ends = ends.select(*KEYS, (F.col("lo") - pad).alias(f"{axis}0"), (F.col("hi") + pad).alias(f"{axis}1"))
         out = ends if out is None else out.join(ends, KEYS)
     return out.select(*KEYS, "x0", "y0", "x1", "y1")
 
@@ -178,10 +264,8 @@ def frames_by_layer(vertices: DataFrame, min_size: float = 5000.0) -> DataFrame:
 
     Vertices of an entity belong together, and those that are near each other; components of min_size both ways are frames.
     """
-    first = vertices.groupBy("job_id", "entity").agg(F.min("node").alias("a"))
-    links = vertices.join(first.hint("merge"), ["job_id", "entity"]).where("a <> node").select("a", F.col("node").alias("b"))
     gapped = vertices.join(frame_gap(vertices, min_size), KEYS)
-    boxes = cluster_boxes(clusters(gapped, F.col("gap"), links), 1)
+    boxes = boxes_of_clusters(gapped, F.col("gap"), 1, ["job_id", "entity"])
     return boxes.where((F.col("x1") - F.col("x0") >= min_size) & (F.col("y1") - F.col("y0") >= min_size))
 
 

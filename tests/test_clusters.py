@@ -51,3 +51,35 @@ def test_places_that_are_not_finite_stand_alone(spark):
     pts = [(1, float("nan"), 0.0), (2, float("nan"), 0.0), (3, float("inf"), 0.0), (4, 0.0, 0.0), (5, 1.0, 0.0)]
     got = {x.node: x.label for x in cluster.clusters(spark.createDataFrame(pts, "node long, px double, py double"), 2.0).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize(("few", "cuts"), [(250_000, 4), (10, 0), (150, 9)])
+def test_components_in_a_task_in_rounds_and_after_cuts(spark, monkeypatch, few, cuts):
+    """One task used to be no way at all: a chain took a round for each of its halvings."""
+    monkeypatch.setattr(cluster, "FEW", few)
+    monkeypatch.setattr(cluster, "CUTS", cuts)
+    if few > 10:
+        monkeypatch.setattr(cluster, "_in_rounds", None)
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 130), r.randrange(100, 130)) for _ in range(300)] + [(70, 70)]
+    names = [f"n{i:03}" for i in range(140)]
+    nodes, df = spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame([(names[a], names[b]) for a, b in edges], "a string, b string")
+    want = _brute([(i, 1e3 * i, 0.0) for i in range(140)], 1.0, edges)
+    assert {x.node: x.label for x in cluster.components(nodes, df).collect()} == {names[a]: names[b] for a, b in want.items()}
+
+
+def test_boxes_from_cells_are_those_of_points(spark):
+    r = random.Random(2)
+    rows = [(i % 2, "model", i, r.choice([None, i // 7]), float(r.randrange(80)), float(r.randrange(80))) for i in range(300)]
+    df = spark.createDataFrame(rows, "job_id long, place string, node long, entity long, px double, py double")
+    got = {tuple(x) for x in cluster.boxes_of_clusters(df, 2.5, 2, ["job_id", "entity"]).select("job_id", "box", "x0", "y0", "x1", "y1", "n").collect()}
+    want = set()
+    for j in (0, 1):
+        of = [x for x in rows if x[0] == j]
+        links = [(a[2], b[2]) for a in of for b in of if a[3] is not None and a[3] == b[3] and a[2] < b[2]]
+        label = _brute([(x[2], x[4], x[5]) for x in of], 2.5, links)
+        for box in set(label.values()):
+            m = [x for x in of if label[x[2]] == box]
+            if len(m) > 1:
+                want.add((j, box, min(x[4] for x in m), min(x[5] for x in m), max(x[4] for x in m), max(x[5] for x in m), len(m)))
+    assert got == want
